@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvid.llm.bits import bits_of, test_bits
 from corvid.llm.common import cut, lower_ascii, mix, only, pieces, span_hashes, table, text_bytes, window_hashes, words_of
 from corvid.llm.graph import components
 
@@ -145,39 +146,13 @@ def _cells(docs: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
     return docs.mapInArrow(run, "cell long, point long, n int")
 
 
-def _filter_of(points: DataFrame, column: str) -> np.ndarray:
-    """A bit set of constant size (2 MB) with a bit for each of the points; the bits of all tasks are joined block by block."""
-    size, blocks = 1 << FILTER_BITS, 64
-    per = size // blocks
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, bool)
-        for batch in batches:
-            bits[(np.asarray(batch.column(0)).view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        part = bits.reshape(blocks, per)
-        some = np.flatnonzero(part.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([np.packbits(part[k]).tobytes() for k in some], pa.binary())], names=["block", "bits"])
-
-    def either(part: pd.DataFrame) -> pd.DataFrame:
-        total = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in part["bits"]])
-        return pd.DataFrame({"block": part["block"].iloc[:1], "bits": [total.tobytes()]})
-
-    shares = points.select(column).mapInArrow(run, "block int, bits binary").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
-    out = np.zeros((blocks, per), bool)
-    joined = shares.groupBy("block", "salt").applyInPandas(either, "block int, bits binary").groupBy("block").applyInPandas(either, "block int, bits binary")
-    for r in joined.toLocalIterator():
-        out[r["block"]] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8)).astype(bool)
-    return np.packbits(out.ravel())
-
-
 def _sets(docs: DataFrame, wanted: np.ndarray, reps: DataFrame, seed: int) -> DataFrame:
     """(point, items): the sorted shingles of the points whose bit is set, once each."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).astype(bool)
         for ids, _, a, _, h, first in _batches(batches, seed):
-            pick = np.flatnonzero(bits[(a.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] & (np.diff(first) > 0))
+            pick = np.flatnonzero(test_bits(shared.value, mix(a.view(np.uint64).copy()), FILTER_BITS) & (np.diff(first) > 0))
             items = [np.sort(h[first[k] : first[k + 1]]).tobytes() for k in pick]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(pick)), pa.array(a[pick]), pa.array(items, pa.binary())], names=["doc_id", "point", "items"])
 
@@ -218,7 +193,7 @@ def link_points(docs: DataFrame, points: DataFrame, levels: np.ndarray, seed: in
     shared = cells.groupBy("cell").agg(F.min("point").alias("lo"), F.max("point").alias("hi")).filter("lo <> hi").select("cell")
     region = cut(cells.join(shared, "cell").distinct())
     reps = points.groupBy("point").agg(F.min("doc_id").alias("doc_id"))
-    sets = cut(_sets(docs, _filter_of(region, "point"), reps, seed))
+    sets = cut(_sets(docs, bits_of(region, "point", FILTER_BITS), reps, seed))
     edges: DataFrame | None = None
     labels: DataFrame | None = None
     for level in range(LEVELS + 1):
@@ -269,9 +244,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, one row of each component: that with the least id."""
-    keep = jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """The columns of ``docs``, one row of each component: that with the least id.  Rows without an id stay."""
+    found = cut(jaccard_components(docs))
+    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
+    repeated = not keep.groupBy("_keep").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    rows = docs.join(keep, docs["doc_id"].cast("long") == keep["_keep"], "left_semi")
+    if repeated:
+        rows = rows.dropDuplicates(["doc_id"])
+    return rows.union(docs.filter("doc_id IS NULL"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
