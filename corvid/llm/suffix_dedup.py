@@ -40,7 +40,7 @@ SLICE = 8 << 20
 #: Bits of the filter of anchors, a constant 4 MB.
 FILTER_BITS = 25
 #: Stretches of one anchor that go through one suffix array.
-GROUP = 512
+GROUP = 8192
 
 
 def stretches(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
