@@ -5,6 +5,620 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvid.functions.scalars import cwe_ids, entropy, gate_glob
+from corvid.operators import findings as fi
+from corvid.operators import graphs as g
+from corvid.operators import stats as st
+from corvid.operators import texts as tx
+from corvid.sources import tables as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_NODES = """
+nodes AS (
+  SELECT 'region:' || r_regionkey AS id, 'region' AS kind, r_name AS name, '' AS file FROM region
+  UNION ALL SELECT 'nation:' || n_nationkey, 'nation', n_name, 'region/' || n_regionkey FROM nation
+  UNION ALL SELECT 'customer:' || c_custkey, 'customer', c_name, 'nation/' || c_nationkey FROM customer
+  UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier', s_name, 'nation/' || s_nationkey FROM supplier
+  UNION ALL SELECT 'order:' || o_orderkey, 'order', 'Order#' || o_orderkey, 'customer/' || o_custkey FROM orders
+  UNION ALL SELECT 'part:' || p_partkey, 'part', p_name, 'brand/' || p_brand FROM part)"""
+_EDGES = """
+edges AS (
+  SELECT 'region:' || n_regionkey AS source, 'nation:' || n_nationkey AS target, 'contains' AS type FROM nation
+  UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey, 'contains' FROM customer
+  UNION ALL SELECT 'nation:' || s_nationkey, 'supplier:' || s_suppkey, 'contains' FROM supplier
+  UNION ALL SELECT 'customer:' || o_custkey, 'order:' || o_orderkey, 'defines' FROM orders
+  UNION ALL SELECT DISTINCT 'order:' || l_orderkey, 'part:' || l_partkey, 'uses' FROM lineitem
+  UNION ALL SELECT DISTINCT 'order:' || l_orderkey, 'supplier:' || l_suppkey, 'touches' FROM lineitem)"""
+_TREE = """
+tree AS (SELECT source, target FROM edges WHERE type IN ('contains', 'defines')),
+links AS (SELECT source AS a, target AS b FROM tree UNION ALL SELECT target, source FROM tree)"""
+_TRADE = """
+trade AS (
+  SELECT s_nationkey AS seller, c_nationkey AS buyer, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"""
+_FINDINGS = """
+f0 AS (SELECT event_id AS seq, event_type, user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, value, ts FROM events),
+f1 AS (
+  SELECT seq, event_type || '.' || (k % 10) AS rule_id, 'repo' || (user_id % 5) AS repo_id, 'd' || (user_id % 7) || '/f' || user_id || '.py' AS path, k AS start_line,
+    CASE event_type WHEN 'error' THEN 'critical' WHEN 'signup' THEN 'high' WHEN 'purchase' THEN 'medium' WHEN 'click' THEN 'low' WHEN 'view' THEN 'info' END AS severity,
+    CASE event_type WHEN 'error' THEN 'security' WHEN 'signup' THEN 'compliance' WHEN 'purchase' THEN 'quality' WHEN 'click' THEN 'drift' WHEN 'view' THEN 'supply_chain' END AS dimension,
+    CASE WHEN value >= 50 THEN 'high' WHEN value >= 10 THEN 'medium' ELSE 'low' END AS confidence,
+    event_type AS probe, 'Event ' || event_type || '  K ' || k AS title, ts FROM f0),
+f AS (
+  SELECT *, 'f:' || substr(sha256(rule_id || '␟' || repo_id || '␟' || path || '␟' || '' || '␟' || substr(lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))), 1, 200)), 1, 12) AS id,
+    CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END AS rank FROM f1)""".replace("\\\\", "\\")
+
+
+def _query(sql: str | None = None, *ctes: str, recursive: bool = False):
+    def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = (f"WITH {'RECURSIVE ' if recursive else ''}" + ",".join(ctes) + "\n" if ctes else "") + sql
+        return fn
+
+    return register
+
+
+# --- graph ---------------------------------------------------------------------------------------
+
+
+@_query("SELECT kind, count(*) AS n, count(DISTINCT file) AS files FROM nodes GROUP BY kind", _NODES)
+def graph_nodes(spark, d):
+    return src.nodes(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("file").alias("files"))
+
+
+@_query("SELECT type, CASE WHEN type = 'touches' THEN 'governance' WHEN type = 'contains' THEN 'assurance' ELSE 'code' END AS layer, count(*) AS n FROM edges GROUP BY ALL", _EDGES)
+def graph_edges(spark, d):
+    from corvid.functions.scalars import lookup
+
+    return src.edges(spark, d).groupBy("type", lookup(F.col("type"), g.EDGE_LAYER, "code").alias("layer")).agg(F.count("*").alias("n"))
+
+
+@_query(
+    """SELECT n.id, n.kind, n.name, n.file, coalesce(o.c, 0) AS out_degree, coalesce(i.c, 0) AS in_degree FROM nodes n
+LEFT JOIN (SELECT source AS id, count(*) AS c FROM edges GROUP BY 1) o USING (id) LEFT JOIN (SELECT target AS id, count(*) AS c FROM edges GROUP BY 1) i USING (id)
+WHERE kind = 'customer' ORDER BY coalesce(o.c, 0) + coalesce(i.c, 0) DESC, id LIMIT 20""",
+    _NODES,
+    _EDGES,
+)
+def graph_nodes_top(spark, d):
+    return g.list_nodes(src.nodes(spark, d), src.edges(spark, d), kind="customer")
+
+
+@_query("SELECT coalesce(CAST(o_orderpriority AS VARCHAR), 'None') AS value, count(*) AS n FROM orders GROUP BY 1")
+def graph_count_by(spark, d):
+    return g.count_by(src.table(spark, d, "orders"), "o_orderpriority")
+
+
+@_query("SELECT e.* FROM edges e JOIN nodes a ON e.source = a.id JOIN nodes b ON e.target = b.id WHERE a.kind IN ('region', 'nation') AND b.kind IN ('region', 'nation')", _NODES, _EDGES)
+def graph_induced(spark, d):
+    return g.induced_edges(src.nodes(spark, d).filter("kind IN ('region', 'nation')"), src.edges(spark, d)).select("source", "target", "type")
+
+
+@_query("SELECT id, kind, name, file, 2 AS tier FROM nodes WHERE contains(lower(name), 'nation_1')", _NODES)
+def graph_resolve(spark, d):
+    return g.resolve(src.nodes(spark, d), "Nation_1").select("id", "kind", "name", "file", "tier")
+
+
+def _tree(spark, d):
+    return src.edges(spark, d).filter("type IN ('contains', 'defines')")
+
+
+@_query("SELECT id, min(hops) AS hops FROM walk GROUP BY id", _EDGES, _TREE, " walk AS (SELECT 'nation:3' AS id, 0 AS hops UNION SELECT l.b, w.hops + 1 FROM walk w JOIN links l ON w.id = l.a WHERE w.hops < 2)", recursive=True)
+def graph_ego(spark, d):
+    return g.ego(_tree(spark, d), spark.createDataFrame([("nation:3",)], "id string"), 2)
+
+
+@_query(
+    "SELECT origin, id, min(hops) AS hops FROM walk GROUP BY origin, id",
+    _EDGES,
+    _TREE,
+    " walk AS (SELECT 'region:' || r_regionkey AS origin, 'region:' || r_regionkey AS id, 0 AS hops FROM region UNION SELECT origin, l.b, w.hops + 1 FROM walk w JOIN links l ON w.id = l.a WHERE w.hops < 2)",
+    recursive=True,
+)
+def graph_reach(spark, d):
+    return g.reach(_tree(spark, d), src.nodes(spark, d).filter("kind = 'region'").select("id"), 2)
+
+
+@_query(
+    "SELECT hops, split_part(id, ':', 1) AS kind, count(*) AS n FROM (SELECT id, min(hops) AS hops FROM walk GROUP BY id) GROUP BY ALL",
+    _EDGES,
+    " links AS (SELECT source AS a, target AS b FROM edges WHERE type <> 'contains' UNION ALL SELECT target, source FROM edges WHERE type <> 'contains'), walk AS (SELECT 'customer:7' AS id, 0 AS hops UNION SELECT l.b, w.hops + 1 FROM walk w JOIN links l ON w.id = l.a WHERE w.hops < 2)",
+    recursive=True,
+)
+def graph_impact_hops(spark, d):
+    hit = g.ego(src.edges(spark, d).filter("type <> 'contains'"), spark.createDataFrame([("customer:7",)], "id string"), 2)
+    return hit.groupBy("hops", F.substring_index("id", ":", 1).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def _trade_edges(spark, d):
+    # The heavier half of the trade links.
+    t = src.trade(spark, d)
+    mean = t.agg(F.avg("n").alias("mean"))
+    return t.crossJoin(F.broadcast(mean)).filter("n > 1.15 * mean").select(F.col("seller").alias("source"), F.col("buyer").alias("target"))  # one row
+
+
+_HEAVY = " heavy AS (SELECT seller AS source, buyer AS target FROM trade WHERE n > 1.15 * (SELECT avg(n) FROM trade))"
+_CLOSED = " closed AS (SELECT source, target FROM heavy UNION SELECT c.source, h.target FROM closed c JOIN heavy h ON c.target = h.source)"
+
+
+@_query("SELECT source, target FROM closed", _TRADE, _HEAVY, _CLOSED, recursive=True)
+def graph_closure(spark, d):
+    return g.closure(_trade_edges(spark, d))
+
+
+@_query(
+    "SELECT component, count(*) AS size, string_agg(CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR)) AS members FROM (SELECT a.source AS id, least(min(a.target), a.source) AS component FROM closed a JOIN closed b ON a.source = b.target AND a.target = b.source WHERE a.source <> a.target GROUP BY a.source) GROUP BY component",
+    _TRADE,
+    _HEAVY,
+    _CLOSED,
+    recursive=True,
+)
+def graph_scc(spark, d):
+    return g.strong_components(_trade_edges(spark, d))
+
+
+@_query()
+def graph_trace(spark, d):
+    return g.trace(src.nodes(spark, d), _tree(spark, d), "order:11", "supplier:3")
+
+
+@_query(
+    "SELECT id, min(hops) AS hops FROM walk GROUP BY id",
+    _EDGES,
+    _TREE,
+    " walk AS (SELECT 'nation:5' AS id, 0 AS hops UNION SELECT t.target, w.hops + 1 FROM walk w JOIN tree t ON w.id = t.source WHERE w.hops < 6)",
+    recursive=True,
+)
+def graph_lineage(spark, d):
+    return g.lineage(src.nodes(spark, d), _tree(spark, d), "nation:5", limit=None).select("id", "hops")
+
+
+@_query("SELECT 'order:' || o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def graph_why_gap(spark, d):
+    e = src.edges(spark, d).filter("type = 'uses'")
+    return src.nodes(spark, d).filter("kind = 'order'").join(e.select(F.col("source").alias("id")), "id", "left_anti").select("id")
+
+
+@_query(
+    """SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, 'order' AS kind, 'Order#' || o_orderkey AS name FROM orders WHERE o_custkey = 8
+UNION ALL SELECT strftime(ts, '%Y-%m-%d'), 'event', 'Event#' || event_id FROM events WHERE user_id = 8"""
+)
+def graph_timeline(spark, d):
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias("date")
+    orders = src.table(spark, d, "orders").filter("o_custkey = 8").select(day("o_orderdate"), F.lit("order").alias("kind"), F.concat(F.lit("Order#"), F.col("o_orderkey").cast("string")).alias("name"))
+    events = src.table(spark, d, "events").filter("user_id = 8").select(day("ts"), F.lit("event").alias("kind"), F.concat(F.lit("Event#"), F.col("event_id").cast("string")).alias("name"))
+    return g.timeline(orders.unionByName(events), ["order", "event"])
+
+
+@_query("SELECT seller, buyer, n FROM trade WHERE seller <> buyer ORDER BY n DESC, seller, buyer LIMIT 15", _TRADE)
+def component_edges(spark, d):
+    t = src.trade(spark, d).filter("seller <> buyer")
+    return t.orderBy(F.desc("n"), "seller", "buyer").limit(15)
+
+
+# --- findings ------------------------------------------------------------------------------------
+
+
+@_query("SELECT id, min(seq) AS seq, count(*) AS copies, arg_min(severity, rank::BIGINT * 1000000000 + seq) AS severity, arg_min(start_line, rank::BIGINT * 1000000000 + seq) AS start_line FROM f GROUP BY id", _FINDINGS)
+def dedupe(spark, d):
+    return fi.dedupe_ids(src.findings(spark, d)).select("id", "seq", "copies", "severity", "start_line")
+
+
+@_query(
+    """SELECT repo_id, path, start_line, site, min(seq) AS seq, arg_min(probe, seq) AS probe,
+  coalesce((SELECT string_agg('also:' || p, ',' ORDER BY p) FROM unnest(list_distinct(list(probe))) u(p) WHERE p <> arg_min(probe, seq)), '') AS tags,
+  ['critical', 'high', 'medium', 'low', 'info'][min(rank) + 1] AS severity
+FROM (SELECT *, substr(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), 1, 48) AS site FROM f) GROUP BY ALL""".replace(
+        "coalesce((SELECT string_agg('also:' || p, ',' ORDER BY p) FROM unnest(list_distinct(list(probe))) u(p) WHERE p <> arg_min(probe, seq)), '')",
+        "array_to_string(list_transform(list_filter(list_sort(list_distinct(list(probe))), lambda p: p <> arg_min(probe, seq)), lambda p: 'also:' || p), ',')",
+    ),
+    _FINDINGS,
+)
+def dedupe_sites(spark, d):
+    return fi.merge_sites(src.findings(spark, d))
+
+
+@_query("SELECT path_dir AS directory, count(*) AS n, count(DISTINCT path) AS files, count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high, count_if(severity = 'medium') AS medium, count_if(severity = 'low') AS low, count_if(severity = 'info') AS info FROM (SELECT *, split_part(path, '/', 1) AS path_dir FROM f) WHERE rank <= 2 GROUP BY 1", _FINDINGS)
+def findings_rollup(spark, d):
+    return fi.rollup(src.findings(spark, d), least="medium")
+
+
+@_query("SELECT repo_id, count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high, count_if(severity = 'medium') AS medium, count_if(severity = 'low') AS low, count_if(severity = 'info') AS info FROM f GROUP BY 1", _FINDINGS)
+def severity_counts(spark, d):
+    return fi.severity_counts(src.findings(spark, d), ["repo_id"])
+
+
+@_query(
+    "SELECT r.rule_id, coalesce(count(f.id), 0) AS n, count(DISTINCT f.path) AS files FROM (SELECT DISTINCT e || '.' || i AS rule_id FROM (VALUES ('error'), ('click'), ('audit')) v(e), range(10) t(i)) r LEFT JOIN f USING (rule_id) GROUP BY 1",
+    _FINDINGS,
+)
+def rule_report(spark, d):
+    rules = spark.createDataFrame([(f"{e}.{i}",) for e in ("error", "click", "audit") for i in range(10)], "rule_id string")
+    return fi.rule_report(src.findings(spark, d), rules)
+
+
+_BEFORE = " b AS (SELECT id, arg_max(severity, seq) AS severity, arg_max(start_line, seq) AS start_line FROM f WHERE ts < TIMESTAMP '2024-01-20' GROUP BY id), a AS (SELECT id, arg_max(severity, seq) AS severity, arg_max(start_line, seq) AS start_line FROM f WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY id)"
+
+
+def _halves(spark, d):
+    f = src.findings(spark, d)
+    return f.filter("ts < TIMESTAMP '2024-01-20'"), f.filter("ts >= TIMESTAMP '2024-01-10'")
+
+
+@_query(
+    """SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'new' WHEN a.id IS NULL THEN 'fixed' ELSE 'persisting' END AS state,
+  coalesce(a.id IS NOT NULL AND b.id IS NOT NULL AND a.start_line <> b.start_line, false) AS moved, coalesce(a.id IS NOT NULL AND b.id IS NOT NULL AND a.severity <> b.severity, false) AS severity_changed, coalesce(a.severity, b.severity) AS severity
+FROM a FULL JOIN b ON a.id = b.id""",
+    _FINDINGS,
+    _BEFORE,
+)
+def baseline_diff(spark, d):
+    return fi.diff_reports(*_halves(spark, d))
+
+
+@_query("SELECT status, severity, count(*) AS n FROM (SELECT severity, CASE WHEN id IN (SELECT id FROM b) THEN 'existing' ELSE 'new' END AS status FROM f WHERE ts >= TIMESTAMP '2024-01-10') GROUP BY ALL", _FINDINGS, _BEFORE)
+def baseline_status(spark, d):
+    before, after = _halves(spark, d)
+    return fi.baseline_status(after, before).groupBy("status", "severity").agg(F.count("*").alias("n"))
+
+
+# An ordered rule list; the second has expired.
+SUPPRESSIONS = [{"rule": "click.*", "path": "d1/*"}, {"rule": "error.*", "expires": "2024-01-01"}, {"path": "d3/*"}, {"rule": "view.?"}]
+_SUPPRESSED = " s AS (SELECT *, CASE WHEN rule_id LIKE 'click.%' AND path LIKE 'd1/%' THEN 0 WHEN path LIKE 'd3/%' THEN 2 WHEN regexp_matches(rule_id, '^view\\..$') THEN 3 END AS suppressed_by FROM f)"
+
+
+@_query("SELECT suppressed_by, count(*) AS n FROM s GROUP BY 1", _FINDINGS, _SUPPRESSED)
+def suppression(spark, d):
+    return fi.suppress(src.findings(spark, d), SUPPRESSIONS, "2024-02-01").groupBy("suppressed_by").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT CASE WHEN rule_id = 'error.1' THEN 'low' WHEN rule_id LIKE 'error.%' THEN 'high' WHEN rule_id LIKE '%.9' THEN 'info' ELSE severity END AS severity, count(*) AS n FROM f GROUP BY 1", _FINDINGS)
+def severity_override(spark, d):
+    return fi.override_severity(src.findings(spark, d), [("error.1", "low"), ("error.*", "high"), ("*.9", "info")]).groupBy("severity").agg(F.count("*").alias("n"))
+
+
+_PROBE_ROWS = [("error", "ran", True, 10, ["security"], "", 5), ("signup", "ran", True, 4, ["compliance", "security"], "", 1), ("purchase", "skipped", True, 6, ["quality"], "tool missing", 0), ("click", "error", True, 3, ["drift"], "crashed", 2), ("view", "skipped", False, 2, ["supply_chain"], "", 0), ("style", "ran", True, 5, ["quality"], "", 0)]
+_PROBES = """
+probes(name, status, applicable, checks, dimensions, reason, finding_count) AS (VALUES
+  ('error', 'ran', true, 10, ['security'], '', 5), ('signup', 'ran', true, 4, ['compliance', 'security'], '', 1), ('purchase', 'skipped', true, 6, ['quality'], 'tool missing', 0),
+  ('click', 'error', true, 3, ['drift'], 'crashed', 2), ('view', 'skipped', false, 2, ['supply_chain'], '', 0), ('style', 'ran', true, 5, ['quality'], '', 0))"""
+_CARD = """
+checked AS (SELECT dimension, sum(greatest(1, checks)) AS applicable, sum(CASE WHEN status = 'ran' THEN greatest(1, checks) ELSE 0 END) AS run FROM (SELECT unnest(dimensions) AS dimension, checks, status FROM probes WHERE applicable) GROUP BY 1),
+pen AS (SELECT dimension, count(*) AS findings, sum((CASE severity WHEN 'critical' THEN 40.0 WHEN 'high' THEN 16.0 WHEN 'medium' THEN 5.0 WHEN 'low' THEN 1.5 ELSE 0.0 END)::DOUBLE * (CASE confidence WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.6 ELSE 0.3 END)::DOUBLE) AS penalty FROM f GROUP BY 1),
+card AS (SELECT dimension, CAST(applicable AS BIGINT) AS applicable, CAST(run AS BIGINT) AS run, coalesce(findings, 0) AS findings, round(greatest(0.0, 100.0 - least(100.0, coalesce(penalty, 0.0) / sqrt(5e9 / 2000))), 1) AS score, round(least(1.0, run / applicable), 3) AS coverage FROM checked LEFT JOIN pen USING (dimension))"""
+
+
+def _probes(spark):
+    return spark.createDataFrame(_PROBE_ROWS, "name string, status string, applicable boolean, checks int, dimensions array<string>, reason string, finding_count int")
+
+
+def _card(spark, d):
+    return fi.scorecard(src.findings(spark, d), _probes(spark), 5_000_000_000)
+
+
+@_query("SELECT * FROM card", _FINDINGS, _PROBES, _CARD)
+def scorecard(spark, d):
+    return _card(spark, d)
+
+
+@_query(
+    "SELECT round(sum(run) / sum(applicable), 3) AS coverage, CASE WHEN sum(run) / sum(applicable) >= 0.6 THEN round(sum(score * w) / sum(w), 1) END AS overall, sum(run) / sum(applicable) < 0.6 AS withheld FROM (SELECT *, (CASE dimension WHEN 'security' THEN 0.3 WHEN 'compliance' THEN 0.2 WHEN 'quality' THEN 0.2 ELSE 0.1 END)::DOUBLE AS w FROM card)",
+    _FINDINGS,
+    _PROBES,
+    _CARD,
+)
+def score_overall(spark, d):
+    return fi.overall(_card(spark, d))
+
+
+@_query(
+    "SELECT count_if(rank <= 1) AS severe, count_if(status = 'new') AS new, count(*) AS considered, count_if(rank <= 1) = 0 AND count_if(status = 'new') <= 0 AS passed FROM (SELECT *, CASE WHEN id IN (SELECT id FROM b) THEN 'existing' ELSE 'new' END AS status FROM s WHERE ts >= TIMESTAMP '2024-01-10' AND suppressed_by IS NULL)",
+    _FINDINGS,
+    _BEFORE,
+    _SUPPRESSED,
+)
+def gate(spark, d):
+    before, after = _halves(spark, d)
+    return fi.gate(fi.suppress(fi.baseline_status(after, before), SUPPRESSIONS, "2024-02-01"))
+
+
+@_query(
+    """SELECT control_id, CASE WHEN automatable = 'none' THEN 'not_automatable' WHEN len(rules) = 0 THEN 'no_coverage'
+  WHEN len(list_filter(rules, lambda r: r IN (SELECT rule_id FROM f))) > 0 THEN 'violated' END AS state FROM c""".replace("len(list_filter(rules, lambda r: r IN (SELECT rule_id FROM f))) > 0", "list_has_any(rules, (SELECT list(DISTINCT rule_id) FROM f))").replace(
+        "END AS state", "WHEN rules = ['audit.9'] THEN 'no_coverage' WHEN list_has_any(rules, ['audit.2', 'audit.7']) THEN 'not_assessed' ELSE 'satisfied' END AS state"
+    ),
+    _FINDINGS,
+    " c(control_id, automatable, rules) AS (VALUES ('C1', 'full', ['error.1', 'audit.1']), ('C2', 'full', ['audit.1']), ('C3', 'none', ['audit.1']), ('C4', 'full', CAST([] AS VARCHAR[])), ('C5', 'partial', ['audit.2']), ('C6', 'full', ['audit.9']), ('C7', 'full', ['audit.7', 'audit.1']))",
+)
+def controls(spark, d):
+    c = spark.createDataFrame([("C1", "full", ["error.1", "audit.1"]), ("C2", "full", ["audit.1"]), ("C3", "none", ["audit.1"]), ("C4", "full", []), ("C5", "partial", ["audit.2"]), ("C6", "full", ["audit.9"]), ("C7", "full", ["audit.7", "audit.1"])], "control_id string, automatable string, satisfied_by array<string>")
+    ran = spark.createDataFrame([("audit.1", True, False), ("audit.2", True, True), ("audit.9", False, False), ("error.1", True, False)], "rule_id string, applicable boolean, unknown boolean")
+    return fi.control_states(c, src.findings(spark, d), ran)
+
+
+@_query(
+    "SELECT 'CI-4' AS invariant, name AS subject FROM probes WHERE status <> 'ran' AND reason = '' UNION ALL SELECT 'CI-5', dimension FROM card WHERE coverage = 1.0 AND run < applicable UNION ALL SELECT 'CI-7', name FROM probes WHERE status = 'error' AND finding_count > 0 UNION ALL SELECT 'CI-9', dimension FROM card WHERE coverage < 0 OR coverage > 1",
+    _FINDINGS,
+    _PROBES,
+    _CARD,
+)
+def claims(spark, d):
+    return fi.claim_violations(_probes(spark), _card(spark, d))
+
+
+@_query(
+    "SELECT path, probe, least(na, nb) AS matched, na - least(na, nb) AS only_a, nb - least(na, nb) AS only_b FROM (SELECT path, probe, count_if(seq % 2 = 0) AS na, count_if(seq % 3 = 0) AS nb FROM f GROUP BY ALL) WHERE na + nb > 0",
+    _FINDINGS,
+)
+def ab_compare_pass1(spark, d):
+    f = src.findings(spark, d)
+    return fi.match_exact(f.filter("seq % 2 = 0"), f.filter("seq % 3 = 0"), ["path", "probe"])
+
+
+@_query(
+    """SELECT repo_id, path, family, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN CASE WHEN abs(a - b) >= 2 THEN 'severity_disagreement' ELSE 'corroborated' END
+  WHEN a IS NOT NULL OR family IN (SELECT family FROM o) THEN 'contested' ELSE 'coverage_gap' END AS bucket
+FROM (SELECT repo_id, path, family, (SELECT NULL)::INT AS z, min(CASE WHEN ours THEN rank END) AS a, min(CASE WHEN NOT ours THEN rank END) AS b FROM (SELECT *, substr(rule_id, strpos(rule_id, '.') + 1) AS family, probe IN ('error', 'view') AND rule_id NOT LIKE '%.9' AS ours FROM f) GROUP BY ALL) x""",
+    _FINDINGS,
+    " o AS (SELECT DISTINCT substr(rule_id, strpos(rule_id, '.') + 1) AS family FROM f WHERE probe IN ('error', 'view') AND rule_id NOT LIKE '%.9')",
+)
+def tool_disagreement(spark, d):
+    f = src.findings(spark, d).withColumn("family", F.substring_index("rule_id", ".", -1))
+    ours = F.col("probe").isin("error", "view") & ~F.col("rule_id").endswith(".9")
+    return fi.disagreements(f.filter(ours), f.filter(~ours))
+
+
+@_query(
+    """SELECT seq, id, rule_id, idx FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY pos, repo_id, seq) AS idx FROM (
+  SELECT *, row_number() OVER (PARTITION BY rule_id, repo_id ORDER BY n, path, seq) AS pos FROM (
+    SELECT *, row_number() OVER (PARTITION BY rule_id, repo_id, path ORDER BY start_line, seq) AS n FROM f WHERE id NOT IN (SELECT id FROM b)))) ORDER BY idx, rule_id LIMIT 60""",
+    _FINDINGS,
+    _BEFORE,
+)
+def review_queue(spark, d):
+    before, _ = _halves(spark, d)
+    return fi.review_queue(src.findings(spark, d), before, 60).select("seq", "id", "rule_id", "idx")
+
+
+# --- statistics ----------------------------------------------------------------------------------
+
+_VERDICTS = " v AS (SELECT source, lang, quality = 1 AS truth FROM labels JOIN documents USING (doc_id))"
+
+
+def _verdicts(spark, d):
+    return src.table(spark, d, "labels").join(src.table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars"), "doc_id").withColumn("truth", F.col("quality") == 1)
+
+
+@_query(
+    "SELECT source, tp, fp, tp + fp AS n, round(tp / (tp + fp), 6) AS precision, round(greatest(0.0, (p + 1.96 * 1.96 / (2 * m) - 1.96 * sqrt(p * (1 - p) / m + 1.96 * 1.96 / (4 * m * m))) / (1 + 1.96 * 1.96 / m)), 6) AS bound, tp + fp >= 20 AS proven FROM (SELECT source, count_if(truth) AS tp, count_if(NOT truth) AS fp, count_if(truth) / count(*) AS p, count(*)::DOUBLE AS m FROM v GROUP BY 1)",
+    _VERDICTS,
+)
+def rule_stats(spark, d):
+    return st.rule_stats(_verdicts(spark, d), "source")
+
+
+@_query(
+    """SELECT source, hits_good, hits_bad, round(CASE WHEN b IS NULL OR b = 0 THEN NULL WHEN g IS NULL OR g = 0 THEN 'inf'::DOUBLE ELSE b / g END, 6) AS ratio, hits_good + hits_bad < 5 AS thin,
+  coalesce(hits_good + hits_bad >= 5 AND b > 0 AND g > 0 AND b / g < 1.5, false) AS unsupported FROM (
+  SELECT source, hits_good, hits_bad, hits_good * 1000 / sg AS g, hits_bad * 1000 / sb AS b FROM
+    (SELECT source, count_if(toxic = 0) AS hits_good, count_if(toxic = 1) AS hits_bad FROM t GROUP BY 1) JOIN
+    (SELECT source, sum(CASE WHEN toxic = 0 THEN size END) AS sg, sum(CASE WHEN toxic = 1 THEN size END) AS sb FROM (SELECT DISTINCT source, lang FROM t) JOIN (SELECT lang, toxic, sum(n_chars) AS size FROM t GROUP BY ALL) USING (lang) GROUP BY 1) USING (source))""",
+    " t AS (SELECT source, lang, toxic, n_chars FROM labels JOIN documents USING (doc_id))",
+)
+def discrimination(spark, d):
+    v = _verdicts(spark, d)
+    sizes = v.select("lang", "toxic", F.col("n_chars").alias("size"))
+    return st.discrimination(v, sizes, "source", "lang", "toxic", "0", "1")
+
+
+@_query(
+    "SELECT lang, source, count(*) AS docs, sum(n_chars) AS chars FROM documents GROUP BY GROUPING SETS ((lang), (source), (lang, source))",
+)
+def corpus_summary(spark, d):
+    src.table(spark, d, "documents").createOrReplaceTempView("corvid_documents")
+    return spark.sql("SELECT lang, source, count(*) AS docs, sum(n_chars) AS chars FROM corvid_documents GROUP BY GROUPING SETS ((lang), (source), (lang, source))")
+
+
+@_query(
+    "SELECT o_orderpriority, count(*) AS n, l[least(count(*) - 1, floor(0.9 * count(*)))::INT + 1] AS p90, l[least(count(*) - 1, floor(0.95 * count(*)))::INT + 1] AS p95, l[least(count(*) - 1, floor(0.99 * count(*)))::INT + 1] AS p99, (l[((count(*) - 1) // 2)::INT + 1] + l[(count(*) // 2)::INT + 1]) / 2 AS median FROM (SELECT o_orderpriority, o_totalprice, list_sort(list(o_totalprice) OVER (PARTITION BY o_orderpriority)) AS l FROM orders) GROUP BY o_orderpriority, l"
+)
+def percentile_profile(spark, d):
+    return st.percentiles(src.table(spark, d, "orders"), "o_totalprice", ["o_orderpriority"])
+
+
+@_query("SELECT strftime(ts, '%Y-%m-%d') AS day, count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high, count_if(severity = 'medium') AS medium, count_if(severity = 'low') AS low, count_if(severity = 'info') AS info FROM f GROUP BY 1", _FINDINGS)
+def history_trend(spark, d):
+    return st.history(src.findings(spark, d), F.date_format("ts", "yyyy-MM-dd"))
+
+
+@_query("SELECT user_id, count(*) AS n FROM events WHERE CAST(ts AS DATE) >= (SELECT max(CAST(ts AS DATE)) FROM events) - 7 GROUP BY 1")
+def recent_churn(spark, d):
+    return st.recent(src.table(spark, d, "events").withColumn("day", F.to_date("ts")), "day", 7).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+_MODULES = """
+m AS (SELECT n_nationkey AS component, count(DISTINCT c_custkey) AS modules, count(o_orderkey) AS orders, count(DISTINCT c_mktsegment) AS segments FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)"""
+
+
+def _modules(spark, d):
+    t = lambda n: src.table(spark, d, n)
+    per = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("k"))
+    c = t("customer").join(per, "c_custkey", "left").groupBy(F.col("c_nationkey").alias("component")).agg(F.countDistinct("c_custkey").alias("modules"), F.sum(F.coalesce("k", F.lit(0))).alias("orders"), F.countDistinct("c_mktsegment").alias("segments"))
+    return t("nation").select(F.col("n_nationkey").alias("component")).join(c, "component", "left").fillna(0)
+
+
+@_query("SELECT * FROM m", _MODULES)
+def component_rollup(spark, d):
+    return _modules(spark, d).select("component", "modules", "orders", "segments")
+
+
+@_query("SELECT component, round_even(100 * (0.30 * least(1.0, log2(1.0 + modules % 9) / log2(9.0)) + 0.25 * (segments / 5) + 0.25 * (orders % 3) / 2 + 0.20 * 0.5), 1) AS score FROM m", _MODULES)
+def reuse_score(spark, d):
+    m = _modules(spark, d)
+    return m.select("component", st.reuse_score(F.col("modules") % 9, F.col("segments") / 5, (F.col("orders") % 3) / 2, F.lit(0.5)).alias("score"))
+
+
+_MAINT = """
+q AS (SELECT component, orders % 1000 AS largest, orders AS lines, (modules % 3) / 2 AS tested_share, orders % 15 AS recent, modules % 12 AS files, modules % 3 AS failures, orders % 20 AS fan_out, modules % 2 = 1 AS in_cycle, orders % 2 AS duplicates FROM m),
+p AS (SELECT component,
+  CASE WHEN largest > 800 THEN 25 WHEN largest > 400 THEN 12 ELSE 0 END + CASE WHEN lines > 4000 THEN 8 ELSE 0 END AS size, CASE WHEN tested_share = 0 THEN 20 WHEN tested_share < 0.5 THEN 10 ELSE 0 END AS tests,
+  CASE WHEN recent >= 12 AND recent / greatest(files, 1) >= 1.0 THEN 12 WHEN recent >= 6 AND recent / greatest(files, 1) >= 0.5 THEN 6 ELSE 0 END AS churn, least(20, 10 * failures) AS failures,
+  CASE WHEN fan_out > 16 THEN 12 WHEN fan_out > 8 THEN 6 ELSE 0 END AS fan_out, CASE WHEN in_cycle THEN 10 ELSE 0 END AS cyc, CASE WHEN duplicates > 0 THEN 8 ELSE 0 END AS duplication FROM q),
+r AS (SELECT *, greatest(0, 100 - (size + tests + churn + failures + fan_out + cyc + duplication)) AS score FROM p)"""
+
+
+@_query(
+    "SELECT component, CAST(score AS INTEGER) AS score, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 55 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'E' END AS grade, concat_ws(',', CASE WHEN size > 0 THEN 'size' END, CASE WHEN tests > 0 THEN 'tests' END, CASE WHEN churn > 0 THEN 'churn' END, CASE WHEN failures > 0 THEN 'failures' END, CASE WHEN fan_out > 0 THEN 'fan_out' END, CASE WHEN cyc > 0 THEN 'cycle' END, CASE WHEN duplication > 0 THEN 'duplication' END) AS reasons FROM r",
+    _MODULES,
+    _MAINT,
+)
+def maintainability(spark, d):
+    o, m = F.col("orders"), F.col("modules")
+    q = _modules(spark, d).select("component", (o % 1000).alias("largest"), o.alias("lines"), ((m % 3) / 2).alias("tested_share"), (o % 15).alias("recent"), (m % 12).alias("files"), (m % 3).alias("failures"), (o % 20).alias("fan_out"), (m % 2 == 1).alias("in_cycle"), (o % 2).alias("duplicates"))
+    return st.maintainability(q).select("component", "score", "grade", "reasons")
+
+
+# --- texts and joins -----------------------------------------------------------------------------
+
+
+@_query(
+    """SELECT doc_id, 'quoted_double' AS pattern, substr(v, 1, 4) || repeat('*', length(v) - 8) || right(v, 4) AS masked, round(bits, 6) AS bits, CASE WHEN bits >= 4.2 AND classes >= 3 THEN 'high' ELSE 'medium' END AS severity FROM (
+  SELECT doc_id, v, (SELECT -sum(c / length(v) * log2(c / length(v))) FROM (SELECT count(*) AS c FROM (SELECT unnest(string_split(v, '')) AS ch) GROUP BY ch)) AS bits,
+    regexp_matches(v, '[a-z]')::INT + regexp_matches(v, '[A-Z]')::INT + regexp_matches(v, '[0-9]')::INT + regexp_matches(v, '[^A-Za-z0-9]')::INT AS classes
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:token|secret|password|api_key)\\s*[=:]\\s*"([^"\\s]{8,})"', 1)) AS v FROM documents)) WHERE bits >= 2.6 AND classes >= 2""".replace("\\\\", "\\")
+)
+def secrets(spark, d):
+    return tx.secrets(src.table(spark, d, "documents"))
+
+
+@_query(
+    "SELECT doc_id, len(l) AS lines, len(list_filter(l, lambda x: trim(x) <> '')) AS code_lines, list_max(list_transform(l, lambda x: length(x))) AS longest, len(regexp_extract_all(text, '\\b(TODO|FIXME|XXX)\\b', 1)) AS todos FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))"
+)
+def line_metrics(spark, d):
+    return tx.line_metrics(src.table(spark, d, "documents"))
+
+
+CONTENT_RULES = [("no_markers", "[#$%&*]{3}", False), ("no_shouting", "!!", False), ("has_period", r"\.", True)]
+
+
+@_query(
+    "SELECT doc_id, rule FROM (SELECT doc_id, 'no_markers' AS rule FROM documents WHERE regexp_matches(text, '[#$%&*]{3}') UNION ALL SELECT doc_id, 'no_shouting' FROM documents WHERE contains(text, '!!') UNION ALL SELECT doc_id, 'has_period' FROM documents WHERE NOT contains(text, '.'))"
+)
+def house_content(spark, d):
+    return tx.content_rules(src.table(spark, d, "documents"), CONTENT_RULES)
+
+
+@_query("SELECT doc_id, [x for x in list_distinct(a)] AS emails FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]+[A-Za-z0-9]') AS a FROM documents) WHERE len(a) > 0".replace("[x for x in list_distinct(a)] AS emails", "array_to_string(list_sort(list_distinct(a)), ',') AS emails"))
+def mail_addresses(spark, d):
+    found = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+[A-Za-z0-9]"), 0)
+    return src.table(spark, d, "documents").select("doc_id", found.alias("a")).filter("size(a) > 0").select("doc_id", F.array_join(F.array_sort(F.array_distinct("a")), ",").alias("emails"))
+
+
+@_query(
+    "SELECT p_name AS word, round((SELECT -sum(c / length(p_name) * log2(c / length(p_name))) FROM (SELECT count(*) AS c FROM (SELECT unnest(string_split(p_name, '')) AS ch) GROUP BY ch)), 6) AS bits FROM (SELECT DISTINCT p_name FROM part)"
+)
+def name_entropy(spark, d):
+    return src.table(spark, d, "part").select("p_name").distinct().select(F.col("p_name").alias("word"), F.round(entropy(F.col("p_name")), 6).alias("bits"))
+
+
+@_query("SELECT sha256(coalesce(text, '')) AS digest, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicates(spark, d):
+    return tx.exact_groups(src.table(spark, d, "documents"), "doc_id")
+
+
+_GRAMS = """
+w AS (SELECT doc_id, lang, n_chars, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, lang, n_chars, list_distinct(list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' '))) AS s FROM w),
+k AS (SELECT lang, n_chars FROM documents GROUP BY ALL HAVING count(*) BETWEEN 2 AND 8)"""
+
+
+@_query(
+    "SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS jaccard FROM k JOIN s a USING (lang, n_chars) JOIN s b USING (lang, n_chars) WHERE a.doc_id < b.doc_id AND len(a.s) > 0 AND len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.5",
+    _GRAMS,
+)
+def block_duplicates(spark, d):
+    docs = src.table(spark, d, "documents").select("doc_id", "lang", "n_chars", "text")
+    return tx.duplicates_in_blocks(docs, "doc_id", ["lang", "n_chars"]).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@_query(
+    "SELECT page_id, count(*) AS links, count_if(h NOT IN (SELECT regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) FROM pages)) AS broken FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS h FROM pages) GROUP BY 1"
+)
+def doc_links(spark, d):
+    return tx.broken_links(src.table(spark, d, "pages"))
+
+
+@_query("SELECT a.conv_id, a.turn, b.role AS previous_role FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1")
+def turn_follows(spark, d):
+    c = src.table(spark, d, "conversations").select("conv_id", "turn", "role")
+    return g.previous_row(c, ["conv_id"], "turn", "role").select("conv_id", "turn", "previous_role")
+
+
+@_query(
+    "SELECT p.file, p.line, arg_min(s.name, (s.stop - s.start) * 1000000 + s.start * 100 + s.n) AS name FROM (SELECT o_orderpriority AS file, CAST(o_orderkey % 500 AS BIGINT) AS line FROM orders GROUP BY ALL) p LEFT JOIN s ON p.file = s.file AND p.line BETWEEN s.start AND s.stop GROUP BY p.file, p.line",
+    " s AS (SELECT DISTINCT o_orderpriority AS file, CAST(n AS BIGINT) AS n, CAST(n * 7 AS BIGINT) AS start, CAST(n * 7 + n * n % 61 AS BIGINT) AS stop, 'span' || lpad(CAST(n AS VARCHAR), 2, '0') AS name FROM orders, range(60) t(n))",
+)
+def interval_span(spark, d):
+    o = src.table(spark, d, "orders")
+    points = o.select(F.col("o_orderpriority").alias("file"), (F.col("o_orderkey") % 500).alias("line")).distinct()
+    files = o.select(F.col("o_orderpriority").alias("file")).distinct()
+    n = F.col("n")
+    spans = files.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(59)))).select("file", (n * 7).alias("start"), (n * 7 + n * n % 61).alias("end"), F.concat(F.lit("span"), F.lpad(n.cast("string"), 2, "0")).alias("name"))
+    return g.innermost(points, spans).select("file", "line", "name")
+
+
+@_query(
+    "SELECT DISTINCT p.path, s.scope FROM (SELECT DISTINCT ltrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') AS path FROM pages) p JOIN (VALUES ('en'), ('fr'), ('de/1')) s(scope) ON p.path = s.scope OR starts_with(p.path, s.scope || '/')"
+)
+def prefix_scope(spark, d):
+    path = F.ltrim(F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1), F.lit("/"))
+    return g.prefix_scopes(src.table(spark, d, "pages").select(path.alias("path")).distinct(), spark.createDataFrame([("en",), ("fr",), ("de/1",)], "scope string"))
+
+
+@_query("SELECT path AS token, min(url) AS path FROM (SELECT DISTINCT regexp_extract(url, '([^/]+)$', 1) AS path, url FROM pages) WHERE path <> '' GROUP BY path HAVING count(*) = 1")
+def unique_suffix(spark, d):
+    urls = src.table(spark, d, "pages").select(F.col("url").alias("path")).distinct()
+    tokens = urls.select(F.regexp_extract("path", "([^/]+)$", 1).alias("token")).filter("token <> ''")
+    return g.unique_suffix(tokens, urls)
+
+
+@_query("SELECT p_brand AS name, count(DISTINCT p_size) AS \"values\", count(DISTINCT l_suppkey) AS suppliers FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 HAVING count(DISTINCT p_size) > 1")
+def constant_disagreement(spark, d):
+    items = src.table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct().join(src.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size"), "l_partkey")
+    return items.groupBy(F.col("p_brand").alias("name")).agg(F.countDistinct("p_size").alias("values"), F.countDistinct("l_suppkey").alias("suppliers")).filter("values > 1")
+
+
+@_query("SELECT rule_id, CASE WHEN bool_or(seq % 50 = 1) THEN 'a' ELSE 'b' END AS side FROM f WHERE seq % 50 IN (1, 2) GROUP BY 1 HAVING count(DISTINCT seq % 50) = 1", _FINDINGS)
+def symmetric_difference(spark, d):
+    f = src.findings(spark, d)
+    a, b = (f.filter(f"seq % 50 = {k}").select("rule_id").distinct() for k in (1, 2))
+    return a.join(b, "rule_id", "left_anti").withColumn("side", F.lit("a")).unionByName(b.join(a, "rule_id", "left_anti").withColumn("side", F.lit("b")))
+
+
+@_query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_brand WHEN p_partkey % 3 = 0 THEN p_type ELSE p_name END AS target, CASE WHEN p_partkey % 4 = 0 THEN 0 WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END AS rank FROM part")
+def cascade_resolution(spark, d):
+    p = src.table(spark, d, "part")
+    return g.cascade([p.filter("p_partkey % 4 = 0").select("p_partkey", F.col("p_brand").alias("target")), p.filter("p_partkey % 3 = 0").select("p_partkey", F.col("p_type").alias("target")), p.select("p_partkey", F.col("p_name").alias("target"))], "p_partkey")
+
+
+@_query("SELECT c_mktsegment, arg_min(c_name, c_custkey) AS c_name, min(c_custkey) AS c_custkey FROM customer GROUP BY 1")
+def first_definition(spark, d):
+    c = src.table(spark, d, "customer").select("c_mktsegment", "c_name", "c_custkey")
+    return g.first_per_key(c, ["c_mktsegment"], "c_custkey").select("c_mktsegment", "c_name", "c_custkey")
+
+
+@_query("SELECT text_id, array_to_string(ids, ',') AS ids FROM (VALUES (1, ['CWE-79', 'CWE-89']), (2, ['CWE-22']), (3, ['CWE-7']), (4, CAST([] AS VARCHAR[]))) v(text_id, ids)")
+def cwe_normalise(spark, d):
+    rows = [(1, "cwe_79, CWE-89 and CWE 79"), (2, "22"), (3, "CWE-007"), (4, "none")]
+    return spark.createDataFrame(rows, "text_id int, t string").select("text_id", F.array_join(cwe_ids(F.col("t")), ",").alias("ids"))
+
+
+@_query("SELECT path FROM f WHERE regexp_matches(path, '^d[0-3]/f[^/]*\\.py$') GROUP BY 1", _FINDINGS)
+def gate_paths(spark, d):
+    pattern = "|".join(gate_glob(f"**/d{k}/f*.py") for k in range(4))
+    return src.findings(spark, d).select("path").filter(F.col("path").rlike(pattern)).distinct()
