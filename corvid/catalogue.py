@@ -164,7 +164,7 @@ def graph_scc(spark, d):
 
 @_query()
 def graph_trace(spark, d):
-    return g.trace(src.nodes(spark, d), _tree(spark, d), "order:11", "supplier:3")
+    return g.trace(src.nodes(spark, d), src.edges(spark, d), "order:11", "supplier:3")
 
 
 @_query(
