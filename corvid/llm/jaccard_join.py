@@ -40,9 +40,9 @@ WORDS = 4
 #: Two sets link when SAME * union <= 100 * intersection.
 SAME = 85
 EPS = 0.15
-#: Counters of the frequency sketch, in blocks; bits of the filter of candidate points.
+#: Counters of the frequency sketch, in blocks; bits of the filters of candidate points and of shared cells.
 SKETCH_BITS, SKETCH_BLOCKS = 18, 64
-FILTER_BITS = 24
+FILTER_BITS, CELL_BITS = 24, 25
 #: Cells of at most this many points are finished by their pairs; levels of pivots before that.
 SMALL, LEVELS = 12, 3
 
@@ -128,36 +128,39 @@ def _sketch(rows: DataFrame) -> np.ndarray:
     return np.floor(np.log2(np.maximum(out.ravel(), 1))).astype(np.uint8)
 
 
-def _cells(docs: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
-    """(cell, point, n): every document in the cells of its first shingles, rarest first."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)  # 256 KB
+def _cells(docs: DataFrame, levels: np.ndarray, seed: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """(cell, point, n): every document in the cells of its first shingles, rarest first; only cells whose bit is in ``wanted``."""
+    shared = docs.sparkSession.sparkContext.broadcast((levels, wanted))  # 256 KB and 4 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = shared.value.astype(np.uint64)
+        levels, wanted = shared.value
+        levels = levels.astype(np.uint64)
         for _, n, a, _, h, first in _batches(batches, seed):
             rank = (levels[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(58)) | (mix(h + np.uint64(seed + 1)) >> np.uint64(6))
             row = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((rank, row))
             take = n - (SAME * n + 99) // 100 + 1
             chosen = order[(np.arange(len(h)) - first[row]) < take[row]]
+            if wanted is not None:
+                chosen = chosen[test_bits(wanted, mix(h[chosen]), CELL_BITS)]
             r = row[chosen]
             yield pa.RecordBatch.from_arrays([pa.array(h[chosen].view(np.int64)), pa.array(a[r]), pa.array(n[r].astype(np.int32))], names=["cell", "point", "n"])
 
     return docs.mapInArrow(run, "cell long, point long, n int")
 
 
-def _sets(docs: DataFrame, wanted: np.ndarray, reps: DataFrame, seed: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: np.ndarray, seed: int) -> DataFrame:
     """(point, items): the sorted shingles of the points whose bit is set, once each."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, a, _, h, first in _batches(batches, seed):
+        for _, _, a, _, h, first in _batches(batches, seed):
             pick = np.flatnonzero(test_bits(shared.value, mix(a.view(np.uint64).copy()), FILTER_BITS) & (np.diff(first) > 0))
+            pick = pick[np.unique(a[pick], return_index=True)[1]]
             items = [np.sort(h[first[k] : first[k + 1]]).tobytes() for k in pick]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(pick)), pa.array(a[pick]), pa.array(items, pa.binary())], names=["doc_id", "point", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[pick]), pa.array(items, pa.binary())], names=["point", "items"])
 
-    made = docs.mapInArrow(run, "doc_id long, point long, items binary")
-    return made.join(reps.select("point", "doc_id"), ["point", "doc_id"], "left_semi").select("point", "items").dropDuplicates(["point"])
+    return docs.mapInArrow(run, "point long, items binary").dropDuplicates(["point"])
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -187,13 +190,10 @@ def _may_link(n: str, m: str):
     return F.lit(100) * F.least(n, m) >= F.lit(SAME) * F.greatest(n, m)
 
 
-def link_points(docs: DataFrame, points: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
+def link_points(docs: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
     """(node, label) of the points that have a link."""
-    cells = _cells(docs, levels, seed)
-    shared = cells.groupBy("cell").agg(F.min("point").alias("lo"), F.max("point").alias("hi")).filter("lo <> hi").select("cell")
-    region = cut(cells.join(shared, "cell").distinct())
-    reps = points.groupBy("point").agg(F.min("doc_id").alias("doc_id"))
-    sets = cut(_sets(docs, bits_of(region, "point", FILTER_BITS), reps, seed))
+    shared = cut(_cells(docs, levels, seed).groupBy("cell").agg(F.min("point").alias("lo"), F.max("point").alias("hi")).filter("lo <> hi").select("cell"))
+    region = cut(_cells(docs, levels, seed, bits_of(shared, "cell", CELL_BITS)).distinct().join(shared, "cell"))
     edges: DataFrame | None = None
     labels: DataFrame | None = None
     for level in range(LEVELS + 1):
@@ -209,7 +209,9 @@ def link_points(docs: DataFrame, points: DataFrame, levels: np.ndarray, seed: in
         pairs = some.select(F.col("point").alias("a"), F.col("point2").alias("b"))
         big = region.filter(~small).select("cell", "point", "n", F.col("p.point").alias("pivot"), F.col("p.n").alias("pivot_n"))
         starred = big.filter("point <> pivot").filter(_may_link("n", "pivot_n")).select(F.col("point").alias("a"), F.col("pivot").alias("b"))
-        over = cut(_overlaps(pairs.union(starred).distinct(), sets))
+        pairs = cut(pairs.union(starred).distinct())
+        wanted = bits_of(pairs.select(F.explode(F.array("a", "b")).alias("point")), "point", FILTER_BITS)
+        over = cut(_overlaps(pairs, _sets(docs, wanted, seed)))
         new = _linked(over)
         edges = cut(new if edges is None else edges.union(new).distinct())
         if last or big.isEmpty():
@@ -237,7 +239,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         # Two sets under one 64-bit id would be taken for one: then all ids are made anew.
         if points.filter("n > 0").groupBy("point").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo <> hi").isEmpty():
             break
-    labels = link_points(docs, points.filter("n > 0"), _sketch(rows), seed)
+    labels = link_points(docs, _sketch(rows), seed)
     named = points.join(labels.withColumnRenamed("node", "point"), "point", "left").withColumn("label", F.coalesce("label", "point"))
     least = named.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))

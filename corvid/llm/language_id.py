@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from corvid.llm.common import cut, lower_ascii, pieces, table, text_bytes
 
-FIT_ROWS, FIT_CHARS = 4000, 4000
+FIT_ROWS, FIT_CHARS = 1500, 2000
 BUCKETS = 1 << 15
 EFFECTIVE = 60.0
 #: Weights of the layers of the host prior, in documents.
