@@ -13,7 +13,9 @@ most ``EPS`` = 0.15.  Most documents lie at distance 1 from each other, so the j
    computed; those within EPS link to it; a member y within EPS of the pivot stays for the others
    only if some member z outside has d(z) <= d(y) + EPS.  What stays is joined recursively with a new
    pivot; cells whose members are already one component, or that have no one left, end.  Cells that
-   are small, or left after ``LEVELS`` levels, are finished by their remaining pairs.
+   are small, or left after ``LEVELS`` levels, are finished by their remaining pairs.  Sizes and
+   parity bitmaps bound every distance from below first; only pairs that they leave have their sets
+   fetched and their exact distance computed.
 4. Linked points form components by large-star and small-star steps.
 
 Defined cases: null, empty and wordless texts have no shingles and link with nothing; a text of
@@ -43,8 +45,10 @@ EPS = 0.15
 #: Counters of the frequency sketch, in blocks; bits of the filters of candidate points and of shared cells.
 SKETCH_BITS, SKETCH_BLOCKS = 18, 64
 FILTER_BITS, CELL_BITS = 24, 25
+#: Bits of a point's parity bitmap (256 bytes).
+PARITY_BITS = 2048
 #: Cells of at most this many points are finished by their pairs; levels of pivots before that.
-SMALL, LEVELS = 12, 3
+SMALL, LEVELS = 48, 3
 
 
 def shingles(data: np.ndarray, off: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +167,37 @@ def _sets(docs: DataFrame, wanted: np.ndarray, seed: int) -> DataFrame:
     return docs.mapInArrow(run, "point long, items binary").dropDuplicates(["point"])
 
 
+def _bitmaps(docs: DataFrame, wanted: np.ndarray, seed: int) -> DataFrame:
+    """(point, n, bits): a parity bitmap of each wanted point's shingles.  Two sets differ in at least as many shingles as their bitmaps in bits."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, n, a, _, h, first in _batches(batches, seed):
+            pick = np.flatnonzero(test_bits(shared.value, mix(a.view(np.uint64).copy()), FILTER_BITS) & (n > 0))
+            pick = pick[np.unique(a[pick], return_index=True)[1]]
+            place = (mix(h ^ np.uint64(0xC2B2AE3D27D4EB4F)) & np.uint64(PARITY_BITS - 1)).astype(np.int64)
+            bits = [np.packbits(np.bincount(place[first[k] : first[k + 1]], minlength=PARITY_BITS) & 1).tobytes() for k in pick]
+            yield pa.RecordBatch.from_arrays([pa.array(a[pick]), pa.array(n[pick].astype(np.int64)), pa.array(bits, pa.binary())], names=["point", "n", "bits"])
+
+    return docs.mapInArrow(run, "point long, n long, bits binary").dropDuplicates(["point"])
+
+
+def _bounds(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """(a, b, least, near): a lower bound of each pair's distance, and whether the pair can still be within EPS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            total = np.asarray(batch.column("m")) + np.asarray(batch.column("n"))
+            # |A| + |B| = total and |A xor B| = differ give the union; SAME * union <= 100 * intersection bounds it.
+            near = (100 + SAME) * differ <= (100 - SAME) * total
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(2 * differ / (total + differ)), pa.array(near)], names=["a", "b", "least", "near"])
+
+    left, right = (bitmaps.select(F.col("point").alias(p), F.col("n").alias(n), F.col("bits").alias(v)) for p, n, v in (("a", "m", "x"), ("b", "n", "y")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long, least double, near boolean")
+
+
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, same, either): sizes of the intersection and union of each pair of points."""
 
@@ -194,6 +229,7 @@ def link_points(docs: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
     """(node, label) of the points that have a link."""
     shared = cut(_cells(docs, levels, seed).groupBy("cell").agg(F.min("point").alias("lo"), F.max("point").alias("hi")).filter("lo <> hi").select("cell"))
     region = cut(_cells(docs, levels, seed, bits_of(shared, "cell", CELL_BITS)).distinct().join(shared, "cell"))
+    bitmaps = cut(_bitmaps(docs, bits_of(region, "point", FILTER_BITS), seed))
     edges: DataFrame | None = None
     labels: DataFrame | None = None
     for level in range(LEVELS + 1):
@@ -209,16 +245,18 @@ def link_points(docs: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
         pairs = some.select(F.col("point").alias("a"), F.col("point2").alias("b"))
         big = region.filter(~small).select("cell", "point", "n", F.col("p.point").alias("pivot"), F.col("p.n").alias("pivot_n"))
         starred = big.filter("point <> pivot").filter(_may_link("n", "pivot_n")).select(F.col("point").alias("a"), F.col("pivot").alias("b"))
-        pairs = cut(pairs.union(starred).distinct())
-        wanted = bits_of(pairs.select(F.explode(F.array("a", "b")).alias("point")), "point", FILTER_BITS)
-        over = cut(_overlaps(pairs, _sets(docs, wanted, seed)))
+        bounds = cut(_bounds(pairs.union(starred).distinct(), bitmaps))
+        near = bounds.filter("near").select("a", "b")
+        wanted = bits_of(near.select(F.explode(F.array("a", "b")).alias("point")), "point", FILTER_BITS)
+        over = cut(_overlaps(near, _sets(docs, wanted, seed)))
         new = _linked(over)
         edges = cut(new if edges is None else edges.union(new).distinct())
         if last or big.isEmpty():
             break
         labels = cut(components(edges))
-        # Distances to the pivot; where sizes alone keep a pair apart, the least distance that they allow.
-        known = over.select(F.col("a").alias("point"), F.col("b").alias("pivot"), (1 - F.col("same") / F.col("either")).alias("known"))
+        # Distances to the pivot; where sizes or bitmaps keep a pair apart, the least distance that they allow.
+        exact = over.select("a", "b", (1 - F.col("same") / F.col("either")).alias("exact"))
+        known = bounds.join(exact, ["a", "b"], "left").select(F.col("a").alias("point"), F.col("b").alias("pivot"), F.coalesce("exact", "least").alias("known"))
         apart = 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n")
         far = big.join(known, ["point", "pivot"], "left").withColumn("d", F.when(F.col("point") == F.col("pivot"), 0.0).otherwise(F.coalesce("known", apart)))
         rest = (F.col("d") > EPS + 1e-12) & (F.col("point") != F.col("pivot"))
