@@ -230,7 +230,6 @@ def link_points(docs: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
     shared = cut(_cells(docs, levels, seed).groupBy("cell").agg(F.min("point").alias("lo"), F.max("point").alias("hi")).filter("lo <> hi").select("cell"))
     region = cut(_cells(docs, levels, seed, bits_of(shared, "cell", CELL_BITS)).distinct().join(shared, "cell"))
     bitmaps = cut(_bitmaps(docs, bits_of(region, "point", FILTER_BITS), seed))
-    edges: DataFrame | None = None
     labels: DataFrame | None = None
     for level in range(LEVELS + 1):
         per_cell = region.groupBy("cell").agg(F.count("*").alias("members"), F.min(F.struct("point", "n")).alias("p"))
@@ -250,10 +249,12 @@ def link_points(docs: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
         wanted = bits_of(near.select(F.explode(F.array("a", "b")).alias("point")), "point", FILTER_BITS)
         over = cut(_overlaps(near, _sets(docs, wanted, seed)))
         new = _linked(over)
-        edges = cut(new if edges is None else edges.union(new).distinct())
+        if labels is None:
+            labels = cut(components(new))
+        elif not new.isEmpty():  # the labels so far are stars that stand for all links before
+            labels = cut(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(new)))
         if last or big.isEmpty():
             break
-        labels = cut(components(edges))
         # Distances to the pivot; where sizes or bitmaps keep a pair apart, the least distance that they allow.
         exact = over.select("a", "b", (1 - F.col("same") / F.col("either")).alias("exact"))
         known = bounds.join(exact, ["a", "b"], "left").select(F.col("a").alias("point"), F.col("b").alias("pivot"), F.coalesce("exact", "least").alias("known"))
@@ -265,7 +266,7 @@ def link_points(docs: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
         stay = stay.select("cell", "point", "n").join(labels.withColumnRenamed("node", "point"), "point", "left").withColumn("label", F.coalesce("label", "point"))
         open_cells = stay.groupBy("cell").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("cell")
         region = cut(stay.join(open_cells, "cell").select("cell", "point", "n", "label"))
-    return components(edges)
+    return labels
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
