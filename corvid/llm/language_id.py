@@ -84,18 +84,19 @@ class LanguageFusion:
     def __init__(self, docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source") -> None:
         self.text, self.declared, self.host = text, declared, host
         self.docs = docs
-        sample = (
-            docs.select(F.col(f"`{declared}`").cast("string").alias("d"), F.substring(F.col(f"`{text}`"), 1, FIT_CHARS).alias("t"))
-            .filter("d IS NOT NULL AND length(trim(d)) > 0 AND length(t) > 2")
-            .orderBy(F.xxhash64("d", "t"), "t")
-            .limit(FIT_ROWS)
-            .collect()
-            if declared
-            else []
-        )
+        sample = self._sample() if declared else []
         self.langs, self.tables = fit([(r["d"], r["t"]) for r in sample]) if sample else ([], np.zeros((0, BUCKETS), np.float32))
         self.evidence = self._evidence() if self.langs else None
 
+    def _sample(self) -> list:
+        """FIT_ROWS distinct rows (d, t) of least hash.  The hash's range is narrowed first, so that all tasks together send about 2 * FIT_ROWS rows to the driver."""
+        rows = self.docs.select(F.col(f"`{self.declared}`").cast("string").alias("d"), F.substring(F.col(f"`{self.text}`"), 1, FIT_CHARS).alias("t"))
+        rows = rows.filter("length(trim(d)) > 0 AND length(t) > 2").withColumn("h", F.xxhash64("d", "t"))
+        texts = rows.agg(F.approx_count_distinct("h")).first()[0]
+        if texts > 2 * FIT_ROWS:
+            rows = rows.filter(F.col("h") < int(2 * FIT_ROWS / texts * 2.0**64) - 2**63)
+        return rows.distinct().orderBy("h", "d", "t").limit(FIT_ROWS).collect()
+
     def _with_keys(self, df: DataFrame) -> DataFrame:
         col = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if c else F.lit("")
         host = col(self.host)
