@@ -13,6 +13,7 @@ from corvid.operators import graphs as g
 from corvid.operators import stats as st
 from corvid.operators import texts as tx
 from corvid.sources import tables as src
+from corvid.streaming import service as sv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -622,3 +623,28 @@ def cwe_normalise(spark, d):
 def gate_paths(spark, d):
     pattern = "|".join(gate_glob(f"**/d{k}/f*.py") for k in range(4))
     return src.findings(spark, d).select("path").filter(F.col("path").rlike(pattern)).distinct()
+
+
+# --- service -------------------------------------------------------------------------------------
+
+
+@_query(
+    "SELECT event_id, key_id, accepted, wait_s FROM steps",
+    "\ncalls AS (SELECT event_id, user_id % 50 AS key_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS n FROM events)",
+    """
+steps AS (
+  SELECT key_id, n, event_id, [us] AS kept, TRUE AS accepted, CAST(NULL AS BIGINT) AS wait_s FROM calls WHERE n = 1
+  UNION ALL SELECT key_id, n, event_id, CASE WHEN len(k) < 3 THEN list_append(k, us) ELSE k END, len(k) < 3, CASE WHEN len(k) >= 3 THEN (21600000000 - (us - list_min(k))) // 1000000 + 1 END
+  FROM (SELECT c.*, [x FOR x IN s.kept IF x > c.us - 21600000000] AS k FROM steps s JOIN calls c ON c.key_id = s.key_id AND c.n = s.n + 1))""",
+    recursive=True,
+)
+def rate_limit(spark, d):
+    events = src.table(spark, d, "events")
+    calls = events.select("event_id", (F.col("user_id") % 50).alias("key_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return sv.rate_limit(calls, "event_id", requests=3, window_s=21600).select("event_id", "key_id", "accepted", "wait_s")
+
+
+@_query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type AS event, count(*) AS n FROM events GROUP BY ALL")
+def audit_counts(spark, d):
+    events = src.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("event"))
+    return sv.audit_counts(events).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
