@@ -26,6 +26,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,6 +99,15 @@ def _batches(batches: Iterator[pa.RecordBatch], seed: int):
         yield batch.column("doc_id"), np.diff(first), *_point_ids(h, first), h, first
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    """Counters, compressed: where a task has few rows, most of its 2 MB are zeros."""
+    return zlib.compress(counts.tobytes(), 1)
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), np.int64)
+
+
 def _points_and_sketch(docs: DataFrame, seed: int) -> DataFrame:
     """A row for each document, and rows (block, counts) of each task's share of the sketch."""
     size = 1 << SKETCH_BITS
@@ -112,14 +122,14 @@ def _points_and_sketch(docs: DataFrame, seed: int) -> DataFrame:
         part = counts.reshape(SKETCH_BLOCKS, -1)
         some = np.flatnonzero(part.any(1))
         null = pa.nulls(len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([null, null, null, null, pa.array(some, pa.int32()), pa.array([part[k].tobytes() for k in some], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([null, null, null, null, pa.array(some, pa.int32()), pa.array([_pack(part[k]) for k in some], pa.binary())], names=names)
 
     return docs.mapInArrow(run, "doc_id long, n long, point long, check long, block int, counts binary")
 
 
 def _add(part: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, np.int64) for x in part["counts"])
-    return pd.DataFrame({"block": part["block"].iloc[:1], "counts": [total.tobytes()]})
+    total = sum(_unpack(x) for x in part["counts"])
+    return pd.DataFrame({"block": part["block"].iloc[:1], "counts": [_pack(total)]})
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -128,7 +138,7 @@ def _sketch(rows: DataFrame) -> np.ndarray:
     half = some.groupBy("block", "salt").applyInPandas(_add, "block int, counts binary")
     out = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), np.int64)
     for r in half.groupBy("block").applyInPandas(_add, "block int, counts binary").toLocalIterator():  # 2 MB in all, whatever the input
-        out[r["block"]] = np.frombuffer(bytes(r["counts"]), np.int64)
+        out[r["block"]] = _unpack(r["counts"])
     return np.floor(np.log2(np.maximum(out.ravel(), 1))).astype(np.uint8)
 
 
