@@ -4,9 +4,10 @@ Words are runs of letters, digits and bytes beyond ASCII, lower-cased in ASCII a
 benchmark item is indexed with its BM25 impacts, divided by the item's score against itself, so that
 one threshold serves all items; items lie in blocks, and each term keeps its largest impact in a
 block.  Every passage of every document (two runs of ``stride`` words, each run shared by two
-passages) is a query.  Frequent terms are set aside as in MaxScore with their block totals as bound;
-blocks whose bound stays below the threshold are skipped, the others are scored exactly, and what
-reaches the threshold is verified: the item's question and its answer (its last sentence unless
+passages) is a query.  Frequent terms of an item are set aside as in MaxScore while their sum stays
+below the threshold (the rest of its terms lead to it, so an item of frequent terms only is found
+too), with their block totals as bound; blocks whose bound stays below the threshold are skipped, the
+others are scored exactly, and what reaches the threshold is verified: the item's question and its answer (its last sentence unless
 given) must both overlap the document in word shingles.
 
 Defined cases: null or empty texts match nothing; items without a word are never matched; repeated
@@ -75,7 +76,8 @@ def split_item(text: str) -> tuple[str, str]:
 class Index:
     """Postings of a shard of the benchmark, as flat arrays."""
 
-    def __init__(self, items: list[tuple[int, str, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str, str]], threshold: float = THRESHOLD) -> None:
+        self.threshold = threshold
         rows = [(i, _hashes(f"{q}\n{a}" if a is not q else q), _shingles(_hashes(q)), _shingles(_hashes(a))) for i, q, a in items]
         rows = [r for r in rows if len(r[1])]
         self.ids = [r[0] for r in rows]
@@ -100,13 +102,24 @@ class Index:
         bkey, which = np.unique(term * self.blocks + block, return_inverse=True)
         most = np.zeros(len(bkey))
         np.maximum.at(most, which, impact)
-        self.bm_at = np.searchsorted(bkey // self.blocks, np.arange(len(self.terms) + 1))
-        self.bm_block, self.bm_most = bkey % self.blocks, most
-        # Frequent terms stay out of the candidate search; their total in any item of a block bounds what they add.
-        self.frequent = df > max(2, n // 20)
-        usual = np.bincount(item, weights=np.where(self.frequent[term], impact, 0.0), minlength=n)
+        # The most frequent terms of an item stay out of the candidate search while their sum is below the threshold:
+        # what reaches it holds another of its terms.  A term seeds a block if it seeds any of its items; the total of
+        # the others in any item of the block bounds what they add.
+        frequent = df[term] > max(2, n // 20)
+        order = np.lexsort((term, -df[term], item))
+        aside = np.cumsum(np.where(frequent, impact, 0.0)[order])
+        first = np.searchsorted(item[order], np.arange(n))
+        aside -= np.concatenate([[0.0], aside])[first][item[order]]
+        seeds = ~frequent
+        seeds[order] |= aside >= threshold - 1e-6
+        seed = np.zeros(len(bkey), bool)
+        seed[which[seeds]] = True
+        usual = np.bincount(item, weights=np.where(seed[which], 0.0, impact), minlength=n)
         self.usual = np.zeros(self.blocks)
         np.maximum.at(self.usual, np.arange(n) // BLOCK, usual)
+        bkey = bkey[seed]
+        self.seed_at = np.searchsorted(bkey // self.blocks, np.arange(len(self.terms) + 1))
+        self.seed_block, self.seed_most = bkey % self.blocks, most[seed]
 
 
 def _spread(at: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +131,8 @@ def _spread(at: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def search(index: Index, h: np.ndarray, row: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, float, int, int]]:
     """(row, item, score, first word, end word) of every passage and item at or above the threshold."""
+    if threshold < index.threshold:
+        raise ValueError(f"the index serves thresholds from {index.threshold}, not {threshold}")
     if not index.n or not len(h):
         return []
     first = np.searchsorted(row, np.arange(row[-1] + 2))  # first word of each row
@@ -132,14 +147,14 @@ def search(index: Index, h: np.ndarray, row: np.ndarray, threshold: float = THRE
     key = np.unique(passage * len(index.terms) + np.concatenate([term, term]))
     key = key[key >= 0]
     passage, term = key // len(index.terms), key % len(index.terms)
-    rare = np.flatnonzero(~index.frequent[term])
-    post, of = _spread(index.bm_at, term[rare])
+    lead = np.flatnonzero(index.seed_at[term + 1] > index.seed_at[term])
+    post, of = _spread(index.seed_at, term[lead])
     if not len(post):
         return []
-    bkey = passage[rare][of] * index.blocks + index.bm_block[post]
+    bkey = passage[lead][of] * index.blocks + index.seed_block[post]
     keys, which = np.unique(bkey, return_inverse=True)
-    bound = np.bincount(which, weights=index.bm_most[post]) + index.usual[keys % index.blocks]
-    keys = keys[bound >= threshold]
+    bound = np.bincount(which, weights=index.seed_most[post]) + index.usual[keys % index.blocks]
+    keys = keys[bound >= threshold - 1e-9]
     if not len(keys):
         return []
     # Exact scores in the blocks that are left.
@@ -181,21 +196,21 @@ def _size(part: np.ndarray, index: Index, item: int, which: int) -> int:
     return index.width[item][which]
 
 
-def build_index(items: list[tuple[int, str, str]]) -> Index:
-    index = Index(items)
+def build_index(items: list[tuple[int, str, str]], threshold: float = THRESHOLD) -> Index:
+    index = Index(items, threshold)
     kept = [(q, a) for _, q, a in items if len(_hashes(f"{q}\n{a}"))]
     index.width = [(min(SHINGLE, max(1, len(_hashes(q)))), min(SHINGLE, max(1, len(_hashes(a))))) for q, a in kept]
     return index
 
 
-def indexes(benchmark: DataFrame) -> Iterator[Index]:
+def indexes(benchmark: DataFrame, threshold: float = THRESHOLD) -> Iterator[Index]:
     """Indexes of the benchmark's shards.  ``benchmark`` has item_id and text, or question and answer."""
     whole = "question" not in benchmark.columns
     items = benchmark.select(F.col("item_id").cast("long"), *([F.col("text"), F.lit(None).cast("string")] if whole else [F.col("question"), F.col("answer")])).toDF("item_id", "q", "a")
     shards = max(1, -(-items.count() // SHARD_ITEMS))
     for k in range(shards):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "q"), F.lit(shards)) == k).orderBy("item_id", "q").collect()
-        yield build_index([(r["item_id"], *(split_item(r["q"] or "") if r["a"] is None else (r["q"] or "", r["a"]))) for r in rows])
+        yield build_index([(r["item_id"], *(split_item(r["q"] or "") if r["a"] is None else (r["q"] or "", r["a"]))) for r in rows], threshold)
 
 
 def _pairs(index: Index, texts: pa.Array, threshold: float) -> dict[tuple[int, int], tuple[float, float, float]]:
@@ -206,7 +221,7 @@ def _pairs(index: Index, texts: pa.Array, threshold: float) -> dict[tuple[int, i
 def leaked_pairs(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document and item that it leaks."""
     parts = []
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, threshold):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -226,7 +241,7 @@ def leaked_pairs(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that leak no item, in one pass without a shuffle for each shard of the benchmark."""
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, threshold):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
