@@ -4,8 +4,10 @@ The base spans are the contract's patterns.  A character-level bidirectional LST
 transitions, trained here in numpy from labelled spans, adds spans that the patterns miss (spelled-out
 addresses, numbers without a country code, other separators).  A span of these kinds holds a digit,
 an ``@`` or a bracketed ``at``; the texts around such characters are cut into overlapping windows,
-every window is decoded, and the windows of a document are reconciled together: of conflicting spans
-the set with the largest total margin wins, found by weighted interval scheduling over the whole
+every window is decoded, and so is every run of adjacent windows, as one sequence over their averaged
+scores; a run that ends inside a span grows until it doesn't, so a span can have any length, and an
+address is taken whole.  The spans of a document are reconciled together: of conflicting spans the
+set with the largest total margin wins, found by weighted interval scheduling over the whole
 document.  An added span must pass its kind's check (digit counts, Luhn, octets, an address once
 spelled back) and may not touch a base span; base spans always stay.
 
@@ -15,6 +17,7 @@ judged one by one; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -267,28 +270,46 @@ def tagger(seed: int = 5) -> Weights:
     return _FITTED[seed,]
 
 
+def _viterbi(w: Weights, e: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best tag of each row of ``e``, and its score over that of the outside tag.
+
+    Rows stand by time; at time t the first ``active[t]`` sequences have one each (so longer sequences come first).
+    """
+    at = np.concatenate([[0], np.cumsum(active)])
+    back = np.zeros(e.shape, np.int8)
+    s = e[: active[0]] + w["first"]
+    for t in range(1, len(active)):
+        n = active[t]
+        c = s[:n, :, None] + w["trans"]
+        back[at[t] : at[t + 1]] = c.argmax(1)
+        s[:n] = c.max(1) + e[at[t] : at[t + 1]]
+    last, tags = s.argmax(1), np.empty(len(e), np.int64)
+    for t in range(len(active) - 1, -1, -1):
+        n, on = active[t], active[t + 1] if t + 1 < len(active) else 0
+        here = last[:n].copy()
+        if on:
+            here[:on] = back[at[t + 1] : at[t + 2]][np.arange(on), tags[at[t + 1] : at[t + 2]]]
+        tags[at[t] : at[t + 1]] = here
+    return tags, np.take_along_axis(e, tags[:, None], 1)[:, 0] - e[:, 0]
+
+
 def decode(w: Weights, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best tags (N, T) of each window by Viterbi, and each place's score over that of the outside tag."""
     e = emissions(w, x)
+    return _windows(w, e)
+
+
+def _windows(w: Weights, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     steps, n, _ = e.shape
-    back = np.empty(e.shape, np.int8)
-    s = e[0] + w["first"]
-    for t in range(1, steps):
-        c = s[:, :, None] + w["trans"]
-        back[t] = c.argmax(1)
-        s = c.max(1) + e[t]
-    tags = np.empty((steps, n), np.int64)
-    tags[-1] = s.argmax(1)
-    for t in range(steps - 1, 0, -1):
-        tags[t - 1] = back[t][np.arange(n), tags[t]]
-    margin = np.take_along_axis(e, tags[:, :, None], 2)[:, :, 0] - e[:, :, 0]
-    return tags.T, margin.T
+    tags, margin = _viterbi(w, e.reshape(steps * n, TAGS), np.full(steps, n))
+    return tags.reshape(steps, n).T, margin.reshape(steps, n).T
 
 
 # --- windows of documents -----------------------------------------------------------------------
 
 _GATE = re.compile(r"[0-9@]|[(\[{] ?at ?[)\]}]", re.IGNORECASE)
 _AT, _DOT = re.compile(r"\s*[(\[{]\s*at\s*[)\]}]\s*|\s*@\s*", re.IGNORECASE), re.compile(r"\s*[(\[{]\s*(?:dot|\.)\s*[)\]}]\s*", re.IGNORECASE)
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|" + _DOT.pattern + r")[A-Za-z0-9-]+)*", re.IGNORECASE)
 _EMAIL_WHOLE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _NUMBER = re.compile(r"[+(]?[0-9][0-9 ().\-/]*[0-9]")
 _DATE = re.compile(r"[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./][0-9]{4}")
@@ -322,8 +343,8 @@ def plausible(kind: str, text: str) -> bool:
 
 
 def _candidates(text: str, start: int, tags: np.ndarray, margin: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """(start, end, kind, margin) of the spans of one window."""
-    out, t, n = [], 0, min(WIDTH, len(text) - start)
+    """(start, end, kind, margin) of the spans of one window or run; those that can't be of their kind are left out."""
+    out, t, n = [], 0, min(len(tags), len(text) - start)
     while t < n:
         tag = int(tags[t])
         if not tag:
@@ -338,19 +359,31 @@ def _candidates(text: str, start: int, tags: np.ndarray, margin: np.ndarray) ->
             a += 1
         while b > a and text[b - 1] in " ,;:.\n\"'":
             b -= 1
-        if b > a:
+        if kind == 0:
+            a, b = whole_address(text, a, b)
+        if b > a and plausible(KINDS[kind], text[a:b]):
             out.append((a, b, kind, float(margin[begin:t].sum())))
     return out
 
 
+def whole_address(text: str, a: int, b: int) -> tuple[int, int]:
+    """The address around the first at-sign of a span, so that none is cut off; the span itself where it holds none."""
+    m = _AT.search(text, a, b)
+    host = _HOST.match(text, m.end()) if m else None
+    if not host:
+        return a, b
+    begin = m.start()
+    while begin > 0 and text[begin - 1] in _LOCAL:
+        begin -= 1
+    return begin, host.end()
+
+
 def reconcile(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
     """Of all windows' spans of a document, the set without overlaps that has the largest total margin."""
     best: dict[tuple[int, int, int], float] = {}
     for a, b, k, m in found:
         best[a, b, k] = max(m, best.get((a, b, k), 0.0))
     spans = sorted(((a, b, k, m) for (a, b, k), m in best.items()), key=lambda x: (x[1], x[0], x[2]))
-    import bisect
-
     ends = [s[1] for s in spans]
     total, take = [0.0], []
     for i, (a, _, _, m) in enumerate(spans):
@@ -367,21 +400,97 @@ def reconcile(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
     return out[::-1]
 
 
-def all_spans(texts: list[str], w: Weights, batch: int = 512) -> list[tuple[list[Span], list[Span]]]:
-    """For each text its base spans, and all spans (base and added), by kind and then start."""
-    base = [base_spans(t) for t in texts]
-    where = [(d, s) for d, t in enumerate(texts) for s in window_starts(t)]
-    found: dict[int, list[tuple[int, int, int, float]]] = {}
+#: Share of a window's scores in the average, by place: its middle knows both sides.
+_SHARE = np.minimum(np.arange(1, WIDTH + 1), np.arange(WIDTH, 0, -1)).astype(np.float32)
+#: Windows whose runs are decoded together.
+RUN_WINDOWS = 4096
+
+
+def _runs(starts: list[int]) -> list[tuple[int, int]]:
+    """(first, number) of the runs of adjacent windows, in steps."""
+    out: list[tuple[int, int]] = []
+    for s in starts:
+        k = s // STEP
+        if out and out[-1][0] + out[-1][1] == k:
+            out[-1] = (out[-1][0], out[-1][1] + 1)
+        else:
+            out.append((k, 1))
+    return out
+
+
+def _decode_runs(texts: list[str], runs: list[tuple[int, int, int]], w: Weights, batch: int, found: dict, own: bool) -> list[tuple[int, int, int]]:
+    """Adds the spans of runs (text, first window, number) to ``found``, those of their windows too if ``own``; returns the runs that end inside a span, grown."""
+    runs = sorted(runs, key=lambda r: (-r[2], r[0], r[1]))
+    place = np.concatenate([[0], np.cumsum([(m + 1) * STEP for _, _, m in runs])])
+    where = [(r, d, k + j, j) for r, (d, k, m) in enumerate(runs) for j in range(m)]
+    total, weight = np.zeros((int(place[-1]), TAGS), np.float32), np.zeros(int(place[-1]), np.float32)
+    single: dict[int, list] = {}
     for at in range(0, len(where), batch):
         some = where[at : at + batch]
         x = np.full((len(some), WIDTH), PAD, np.int64)
-        for k, (d, s) in enumerate(some):
-            c = encode(texts[d][s : s + WIDTH])
-            x[k, : len(c)] = c
-        tags, margin = decode(w, x)
-        for k in np.flatnonzero(tags.any(1)).tolist():
-            d, s = some[k]
-            found.setdefault(d, []).extend(c for c in _candidates(texts[d], s, tags[k], margin[k]) if plausible(KINDS[c[2]], texts[d][c[0] : c[1]]))
+        for i, (_, d, k, _) in enumerate(some):
+            c = encode(texts[d][k * STEP : k * STEP + WIDTH])
+            x[i, : len(c)] = c
+        e = emissions(w, x)
+        for i, (r, _, _, j) in enumerate(some):
+            p = int(place[r]) + j * STEP
+            total[p : p + WIDTH] += e[:, i] * _SHARE[:, None]
+            weight[p : p + WIDTH] += _SHARE
+        if own:
+            tags, margin = _windows(w, e)
+            for i in np.flatnonzero(tags.any(1)).tolist():
+                r, d, k, _ = some[i]
+                single.setdefault(r, []).extend(_candidates(texts[d], k * STEP, tags[i], margin[i]))
+    total /= weight[:, None]
+    length = np.diff(place)
+    active = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
+    by_time = np.concatenate([[0], np.cumsum(active)])
+    row = np.repeat(np.arange(len(runs)), length)
+    to = by_time[np.arange(len(total)) - place[row]] + row
+    flat = np.empty_like(total)
+    flat[to] = total
+    tags, margin = (v[to] for v in _viterbi(w, flat, active))
+    more = []
+    for r, (d, k, m) in enumerate(runs):
+        a, b = int(place[r]), min(int(place[r + 1]), int(place[r]) + len(texts[d]) - k * STEP)
+        spans = _candidates(texts[d], k * STEP, tags[a:b], margin[a:b]) if tags[a:b].any() else []
+        # A window's span inside a longer one of its run is a part of that.
+        begins, parts = [z[0] for z in spans], []
+        for c in single.get(r, []):
+            z = spans[j - 1] if (j := bisect.bisect_right(begins, c[0])) else None
+            if not (z and z[2] == c[2] and c[1] <= z[1] and c[:2] != z[:2]):
+                parts.append(c)
+        spans += parts
+        if spans:
+            found.setdefault(d, []).extend(spans)
+        left, right = k > 0 and tags[a] > 0, b - a == length[r] and k * STEP + b - a < len(texts[d]) and tags[b - 1] > 0
+        if left or right:
+            first = max(0, k - m) if left else k
+            more.append((d, first, min(k + m + (m if right else 0), max(1, -(-len(texts[d]) // STEP) - 1)) - first))
+    return more
+
+
+def _tagged(texts: list[str], w: Weights, batch: int) -> dict[int, list[tuple[int, int, int, float]]]:
+    """The spans of every text that holds any."""
+    found: dict[int, list[tuple[int, int, int, float]]] = {}
+    todo = [(d, k, m) for d, t in enumerate(texts) for k, m in _runs(window_starts(t))]
+    own = True
+    while todo:
+        grown, part, size = [], [], 0
+        for i, run in enumerate(todo):
+            part.append(run)
+            size += run[2]
+            if size >= RUN_WINDOWS or i + 1 == len(todo):
+                grown += _decode_runs(texts, part, w, batch, found, own)
+                part, size = [], 0
+        todo, own = list(dict.fromkeys(grown)), False
+    return found
+
+
+def all_spans(texts: list[str], w: Weights, batch: int = 512) -> list[tuple[list[Span], list[Span]]]:
+    """For each text its base spans, and all spans (base and added), by kind and then start."""
+    base = [base_spans(t) for t in texts]
+    found = _tagged(texts, w, batch)
     out = []
     for d, spans in enumerate(base):
         taken = sorted((a, b) for _, a, b in spans)

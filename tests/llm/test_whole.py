@@ -35,3 +35,17 @@ def test_index_serves_no_lower_threshold():
     index = d.build_index([(1, prose(1, 20), prose(2, 5))])
     with pytest.raises(ValueError, match="threshold"):
         d.search(index, np.zeros(1, np.uint64), np.zeros(1, np.int64), 0.1)
+
+
+def test_personal_data_of_any_length_at_any_offset():
+    from corvid.llm import pii
+
+    w = pii.tagger()
+    before, after = prose(90, 60)[:200], prose(91, 20)
+    for span in ("anna.schmidt (at) lists.example (dot) org", "firstname.lastname (at) department.university (dot) edu", "maria.fernanda.gonzalez (at) informatik.department.university (dot) example (dot) edu"):
+        for offset in range(32):
+            start = before[: 100 + offset]
+            text = f"{start} {span} {after}"
+            assert ("email", len(start) + 1, len(start) + 1 + len(span)) in pii.all_spans([text], w)[0][1], (span, offset)
+            assert pii.mask(text, pii.all_spans([text], w)[0][1]) == f"{start} <EMAIL> {after}"
+    assert pii.all_spans([prose(92, 3000), ""], w) == [([], []), ([], [])]
