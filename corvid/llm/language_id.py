@@ -2,8 +2,9 @@
 
 The posterior of a document's language combines four kinds of evidence:
 
-* the text: hashed byte-trigram likelihoods, fitted on a bounded sample of rows that declare a
-  language (``FIT_ROWS`` rows, ``FIT_CHARS`` characters of each), tempered to ``EFFECTIVE`` trigrams;
+* the text: hashed byte-trigram likelihoods of every language that any row declares, fitted on a bounded
+  sample of each (its share of ``FIT_ROWS`` rows, at least ``FIT_LEAST``; ``FIT_CHARS`` characters of
+  each row), tempered to ``EFFECTIVE`` trigrams;
 * the declared language (markup attribute or column), whose reliability is counted over all rows;
 * the address suffix (what follows the last dot of the host), counted over all rows;
 * the host: its counts over all rows, smoothed towards its suffix, and that towards the whole corpus.
@@ -22,13 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvid.llm.common import cut, lower_ascii, pieces, table, text_bytes
 
-FIT_ROWS, FIT_CHARS = 1500, 2000
+FIT_ROWS, FIT_LEAST, FIT_CHARS = 1500, 100, 2000
 BUCKETS = 1 << 15
 EFFECTIVE = 60.0
 #: Weights of the layers of the host prior, in documents.
@@ -89,13 +90,17 @@ class LanguageFusion:
         self.evidence = self._evidence() if self.langs else None
 
     def _sample(self) -> list:
-        """FIT_ROWS distinct rows (d, t) of least hash.  The hash's range is narrowed first, so that all tasks together send about 2 * FIT_ROWS rows to the driver."""
+        """Distinct rows (d, t) of least hash for every declared language.  The hash's range is narrowed first, so that all tasks together send about twice the sample on."""
         rows = self.docs.select(F.col(f"`{self.declared}`").cast("string").alias("d"), F.substring(F.col(f"`{self.text}`"), 1, FIT_CHARS).alias("t"))
         rows = rows.filter("length(trim(d)) > 0 AND length(t) > 2").withColumn("h", F.xxhash64("d", "t"))
-        texts = rows.agg(F.approx_count_distinct("h")).first()[0]
-        if texts > 2 * FIT_ROWS:
-            rows = rows.filter(F.col("h") < int(2 * FIT_ROWS / texts * 2.0**64) - 2**63)
-        return rows.distinct().orderBy("h", "d", "t").limit(FIT_ROWS).collect()
+        texts = {r["d"]: r["n"] for r in rows.groupBy("d").agg(F.approx_count_distinct("h").alias("n")).collect()}
+        if not texts:
+            return []
+        total = sum(texts.values())
+        quota = {d: max(FIT_LEAST, round(FIT_ROWS * n / total)) for d, n in texts.items()}
+        limits = [(d, q, int(2 * q / texts[d] * 2.0**64) - 2**63 if texts[d] > 2 * q else 2**63 - 1) for d, q in quota.items()]
+        some = rows.join(F.broadcast(self.docs.sparkSession.createDataFrame(limits, "d string, quota long, below long")), "d").filter("h <= below").select("d", "t", "h", "quota").distinct()
+        return some.withColumn("k", F.row_number().over(Window.partitionBy("d").orderBy("h", "t"))).filter("k <= quota").select("d", "t").collect()
 
     def _with_keys(self, df: DataFrame) -> DataFrame:
         col = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if c else F.lit("")

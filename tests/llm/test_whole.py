@@ -49,3 +49,15 @@ def test_personal_data_of_any_length_at_any_offset():
             assert ("email", len(start) + 1, len(start) + 1 + len(span)) in pii.all_spans([text], w)[0][1], (span, offset)
             assert pii.mask(text, pii.all_spans([text], w)[0][1]) == f"{start} <EMAIL> {after}"
     assert pii.all_spans([prose(92, 3000), ""], w) == [([], []), ([], [])]
+
+
+def test_every_declared_language_has_a_table(spark):
+    from corvid.llm.language_id import LanguageFusion
+
+    rare = ["fi", "eu", "cy", "mt", "ga"]
+    rows = [(k, f"the words of row {k} are these and no others", "en") for k in range(6000)] + [(6000 + k, f"{x}zq " * 40, x) for k, x in enumerate(rare)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fusion = LanguageFusion(docs, host=None)
+    assert fusion.langs == sorted([*rare, "en"])
+    got = {r["doc_id"]: r["language"] for r in fusion.score(docs, ["doc_id"]).filter("doc_id >= 6000").collect()}
+    assert got == {6000 + k: x for k, x in enumerate(rare)}
