@@ -547,6 +547,19 @@ def block_duplicates(spark, d):
     return tx.duplicates_in_blocks(docs, "doc_id", ["lang", "n_chars"]).withColumn("jaccard", F.round("jaccard", 6))
 
 
+_SETS = """
+w AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, lang, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')))) AS s FROM w),
+r AS (SELECT doc_id, lang, s, min(doc_id) OVER (PARTITION BY lang, s) AS r FROM s WHERE len(s) > 0),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.s, b.s)) AS same, len(a.s) + len(b.s) AS total FROM r a JOIN r b ON a.lang IS NOT DISTINCT FROM b.lang AND a.doc_id < b.doc_id WHERE a.doc_id = a.r AND b.doc_id = b.r)"""
+
+
+@_query("SELECT a, b, round(same / (total - same), 6) AS jaccard FROM p WHERE same / (total - same) >= 0.8 UNION ALL SELECT r, doc_id, 1.0 FROM r WHERE doc_id > r", _SETS)
+def near_duplicates(spark, d):
+    docs = src.table(spark, d, "documents").select("doc_id", "lang", "text")
+    return tx.near_duplicates(docs, "doc_id", ["lang"]).withColumn("jaccard", F.round("jaccard", 6))
+
+
 @_query(
     "SELECT page_id, count(*) AS links, count_if(h NOT IN (SELECT regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) FROM pages)) AS broken FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS h FROM pages) GROUP BY 1"
 )
