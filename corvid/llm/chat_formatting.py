@@ -34,8 +34,6 @@ from corvid.llm.common import cut, only, pieces, table
 Schema = dict[str, dict[str, tuple[str, bool]]]
 DEFAULT_SCHEMAS: Schema = {"search": {"query": ("string", True), "limit": ("integer", False)}, "fetch": {"url": ("string", True)}, "calculate": {"expression": ("string", True)}}
 _TYPES: dict[str, tuple[type, ...]] = {"string": (str,), "integer": (int,), "number": (int, float), "boolean": (bool,), "array": (list,), "object": (dict,)}
-#: Longest chain of references that is followed.
-MOST_ROUNDS = 64
 ITEMS = "conv_id long, turn long, item int, role string, kind string, call_id string, refs array<string>, valid boolean, json string"
 
 
@@ -130,10 +128,10 @@ def format_chats(conversations: DataFrame, schemas: Schema | None = None) -> Dat
     open_ = cut(links.select("conv_id", "call_id", turn.alias("own"), F.coalesce("result_turn", turn).alias("ends")))
     waits = refs.groupBy("conv_id", "call_id").agg(F.count("*").alias("needs"))
     placed = cut(open_.join(waits, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.col("own").alias("order_turn"), F.greatest("own", "ends").alias("done"), F.lit(0).alias("level")))
-    rest = refs.join(placed, ["conv_id", "call_id"], "left_anti")
-    for level in range(1, MOST_ROUNDS + 1):
-        if rest.isEmpty():
-            break
+    rest = cut(refs.join(placed, ["conv_id", "call_id"], "left_anti"))
+    level = 0
+    while not rest.isEmpty():  # what is left when a round places no call is on a cycle, or refers to one
+        level += 1
         met = rest.join(placed.select("conv_id", F.col("call_id").alias("ref"), "done"), ["conv_id", "ref"]).groupBy("conv_id", "call_id").agg(F.count("*").alias("have"), F.max("done").alias("after"))
         ready = met.join(waits.filter("needs > 0"), ["conv_id", "call_id"]).filter("have = needs").join(open_, ["conv_id", "call_id"])
         ready = ready.select("conv_id", "call_id", F.greatest("own", "after").alias("order_turn"), F.greatest("own", "after", "ends").alias("done"), F.lit(level).alias("level"))
@@ -141,7 +139,7 @@ def format_chats(conversations: DataFrame, schemas: Schema | None = None) -> Dat
         if more.isEmpty():
             break
         placed = cut(placed.union(more))
-        rest = rest.join(more.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
+        rest = cut(rest.join(more.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"))
     state = links.select("conv_id", "call_id", "first", "n_calls", F.coalesce("n_results", F.lit(0)).alias("n_results")).join(placed, ["conv_id", "call_id"], "left")
 
     first_here = (F.col("first.turn") == F.col("turn")) & (F.col("first.item") == F.col("item"))

@@ -22,6 +22,9 @@ DOWN = ["defines", "contains", "touches", "modifies", "mentions", "logged_in", "
 UP = ["delivers", "records", "arose_in", "affects", "guards", "covers", "verifies", "flags", "cites", "introduced_by", "violates", "classified_as", "specified_by"]
 CODE_UP = ["calls", "imports", "inherits", "implements", "uses", "references", "maps_to"]
 
+#: Rounds of a walk after which its parts are written as one.
+COMPACT = 16
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a walk's state in the shared checkpoint folder."""
@@ -101,16 +104,27 @@ def reach(edges: DataFrame, origins: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def closure(edges: DataFrame, depth: int = 64) -> DataFrame:
-    """[G10] (source, target) of every directed path; pairs (x, x) only on cycles."""
+def closure(edges: DataFrame, depth: int = 8) -> DataFrame:
+    """[G10] (source, target) of every directed path, of any length; pairs (x, x) only on cycles.
+
+    The first ``depth`` rounds add an edge each; after them the length of the paths doubles in each
+    round, until a round finds no new pair.
+    """
     step = cut(edges.select("source", "target").distinct())
     seen = front = step
+
+    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.join(b.select(F.col("source").alias("target"), F.col("target").alias("next")), "target").select("source", F.col("next").alias("target"))
+
     for _ in range(depth):
-        new = front.join(step.select(F.col("source").alias("target"), F.col("target").alias("next")), "target").select("source", F.col("next").alias("target")).distinct()
-        front = cut(new.join(seen, ["source", "target"], "left_anti"))
+        front = cut(joined(front, step).distinct().join(seen, ["source", "target"], "left_anti"))
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(front)
+    front = seen = cut(seen)
+    while not front.isEmpty():
+        front = cut(joined(front, seen).unionByName(joined(seen, front)).distinct().join(seen, ["source", "target"], "left_anti"))
+        seen = cut(seen.unionByName(front))
     return seen
 
 
@@ -122,28 +136,33 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return least.groupBy("component").agg(F.count("*").alias("size"), F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), ",").alias("members"))
 
 
-def trace(nodes: DataFrame, edges: DataFrame, start: str, end: str, most: int = 32) -> DataFrame:
+def trace(nodes: DataFrame, edges: DataFrame, start: str, end: str) -> DataFrame:
     """[G1] Hops of one shortest path, edges taken either way.
 
     A node's parent is the least neighbour of the level before, so that the path is the same in every
-    run.  The walk ends when the end is met; parents are then read back from the end, one row a level.
+    run.  The walk ends when the end is met or nothing is left to visit; parents are then read back from the end, one row a level.
     """
     links = both_ways(edges)
     seen = cut(nodes.filter(F.col("id") == start).select("id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("hops")))
-    front, met = seen, start == end
-    for d in range(1, most + 1):
-        if met or front.isEmpty():
-            break
+    front, met, d = seen, start == end, 0
+    while not (met or front.isEmpty()):
+        d += 1
         new = front.select(F.col("id").alias("a")).join(links, "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
         front = cut(new.join(seen, "id", "left_anti").withColumn("hops", F.lit(d)))
         seen = seen.unionByName(front)
+        if d % COMPACT == 0:
+            seen = cut(seen)
         met = not front.filter(F.col("id") == end).isEmpty()
     seen = cut(seen)
     path = step = seen.filter(F.col("id") == end)
-    for _ in range(d if start != end else 0):
+    if not met:
+        return path.limit(0)
+    for k in range(1, d + 1):
         step = cut(seen.join(F.broadcast(step.select(F.col("parent").alias("id"))), "id", "left_semi"))
         path = path.unionByName(step)
-    return path.distinct() if met else path.limit(0)
+        if k % COMPACT == 0:
+            path = cut(path)
+    return path.distinct()
 
 
 def flow_edges(edges: DataFrame, code: bool = False) -> DataFrame:
