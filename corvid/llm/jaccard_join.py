@@ -279,9 +279,8 @@ def link_points(docs: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
     return labels
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
-    docs = only(docs, {"doc_id": "long", "text": "string"})
+def _labelled(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, n, point and the component's label for every row, and the seed of the points."""
     for seed in range(8):
         rows = cut(_points_and_sketch(docs, seed))
         points = rows.filter("block IS NULL").select("doc_id", "n", "point", "check")
@@ -289,20 +288,50 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         if points.filter("n > 0").groupBy("point").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo <> hi").isEmpty():
             break
     labels = link_points(docs, _sketch(rows), seed)
-    named = points.join(labels.withColumnRenamed("node", "point"), "point", "left").withColumn("label", F.coalesce("label", "point"))
+    return points.join(labels.withColumnRenamed("node", "point"), "point", "left").select("doc_id", "n", "point", F.coalesce("label", "point").alias("label")), seed
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
+    named, _ = _labelled(only(docs, {"doc_id": "long", "text": "string"}))
     least = named.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _with_points(docs: DataFrame, seed: int) -> DataFrame:
+    """``docs`` with the id (_id), number of shingles (_n) and point (_point) of each row."""
+    pair = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            at = 0
+            for ids, n, point, _, _, _ in _batches(iter([batch.select(["doc_id", "text"])]), seed):
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, len(n)), ids, pa.array(n, pa.int64()), pa.array(point)], names=["row", "_id", "_n", "_point"])
+                at += len(n)
+
+    return pair.mapInArrow(run, pair.select("row").schema.add("_id", "long").add("_n", "long").add("_point", "long"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, one row of each component: that with the least id.  Rows without an id stay."""
-    found = cut(jaccard_components(docs))
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
-    repeated = not keep.groupBy("_keep").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-    rows = docs.join(keep, docs["doc_id"].cast("long") == keep["_keep"], "left_semi")
-    if repeated:
-        rows = rows.dropDuplicates(["doc_id"])
-    return rows.union(docs.filter("doc_id IS NULL"))
+    """The columns of ``docs``, one row of each component: that with the least id, and of equal ids that with the least point.
+
+    Rows of a component without any id count too, after those with one.  Texts without a word are in no
+    component: one row of each id stays, and all without an id.
+    """
+    named, seed = _labelled(only(docs, {"doc_id": "long", "text": "string"}))
+    found = cut(named)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "point")
+    words = found.filter("n > 0").groupBy("label").agg(F.min(order).alias("r")).select("r.doc_id", "r.point")
+    again = found.filter("n > 0 OR doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 OR doc_id IS NULL")
+    if again.isEmpty():  # an id tells the row
+        keep = words.select("doc_id").union(found.filter("n = 0").select("doc_id")).select(F.col("doc_id").alias("_keep"))
+        return docs.join(keep, docs["doc_id"].cast("long") == keep["_keep"], "left_semi").union(docs.filter("doc_id IS NULL"))
+    rows = _with_points(docs, seed)
+    keep = words.toDF("_keep", "_kept")
+    first = rows.filter("_n > 0").join(keep, rows["_id"].eqNullSafe(keep["_keep"]) & (rows["_point"] == keep["_kept"]), "left_semi").dropDuplicates(["_id", "_point"])
+    rest = rows.filter("_n = 0 AND _id IS NOT NULL").dropDuplicates(["_id"])
+    out = first.unionByName(rest).unionByName(rows.filter("_n = 0 AND _id IS NULL"))
+    return out.select("row.*")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,3 +95,14 @@ def test_long_chains(spark):
     text = '{"tool_calls":[' + ",".join([call(k, k - 1 if k else None) for k in range(n)] + [call(900, 901), call(901, 900)]) + "]}"
     out = {r["call_id"]: (r["status"], r["order_level"]) for r in format_chats(spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")).collect()}
     assert out == {f"c{k}": ("unanswered_call", 2 * k) for k in range(n)} | {"c900": ("cyclic_call", 0), "c901": ("cyclic_call", 0)}
+
+
+def test_one_row_of_each_component_with_repeated_ids(spark):
+    from corvid.llm.jaccard_join import one_of_each
+
+    a, b, c, d = (prose(700 + k, 60) for k in range(4))
+    rows = [(1, a), (2, b), (2, c), (3, d), (3, a), (None, d), (None, "gone " + b), (4, ""), (4, ""), (None, None)]
+    rows += [(None, prose(710, 50))] * 3
+    kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(1, a), (2, b), (2, c), (3, d), (4, ""), (None, None), (None, prose(710, 50))]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
