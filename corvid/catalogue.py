@@ -614,6 +614,23 @@ def symmetric_difference(spark, d):
     return a.join(b, "rule_id", "left_anti").withColumn("side", F.lit("a")).unionByName(b.join(a, "rule_id", "left_anti").withColumn("side", F.lit("b")))
 
 
+@_query("SELECT title, CASE WHEN bool_or(repo_id IN ('repo0', 'repo1')) THEN 'a' ELSE 'b' END AS side FROM f GROUP BY 1 HAVING count(DISTINCT repo_id IN ('repo0', 'repo1')) = 1", _FINDINGS)
+def symmetric_difference_all(spark, d):
+    f = src.findings(spark, d).select("title", F.col("repo_id").isin("repo0", "repo1").alias("first"))
+    a, b = (f.filter(F.col("first") == k).select("title").distinct() for k in (True, False))
+    return a.join(b, "title", "left_anti").withColumn("side", F.lit("a")).unionByName(b.join(a, "title", "left_anti").withColumn("side", F.lit("b")))
+
+
+@_query(
+    "SELECT title, least(na, nb) AS matched, na - least(na, nb) AS only_a, nb - least(na, nb) AS only_b FROM (SELECT title, count_if(repo_id IN ('repo0', 'repo1')) AS na, count_if(repo_id NOT IN ('repo0', 'repo1')) AS nb FROM f GROUP BY ALL)",
+    _FINDINGS,
+)
+def ab_compare_all(spark, d):
+    f = src.findings(spark, d)
+    first = F.col("repo_id").isin("repo0", "repo1")
+    return fi.match_exact(f.filter(first), f.filter(~first), ["title"])
+
+
 @_query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_brand WHEN p_partkey % 3 = 0 THEN p_type ELSE p_name END AS target, CASE WHEN p_partkey % 4 = 0 THEN 0 WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END AS rank FROM part")
 def cascade_resolution(spark, d):
     p = src.table(spark, d, "part")
@@ -632,6 +649,11 @@ def cwe_normalise(spark, d):
     return spark.createDataFrame(rows, "text_id int, t string").select("text_id", F.array_join(cwe_ids(F.col("t")), ",").alias("ids"))
 
 
+@_query("SELECT seq, 'CWE-' || CAST(regexp_extract(title, '([0-9]+)$', 1) AS BIGINT) AS ids FROM f", _FINDINGS)
+def cwe_normalise_all(spark, d):
+    return src.findings(spark, d).select("seq", F.array_join(cwe_ids(F.col("title")), ",").alias("ids"))
+
+
 @_query("SELECT path FROM f WHERE regexp_matches(path, '^d[0-3]/f[^/]*\\.py$') GROUP BY 1", _FINDINGS)
 def gate_paths(spark, d):
     pattern = "|".join(gate_glob(f"**/d{k}/f*.py") for k in range(4))

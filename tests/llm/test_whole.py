@@ -106,3 +106,12 @@ def test_one_row_of_each_component_with_repeated_ids(spark):
     kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     want = [(1, a), (2, b), (2, c), (3, d), (4, ""), (None, None), (None, prose(710, 50))]
     assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+
+
+def test_comparisons_cover_every_row(spark):
+    from corvid import catalogue
+    from corvid.sources import tables as src
+
+    d = "/root/testdata/sf0.001"
+    got = catalogue.QUERIES["ab_compare_all"](spark, d).selectExpr("sum(2 * matched + only_a + only_b)").first()[0]
+    assert got == src.findings(spark, d).count() == catalogue.QUERIES["cwe_normalise_all"](spark, d).count()
