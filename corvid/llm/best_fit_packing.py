@@ -32,6 +32,8 @@ CAPACITY = 2048
 END = np.array([0], "<u4").tobytes()
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
+#: The tokenizer's special token.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", np.array([50256], "<u4")
 #: Words that a worker remembers before it starts afresh.
 MEMO = 1_000_000
 _TWO_SPACES = re.compile(r"\s\s")
@@ -49,8 +51,9 @@ class Encoder:
     other characters always begins a split of its own; so the ids of a text without adjacent white
     space are those of its words, each with its leading space, and of its line feeds.  The distinct
     words of a batch are encoded together, one to a line, and laid out by numpy; texts with adjacent
-    white space are encoded whole.  The ranks file holds the same vocabulary as the tokenizer file; a
-    test compares their ids.
+    white space, or with the tokenizer's special token, are encoded whole.  The ranks file holds the
+    same vocabulary as the tokenizer file, which turns the special token's string into its id wherever
+    it stands; a test compares their ids.
     """
 
     def __init__(self, path: str) -> None:
@@ -66,12 +69,13 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        #: Place of each known word, by its hash; and the known words' ids, in the order they came.
-        self.known: dict[int, int] = {}
+        #: Place of each known word; and the known words' ids, in the order they came.
+        self.known: dict[bytes, int] = {}
         self.ids, self.begin, self.length = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.enc.encode_ordinary(text), "<u4")
+        parts = [np.array(self.enc.encode_ordinary(x), "<u4") for x in text.split(SPECIAL)]
+        return np.concatenate([x for p in parts for x in (SPECIAL_ID, p)][1:])
 
     def words(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the units laid end to end, and the n + 1 places where they begin."""
@@ -105,13 +109,13 @@ class Encoder:
             _, some, which = np.unique(h, return_index=True, return_inverse=True)
             if len(self.known) > MEMO:
                 self.forget()
-            hashes = h[some].tolist()
-            new = [i for i, x in enumerate(hashes) if x not in self.known]
+            units = [data[a:b].tobytes() for a, b in zip(s[some].tolist(), e[some].tolist(), strict=True)]
+            new = [u for u in units if u not in self.known]
             if new:
-                ids, (begin, length) = self.words([data[a:b].tobytes() for a, b in zip(s[some[new]].tolist(), e[some[new]].tolist(), strict=True)])
-                self.known.update((hashes[i], len(self.begin) + k) for k, i in enumerate(new))
+                ids, (begin, length) = self.words(new)
+                self.known.update((u, len(self.begin) + k) for k, u in enumerate(new))
                 self.begin, self.length, self.ids = np.append(self.begin, begin + len(self.ids)), np.append(self.length, length), np.append(self.ids, ids)
-            place = np.array([self.known[x] for x in hashes], np.int64)[which]
+            place = np.array([self.known[x] for x in units], np.int64)[which]
             n = self.length[place]
             total = np.concatenate([[0], np.cumsum(n)])
             laid = self.ids[np.repeat(self.begin[place] - total[:-1], n) + np.arange(total[-1])]
@@ -121,7 +125,8 @@ class Encoder:
         space = _SPACE[data]
         doubt = np.flatnonzero((space[:-1] & space[1:]) | _WIDE[data[:-1]])
         doubt = np.diff(np.searchsorted(doubt, off)) > 0
-        return [(self.whole(t) if d and _TWO_SPACES.search(t) else laid[a:b]).tobytes() for t, d, a, b in zip(texts, doubt.tolist(), bounds[:-1], bounds[1:], strict=True)]
+        special = SPECIAL.encode() in data.tobytes()
+        return [(self.whole(t) if (d and _TWO_SPACES.search(t)) or (special and SPECIAL in t) else laid[a:b]).tobytes() for t, d, a, b in zip(texts, doubt.tolist(), bounds[:-1], bounds[1:], strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,11 +13,33 @@ from pyspark.sql import functions as F
 from corvid.llm.common import mix
 
 BLOCKS = 64
+SHARE = "block int, part binary"
 
 
-def _either(part: pd.DataFrame) -> pd.DataFrame:
-    total = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in part["bits"]])
-    return pd.DataFrame({"block": part["block"].iloc[:1], "bits": [total.tobytes()]})
+def merge_shares(shares: DataFrame, dtype: type, reduce: Callable[[list[np.ndarray]], np.ndarray]) -> np.ndarray:
+    """One array from the tasks' shares of its blocks: rows (block, part), ``part`` a compressed array of ``dtype``.
+
+    Shares meet block by block in two steps, so that no task reads those of all tasks; the driver gets
+    ``BLOCKS`` rows, whatever the input.
+    """
+
+    def join(part: pa.Table) -> pa.Table:
+        total = reduce([np.frombuffer(zlib.decompress(x.as_buffer()), dtype) for x in part.column("part")])
+        return pa.table({"block": part.column("block").slice(0, 1), "part": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    salted = shares.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(16)))
+    half = salted.groupBy("block", "salt").applyInArrow(lambda x: join(x), SHARE)
+    rows = half.groupBy("block").applyInArrow(lambda x: join(x), SHARE).collect()
+    parts = {r["block"]: np.frombuffer(zlib.decompress(bytes(r["part"])), dtype) for r in rows}
+    empty = np.zeros_like(next(iter(parts.values()))) if parts else np.zeros(0, dtype)
+    return np.concatenate([parts.get(k, empty) for k in range(BLOCKS)])
+
+
+def share_rows(total: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """A task's blocks that have something, compressed: where a task has few rows, most of it is zeros."""
+    part = total.reshape(BLOCKS, -1)
+    some = np.flatnonzero(part.any(1))
+    return pa.array(some, pa.int32()), pa.array([zlib.compress(part[k].tobytes(), 1) for k in some], pa.binary())
 
 
 def _place(h: np.ndarray, bits: int) -> np.ndarray:
@@ -25,29 +47,19 @@ def _place(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bits_of(keys: DataFrame, columns: str | list[str], bits: int, key: Callable[..., np.ndarray] | None = None) -> np.ndarray:
-    """A packed bit set of 2 ** ``bits`` bits.  The long columns are hashed by ``key`` (default: one column, mixed).
-
-    Tasks' shares are joined block by block in two steps; what reaches the driver is the bit set
-    alone, whatever the number of keys.
-    """
+    """A packed bit set of 2 ** ``bits`` bits.  The long columns are hashed by ``key`` (default: one column, mixed)."""
     columns = [columns] if isinstance(columns, str) else columns
     key = key or (lambda x: mix(x.view(np.uint64).copy()))
-    per = (1 << bits) // BLOCKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.zeros(1 << bits, bool)
+        have = np.zeros(1 << (bits - 3), np.uint8)
         for batch in batches:
-            have[_place(key(*(np.asarray(c) for c in batch.columns)), bits)] = True
-        part = have.reshape(BLOCKS, per)
-        some = np.flatnonzero(part.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([np.packbits(part[k]).tobytes() for k in some], pa.binary())], names=["block", "bits"])
-
-    shares = keys.select(*columns).mapInArrow(run, "block int, bits binary").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(16)))
-    joined = shares.groupBy("block", "salt").applyInPandas(_either, "block int, bits binary").groupBy("block").applyInPandas(_either, "block int, bits binary")
-    out = np.zeros((BLOCKS, per // 8), np.uint8)
-    for r in joined.toLocalIterator():
-        out[r["block"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out.ravel()
+            at = _place(key(*(np.asarray(c) for c in batch.columns)), bits)
+            np.bitwise_or.at(have, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays(list(share_rows(have)), names=["block", "part"])
+
+    out = merge_shares(keys.select(*columns).mapInArrow(run, SHARE), np.uint8, np.bitwise_or.reduce)
+    return out if len(out) else np.zeros(1 << (bits - 3), np.uint8)
 
 
 def test_bits(packed: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder: like ``cut``, but columns can be read one by one."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def only(df: DataFrame, spec: dict[str, str]) -> DataFrame:
     """The named columns, cast to the given types; all others (clashing names included) are left out."""
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in spec.items()])
@@ -63,30 +73,6 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[off[0] : off[-1]], off - off[0]
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-#: One random 64-bit value for each byte, from a fixed seed.
-_BYTE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; kept for the next call."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        have = _POWERS[base] = _powers(base, max(n, 1 << 16))
-    return have[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit hashes (in place)."""
     h ^= h >> np.uint64(31)
@@ -97,21 +83,31 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """P with P[j] - P[i] the polynomial sum of data[i:j], still scaled by base ** i."""
-    out = np.empty(len(data) + 1, np.uint64)
-    out[0] = 0
-    np.multiply(_BYTE[data], powers(_BASE, len(data)), out=out[1:])
-    np.cumsum(out[1:], out=out[1:])
-    return out
-
-
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
-    """64-bit hashes of data[start:end]; equal bytes have equal hashes wherever they stand."""
-    p = prefix_sums(data) if prefix is None else prefix
-    h = (p[end] - p[start]) * powers(_BASE_INV, len(data) + 1)[start]
-    h += (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(h)
+#: Masks that keep the first 0 .. 8 bytes of a little-endian word.
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+#: Longer spans are digested one by one.
+_LONG_SPAN = 4096
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end]; equal bytes have equal hashes wherever they stand.
+
+    Eight bytes at a time are mixed into the hash.  The mixing is not linear, so there are no texts
+    that collide by their form, as under polynomial hashes modulo 2 ** 64.
+    """
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    size = end - start
+    h = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    long = np.flatnonzero(size > _LONG_SPAN)
+    left = np.flatnonzero((size > 0) & (size <= _LONG_SPAN))
+    at = 0
+    while len(left):
+        h[left] = mix(h[left] * np.uint64(0x9FB21C651E98DF25) + (eight[start[left] + at] & _FIRST_BYTES[np.minimum(size[left] - at, 8)]))
+        at += 8
+        left = left[size[left] > at]
+    for k in long.tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 _SEP = np.zeros(256, bool)

@@ -1,22 +1,31 @@
 """N-gram Jaccard join in the Jaccard metric space (operator 9).
 
 A document is the set of its distinct 4-word shingles; two link when their Jaccard distance is at
-most ``EPS`` = 0.15.  Most documents lie at distance 1 from each other, so the join works in levels:
-
-1. Exact copies collapse to one point (a 128-bit digest of the set), by pre-aggregated counts.
-2. The first pivots are the one-shingle sets.  A document is nearest to those of its own shingles,
-   and their order (rarest first, by a constant-size count sketch of all shingles) breaks the tie:
-   its Voronoi cell is its least shingle.  By the triangle inequality a partner within EPS can have
-   its own least shingle only among the document's first |A| - ceil(0.85 |A|) + 1, so the document is
-   replicated into the cells of just those.
-3. Inside a cell the pivots are documents.  Every member's exact distance to its cell's pivot is
-   computed; those within EPS link to it; a member y within EPS of the pivot stays for the others
-   only if some member z outside has d(z) <= d(y) + EPS.  What stays is joined recursively with a new
-   pivot; cells whose members are already one component, or that have no one left, end.  Cells that
-   are small, or left after ``LEVELS`` levels, are finished by their remaining pairs.  Sizes and
-   parity bitmaps bound every distance from below first; only pairs that they leave have their sets
-   fetched and their exact distance computed.
-4. Linked points form components by large-star and small-star steps.
+most ``EPS`` = 0.15.  Exact copies are one point (a digest of the set).  The points are divided by
+pivots, region by region, until no region is left that could hold an unknown link:
+
+1. Most documents lie at distance 1 from each other and so from any document that served as a pivot.
+   The first pivots are therefore the one-shingle sets: a set of n shingles is at distance 1 - 1/n
+   from those of its own shingles and at distance 1 from all others.  A fixed order of the shingles
+   (rarest first by a count sketch, then by hash) breaks the tie: its home is its least shingle.  By
+   the triangle inequality two points within EPS meet in the region of their first common shingle,
+   whose place in the larger set is at most n - 0.85 n and in the smaller one at most n - 170/185 n:
+   the larger one is replicated into the regions of that window, the smaller one into those of the
+   narrower window.  Regions are divided again by size, as sets within EPS differ in size by 0.85 at
+   most.  Regions with a single point end.
+2. One member of each region is its first pivot; members within EPS are linked to it, and regions
+   whose members are all of one component end.
+3. Regions of at most ``SMALL`` points are joined; sizes, places of the shingle and parity bitmaps
+   bound each distance from below, and what they leave is measured exactly.
+4. Larger ones get pivots among their own points, 4 at first and twice as many each level.  Exact
+   distances make the Voronoi regions of these pivots, each point goes to its nearest one and, as a
+   guest, to every other whose distance is at most 2 EPS more: two points within EPS meet in both
+   homes.  A region that this would double is kept whole instead.  All links of the pivots are known
+   then and they leave, so the recursion ends for any data, at the latest when all points have
+   been pivots.
+
+Linked points form components by large-star and small-star steps.  Shingles and points are told apart
+by 64-bit hashes; a second digest finds points that share one, and then all hashes are made anew.
 
 Defined cases: null, empty and wordless texts have no shingles and link with nothing; a text of
 fewer than four words is one shingle; repeated rows are copies; rows with a null id take part and
@@ -26,30 +35,30 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvid.llm.bits import bits_of, test_bits
-from corvid.llm.common import cut, lower_ascii, mix, only, pieces, span_hashes, table, text_bytes, window_hashes, words_of
+from corvid.llm.bits import SHARE, bits_of, merge_shares, share_rows, test_bits
+from corvid.llm.common import cut, lower_ascii, mix, only, pieces, span_hashes, table, text_bytes, window_hashes, words_of, written
 from corvid.llm.graph import components
 
 WORDS = 4
 #: Two sets link when SAME * union <= 100 * intersection.
 SAME = 85
 EPS = 0.15
-#: Counters of the frequency sketch, in blocks; bits of the filters of candidate points and of shared cells.
-SKETCH_BITS, SKETCH_BLOCKS = 18, 64
+#: Counters of the frequency sketch; bits of the filters of candidate points and of shared regions.
+SKETCH_BITS = 20
 FILTER_BITS, CELL_BITS = 24, 25
 #: Bits of a point's parity bitmap (256 bytes).
 PARITY_BITS = 2048
-#: Cells of at most this many points are finished by their pairs; levels of pivots before that.
-SMALL, LEVELS = 48, 3
+#: Regions of at most this many points are joined without further pivots.
+SMALL = 48
+#: Pivots of a larger region at the first level.
+PIVOTS = 4
 
 
 def shingles(data: np.ndarray, off: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -92,104 +101,88 @@ def _point_ids(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _batches(batches: Iterator[pa.RecordBatch], seed: int):
     """doc_id, n, point digests, shingles and the rows' borders of each piece of the batches."""
-    for batch in pieces(batches, "text", 2 << 20):
+    for batch in pieces(batches, "text", 1 << 20):
         data, off = text_bytes(batch.column("text"))
         h, row = shingles(data, off, seed)
         first = np.searchsorted(row, np.arange(len(off)))
         yield batch.column("doc_id"), np.diff(first), *_point_ids(h, first), h, first
 
 
-def _pack(counts: np.ndarray) -> bytes:
-    """Counters, compressed: where a task has few rows, most of its 2 MB are zeros."""
-    return zlib.compress(counts.tobytes(), 1)
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw), np.int64)
-
-
 def _points_and_sketch(docs: DataFrame, seed: int) -> DataFrame:
-    """A row for each document, and rows (block, counts) of each task's share of the sketch."""
+    """A row for each document, and rows (block, part) of each task's share of the sketch."""
     size = 1 << SKETCH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "point", "check", "block", "counts"]
+        names = ["doc_id", "n", "point", "check", "block", "part"]
         counts = np.zeros(size, np.int64)
         for ids, n, a, b, h, _ in _batches(batches, seed):
-            counts += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
-            null = pa.nulls(len(n), pa.int32())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(a), pa.array(b), null, pa.nulls(len(n), pa.binary())], names=names)
-        part = counts.reshape(SKETCH_BLOCKS, -1)
-        some = np.flatnonzero(part.any(1))
-        null = pa.nulls(len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([null, null, null, null, pa.array(some, pa.int32()), pa.array([_pack(part[k]) for k in some], pa.binary())], names=names)
+            np.add.at(counts, (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
+        block, part = share_rows(counts)
+        null = pa.nulls(len(block), pa.int64())
+        yield pa.RecordBatch.from_arrays([null, null, null, null, block, part], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, point long, check long, block int, counts binary")
+    return docs.mapInArrow(run, f"doc_id long, n long, point long, check long, {SHARE}")
 
 
-def _add(part: pd.DataFrame) -> pd.DataFrame:
-    total = sum(_unpack(x) for x in part["counts"])
-    return pd.DataFrame({"block": part["block"].iloc[:1], "counts": [_pack(total)]})
+def _levels(rows: DataFrame) -> np.ndarray:
+    """How far the count of every bucket stands out (log2), by more than the spread of buckets that only hold rare shingles."""
+    counts = merge_shares(rows.filter("block IS NOT NULL").select("block", "part"), np.int64, lambda x: np.sum(x, axis=0))
+    if not len(counts):
+        return np.zeros(1 << SKETCH_BITS, np.uint8)
+    usual = float(np.median(counts))
+    return np.log2(np.maximum((counts - usual) / max(1.0, 2 * usual**0.5), 1)).astype(np.uint8)
 
 
-def _sketch(rows: DataFrame) -> np.ndarray:
-    """Estimated count of every bucket, as a level (log2); added up in two steps so that no task reads all tasks' shares."""
-    some = rows.filter("block IS NOT NULL").select("block", "counts").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
-    half = some.groupBy("block", "salt").applyInPandas(_add, "block int, counts binary")
-    out = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), np.int64)
-    for r in half.groupBy("block").applyInPandas(_add, "block int, counts binary").toLocalIterator():  # 2 MB in all, whatever the input
-        out[r["block"]] = _unpack(r["counts"])
-    return np.floor(np.log2(np.maximum(out.ravel(), 1))).astype(np.uint8)
+def _probes(n):
+    """How many of its first shingles a set of n may share first with a smaller or equal partner; ``_holds`` for a larger or equal one."""
+    return n - (SAME * n + 99) // 100 + 1
+
+
+def _holds(n: str, pos: str):
+    return F.lit(100 + SAME) * (F.col(n) - F.col(pos)) >= F.lit(2 * SAME) * F.col(n)
 
 
 def _cells(docs: DataFrame, levels: np.ndarray, seed: int, wanted: np.ndarray | None = None) -> DataFrame:
-    """(cell, point, n): every document in the cells of its first shingles, rarest first; only cells whose bit is in ``wanted``."""
-    shared = docs.sparkSession.sparkContext.broadcast((levels, wanted))  # 256 KB and 4 MB
+    """(cell, point, n, pos): every document in the regions of its first shingles; only those whose bit is in ``wanted``."""
+    shared = docs.sparkSession.sparkContext.broadcast((levels, wanted))  # 1 MB and 4 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, wanted = shared.value
-        levels = levels.astype(np.uint64)
         for _, n, a, _, h, first in _batches(batches, seed):
-            rank = (levels[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(58)) | (mix(h + np.uint64(seed + 1)) >> np.uint64(6))
+            rank = (levels[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mix(h + np.uint64(seed + 1)) >> np.uint64(6))
             row = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((rank, row))
-            take = n - (SAME * n + 99) // 100 + 1
-            chosen = order[(np.arange(len(h)) - first[row]) < take[row]]
+            pos = np.arange(len(h)) - first[row]
+            chosen = np.flatnonzero(pos < _probes(n)[row])
             if wanted is not None:
-                chosen = chosen[test_bits(wanted, mix(h[chosen]), CELL_BITS)]
+                chosen = chosen[test_bits(wanted, mix(h[order[chosen]]), CELL_BITS)]
             r = row[chosen]
-            yield pa.RecordBatch.from_arrays([pa.array(h[chosen].view(np.int64)), pa.array(a[r]), pa.array(n[r].astype(np.int32))], names=["cell", "point", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[order[chosen]].view(np.int64)), pa.array(a[r]), pa.array(n[r].astype(np.int32)), pa.array(pos[chosen].astype(np.int32))], names=["cell", "point", "n", "pos"])
 
-    return docs.mapInArrow(run, "cell long, point long, n int")
+    return docs.mapInArrow(run, "cell long, point long, n int, pos int")
 
 
 def _sets(docs: DataFrame, wanted: np.ndarray, seed: int) -> DataFrame:
-    """(point, items): the sorted shingles of the points whose bit is set, once each."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, a, _, h, first in _batches(batches, seed):
-            pick = np.flatnonzero(test_bits(shared.value, mix(a.view(np.uint64).copy()), FILTER_BITS) & (np.diff(first) > 0))
-            pick = pick[np.unique(a[pick], return_index=True)[1]]
-            items = [np.sort(h[first[k] : first[k + 1]]).tobytes() for k in pick]
-            yield pa.RecordBatch.from_arrays([pa.array(a[pick]), pa.array(items, pa.binary())], names=["point", "items"])
-
-    return docs.mapInArrow(run, "point long, items binary").dropDuplicates(["point"])
+    """(point, n, bits, items): a parity bitmap and the sorted shingles of the points whose bit is set, once each.
 
-
-def _bitmaps(docs: DataFrame, wanted: np.ndarray, seed: int) -> DataFrame:
-    """(point, n, bits): a parity bitmap of each wanted point's shingles.  Two sets differ in at least as many shingles as their bitmaps in bits."""
+    Two sets differ in at least as many shingles as their bitmaps in bits.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for _, n, a, _, h, first in _batches(batches, seed):
             pick = np.flatnonzero(test_bits(shared.value, mix(a.view(np.uint64).copy()), FILTER_BITS) & (n > 0))
             pick = pick[np.unique(a[pick], return_index=True)[1]]
+            pick = np.array([k for k in pick.tolist() if a[k] not in done], np.int64)
+            done.update(a[pick].tolist())
             place = (mix(h ^ np.uint64(0xC2B2AE3D27D4EB4F)) & np.uint64(PARITY_BITS - 1)).astype(np.int64)
             bits = [np.packbits(np.bincount(place[first[k] : first[k + 1]], minlength=PARITY_BITS) & 1).tobytes() for k in pick]
-            yield pa.RecordBatch.from_arrays([pa.array(a[pick]), pa.array(n[pick].astype(np.int64)), pa.array(bits, pa.binary())], names=["point", "n", "bits"])
+            items = [np.sort(h[first[k] : first[k + 1]]).tobytes() for k in pick]
+            yield pa.RecordBatch.from_arrays([pa.array(a[pick]), pa.array(n[pick].astype(np.int64)), pa.array(bits, pa.binary()), pa.array(items, pa.binary())], names=["point", "n", "bits", "items"])
 
-    return docs.mapInArrow(run, "point long, n long, bits binary").dropDuplicates(["point"])
+    return docs.mapInArrow(run, "point long, n long, bits binary, items binary").dropDuplicates(["point"])
 
 
 def _bounds(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -230,53 +223,92 @@ def _linked(over: DataFrame) -> DataFrame:
     return over.filter(F.lit(100) * F.col("same") >= F.lit(SAME) * F.col("either")).select("a", "b")
 
 
-def _may_link(n: str, m: str):
-    """Sizes that a pair within EPS can have."""
-    return F.lit(100) * F.least(n, m) >= F.lit(SAME) * F.greatest(n, m)
+def _may_link(left: str, right: str):
+    """Whether points of these aliases can be within EPS, meeting in their first common shingle: by size, role and place."""
+    n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
+    most = F.least(n - F.col(f"{left}.pos"), m - F.col(f"{right}.pos"))
+    roles = (F.col(f"{left}.holds") & (n <= m)) | (F.col(f"{right}.holds") & (m <= n))
+    return roles & (F.lit(100) * F.least(n, m) >= F.lit(SAME) * F.greatest(n, m)) & (F.lit(100 + SAME) * most >= F.lit(SAME) * (n + m))
+
+
+def _regions(docs: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
+    """(cell, point, n, pos, holds): the points of every shared region of a shingle and a size."""
+    held = _cells(docs, levels, seed).groupBy("cell").agg(F.min("point").alias("lo"), F.max("point").alias("hi"), F.max(_holds("n", "pos")).alias("any"))
+    shared = cut(held.filter("lo <> hi AND any").select("cell"))
+    rows = _cells(docs, levels, seed, bits_of(shared, "cell", CELL_BITS)).distinct().join(shared, "cell")
+    size = lambda n: F.floor(F.log(n) / np.log(100 / SAME)).cast("int")
+    sizes = F.sequence(size(F.ceil(F.col("n") * SAME / 100)), size(F.col("n")))
+    rows = rows.withColumn("size", F.explode(sizes)).withColumn("holds", _holds("n", "pos") & (F.col("size") == size(F.col("n"))))
+    return rows.select(F.xxhash64("cell", "size").alias("cell"), "point", "n", "pos", "holds")
+
+
+def _open(region: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``region`` with the labels so far and the number of members; only regions that may hold a link between two components."""
+    rows = region.drop("label", "members")
+    rows = rows.withColumn("label", F.col("point")) if labels is None else rows.join(labels.withColumnRenamed("node", "point"), "point", "left").withColumn("label", F.coalesce("label", "point"))
+    per = rows.groupBy("cell").agg(F.count("*").alias("members"), F.min("label").alias("l1"), F.max("label").alias("l2"), F.max("holds").alias("any"), F.max("home").alias("at_home"))
+    return rows.join(per.filter("l1 <> l2 AND any AND at_home").select("cell", "members"), "cell")
+
+
+class _Links:
+    """Measures pairs of points and keeps the components of the links found."""
+
+    def __init__(self, sets: DataFrame) -> None:
+        self.bitmaps, self.sets, self.labels = sets.select("point", "n", "bits"), sets.select("point", "items"), None
+
+    def add(self, links: DataFrame) -> None:
+        if self.labels is not None:  # the labels so far are stars that stand for all links before
+            if links.isEmpty():
+                return
+            links = self.labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links)
+        self.labels = cut(components(links))
+
+    def try_pairs(self, pairs: DataFrame) -> None:
+        near = cut(_bounds(pairs.distinct(), self.bitmaps).filter("near").select("a", "b"))
+        self.add(cut(_linked(_overlaps(near, self.sets))))
+
+    def distances(self, pairs: DataFrame) -> DataFrame:
+        over = cut(_overlaps(pairs.distinct(), self.sets))
+        self.add(_linked(over))
+        return over.select(F.col("a").alias("point"), F.col("b").alias("pivot"), (1 - F.col("same") / F.col("either")).alias("d"))
+
+
+def _divide(big: DataFrame, links: _Links, level: int) -> DataFrame:
+    """The Voronoi regions, with guests, of pivots of each region; regions that would double, or got no pivot, stay whole without their pivots."""
+    chosen = F.pmod(F.xxhash64("point", F.lit(level)), F.col("members")) < PIVOTS * 2**level
+    pivots = big.filter(chosen).select("cell", F.col("point").alias("pivot"))
+    rest = cut(big.filter(~chosen))
+    met = rest.select("cell", "point").join(pivots, "cell")
+    # Links between pivots are found as for any pair.
+    among = pivots.join(pivots.withColumnRenamed("pivot", "other"), "cell").filter("pivot < other")
+    d = links.distances(met.select(F.col("point").alias("a"), F.col("pivot").alias("b")).union(among.select("pivot", "other")))
+    at = Window.partitionBy("cell", "point")
+    placed = met.join(d, ["point", "pivot"]).withColumn("nearest", F.min(F.struct("d", "pivot")).over(at)).filter(F.col("d") <= F.col("nearest.d") + 2 * EPS + 1e-12)
+    placed = cut(placed.select("cell", "point", "pivot", (F.col("pivot") == F.col("nearest.pivot")).alias("near")))
+    split = placed.groupBy("cell").agg(F.count("*").alias("copies"), F.count(F.when(F.col("near"), 1)).alias("points")).filter("copies <= 2 * points AND copies > 0")
+    parts = rest.join(placed, ["cell", "point"]).join(split.select("cell"), "cell", "left_semi")
+    parts = parts.select(F.xxhash64("cell", "pivot").alias("cell"), "point", "n", "pos", "holds", (F.col("home") & F.col("near")).alias("home"))
+    return parts.union(rest.join(split.select("cell"), "cell", "left_anti").select("cell", "point", "n", "pos", "holds", "home"))
 
 
 def link_points(docs: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
     """(node, label) of the points that have a link."""
-    shared = cut(_cells(docs, levels, seed).groupBy("cell").agg(F.min("point").alias("lo"), F.max("point").alias("hi")).filter("lo <> hi").select("cell"))
-    region = cut(_cells(docs, levels, seed, bits_of(shared, "cell", CELL_BITS)).distinct().join(shared, "cell"))
-    bitmaps = cut(_bitmaps(docs, bits_of(region, "point", FILTER_BITS), seed))
-    labels: DataFrame | None = None
-    for level in range(LEVELS + 1):
-        per_cell = region.groupBy("cell").agg(F.count("*").alias("members"), F.min(F.struct("point", "n")).alias("p"))
-        region = region.join(per_cell, "cell")
-        last = level == LEVELS
-        small = F.lit(True) if last else F.col("members") <= SMALL
-        few = region.filter(small).select("cell", "point", "n", *(["label"] if labels is not None else []))
-        other = few.toDF(*[f"{c}2" if c != "cell" else c for c in few.columns])
-        some = few.join(other, "cell").filter("point < point2").filter(_may_link("n", "n2"))
-        if labels is not None:
-            some = some.filter("label <> label2")
-        pairs = some.select(F.col("point").alias("a"), F.col("point2").alias("b"))
-        big = region.filter(~small).select("cell", "point", "n", F.col("p.point").alias("pivot"), F.col("p.n").alias("pivot_n"))
-        starred = big.filter("point <> pivot").filter(_may_link("n", "pivot_n")).select(F.col("point").alias("a"), F.col("pivot").alias("b"))
-        bounds = cut(_bounds(pairs.union(starred).distinct(), bitmaps))
-        near = bounds.filter("near").select("a", "b")
-        wanted = bits_of(near.select(F.explode(F.array("a", "b")).alias("point")), "point", FILTER_BITS)
-        over = cut(_overlaps(near, _sets(docs, wanted, seed)))
-        new = _linked(over)
-        if labels is None:
-            labels = cut(components(new))
-        elif not new.isEmpty():  # the labels so far are stars that stand for all links before
-            labels = cut(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(new)))
-        if last or big.isEmpty():
-            break
-        # Distances to the pivot; where sizes or bitmaps keep a pair apart, the least distance that they allow.
-        exact = over.select("a", "b", (1 - F.col("same") / F.col("either")).alias("exact"))
-        known = bounds.join(exact, ["a", "b"], "left").select(F.col("a").alias("point"), F.col("b").alias("pivot"), F.coalesce("exact", "least").alias("known"))
-        apart = 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n")
-        far = big.join(known, ["point", "pivot"], "left").withColumn("d", F.when(F.col("point") == F.col("pivot"), 0.0).otherwise(F.coalesce("known", apart)))
-        rest = (F.col("d") > EPS + 1e-12) & (F.col("point") != F.col("pivot"))
-        nearest = far.groupBy("cell").agg(F.min(F.when(rest, F.col("d"))).alias("outside"))
-        stay = far.join(nearest.filter("outside IS NOT NULL"), "cell").filter(rest | ((F.col("d") > 0) & (F.col("d") >= F.col("outside") - EPS - 1e-12)))
-        stay = stay.select("cell", "point", "n").join(labels.withColumnRenamed("node", "point"), "point", "left").withColumn("label", F.coalesce("label", "point"))
-        open_cells = stay.groupBy("cell").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("cell")
-        region = cut(stay.join(open_cells, "cell").select("cell", "point", "n", "label"))
-    return labels
+    region = cut(_regions(docs, levels, seed))
+    links = _Links(written(_sets(docs, bits_of(region, "point", FILTER_BITS), seed)))
+    # The first pivot of each region: one of the points that hold it.
+    first = region.filter("holds").groupBy("cell").agg(F.min(F.struct("point", "n", "pos", "holds")).alias("q"))
+    star = region.alias("x").join(first.select("cell", "q.*").alias("y"), "cell").filter(F.col("x.point") != F.col("y.point")).filter(_may_link("x", "y"))
+    links.try_pairs(star.select(F.greatest("x.point", "y.point").alias("a"), F.least("x.point", "y.point").alias("b")))
+    region, level = region.withColumn("home", F.lit(True)), 0
+    while True:
+        rows = cut(_open(region, links.labels))
+        few = rows.filter(F.col("members") <= SMALL)
+        met = few.alias("x").join(few.alias("y"), "cell").filter("x.point < y.point AND x.label <> y.label AND (x.home OR y.home)").filter(_may_link("x", "y"))
+        links.try_pairs(met.select(F.col("x.point").alias("a"), F.col("y.point").alias("b")))
+        big = rows.filter(F.col("members") > SMALL)
+        if big.isEmpty():
+            return links.labels
+        region, level = _divide(big, links, level), level + 1
 
 
 def _labelled(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -287,7 +319,7 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, int]:
         # Two sets under one 64-bit id would be taken for one: then all ids are made anew.
         if points.filter("n > 0").groupBy("point").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo <> hi").isEmpty():
             break
-    labels = link_points(docs, _sketch(rows), seed)
+    labels = link_points(docs, _levels(rows), seed)
     return points.join(labels.withColumnRenamed("node", "point"), "point", "left").select("doc_id", "n", "point", F.coalesce("label", "point").alias("label")), seed
 
 

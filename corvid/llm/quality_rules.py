@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from corvid.llm.common import mix, only, pieces, prefix_sums, span_hashes, table, text_bytes, window_hashes, words_of
+from corvid.llm.common import mix, only, pieces, span_hashes, table, text_bytes, window_hashes, words_of
 
 COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, lost_chars long, n_lines long, n_failed_lines long"
 #: A document that loses more than this share of its word characters is rejected.
@@ -74,12 +74,11 @@ def judge(data: np.ndarray, off: np.ndarray, max_lost: float = MAX_LOST) -> dict
     n = len(off) - 1
     row = np.arange(n)
     per_row = lambda rows, w=None: np.bincount(rows, weights=w, minlength=n).astype(np.int64)
-    prefix = prefix_sums(data)
     s, e, doc = words_of(data, off)
     n_words = per_row(doc)
     head = _counts(_HEAD, data, s, e)
     word_chars = per_row(doc, head)
-    h = span_hashes(data, s, e, prefix)
+    h = span_hashes(data, s, e)
     # Words in 3-word windows that stand at least twice in their text.
     repeat = np.zeros(len(s), bool)
     if len(s) >= 3:
@@ -110,13 +109,14 @@ def judge(data: np.ndarray, off: np.ndarray, max_lost: float = MAX_LOST) -> dict
     fresh[order[1:]] = key[order[1:]] != key[order[:-1]]
     lines["distinct"] = np.bincount(line_of[fresh], minlength=len(ls))
     text_line = np.flatnonzero(lines["words"] > 0)
-    key = span_hashes(data, ls[text_line], le[text_line], prefix) ^ mix(ldoc[text_line].astype(np.uint64) + np.uint64(1))
+    key = span_hashes(data, ls[text_line], le[text_line]) ^ mix(ldoc[text_line].astype(np.uint64) + np.uint64(1))
     order = np.argsort(key, kind="stable")
     again = np.zeros(len(ls), bool)
     again[text_line[order[1:]]] = key[order[1:]] == key[order[:-1]]
     lines["again"] = again
     lines["phrase"] = np.zeros(len(ls), np.int64)
-    found = np.fromiter((m.start() for m in _PHRASE.finditer(data.tobytes())), np.int64)
+    raw, bounds = data.tobytes(), off.tolist()
+    found = np.fromiter((m.start() for a, b in zip(bounds[:-1], bounds[1:], strict=True) for m in _PHRASE.finditer(raw, a, b)), np.int64)
     if len(found):
         lines["phrase"][np.searchsorted(ls, found, side="right") - 1] = 1
     failed = line_failures(lines) & (lines["words"] > 0)

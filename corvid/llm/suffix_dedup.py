@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.llm.bits import bits_of, test_bits
-from corvid.llm.common import _BASE_INV, cut, mix, only, pieces, powers, prefix_sums, span_hashes, table, text_bytes
+from corvid.llm.common import cut, mix, only, pieces, span_hashes, table, text_bytes
 
 WINDOW, GRAM = 200, 50
 SPAN = WINDOW - GRAM + 1
@@ -43,6 +43,28 @@ FILTER_BITS = 25
 GROUP = 8192
 
 
+_BASE = 0x9E3779B97F4A7C15
+#: One random 64-bit value for each byte, from a fixed seed.
+_BYTE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
+
+
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Rolling hashes of each ``GRAM`` bytes.  They only choose anchors: strings that share a hash by chance cost work, not results."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.multiply(_BYTE[data], _powers(_BASE, len(data)), out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
+    h = sums[GRAM:] - sums[:-GRAM]
+    h *= _powers(pow(_BASE, -1, 1 << 64), len(h))
+    return mix(h)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
 def stretches(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, number of windows, anchor and content hash of each stretch of texts laid end to end."""
     if len(data) < WINDOW:
@@ -54,8 +76,7 @@ def stretches(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
             s, m, a, c = stretches(data[base:end], np.unique(np.clip(off - base, 0, end - base)))
             parts.append((s + base, m, a, c))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-    p = prefix_sums(data)
-    h = mix((p[GRAM:] - p[:-GRAM]) * powers(_BASE_INV, len(data) + 1)[: len(data) - GRAM + 1])
+    h = gram_hashes(data)
     key = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
     n = len(data) - WINDOW + 1
     rows = np.concatenate([key, np.full(-len(key) % SPAN, 2**64 - 1, np.uint64)]).reshape(-1, SPAN)
@@ -75,7 +96,7 @@ def stretches(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start, end = bounds[:-1], bounds[1:]
     good = ok[start]
     start, end = start[good], end[good]
-    return start, end - start, least[start] >> np.uint64(24), span_hashes(data, start, end + WINDOW - 1, p)
+    return start, end - start, least[start] >> np.uint64(24), span_hashes(data, start, end + WINDOW - 1)
 
 
 def _text_id(raw: bytes) -> tuple[int, int]:

@@ -115,3 +115,66 @@ def test_comparisons_cover_every_row(spark):
     d = "/root/testdata/sf0.001"
     got = catalogue.QUERIES["ab_compare_all"](spark, d).selectExpr("sum(2 * matched + only_a + only_b)").first()[0]
     assert got == src.findings(spark, d).count() == catalogue.QUERIES["cwe_normalise_all"](spark, d).count()
+
+
+def test_regions_are_divided_until_none_is_left(spark, monkeypatch):
+    from corvid.llm import jaccard_join as j
+
+    rng = np.random.default_rng(5)
+    vocabulary = prose(800, 400).split(" ")
+    rows = []
+    for group in range(3):
+        base = [vocabulary[k] for k in rng.integers(0, 400, 90)]
+        for k in range(130):
+            w = list(base)
+            for at in rng.integers(0, 90, int(rng.integers(0, 5))):  # distances on both sides of the threshold
+                w[at] = f"x{rng.integers(0, 50)}"
+            rows.append((1000 * group + k, " ".join(w[: int(rng.integers(80, 91))])))
+    rows.append((5000, " ".join(base[:3])))
+    sets = [frozenset(tuple(w[k : k + 4]) for k in range(len(w) - 3)) or frozenset([tuple(w)]) for w in (t.split(" ") for _, t in rows)]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for k in range(i):
+            if label[i] != label[k] and 100 * len(sets[i] & sets[k]) >= 85 * len(sets[i] | sets[k]):
+                a, b = sorted((label[i], label[k]))
+                label = [a if x == b else x for x in label]
+    want = sorted((d, len(sets[i]), rows[label[i]][0]) for i, (d, _) in enumerate(rows))
+    assert 3 < len(set(label)) < len(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for small in (48, 3):
+        monkeypatch.setattr(j, "SMALL", small)
+        assert sorted(tuple(r) for r in j.jaccard_components(docs).collect()) == want
+
+
+def test_words_that_polynomial_hashes_confuse():
+    from tokenizers import Tokenizer
+
+    import pyarrow as pa
+    from corvid.llm.best_fit_packing import _encoder, tokenizer_path
+    from corvid.llm.common import span_hashes
+    from corvid.llm.quality_rules import judge
+
+    thue = "".join("ab"[bin(k).count("1") & 1] for k in range(1024))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer((thue + other + "x" * 9000).encode(), np.uint8)
+    h = span_hashes(data, np.array([0, 1024, 2048, 2049]), np.array([1024, 2048, 2048 + 8000, 2049 + 8000]))
+    assert h[0] != h[1] and h[2] == h[3]
+    text = f"{thue}\n{other}\n{thue}"
+    data = np.frombuffer(text.encode(), np.uint8)
+    assert judge(data, np.array([0, len(data)]))["n_dup_lines"].tolist() == [1]
+    tok = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    texts = [f" {thue} {other}", "a <|endoftext|> b<|endoftext|>", "<|endoftext|>", "", "x  <|endoftext|><|endoftext|>\n\ny", "<|endoftext"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in _encoder(tokenizer_path()).encode(pa.array(texts))]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_text_is_judged_by_itself():
+    from corvid.llm.quality_rules import judge
+
+    a, b = prose(801, 60) + "\nplease read ", "more " + prose(802, 60)
+    alone = [judge(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])) for t in (a, b)]
+    both = np.frombuffer((a + b).encode(), np.uint8)
+    got = judge(both, np.array([0, len(a.encode()), len(both)]))
+    for name in ("kept", "lost_chars", "n_failed_lines", "n_lines", "n_dup_lines"):
+        assert got[name].tolist() == [int(x[name][0]) for x in alone], name
+    assert got["n_failed_lines"].tolist() == [0, 0]
