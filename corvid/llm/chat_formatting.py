@@ -5,14 +5,14 @@ turn of role ``tool`` whose text is an object with ``tool_call_id`` is a result;
 message.  Arguments that are {"$ref": id} depend on the result of another call.  Calls and results
 meet by a hash join on conversation and identifier; a call comes after the results it refers to and a
 result after its call, found by rounds over the references that are still open; arguments are
-validated against the tool's schema; each item is serialised as canonical JSON (sorted keys, no
-spaces, shortest escapes).
+validated against the tool's JSON schema; each item is serialised as canonical JSON (sorted keys, no
+spaces, shortest escapes; a surrogate without its partner stays an escape).
 
 One row per item, so that a conversation of any length is never gathered in one task; ``order_turn,
 order_level, turn, item`` order a conversation.
 
 Defined cases: null texts are empty contents; a null role is the role "user"; null ids never link;
-texts that are not such JSON are messages; a result without a call, a call without a result, a second
+texts that are not such JSON (NaN, infinities and numbers that overflow are not JSON) are messages; a result without a call, a call without a result, a second
 call with a used identifier and a cycle of references are each named in ``status``; of calls with one
 identifier the first by turn is linked, results may repeat; an empty table gives no rows; other
 columns are ignored.
@@ -21,6 +21,7 @@ columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -30,15 +31,25 @@ from pyspark.sql import functions as F
 
 from corvid.llm.common import cut, only, pieces, table
 
-#: Tool schemas: name -> {argument: (type, required)}.  Tools that are not listed are not validated.
-Schema = dict[str, dict[str, tuple[str, bool]]]
-DEFAULT_SCHEMAS: Schema = {"search": {"query": ("string", True), "limit": ("integer", False)}, "fetch": {"url": ("string", True)}, "calculate": {"expression": ("string", True)}}
-_TYPES: dict[str, tuple[type, ...]] = {"string": (str,), "integer": (int,), "number": (int, float), "boolean": (bool,), "array": (list,), "object": (dict,)}
+#: JSON schemas of the arguments of each tool (see ``fits``).  Tools that are not listed are not validated.
+Schema = dict[str, Any]
+DEFAULT_SCHEMAS: dict[str, Schema] = {
+    "search": {"type": "object", "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1}}, "required": ["query"], "additionalProperties": False},
+    "fetch": {"type": "object", "properties": {"url": {"type": "string", "minLength": 1}}, "required": ["url"], "additionalProperties": False},
+    "calculate": {"type": "object", "properties": {"expression": {"type": "string", "minLength": 1}}, "required": ["expression"], "additionalProperties": False},
+}
+_TYPES: dict[str, tuple[type, ...]] = {"string": (str,), "integer": (int,), "number": (int, float), "boolean": (bool,), "array": (list,), "object": (dict,), "null": (type(None),)}
+_SURROGATE = re.compile("[\ud800-\udfff]")
 ITEMS = "conv_id long, turn long, item int, role string, kind string, call_id string, refs array<string>, valid boolean, json string"
 
 
+def _escaped(text: str) -> str:
+    """Surrogates without a partner, which UTF-8 can't hold, as escapes."""
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value: Any) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return _escaped(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False))
 
 
 def references(value: Any) -> list[str]:
@@ -56,41 +67,73 @@ def references(value: Any) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def valid_arguments(name: str, arguments: Any, schemas: Schema) -> bool:
-    spec = schemas.get(name)
-    if not isinstance(arguments, dict):
-        return False
-    if spec is None:
+def fits(value: Any, schema: Schema) -> bool:
+    """Whether a value meets a JSON schema: type, enum, const, properties, required, additionalProperties, items, and bounds of numbers and lengths.
+
+    A reference to another call's result stands for a value that is not known yet and fits everywhere.
+    """
+    if isinstance(value, dict) and set(value) == {"$ref"} and isinstance(value["$ref"], str):
         return True
-    for key, (kind, required) in spec.items():
-        if key not in arguments:
-            if required:
-                return False
-            continue
-        v = arguments[key]
-        if isinstance(v, dict) and set(v) == {"$ref"}:
-            continue
-        if not isinstance(v, _TYPES[kind]) or (isinstance(v, bool) and kind != "boolean"):
+    kinds = schema.get("type")
+    if kinds is not None:
+        kinds = [kinds] if isinstance(kinds, str) else kinds
+        if not any(isinstance(value, _TYPES[k]) and (k == "boolean" or not isinstance(value, bool)) for k in kinds):
             return False
-    return set(arguments) <= set(spec)
+    if "enum" in schema and not any(canonical(value) == canonical(x) for x in schema["enum"]):
+        return False
+    if "const" in schema and canonical(value) != canonical(schema["const"]):
+        return False
+    if isinstance(value, int | float) and not isinstance(value, bool):
+        return schema.get("minimum", value) <= value <= schema.get("maximum", value)
+    if isinstance(value, str):
+        return schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value))
+    if isinstance(value, list):
+        return schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)) and all(fits(x, schema.get("items", {})) for x in value)
+    if isinstance(value, dict):
+        known, more = schema.get("properties", {}), schema.get("additionalProperties", True)
+        if any(k not in value for k in schema.get("required", [])):
+            return False
+        return all(fits(x, known[k]) if k in known else more is not False and fits(x, more if isinstance(more, dict) else {}) for k, x in value.items())
+    return True
+
+
+def valid_arguments(name: str, arguments: Any, schemas: dict[str, Schema]) -> bool:
+    return isinstance(arguments, dict) and fits(arguments, schemas.get(name, {}))
+
+
+def _constant(name: str) -> None:
+    raise ValueError(name)
+
+
+def _finite(text: str) -> float:
+    x = float(text)
+    if x in (float("inf"), float("-inf")):
+        raise ValueError(text)
+    return x
 
 
 def _object(text: str) -> dict | None:
     if not text.lstrip()[:1] == "{":
         return None
     try:
-        v = json.loads(text)
+        v = json.loads(text, parse_constant=_constant, parse_float=_finite)
     except (ValueError, RecursionError):
         return None
     return v if isinstance(v, dict) else None
 
 
-def items_of(role: str | None, text: str | None, schemas: Schema) -> list[tuple]:
+def items_of(role: str | None, text: str | None, schemas: dict[str, Schema]) -> list[tuple]:
     """(role, kind, call_id, refs, valid, json) of one turn."""
     role, text = role or "user", text or ""
-    v = _object(text)
+    try:
+        return _items(role, text, _object(text), schemas)
+    except RecursionError:  # nested too deeply to be written again
+        return _items(role, text, None, schemas)
+
+
+def _items(role: str, text: str, v: dict | None, schemas: dict[str, Schema]) -> list[tuple]:
     if v is not None and role == "tool" and isinstance(v.get("tool_call_id"), str):
-        return [(role, "result", v["tool_call_id"], [], None, canonical({"content": v.get("content"), "role": role, "tool_call_id": v["tool_call_id"]}))]
+        return [(role, "result", _escaped(v["tool_call_id"]), [], None, canonical({"content": v.get("content"), "role": role, "tool_call_id": v["tool_call_id"]}))]
     calls = v.get("tool_calls") if v is not None else None
     if isinstance(calls, list) and calls and all(isinstance(c, dict) and isinstance(c.get("id"), str) for c in calls):
         out = []
@@ -101,12 +144,12 @@ def items_of(role: str | None, text: str | None, schemas: Schema) -> list[tuple]
             if isinstance(args, str):
                 args = _object(args) if _object(args) is not None else args
             name = str(c.get("name"))
-            out.append((role, "call", c["id"], references(args), valid_arguments(name, args, schemas), canonical({"arguments": args, "id": c["id"], "name": name, "role": role})))
+            out.append((role, "call", _escaped(c["id"]), [_escaped(x) for x in references(args)], valid_arguments(name, args, schemas), canonical({"arguments": args, "id": c["id"], "name": name, "role": role})))
         return out
     return [(role, "message", None, [], None, canonical({"content": text, "role": role}))]
 
 
-def format_chats(conversations: DataFrame, schemas: Schema | None = None) -> DataFrame:
+def format_chats(conversations: DataFrame, schemas: dict[str, Schema] | None = None) -> DataFrame:
     schemas = DEFAULT_SCHEMAS if schemas is None else schemas
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

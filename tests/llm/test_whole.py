@@ -178,3 +178,113 @@ def test_a_text_is_judged_by_itself():
     for name in ("kept", "lost_chars", "n_failed_lines", "n_lines", "n_dup_lines"):
         assert got[name].tolist() == [int(x[name][0]) for x in alone], name
     assert got["n_failed_lines"].tolist() == [0, 0]
+
+
+def test_page_names_that_only_look_like_noise():
+    from corvid.llm.html_extraction import main_text
+
+    assert main_text('<body class="no-sidebar"><article><p>text</p></article></body>') == "text"
+    assert main_text('<body><article class="post comment-open"><p>text</p><div class="ad-banner"><p>buy</p></div></article>') == "text"
+    assert main_text('<div class="layout sidebar"><main><p>text</p></main></div>') == "text"
+    assert main_text('<div class="sidebar"><article><p>teaser</p></article></div><article><p>text</p></article>') == "text"
+    assert main_text('<main><p>text</p></main><div id="comments"><article><p>reply</p></article></div>') == "text"
+    assert main_text('<article><p>text</p><article class="comment"><p>reply</p></article></article>') == "text"
+    assert main_text('<article><p title="x>one</p><p title=">">two</p><p>three<p class="cut') == "one\n\ntwo\n\nthree"
+    assert main_text('<article><script a="b">x</script><p>one</article>' + '<p title="' * 40_000) == "one"  # open quotes in linear time
+    assert main_text("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>") == "deep"
+    words = " ".join(["w"] * 200_000)
+    assert main_text(f"<article><p>{words}</p></article>") == words
+
+
+def test_style_tree_against_brute_force(spark):
+    import collections
+    import math
+
+    from corvid.llm.html_extraction import extract, read_page, style_tree
+
+    page = "<body><div class='top'><p>same</p></div><div class='c'><p>one %d</p>%s</div><ul class='links'><li>%s</li></ul></body>"
+    rows = [(k, "http://h.org/%d" % k, page % (k, "<p>more</p>" * (k % 3), "ab"[k % 2])) for k in range(9)] + [(20, "http://other/", page % (0, "", "")), (21, None, None)]
+    seen = collections.defaultdict(collections.Counter)
+    for _, url, source in rows:
+        host = "h.org" if url and "h.org" in url else "other" if url else ""
+        blocks, styles = read_page(source or "")
+        text = collections.defaultdict(list)
+        for b in blocks:
+            text[b.path].append(b.text)
+        for p, t in text.items():
+            seen[host, p, "c"][tuple(t)] += 1
+        for p, s in styles.items():
+            seen[host, p, "s"][tuple(s)] += 1
+    own = collections.defaultdict(float)
+    for (host, p, _), n in seen.items():
+        m = sum(n.values())
+        own[host, p] = max(own[host, p], -sum(x / m * math.log(x / m) for x in n.values()) / math.log(m) if m > 1 else 1.0)
+    want = {(h, p): max(v for (g, q), v in own.items() if g == h and (q == p or q.startswith(p + ">") or p == "")) for h, p in own}
+    got = {(r["host"], r["path"]): r["importance"] for r in style_tree(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: round(v, 9) for k, v in got.items() if k in want} == {k: round(v, 9) for k, v in want.items()}
+    texts = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert texts[4] == "one 4\n\nmore\n\na" and texts[20] == "same\n\none 0" and texts[21] == ""
+    assert extract(spark.createDataFrame([], "page_id long, url string, html string, host string, low string")).count() == 0
+
+
+def test_chats_that_are_hard_to_write(spark):
+    from corvid.llm.chat_formatting import fits, format_chats
+
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [
+        (1, 0, "tool", '{"tool_call_id":"a\\ud800","content":"\\ud800 \\ud83d\\ude00"}'), (1, 1, "assistant", '{"tool_calls":[{"id":"a\\ud800","name":"f","arguments":{"x":1}}]}'),
+        (2, 0, "tool", '{"tool_call_id":"a","content":NaN}'), (2, 1, "tool", '{"tool_call_id":"a","content":1e999}'), (2, 2, "user", "[" * 100_000), (2, 3, "user", '{"tool_calls":[{"id":"b","arguments":' + "[" * 900 + "]" * 900 + "}]}"), (2, 4, "user", "x" * 300_000),
+    ]
+    out = {(r["conv_id"], r["turn"]): (r["status"], r["json"]) for r in format_chats(spark.createDataFrame(rows, schema)).collect()}
+    assert out[1, 0] == ("result", '{"content":"\\ud800 \U0001f600","role":"tool","tool_call_id":"a\\ud800"}') and out[1, 1][0] == "call"
+    assert out[2, 0] == ("message", '{"content":"{\\"tool_call_id\\":\\"a\\",\\"content\\":NaN}","role":"tool"}') and out[2, 1][0] == out[2, 2][0] == out[2, 4][0] == "message"
+    assert len(out[2, 4][1]) > 300_000 and len(out) == len(rows)
+    assert format_chats(spark.createDataFrame([], schema + ", call_id string, status string, refs string")).count() == 0
+    s = {"type": "object", "properties": {"k": {"type": ["integer", "null"], "minimum": 1, "maximum": 3}, "e": {"enum": ["x", 1]}, "l": {"type": "array", "items": {"type": "string", "maxLength": 2}, "minItems": 1}}, "required": ["k"], "additionalProperties": {"type": "boolean"}}
+    good = [{"k": 1}, {"k": None, "e": 1}, {"k": 3, "l": ["ab"], "z": True}, {"k": {"$ref": "a"}}]
+    bad = [{}, {"k": 0}, {"k": 4}, {"k": True}, {"k": 1, "e": "y"}, {"k": 1, "l": []}, {"k": 1, "l": ["abc"]}, {"k": 1, "z": 1}, [], {"k": 1.5}]
+    assert all(fits(x, s) for x in good) and not any(fits(x, s) for x in bad)
+
+
+def test_links_against_brute_force(spark):
+    from corvid.llm.chat_formatting import format_chats
+
+    rng = np.random.default_rng(11)
+    rows, calls, results = [], {}, {}
+    for conv in range(12):
+        for turn in range(14):
+            if rng.random() < 0.5:
+                made = []
+                for _ in range(int(rng.integers(1, 4))):
+                    name, refs = f"c{rng.integers(0, 12)}", [f"c{x}" for x in rng.integers(0, 12, int(rng.integers(0, 2)))]
+                    calls.setdefault((conv, name), (turn, len(made), refs))
+                    made.append('{"id":"%s","name":"f","arguments":{%s}}' % (name, ",".join(f'"x{k}":{{"$ref":"{r}"}}' for k, r in enumerate(refs))))
+                rows.append((conv, turn, "assistant", '{"tool_calls":[' + ",".join(made) + "]}"))
+            else:
+                name = f"c{rng.integers(0, 12)}"
+                results.setdefault((conv, name), turn)
+                rows.append((conv, turn, "tool", '{"tool_call_id":"%s","content":0}' % name))
+    placed = {}
+    while True:  # (turn, level, done) of the calls whose references are all placed; references to no call don't wait
+        more = {}
+        for (conv, name), (turn, _, refs) in calls.items():
+            waits = [(conv, r) for r in set(refs) if (conv, r) in calls]
+            if (conv, name) not in placed and all(w in placed for w in waits):
+                at = max([turn, *(placed[w][2] for w in waits)])
+                more[conv, name] = (at, max([-1, *(placed[w][1] for w in waits)]) + 1, max(at, results.get((conv, name), turn)))
+        if not more:
+            break
+        placed |= more
+    for r in format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect():
+        key = (r["conv_id"], r["call_id"])
+        first = calls.get(key)
+        if r["kind"] == "result":
+            want = "result" if first else "orphan_result"
+        elif first[:2] != (r["turn"], r["item"]):
+            want = "duplicate_call"
+        else:
+            want = "cyclic_call" if key not in placed else "call" if key in results else "unanswered_call"
+            if key in placed:
+                assert (r["order_turn"], r["order_level"]) == (placed[key][0], 2 * placed[key][1])
+        assert r["status"] == want
+    assert 0 < len(placed) < len(calls)
