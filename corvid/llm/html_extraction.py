@@ -29,8 +29,8 @@ from corvid.llm.common import cut, only, pieces, table
 
 #: Branches below this importance go, where at least LEAST_PAGES pages of the host have them.
 LOW, LEAST_PAGES = 0.2, 5
-#: Low-importance branches (about 100 bytes each) up to this many are sent to every executor.
-BROADCAST_ROWS = 20_000
+#: Low-importance branches of up to this many bytes are sent to every executor.
+BROADCAST_BYTES = 8 << 20
 # Elements and class or id words that never hold main text.
 NOISE_TAGS = frozenset("nav header footer aside form head title script style noscript template iframe svg button select option menu dialog object canvas".split())
 NOISE_WORDS = frozenset(
@@ -38,8 +38,14 @@ NOISE_WORDS = frozenset(
 )
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul button select option noscript template object canvas".split())
 VOID = frozenset(["hr"])
+#: Words that, before or after a noise word, make a name of something else (``no-sidebar``, ``comment-open``).
+OTHER_WORDS = frozenset("no not without has have with open closed off hidden enabled disabled layout page wrapper".split())
+#: Noise words that hold for an article element too: each reader comment may be one.
+REPLY_WORDS = frozenset("comment comments reply replies respond disqus".split())
+# Attributes: quoted values or anything else.  No part of a tag reaches over the next "<", so that a quote left open ends there.
+_ATTRIBUTES = r"(?:(?:\"[^\"<]*\"|'[^'<]*'|[^<>\"'])*+|[^<>]*+)"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|svg|iframe|textarea)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?/][^>]*+>",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|svg|iframe|textarea)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)({_ATTRIBUTES})>|<[!?/][^<>]*+>|<[a-zA-Z!?/][^<>]*+\Z",
     re.S | re.I,
 )
 _MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -54,18 +60,40 @@ def host_of(url: str | None) -> str:
 
 
 class Block:
-    __slots__ = ("main", "noise", "path", "text")
+    """A text block; whether it is noise, in a landmark, and in one under an element that only has a name like noise."""
 
-    def __init__(self, path: str, text: str, noise: bool, main: bool) -> None:
-        self.path, self.text, self.noise, self.main = path, text, noise, main
+    __slots__ = ("covered", "main", "noise", "path", "text")
+
+    def __init__(self, path: str, text: str, noise: bool, main: bool, covered: bool) -> None:
+        self.path, self.text, self.noise, self.main, self.covered = path, text, noise, main, covered
+
+
+def named_noise(tag: str, marks: list[str]) -> int:
+    """Whether an element is noise by a name in its class, id or role: 2 for reader comments, 1 for others, else 0.
+
+    A name is one word of these attributes, taken whole: it is noise when its first or last part is a
+    noise word and no other part takes that back.  The page's body is never noise by name, and an
+    article only as a reader comment.
+    """
+    if tag in ("html", "body", "main"):
+        return 0
+    found = 0
+    for name in marks:
+        parts = _WORDS.findall(name)
+        if tag == "article":
+            found = max(found, 2 * (name in REPLY_WORDS))
+        elif parts and not OTHER_WORDS.intersection(parts):
+            ends = {parts[0], parts[-1]}
+            found = max(found, 2 * bool(ends & REPLY_WORDS), len(ends & NOISE_WORDS) > 0)
+    return found
 
 
 def read_page(source: str) -> tuple[list[Block], dict[str, list[str]]]:
     """The text blocks of a page in order, and for each path its child elements in order."""
     blocks: list[Block] = []
     styles: dict[str, list[str]] = {}
-    # Open elements: tag, path, whether noise, whether in a landmark.
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    # Open elements: tag, path, noise (1 by name, 2 by tag or as a reader comment), whether in a landmark, and in a covered one.
+    stack: list[tuple[str, str, int, bool, bool]] = [("", "", 0, False, False)]
     buffer: list[str] = []
 
     def flush() -> None:
@@ -73,8 +101,8 @@ def read_page(source: str) -> tuple[list[Block], dict[str, list[str]]]:
             text = " ".join(html.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                _, path, noise, main = stack[-1]
-                blocks.append(Block(path, text, noise, main))
+                _, path, noise, main, covered = stack[-1]
+                blocks.append(Block(path, text, noise > 0, main, covered))
 
     def close(tag: str, stop: frozenset[str] = frozenset()) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -107,14 +135,15 @@ def read_page(source: str) -> tuple[list[Block], dict[str, list[str]]]:
             close("li", frozenset(["ul", "ol", "menu"]))
         if tag in VOID:
             continue
-        words = sorted({w for g in _MARK.findall(m[4]) for w in _WORDS.findall("".join(g).lower())})
-        _, path, noise, main = stack[-1]
-        step = ".".join([tag, *words])
+        marks = [x for g in _MARK.findall(m[4]) for x in "".join(g).lower().split()]
+        _, path, noise, main, covered = stack[-1]
+        step = ".".join([tag, *sorted({w for x in marks for w in _WORDS.findall(x)})])
         styles.setdefault(path, []).append(step)
-        noise = noise or tag in NOISE_TAGS or any(w in NOISE_WORDS for w in words)
-        main = (main or tag in ("article", "main")) and not noise
+        if tag in ("article", "main") and noise < 2 and not main:
+            main, covered, noise = True, noise == 1, 0
+        noise = max(noise, 2 if tag in NOISE_TAGS else named_noise(tag, marks))
         if not m[4].rstrip().endswith("/"):
-            stack.append((tag, f"{path}>{step}" if path.count(">") < DEPTH else path, noise, main))
+            stack.append((tag, f"{path}>{step}" if path.count(">") < DEPTH else path, noise, main, covered))
     if at < len(source):
         buffer.append(source[at:])
     flush()
@@ -125,8 +154,8 @@ def main_text(source: str | None, low: set[str] | frozenset[str] = frozenset())
     """The blocks that stay, joined by an empty line; ``low`` are the host's paths of low importance."""
     blocks, _ = read_page(source or "")
     good = [b for b in blocks if not b.noise]
-    if any(b.main for b in good):
-        good = [b for b in good if b.main]
+    if any(b.main for b in good):  # landmarks under an element that only has a name like noise count where there are no others
+        good = [b for b in good if b.main and not b.covered] or [b for b in good if b.main]
     elif low:
         good = [b for b in good if not any(b.path == p or b.path.startswith(p + ">") for p in low)]
     return "\n\n".join(b.text for b in good)
@@ -172,7 +201,8 @@ def extract(pages: DataFrame) -> DataFrame:
     low = style_tree(pages).filter((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LOW) & ~F.col("path").rlike("(^|>)(article|main)([.>]|$)") & (F.col("path") != ""))
     low = cut(low.groupBy("host").agg(F.collect_set("path").alias("low")))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1))
-    joined = pages.withColumn("host", host).join(F.broadcast(low) if low.count() <= BROADCAST_ROWS else low, "host", "left")
+    size = low.agg(F.sum(F.length("host") + F.aggregate("low", F.lit(0), lambda n, p: n + F.length(p) + 16))).first()[0] or 0
+    joined = pages.withColumn("host", host).join(F.broadcast(low) if size <= BROADCAST_BYTES // 4 else low, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html", 4 << 20):
