@@ -13,16 +13,17 @@ pivots, region by region, until no region is left that could hold an unknown lin
    the larger one is replicated into the regions of that window, the smaller one into those of the
    narrower window.  Regions are divided again by size, as sets within EPS differ in size by 0.85 at
    most.  Regions with a single point end.
-2. One member of each region is its first pivot; members within EPS are linked to it, and regions
-   whose members are all of one component end.
+2. The least point that holds a region is its first pivot; members within EPS are linked to it, and
+   regions whose members are all of one component end.
 3. Regions of at most ``SMALL`` points are joined; sizes, places of the shingle and parity bitmaps
    bound each distance from below, and what they leave is measured exactly.
-4. Larger ones get pivots among their own points, 4 at first and twice as many each level.  Exact
-   distances make the Voronoi regions of these pivots, each point goes to its nearest one and, as a
+4. Larger ones, as those of one group of near copies, mostly have the same first pivot; the regions of
+   one pivot become one.  They get ``PIVOTS`` pivots among the points outside their largest component.
+   Exact distances make the Voronoi regions of these, each point goes to its nearest pivot and, as a
    guest, to every other whose distance is at most 2 EPS more: two points within EPS meet in both
-   homes.  A region that this would double is kept whole instead.  All links of the pivots are known
-   then and they leave, so the recursion ends for any data, at the latest when all points have
-   been pivots.
+   homes.  All links of the pivots are known then and they leave.  The parts are joined recursively,
+   by steps 3 and 4; where the parts are not much smaller than the whole, as among points that all
+   lie within 2 EPS, the points outside the largest component meet all others block by block.
 
 Linked points form components by large-star and small-star steps.  Shingles and points are told apart
 by 64-bit hashes; a second digest finds points that share one, and then all hashes are made anew.
@@ -39,7 +40,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvid.llm.bits import SHARE, bits_of, merge_shares, share_rows, test_bits
@@ -57,8 +59,8 @@ FILTER_BITS, CELL_BITS = 24, 25
 PARITY_BITS = 2048
 #: Regions of at most this many points are joined without further pivots.
 SMALL = 48
-#: Pivots of a larger region at the first level.
-PIVOTS = 4
+#: Pivots of a larger region, and the bytes of sets that one task holds of each side when blocks meet.
+PIVOTS, BLOCK_BYTES = 16, 1 << 20
 
 
 def shingles(data: np.ndarray, off: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -243,20 +245,77 @@ def _regions(docs: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
 
 
 def _open(region: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``region`` with the labels so far and the number of members; only regions that may hold a link between two components."""
-    rows = region.drop("label", "members")
+    """``region`` with the labels so far, the number of members and that of members outside the largest component; only regions that may hold a link between two components."""
+    rows = region.select("cell", "point", "n", "pos", "holds", "home")
     rows = rows.withColumn("label", F.col("point")) if labels is None else rows.join(labels.withColumnRenamed("node", "point"), "point", "left").withColumn("label", F.coalesce("label", "point"))
-    per = rows.groupBy("cell").agg(F.count("*").alias("members"), F.min("label").alias("l1"), F.max("label").alias("l2"), F.max("holds").alias("any"), F.max("home").alias("at_home"))
-    return rows.join(per.filter("l1 <> l2 AND any AND at_home").select("cell", "members"), "cell")
+    per = rows.groupBy("cell", "label").agg(F.count("*").alias("k"), F.max("holds").alias("any"), F.max("home").alias("at_home"))
+    per = per.groupBy("cell").agg(F.sum("k").alias("members"), F.max(F.struct("k", "label")).alias("top"), F.max("any").alias("any"), F.max("at_home").alias("at_home"))
+    per = per.filter("any AND at_home AND top.k < members").select("cell", "members", (F.col("members") - F.col("top.k")).alias("others"), F.col("top.label").alias("top"))
+    return rows.join(per, "cell")
+
+
+def _same(one: np.ndarray, flat: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of a sorted set with each of the sets laid end to end."""
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    run = np.zeros(len(flat) + 1, np.int64)
+    np.cumsum(one[at] == flat, out=run[1:])
+    return run[first[1:]] - run[first[:-1]]
+
+
+def _side(part: pa.Table, lead: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Points, labels, parity bitmaps and sets of one side of a meeting."""
+    part = part.filter(pc.equal(part.column("lead"), lead)).combine_chunks()
+    raw = [np.frombuffer(x, np.uint8) for x in part.column("bits").to_pylist()]
+    return np.asarray(part.column("point")), np.asarray(part.column("label")), np.array(raw, np.uint8).reshape(len(raw), -1), [np.frombuffer(x, np.uint64) for x in part.column("items").to_pylist()]
+
+
+def _distances(part: pa.Table) -> pa.Table:
+    """(cell, point, pivot, d, linked) of the points and pivots of one meeting."""
+    pivots, _, _, heads = _side(part, True)
+    points, _, _, sets = _side(part, False)
+    size = np.array([len(x) for x in sets], np.int64)
+    first, flat = np.concatenate([[0], np.cumsum(size)]), np.concatenate([*sets, np.zeros(0, np.uint64)])
+    same = np.array([_same(one, flat, first) for one in heads], np.int64).reshape(len(heads), len(size))
+    either = np.array([len(x) for x in heads], np.int64)[:, None] + size - same
+    cell = pa.array(np.full(same.size, part.column("cell")[0].as_py(), np.int64))
+    return pa.table({"cell": cell, "point": np.tile(points, len(pivots)), "pivot": np.repeat(pivots, len(points)), "d": (1 - same / either).ravel(), "linked": (100 * same >= SAME * either).ravel()})
+
+
+def _new_links(part: pa.Table) -> pa.Table:
+    """Links (a, b) of one meeting that join components which were not joined before them."""
+    xs, x_labels, x_bits, x_sets = _side(part, True)
+    ys, y_labels, y_bits, y_sets = _side(part, False)
+    names, roots = np.unique(np.concatenate([x_labels, y_labels]), return_inverse=True)
+    x_root, y_root = roots[: len(xs)], roots[len(xs) :]
+    up = np.arange(len(names))  # the component of each label, as joined here
+    size, out = np.array([len(v) for v in y_sets], np.int64), []
+    for i, one in enumerate(x_sets):
+        n = len(one)
+        differ = np.bitwise_count(y_bits ^ x_bits[i]).sum(axis=1, dtype=np.int64) if len(ys) else size
+        near = ((100 + SAME) * differ <= (100 - SAME) * (size + n)) & (100 * np.minimum(size, n) >= SAME * np.maximum(size, n))
+        todo = np.flatnonzero(near & (up[y_root] != up[x_root[i]]))
+        while len(todo):  # a few at a time: once components are joined, the rest of their pairs is settled
+            some = todo[:32]
+            first = np.concatenate([[0], np.cumsum(size[some])])
+            same = _same(one, np.concatenate([y_sets[k] for k in some]), first)
+            for k in some[100 * same >= SAME * (n + size[some] - same)].tolist():
+                if up[y_root[k]] != up[x_root[i]]:
+                    up[up == up[y_root[k]]] = up[x_root[i]]
+                    out.append((int(xs[i]), int(ys[k])))
+            todo = todo[32:]
+            todo = todo[up[y_root[todo]] != up[x_root[i]]]
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
 class _Links:
     """Measures pairs of points and keeps the components of the links found."""
 
     def __init__(self, sets: DataFrame) -> None:
-        self.bitmaps, self.sets, self.labels = sets.select("point", "n", "bits"), sets.select("point", "items"), None
+        self.sets, self.bitmaps, self.items = sets, sets.select("point", "n", "bits"), sets.select("point", "items")
+        self.labels: DataFrame | None = None
 
     def add(self, links: DataFrame) -> None:
+        links = cut(links)
         if self.labels is not None:  # the labels so far are stars that stand for all links before
             if links.isEmpty():
                 return
@@ -265,38 +324,46 @@ class _Links:
 
     def try_pairs(self, pairs: DataFrame) -> None:
         near = cut(_bounds(pairs.distinct(), self.bitmaps).filter("near").select("a", "b"))
-        self.add(cut(_linked(_overlaps(near, self.sets))))
-
-    def distances(self, pairs: DataFrame) -> DataFrame:
-        over = cut(_overlaps(pairs.distinct(), self.sets))
-        self.add(_linked(over))
-        return over.select(F.col("a").alias("point"), F.col("b").alias("pivot"), (1 - F.col("same") / F.col("either")).alias("d"))
+        if self.labels is None or not near.isEmpty():
+            self.add(_linked(_overlaps(near, self.items)))
+
+    def meetings(self, rows: DataFrame) -> GroupedData:
+        """Every lead point of a cell with every point of it, block by block; rows: cell, point, label, lead."""
+        full = rows.join(self.sets, "point").select("cell", "point", "label", "lead", "bits", "items", (8 * F.col("n") + 300).alias("bytes"))
+        blocks = lambda x: F.greatest(F.ceil(F.sum(x) / BLOCK_BYTES), F.lit(1)).cast("int")
+        per = rows.join(self.bitmaps, "point").groupBy("cell").agg(blocks(F.when(F.col("lead"), 8 * F.col("n") + 300).otherwise(0)).alias("xs"), blocks(8 * F.col("n") + 300).alias("ys"))
+        full = full.join(per, "cell")
+        deal = lambda n, seed: F.pmod(F.xxhash64("point", F.lit(seed)), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        keep = ["cell", "point", "label", "bits", "items"]
+        left = full.filter("lead").withColumn("x", deal("xs", 1)).withColumn("y", each("ys")).select(*keep, F.lit(True).alias("lead"), "x", "y")
+        right = full.withColumn("y", deal("ys", 2)).withColumn("x", each("xs")).select(*keep, F.lit(False).alias("lead"), "x", "y")
+        return left.union(right).groupBy("cell", "x", "y")
 
 
 def _divide(big: DataFrame, links: _Links, level: int) -> DataFrame:
-    """The Voronoi regions, with guests, of pivots of each region; regions that would double, or got no pivot, stay whole without their pivots."""
-    chosen = F.pmod(F.xxhash64("point", F.lit(level)), F.col("members")) < PIVOTS * 2**level
-    pivots = big.filter(chosen).select("cell", F.col("point").alias("pivot"))
-    rest = cut(big.filter(~chosen))
-    met = rest.select("cell", "point").join(pivots, "cell")
-    # Links between pivots are found as for any pair.
-    among = pivots.join(pivots.withColumnRenamed("pivot", "other"), "cell").filter("pivot < other")
-    d = links.distances(met.select(F.col("point").alias("a"), F.col("pivot").alias("b")).union(among.select("pivot", "other")))
-    at = Window.partitionBy("cell", "point")
-    placed = met.join(d, ["point", "pivot"]).withColumn("nearest", F.min(F.struct("d", "pivot")).over(at)).filter(F.col("d") <= F.col("nearest.d") + 2 * EPS + 1e-12)
-    placed = cut(placed.select("cell", "point", "pivot", (F.col("pivot") == F.col("nearest.pivot")).alias("near")))
-    split = placed.groupBy("cell").agg(F.count("*").alias("copies"), F.count(F.when(F.col("near"), 1)).alias("points")).filter("copies <= 2 * points AND copies > 0")
-    parts = rest.join(placed, ["cell", "point"]).join(split.select("cell"), "cell", "left_semi")
-    parts = parts.select(F.xxhash64("cell", "pivot").alias("cell"), "point", "n", "pos", "holds", (F.col("home") & F.col("near")).alias("home"))
-    return parts.union(rest.join(split.select("cell"), "cell", "left_anti").select("cell", "point", "n", "pos", "holds", "home"))
+    """The Voronoi regions, with guests, of pivots of each region; those that this doesn't make much smaller are joined here."""
+    chosen = (F.col("label") != F.col("top")) & (F.pmod(F.xxhash64("point", F.lit(level)), F.col("others")) < PIVOTS)
+    rows = cut(big.withColumn("lead", chosen))
+    d = cut(links.meetings(rows.select("cell", "point", "label", "lead")).applyInArrow(lambda x: _distances(x), "cell long, point long, pivot long, d double, linked boolean"))
+    links.add(d.filter("linked AND point <> pivot").select(F.col("point").alias("a"), F.col("pivot").alias("b")))
+    rest = rows.filter("NOT lead").drop("lead")
+    placed = d.join(rest.select("cell", "point", "home"), ["cell", "point"]).withColumn("nearest", F.min(F.struct("d", "pivot")).over(Window.partitionBy("cell", "point")))
+    placed = placed.filter(F.col("d") <= F.col("nearest.d") + 2 * EPS + 1e-12).withColumn("near", F.col("pivot") == F.col("nearest.pivot"))
+    placed = cut(placed.select("cell", "point", "pivot", "near"))
+    parts = placed.groupBy("cell", "pivot").agg(F.count("*").alias("copies"), F.count(F.when(F.col("near"), 1)).alias("points")).groupBy("cell").agg(F.sum("copies").alias("copies"), F.sum("points").alias("points"), F.max("copies").alias("most"))
+    split = parts.filter("2 * copies <= 3 * points AND 4 * most <= 3 * points").select("cell")
+    whole = _open(rest.join(split, "cell", "left_anti"), links.labels)
+    links.add(links.meetings(whole.select("cell", "point", "label", (F.col("label") != F.col("top")).alias("lead"))).applyInArrow(lambda x: _new_links(x), "a long, b long"))
+    divided = rest.join(placed, ["cell", "point"]).join(split, "cell", "left_semi")
+    return cut(divided.select(F.xxhash64("cell", "pivot").alias("cell"), "point", "n", "pos", "holds", (F.col("home") & F.col("near")).alias("home")))
 
 
 def link_points(docs: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
     """(node, label) of the points that have a link."""
     region = cut(_regions(docs, levels, seed))
     links = _Links(written(_sets(docs, bits_of(region, "point", FILTER_BITS), seed)))
-    # The first pivot of each region: one of the points that hold it.
-    first = region.filter("holds").groupBy("cell").agg(F.min(F.struct("point", "n", "pos", "holds")).alias("q"))
+    first = cut(region.filter("holds").groupBy("cell").agg(F.min(F.struct("point", "n", "pos", "holds")).alias("q")))
     star = region.alias("x").join(first.select("cell", "q.*").alias("y"), "cell").filter(F.col("x.point") != F.col("y.point")).filter(_may_link("x", "y"))
     links.try_pairs(star.select(F.greatest("x.point", "y.point").alias("a"), F.least("x.point", "y.point").alias("b")))
     region, level = region.withColumn("home", F.lit(True)), 0
@@ -308,6 +375,9 @@ def link_points(docs: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
         big = rows.filter(F.col("members") > SMALL)
         if big.isEmpty():
             return links.labels
+        if level == 0:  # the large regions of one first pivot become one; the shingle's place says nothing in it
+            big = big.join(first.select("cell", F.col("q.point").alias("pivot")), "cell").select(F.col("pivot").alias("cell"), "point", "n", F.lit(0).alias("pos"), F.lit(True).alias("holds"), "home").distinct()
+            big = cut(_open(big, links.labels))
         region, level = _divide(big, links, level), level + 1
 
 
