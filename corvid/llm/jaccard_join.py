@@ -145,46 +145,69 @@ def _holds(n: str, pos: str):
     return F.lit(100 + SAME) * (F.col(n) - F.col(pos)) >= F.lit(2 * SAME) * F.col(n)
 
 
-def _cells(docs: DataFrame, levels: np.ndarray, seed: int, wanted: np.ndarray | None = None) -> DataFrame:
-    """(cell, point, n, pos): every document in the regions of its first shingles; only those whose bit is in ``wanted``."""
-    shared = docs.sparkSession.sparkContext.broadcast((levels, wanted))  # 1 MB and 4 MB
+def _first_shingles(n: np.ndarray, h: np.ndarray, first: np.ndarray, levels: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row and place of the shingles whose regions a document may be in, rarest first."""
+    rank = (levels[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mix(h + np.uint64(seed + 1)) >> np.uint64(6))
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((rank, row))
+    pos = np.arange(len(h)) - first[row]
+    chosen = np.flatnonzero(pos < _probes(n)[row])
+    return h[order[chosen]], row[chosen], pos[chosen]
+
+
+def _cells(docs: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
+    """(cell, point, holds): every document in the regions of its first shingles."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)  # 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, wanted = shared.value
         for _, n, a, _, h, first in _batches(batches, seed):
-            rank = (levels[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mix(h + np.uint64(seed + 1)) >> np.uint64(6))
-            row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((rank, row))
-            pos = np.arange(len(h)) - first[row]
-            chosen = np.flatnonzero(pos < _probes(n)[row])
-            if wanted is not None:
-                chosen = chosen[test_bits(wanted, mix(h[order[chosen]]), CELL_BITS)]
-            r = row[chosen]
-            yield pa.RecordBatch.from_arrays([pa.array(h[order[chosen]].view(np.int64)), pa.array(a[r]), pa.array(n[r].astype(np.int32)), pa.array(pos[chosen].astype(np.int32))], names=["cell", "point", "n", "pos"])
+            cell, r, pos = _first_shingles(n, h, first, shared.value, seed)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(a[r]), pa.array((100 + SAME) * (n[r] - pos) >= 2 * SAME * n[r])], names=["cell", "point", "holds"])
 
-    return docs.mapInArrow(run, "cell long, point long, n int, pos int")
+    return docs.mapInArrow(run, "cell long, point long, holds boolean")
 
 
-def _sets(docs: DataFrame, wanted: np.ndarray, seed: int) -> DataFrame:
-    """(point, n, bits, items): a parity bitmap and the sorted shingles of the points whose bit is set, once each.
+def _members(docs: DataFrame, levels: np.ndarray, seed: int, wanted: np.ndarray) -> DataFrame:
+    """Rows (cell, point, n, pos) of the regions whose bit is set, and a row (point, n, bits) of every document in one.
 
-    Two sets differ in at least as many shingles as their bitmaps in bits.
+    ``bits`` is a parity bitmap of the document's shingles: two sets differ in at least as many shingles
+    as their bitmaps in bits.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    shared = docs.sparkSession.sparkContext.broadcast((levels, wanted))  # 1 MB and 4 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
+        names = ["cell", "point", "n", "pos", "bits"]
         for _, n, a, _, h, first in _batches(batches, seed):
-            pick = np.flatnonzero(test_bits(shared.value, mix(a.view(np.uint64).copy()), FILTER_BITS) & (n > 0))
-            pick = pick[np.unique(a[pick], return_index=True)[1]]
-            pick = np.array([k for k in pick.tolist() if a[k] not in done], np.int64)
-            done.update(a[pick].tolist())
+            levels, wanted = shared.value
+            cell, r, pos = _first_shingles(n, h, first, levels, seed)
+            keep = np.flatnonzero(test_bits(wanted, mix(cell.copy()), CELL_BITS))
+            r = r[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(cell[keep].view(np.int64)), pa.array(a[r]), pa.array(n[r].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), pa.nulls(len(r), pa.binary())], names=names)
+            pick = np.unique(r)
             place = (mix(h ^ np.uint64(0xC2B2AE3D27D4EB4F)) & np.uint64(PARITY_BITS - 1)).astype(np.int64)
-            bits = [np.packbits(np.bincount(place[first[k] : first[k + 1]], minlength=PARITY_BITS) & 1).tobytes() for k in pick]
-            items = [np.sort(h[first[k] : first[k + 1]]).tobytes() for k in pick]
-            yield pa.RecordBatch.from_arrays([pa.array(a[pick]), pa.array(n[pick].astype(np.int64)), pa.array(bits, pa.binary()), pa.array(items, pa.binary())], names=["point", "n", "bits", "items"])
+            bits = [np.packbits(np.bincount(place[first[k] : first[k + 1]], minlength=PARITY_BITS) & 1).tobytes() for k in pick.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(pick), pa.int64()), pa.array(a[pick]), pa.array(n[pick].astype(np.int32)), pa.nulls(len(pick), pa.int32()), pa.array(bits, pa.binary())], names=names)
+
+    return docs.mapInArrow(run, "cell long, point long, n int, pos int, bits binary")
+
+
+def _sets(docs: DataFrame, ids: np.ndarray, seed: int) -> DataFrame:
+    """(point, items): the sorted shingles of the documents whose id's bit is set, or that have none."""
+    shared = docs.sparkSession.sparkContext.broadcast(ids)
 
-    return docs.mapInArrow(run, "point long, n long, bits binary, items binary").dropDuplicates(["point"])
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.column("doc_id")
+            keys = np.asarray(pc.fill_null(col, 0)).astype(np.int64)
+            yield batch.filter(pa.array(test_bits(shared.value, mix(keys.view(np.uint64)), FILTER_BITS) | np.asarray(col.is_null())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, n, a, _, h, first in _batches(some(batches), seed):
+            pick = np.flatnonzero(n > 0)
+            items = [np.sort(h[first[k] : first[k + 1]]).tobytes() for k in pick.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(a[pick]), pa.array(items, pa.binary())], names=["point", "items"])
+
+    return docs.mapInArrow(run, "point long, items binary")
 
 
 def _bounds(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -233,11 +256,9 @@ def _may_link(left: str, right: str):
     return roles & (F.lit(100) * F.least(n, m) >= F.lit(SAME) * F.greatest(n, m)) & (F.lit(100 + SAME) * most >= F.lit(SAME) * (n + m))
 
 
-def _regions(docs: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
+def _regions(members: DataFrame, shared: DataFrame) -> DataFrame:
     """(cell, point, n, pos, holds): the points of every shared region of a shingle and a size."""
-    held = _cells(docs, levels, seed).groupBy("cell").agg(F.min("point").alias("lo"), F.max("point").alias("hi"), F.max(_holds("n", "pos")).alias("any"))
-    shared = cut(held.filter("lo <> hi AND any").select("cell"))
-    rows = _cells(docs, levels, seed, bits_of(shared, "cell", CELL_BITS)).distinct().join(shared, "cell")
+    rows = members.filter("cell IS NOT NULL").select("cell", "point", "n", "pos").distinct().join(shared, "cell")
     size = lambda n: F.floor(F.log(n) / np.log(100 / SAME)).cast("int")
     sizes = F.sequence(size(F.ceil(F.col("n") * SAME / 100)), size(F.col("n")))
     rows = rows.withColumn("size", F.explode(sizes)).withColumn("holds", _holds("n", "pos") & (F.col("size") == size(F.col("n"))))
@@ -310,10 +331,16 @@ def _new_links(part: pa.Table) -> pa.Table:
 class _Links:
     """Measures pairs of points and keeps the components of the links found."""
 
-    def __init__(self, sets: DataFrame) -> None:
-        self.sets, self.bitmaps, self.items = sets, sets.select("point", "n", "bits"), sets.select("point", "items")
+    def __init__(self, docs: DataFrame, points: DataFrame, bitmaps: DataFrame, seed: int) -> None:
+        self.docs, self.points, self.bitmaps, self.seed = docs, points.select("point", "doc_id"), bitmaps, seed
         self.labels: DataFrame | None = None
 
+    def sets_of(self, wanted: DataFrame) -> DataFrame:
+        """(point, items) of the points of ``wanted``; only one document of each is read for it."""
+        ids = cut(wanted.select("point").distinct().join(self.points, "point").groupBy("point").agg(F.min("doc_id").alias("doc_id")))
+        some = bits_of(ids.filter("doc_id IS NOT NULL"), "doc_id", FILTER_BITS)
+        return _sets(self.docs, some, self.seed).join(ids.select("point"), "point", "left_semi").dropDuplicates(["point"])
+
     def add(self, links: DataFrame) -> None:
         links = cut(links)
         if self.labels is not None:  # the labels so far are stars that stand for all links before
@@ -324,12 +351,14 @@ class _Links:
 
     def try_pairs(self, pairs: DataFrame) -> None:
         near = cut(_bounds(pairs.distinct(), self.bitmaps).filter("near").select("a", "b"))
-        if self.labels is None or not near.isEmpty():
-            self.add(_linked(_overlaps(near, self.items)))
+        if self.labels is not None and near.isEmpty():
+            return
+        sets = cut(self.sets_of(near.select(F.explode(F.array("a", "b")).alias("point"))))
+        self.add(_linked(_overlaps(near, sets)))
 
     def meetings(self, rows: DataFrame) -> GroupedData:
         """Every lead point of a cell with every point of it, block by block; rows: cell, point, label, lead."""
-        full = rows.join(self.sets, "point").select("cell", "point", "label", "lead", "bits", "items", (8 * F.col("n") + 300).alias("bytes"))
+        full = rows.join(self.bitmaps, "point").join(cut(self.sets_of(rows)), "point").select("cell", "point", "label", "lead", "bits", "items", (8 * F.col("n") + 300).alias("bytes"))
         blocks = lambda x: F.greatest(F.ceil(F.sum(x) / BLOCK_BYTES), F.lit(1)).cast("int")
         per = rows.join(self.bitmaps, "point").groupBy("cell").agg(blocks(F.when(F.col("lead"), 8 * F.col("n") + 300).otherwise(0)).alias("xs"), blocks(8 * F.col("n") + 300).alias("ys"))
         full = full.join(per, "cell")
@@ -359,10 +388,14 @@ def _divide(big: DataFrame, links: _Links, level: int) -> DataFrame:
     return cut(divided.select(F.xxhash64("cell", "pivot").alias("cell"), "point", "n", "pos", "holds", (F.col("home") & F.col("near")).alias("home")))
 
 
-def link_points(docs: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
-    """(node, label) of the points that have a link."""
-    region = cut(_regions(docs, levels, seed))
-    links = _Links(written(_sets(docs, bits_of(region, "point", FILTER_BITS), seed)))
+def link_points(docs: DataFrame, points: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
+    """(node, label) of the points(doc_id, point) that have a link."""
+    held = _cells(docs, levels, seed).groupBy("cell").agg(F.min("point").alias("lo"), F.max("point").alias("hi"), F.max("holds").alias("any"))
+    shared = cut(held.filter("lo <> hi AND any").select("cell"))
+    members = written(_members(docs, levels, seed, bits_of(shared, "cell", CELL_BITS)))
+    region = cut(_regions(members, shared))
+    bitmaps = cut(members.filter("bits IS NOT NULL").select("point", F.col("n").cast("long").alias("n"), "bits").dropDuplicates(["point"]))
+    links = _Links(docs, points, bitmaps, seed)
     first = cut(region.filter("holds").groupBy("cell").agg(F.min(F.struct("point", "n", "pos", "holds")).alias("q")))
     star = region.alias("x").join(first.select("cell", "q.*").alias("y"), "cell").filter(F.col("x.point") != F.col("y.point")).filter(_may_link("x", "y"))
     links.try_pairs(star.select(F.greatest("x.point", "y.point").alias("a"), F.least("x.point", "y.point").alias("b")))
@@ -389,7 +422,7 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, int]:
         # Two sets under one 64-bit id would be taken for one: then all ids are made anew.
         if points.filter("n > 0").groupBy("point").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo <> hi").isEmpty():
             break
-    labels = link_points(docs, _levels(rows), seed)
+    labels = link_points(docs, points, _levels(rows), seed)
     return points.join(labels.withColumnRenamed("node", "point"), "point", "left").select("doc_id", "n", "point", F.coalesce("label", "point").alias("label")), seed
 
 
