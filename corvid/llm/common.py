@@ -25,7 +25,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corvid-checkpoint-"))
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="corvid-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

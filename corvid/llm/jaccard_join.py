@@ -18,12 +18,13 @@ pivots, region by region, until no region is left that could hold an unknown lin
 3. Regions of at most ``SMALL`` points are joined; sizes, places of the shingle and parity bitmaps
    bound each distance from below, and what they leave is measured exactly.
 4. Larger ones, as those of one group of near copies, mostly have the same first pivot; the regions of
-   one pivot become one.  They get ``PIVOTS`` pivots among the points outside their largest component.
+   one pivot become one.  Up to ``MEETING`` points, those outside the region's largest component meet
+   all others block by block.  Regions beyond that get ``PIVOTS`` pivots among the points outside.
    Exact distances make the Voronoi regions of these, each point goes to its nearest pivot and, as a
    guest, to every other whose distance is at most 2 EPS more: two points within EPS meet in both
    homes.  All links of the pivots are known then and they leave.  The parts are joined recursively,
    by steps 3 and 4; where the parts are not much smaller than the whole, as among points that all
-   lie within 2 EPS, the points outside the largest component meet all others block by block.
+   lie within 2 EPS, the blocks of the whole meet.
 
 Linked points form components by large-star and small-star steps.  Shingles and points are told apart
 by 64-bit hashes; a second digest finds points that share one, and then all hashes are made anew.
@@ -57,8 +58,10 @@ SKETCH_BITS = 20
 FILTER_BITS, CELL_BITS = 24, 25
 #: Bits of a point's parity bitmap (256 bytes).
 PARITY_BITS = 2048
-#: Regions of at most this many points are joined without further pivots.
-SMALL = 48
+#: Regions of at most this many points are joined pair by pair, and those of at most this many block by block; larger ones get pivots.
+SMALL, MEETING = 48, 4096
+#: Ids of up to this many documents are sent to every executor; more go through a bit set.
+SENT_IDS = 200_000
 #: Pivots of a larger region, and the bytes of sets that one task holds of each side when blocks meet.
 PIVOTS, BLOCK_BYTES = 16, 1 << 20
 
@@ -191,12 +194,15 @@ def _members(docs: DataFrame, levels: np.ndarray, seed: int, wanted: np.ndarray)
     return docs.mapInArrow(run, "cell long, point long, n int, pos int, bits binary")
 
 
-def _sets(docs: DataFrame, ids: np.ndarray, seed: int) -> DataFrame:
-    """(point, items): the sorted shingles of the documents whose id's bit is set, or that have none."""
+def _sets(docs: DataFrame, ids: np.ndarray | None, seed: int) -> DataFrame:
+    """(point, items): the sorted shingles of the documents, of those only whose id's bit is set, or that have no id, if ``ids`` are given."""
     shared = docs.sparkSession.sparkContext.broadcast(ids)
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if shared.value is None:
+                yield batch
+                continue
             col = batch.column("doc_id")
             keys = np.asarray(pc.fill_null(col, 0)).astype(np.int64)
             yield batch.filter(pa.array(test_bits(shared.value, mix(keys.view(np.uint64)), FILTER_BITS) | np.asarray(col.is_null())))
@@ -250,19 +256,25 @@ def _linked(over: DataFrame) -> DataFrame:
 
 def _may_link(left: str, right: str):
     """Whether points of these aliases can be within EPS, meeting in their first common shingle: by size, role and place."""
-    n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
-    most = F.least(n - F.col(f"{left}.pos"), m - F.col(f"{right}.pos"))
-    roles = (F.col(f"{left}.holds") & (n <= m)) | (F.col(f"{right}.holds") & (m <= n))
+    n, m = F.col(f"{left}n"), F.col(f"{right}n")
+    most = F.least(n - F.col(f"{left}pos"), m - F.col(f"{right}pos"))
+    roles = (F.col(f"{left}holds") & (n <= m)) | (F.col(f"{right}holds") & (m <= n))
     return roles & (F.lit(100) * F.least(n, m) >= F.lit(SAME) * F.greatest(n, m)) & (F.lit(100 + SAME) * most >= F.lit(SAME) * (n + m))
 
 
 def _regions(members: DataFrame, shared: DataFrame) -> DataFrame:
-    """(cell, point, n, pos, holds): the points of every shared region of a shingle and a size."""
-    rows = members.filter("cell IS NOT NULL").select("cell", "point", "n", "pos").distinct().join(shared, "cell")
+    """(cell, point, n, pos, holds, q) of every region of a shingle and a size with two points; q is the least point that holds it.
+
+    All of it follows the one exchange by shingle.
+    """
+    rows = members.filter("cell IS NOT NULL").select("cell", "point", "n", "pos").join(shared, "cell").dropDuplicates(["cell", "point"])
     size = lambda n: F.floor(F.log(n) / np.log(100 / SAME)).cast("int")
     sizes = F.sequence(size(F.ceil(F.col("n") * SAME / 100)), size(F.col("n")))
     rows = rows.withColumn("size", F.explode(sizes)).withColumn("holds", _holds("n", "pos") & (F.col("size") == size(F.col("n"))))
-    return rows.select(F.xxhash64("cell", "size").alias("cell"), "point", "n", "pos", "holds")
+    at = Window.partitionBy("cell", "size")
+    first = F.min(F.when(F.col("holds"), F.struct("point", "n", "pos", "holds"))).over(at)
+    some = rows.withColumns({"q": first, "lo": F.min("point").over(at), "hi": F.max("point").over(at)}).filter("q IS NOT NULL AND lo <> hi")
+    return some.select(F.xxhash64("cell", "size").alias("cell"), "point", "n", "pos", "holds", "q")
 
 
 def _open(region: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -338,8 +350,12 @@ class _Links:
     def sets_of(self, wanted: DataFrame) -> DataFrame:
         """(point, items) of the points of ``wanted``; only one document of each is read for it."""
         ids = cut(wanted.select("point").distinct().join(self.points, "point").groupBy("point").agg(F.min("doc_id").alias("doc_id")))
-        some = bits_of(ids.filter("doc_id IS NOT NULL"), "doc_id", FILTER_BITS)
-        return _sets(self.docs, some, self.seed).join(ids.select("point"), "point", "left_semi").dropDuplicates(["point"])
+        rows = ids.count()
+        if rows <= SENT_IDS:  # 16 bytes each
+            some = self.docs.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi").unionByName(self.docs.filter("doc_id IS NULL"))
+            return _sets(some, None, self.seed).join(F.broadcast(ids.select("point")), "point", "left_semi").dropDuplicates(["point"])
+        bits = bits_of(ids.filter("doc_id IS NOT NULL"), "doc_id", FILTER_BITS)
+        return _sets(self.docs, bits, self.seed).join(ids.select("point"), "point", "left_semi").dropDuplicates(["point"])
 
     def add(self, links: DataFrame) -> None:
         links = cut(links)
@@ -349,16 +365,21 @@ class _Links:
             links = self.labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links)
         self.labels = cut(components(links))
 
+    def meet(self, rows: DataFrame) -> None:
+        """Links of the points outside a region's largest component with all others."""
+        if not rows.isEmpty():
+            lead = rows.select("cell", "point", "label", (F.col("label") != F.col("top")).alias("lead"))
+            self.add(self.meetings(lead).applyInArrow(lambda x: _new_links(x), "a long, b long"))
+
     def try_pairs(self, pairs: DataFrame) -> None:
         near = cut(_bounds(pairs.distinct(), self.bitmaps).filter("near").select("a", "b"))
         if self.labels is not None and near.isEmpty():
             return
-        sets = cut(self.sets_of(near.select(F.explode(F.array("a", "b")).alias("point"))))
-        self.add(_linked(_overlaps(near, sets)))
+        self.add(_linked(_overlaps(near, self.sets_of(near.select(F.explode(F.array("a", "b")).alias("point"))))))
 
     def meetings(self, rows: DataFrame) -> GroupedData:
         """Every lead point of a cell with every point of it, block by block; rows: cell, point, label, lead."""
-        full = rows.join(self.bitmaps, "point").join(cut(self.sets_of(rows)), "point").select("cell", "point", "label", "lead", "bits", "items", (8 * F.col("n") + 300).alias("bytes"))
+        full = rows.join(self.bitmaps, "point").join(self.sets_of(rows), "point").select("cell", "point", "label", "lead", "bits", "items", (8 * F.col("n") + 300).alias("bytes"))
         blocks = lambda x: F.greatest(F.ceil(F.sum(x) / BLOCK_BYTES), F.lit(1)).cast("int")
         per = rows.join(self.bitmaps, "point").groupBy("cell").agg(blocks(F.when(F.col("lead"), 8 * F.col("n") + 300).otherwise(0)).alias("xs"), blocks(8 * F.col("n") + 300).alias("ys"))
         full = full.join(per, "cell")
@@ -382,8 +403,7 @@ def _divide(big: DataFrame, links: _Links, level: int) -> DataFrame:
     placed = cut(placed.select("cell", "point", "pivot", "near"))
     parts = placed.groupBy("cell", "pivot").agg(F.count("*").alias("copies"), F.count(F.when(F.col("near"), 1)).alias("points")).groupBy("cell").agg(F.sum("copies").alias("copies"), F.sum("points").alias("points"), F.max("copies").alias("most"))
     split = parts.filter("2 * copies <= 3 * points AND 4 * most <= 3 * points").select("cell")
-    whole = _open(rest.join(split, "cell", "left_anti"), links.labels)
-    links.add(links.meetings(whole.select("cell", "point", "label", (F.col("label") != F.col("top")).alias("lead"))).applyInArrow(lambda x: _new_links(x), "a long, b long"))
+    links.meet(cut(_open(rest.join(split, "cell", "left_anti"), links.labels)))
     divided = rest.join(placed, ["cell", "point"]).join(split, "cell", "left_semi")
     return cut(divided.select(F.xxhash64("cell", "pivot").alias("cell"), "point", "n", "pos", "holds", (F.col("home") & F.col("near")).alias("home")))
 
@@ -393,25 +413,29 @@ def link_points(docs: DataFrame, points: DataFrame, levels: np.ndarray, seed: in
     held = _cells(docs, levels, seed).groupBy("cell").agg(F.min("point").alias("lo"), F.max("point").alias("hi"), F.max("holds").alias("any"))
     shared = cut(held.filter("lo <> hi AND any").select("cell"))
     members = written(_members(docs, levels, seed, bits_of(shared, "cell", CELL_BITS)))
-    region = cut(_regions(members, shared))
+    regions = cut(_regions(members, shared))
     bitmaps = cut(members.filter("bits IS NOT NULL").select("point", F.col("n").cast("long").alias("n"), "bits").dropDuplicates(["point"]))
     links = _Links(docs, points, bitmaps, seed)
-    first = cut(region.filter("holds").groupBy("cell").agg(F.min(F.struct("point", "n", "pos", "holds")).alias("q")))
-    star = region.alias("x").join(first.select("cell", "q.*").alias("y"), "cell").filter(F.col("x.point") != F.col("y.point")).filter(_may_link("x", "y"))
-    links.try_pairs(star.select(F.greatest("x.point", "y.point").alias("a"), F.least("x.point", "y.point").alias("b")))
-    region, level = region.withColumn("home", F.lit(True)), 0
+    star = regions.filter(F.col("point") != F.col("q.point")).filter(_may_link("", "q."))
+    links.try_pairs(star.select(F.greatest("point", "q.point").alias("a"), F.least("point", "q.point").alias("b")))
+    region, level = regions.withColumn("home", F.lit(True)), 0
     while True:
         rows = cut(_open(region, links.labels))
         few = rows.filter(F.col("members") <= SMALL)
-        met = few.alias("x").join(few.alias("y"), "cell").filter("x.point < y.point AND x.label <> y.label AND (x.home OR y.home)").filter(_may_link("x", "y"))
+        met = few.alias("x").join(few.alias("y"), "cell").filter("x.point < y.point AND x.label <> y.label AND (x.home OR y.home)").filter(_may_link("x.", "y."))
         links.try_pairs(met.select(F.col("x.point").alias("a"), F.col("y.point").alias("b")))
         big = rows.filter(F.col("members") > SMALL)
-        if big.isEmpty():
-            return links.labels
         if level == 0:  # the large regions of one first pivot become one; the shingle's place says nothing in it
-            big = big.join(first.select("cell", F.col("q.point").alias("pivot")), "cell").select(F.col("pivot").alias("cell"), "point", "n", F.lit(0).alias("pos"), F.lit(True).alias("holds"), "home").distinct()
-            big = cut(_open(big, links.labels))
-        region, level = _divide(big, links, level), level + 1
+            if big.isEmpty():
+                return links.labels
+            pivots = regions.select("cell", F.col("q.point").alias("pivot")).distinct()
+            merged = big.select("cell", "point", "n").join(pivots, "cell").select(F.col("pivot").alias("cell"), "point", "n").distinct()
+            big = cut(_open(merged.select("cell", "point", "n", F.lit(0).alias("pos"), F.lit(True).alias("holds"), F.lit(True).alias("home")), links.labels))
+        links.meet(big.filter(F.col("members") <= MEETING))
+        wide = big.filter(F.col("members") > MEETING)
+        if wide.isEmpty():
+            return links.labels
+        region, level = _divide(wide, links, level), level + 1
 
 
 def _labelled(docs: DataFrame) -> tuple[DataFrame, int]:

@@ -141,11 +141,30 @@ def test_regions_are_divided_until_none_is_left(spark, monkeypatch):
     want = sorted((d, len(sets[i]), rows[label[i]][0]) for i, (d, _) in enumerate(rows))
     assert 3 < len(set(label)) < len(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for small in (48, 3):
+    for small, meeting, ids in ((48, 4096, 200_000), (3, 100, 0), (3, 3, 200_000)):
         monkeypatch.setattr(j, "SMALL", small)
+        monkeypatch.setattr(j, "MEETING", meeting)
+        monkeypatch.setattr(j, "SENT_IDS", ids)
         assert sorted(tuple(r) for r in j.jaccard_components(docs).collect()) == want
 
 
+def test_components_in_one_task_and_by_stars(spark, monkeypatch):
+    from corvid.llm import graph
+
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(1000, 1100)] + [(2000, 2000)]
+    label = {x: x for e in edges for x in e if e[0] != e[1]}
+    for a, b in edges:
+        if a != b and label[a] != label[b]:
+            lo, hi = sorted((label[a], label[b]))
+            label = {k: lo if v == hi else v for k, v in label.items()}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for most in (100_000, 0):
+        monkeypatch.setattr(graph, "ONE_TASK", most)
+        assert {r["node"]: r["label"] for r in graph.components(df).collect()} == label
+    assert graph.components(df.limit(0)).count() == 0
+
+
 def test_words_that_polynomial_hashes_confuse():
     from tokenizers import Tokenizer
 
