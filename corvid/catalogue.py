@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.functions.scalars import cwe_ids, entropy, gate_glob
+from corvid.functions.scalars import cwe_ids, entropy, gate_glob, lookup
 from corvid.operators import findings as fi
 from corvid.operators import graphs as g
+from corvid.operators import sets as se
 from corvid.operators import stats as st
 from corvid.operators import texts as tx
+from corvid.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
+from corvid.plans.registry import query as _query
 from corvid.sources import tables as src
 from corvid.streaming import service as sv
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 _NODES = """
 nodes AS (
   SELECT 'region:' || r_regionkey AS id, 'region' AS kind, r_name AS name, '' AS file FROM region
@@ -54,16 +51,6 @@ f AS (
     CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END AS rank FROM f1)""".replace("\\\\", "\\")
 
 
-def _query(sql: str | None = None, *ctes: str, recursive: bool = False):
-    def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE_SQL[fn.__name__] = (f"WITH {'RECURSIVE ' if recursive else ''}" + ",".join(ctes) + "\n" if ctes else "") + sql
-        return fn
-
-    return register
-
-
 # --- graph ---------------------------------------------------------------------------------------
 
 
@@ -74,8 +61,6 @@ def graph_nodes(spark, d):
 
 @_query("SELECT type, CASE WHEN type = 'touches' THEN 'governance' WHEN type = 'contains' THEN 'assurance' ELSE 'code' END AS layer, count(*) AS n FROM edges GROUP BY ALL", _EDGES)
 def graph_edges(spark, d):
-    from corvid.functions.scalars import lookup
-
     return src.edges(spark, d).groupBy("type", lookup(F.col("type"), g.EDGE_LAYER, "code").alias("layer")).agg(F.count("*").alias("n"))
 
 
@@ -153,7 +138,7 @@ def graph_closure(spark, d):
 
 
 @_query(
-    "SELECT component, count(*) AS size, string_agg(CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR)) AS members FROM (SELECT a.source AS id, least(min(a.target), a.source) AS component FROM closed a JOIN closed b ON a.source = b.target AND a.target = b.source WHERE a.source <> a.target GROUP BY a.source) GROUP BY component",
+    "SELECT a.source AS id, least(min(a.target), a.source) AS component FROM closed a JOIN closed b ON a.source = b.target AND a.target = b.source WHERE a.source <> a.target GROUP BY a.source",
     _TRADE,
     _HEAVY,
     _CLOSED,
@@ -163,7 +148,13 @@ def graph_scc(spark, d):
     return g.strong_components(_trade_edges(spark, d))
 
 
-@_query()
+@_query(
+    "SELECT p.id, q.id AS parent, p.hops FROM path p LEFT JOIN path q ON q.hops = p.hops - 1",
+    _EDGES,
+    " links AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges), walk AS (SELECT 'order:11' AS id, 0 AS hops UNION SELECT l.b, w.hops + 1 FROM walk w JOIN links l ON w.id = l.a WHERE w.hops < 4), dist AS (SELECT id, min(hops) AS hops FROM walk GROUP BY id)",
+    " path AS (SELECT id, hops FROM dist WHERE id = 'supplier:3' UNION ALL SELECT (SELECT min(l.a) FROM links l JOIN dist x ON x.id = l.a WHERE l.b = p.id AND x.hops = p.hops - 1), p.hops - 1 FROM path p WHERE p.hops > 0)",
+    recursive=True,
+)
 def graph_trace(spark, d):
     return g.trace(src.nodes(spark, d), src.edges(spark, d), "order:11", "supplier:3")
 
@@ -176,13 +167,13 @@ def graph_trace(spark, d):
     recursive=True,
 )
 def graph_lineage(spark, d):
-    return g.lineage(src.nodes(spark, d), _tree(spark, d), "nation:5", limit=None).select("id", "hops")
+    below = g.lineage(src.nodes(spark, d), _tree(spark, d), "nation:5", limit=None).select("id", "hops")
+    return below.unionByName(spark.createDataFrame([("nation:5", 0)], "id string, hops int"))
 
 
 @_query("SELECT 'order:' || o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def graph_why_gap(spark, d):
-    e = src.edges(spark, d).filter("type = 'uses'")
-    return src.nodes(spark, d).filter("kind = 'order'").join(e.select(F.col("source").alias("id")), "id", "left_anti").select("id")
+    return g.without_edge(src.nodes(spark, d).filter("kind = 'order'"), src.edges(spark, d), "uses")
 
 
 @_query(
@@ -198,8 +189,7 @@ def graph_timeline(spark, d):
 
 @_query("SELECT seller, buyer, n FROM trade WHERE seller <> buyer ORDER BY n DESC, seller, buyer LIMIT 15", _TRADE)
 def component_edges(spark, d):
-    t = src.trade(spark, d).filter("seller <> buyer")
-    return t.orderBy(F.desc("n"), "seller", "buyer").limit(15)
+    return g.heaviest_pairs(src.trade(spark, d), "seller", "buyer", 15)[0]
 
 
 # --- findings ------------------------------------------------------------------------------------
@@ -210,21 +200,25 @@ def dedupe(spark, d):
     return fi.dedupe_ids(src.findings(spark, d)).select("id", "seq", "copies", "severity", "start_line")
 
 
-@_query(
-    """SELECT repo_id, path, start_line, site, min(seq) AS seq, arg_min(probe, seq) AS probe,
-  coalesce((SELECT string_agg('also:' || p, ',' ORDER BY p) FROM unnest(list_distinct(list(probe))) u(p) WHERE p <> arg_min(probe, seq)), '') AS tags,
-  ['critical', 'high', 'medium', 'low', 'info'][min(rank) + 1] AS severity
-FROM (SELECT *, substr(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), 1, 48) AS site FROM f) GROUP BY ALL""".replace(
-        "coalesce((SELECT string_agg('also:' || p, ',' ORDER BY p) FROM unnest(list_distinct(list(probe))) u(p) WHERE p <> arg_min(probe, seq)), '')",
-        "array_to_string(list_transform(list_filter(list_sort(list_distinct(list(probe))), lambda p: p <> arg_min(probe, seq)), lambda p: 'also:' || p), ',')",
-    ),
-    _FINDINGS,
-)
+_SITES = """
+t AS (SELECT *, CASE WHEN coalesce(path, '') <> '' AND coalesce(start_line, 0) <> 0 THEN 'line' || start_line END AS letters FROM f),
+k AS (SELECT *, letters IS NULL OR probe = first_value(probe) OVER (PARTITION BY repo_id, path, start_line, letters ORDER BY seq) AS kept FROM t),
+o AS (SELECT *, max(CASE WHEN kept THEN seq END) OVER (PARTITION BY repo_id, path, start_line, letters ORDER BY seq) AS owner FROM k),
+g AS (SELECT owner, string_agg('also:' || probe, ',' ORDER BY seq) AS tags FROM o WHERE NOT kept GROUP BY owner)"""
+
+
+@_query("SELECT seq, id, probe, severity, coalesce(tags, '') AS tags FROM o LEFT JOIN g ON g.owner = o.seq WHERE kept", _FINDINGS, _SITES)
 def dedupe_sites(spark, d):
-    return fi.merge_sites(src.findings(spark, d))
+    # Titles without the probe's name, so that several probes meet at a site.
+    f = src.findings(spark, d).withColumn("title", F.concat(F.lit("Line "), F.col("start_line").cast("string")))
+    return fi.merge_sites(f).select("seq", "id", "probe", "severity", F.array_join("tags", ",").alias("tags"))
 
 
-@_query("SELECT path_dir AS directory, count(*) AS n, count(DISTINCT path) AS files, count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high, count_if(severity = 'medium') AS medium, count_if(severity = 'low') AS low, count_if(severity = 'info') AS info FROM (SELECT *, split_part(path, '/', 1) AS path_dir FROM f) WHERE rank <= 2 GROUP BY 1", _FINDINGS)
+_DIMENSIONS = ", ".join(f"count_if(dimension = '{x}') AS {x}" for x in fi.DIMENSION_WEIGHT)
+_SEVERITIES = ", ".join(f"count(CASE WHEN severity = '{x}' THEN 1 END) AS {x}" for x in ("critical", "high", "medium", "low", "info"))
+
+
+@_query("SELECT path_dir AS directory, count(*) AS n, count(DISTINCT path) AS files, count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high, count_if(severity = 'medium') AS medium, count_if(severity = 'low') AS low, count_if(severity = 'info') AS info, " + _DIMENSIONS + " FROM (SELECT *, split_part(path, '/', 1) AS path_dir FROM f) WHERE rank <= 2 GROUP BY 1", _FINDINGS)
 def findings_rollup(spark, d):
     return fi.rollup(src.findings(spark, d), least="medium")
 
@@ -235,7 +229,7 @@ def severity_counts(spark, d):
 
 
 @_query(
-    "SELECT r.rule_id, coalesce(count(f.id), 0) AS n, count(DISTINCT f.path) AS files FROM (SELECT DISTINCT e || '.' || i AS rule_id FROM (VALUES ('error'), ('click'), ('audit')) v(e), range(10) t(i)) r LEFT JOIN f USING (rule_id) GROUP BY 1",
+    "SELECT r.rule_id, coalesce(count(f.id), 0) AS n, count(DISTINCT f.path) AS files, " + _SEVERITIES + " FROM (SELECT DISTINCT e || '.' || i AS rule_id FROM (VALUES ('error'), ('click'), ('audit')) v(e), range(10) t(i)) r LEFT JOIN f USING (rule_id) GROUP BY 1",
     _FINDINGS,
 )
 def rule_report(spark, d):
@@ -353,12 +347,13 @@ def claims(spark, d):
 
 
 @_query(
-    "SELECT path, probe, least(na, nb) AS matched, na - least(na, nb) AS only_a, nb - least(na, nb) AS only_b FROM (SELECT path, probe, count_if(seq % 2 = 0) AS na, count_if(seq % 3 = 0) AS nb FROM f GROUP BY ALL) WHERE na + nb > 0",
+    "SELECT path, probe, least(na, nb) AS matched, na - least(na, nb) AS only_a, nb - least(na, nb) AS only_b FROM (SELECT path, probe, count_if(ts < TIMESTAMP '2024-01-15') AS na, count_if(ts >= TIMESTAMP '2024-01-15') AS nb FROM f GROUP BY ALL)",
     _FINDINGS,
 )
 def ab_compare_pass1(spark, d):
     f = src.findings(spark, d)
-    return fi.match_exact(f.filter("seq % 2 = 0"), f.filter("seq % 3 = 0"), ["path", "probe"])
+    early = F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")
+    return fi.match_exact(f.filter(early), f.filter(~early), ["path", "probe"])
 
 
 @_query(
@@ -375,15 +370,21 @@ def tool_disagreement(spark, d):
 
 
 @_query(
-    """SELECT seq, id, rule_id, idx FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY pos, repo_id, seq) AS idx FROM (
+    """SELECT seq, id, rule_id, tier, idx FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY pos, repo_id, seq) AS idx FROM (
   SELECT *, row_number() OVER (PARTITION BY rule_id, repo_id ORDER BY n, path, seq) AS pos FROM (
-    SELECT *, row_number() OVER (PARTITION BY rule_id, repo_id, path ORDER BY start_line, seq) AS n FROM f WHERE id NOT IN (SELECT id FROM b)))) ORDER BY idx, rule_id LIMIT 60""",
+    SELECT *, row_number() OVER (PARTITION BY rule_id, repo_id, path ORDER BY start_line, seq) AS n FROM pool)))
+JOIN (SELECT rule_id, count(*) AS size, CASE WHEN coalesce(max(k), 0) >= 20 THEN 1 ELSE 0 END AS tier, CASE WHEN coalesce(max(k), 0) = 0 THEN 1 ELSE 0 END AS fresh FROM pool LEFT JOIN seen USING (rule_id) GROUP BY 1) USING (rule_id)
+ORDER BY tier, idx, fresh, size DESC, rule_id LIMIT 60""",
     _FINDINGS,
     _BEFORE,
+    _SUPPRESSED,
+    " pool AS (SELECT * FROM s WHERE suppressed_by IS NULL AND id NOT IN (SELECT id FROM b)), seen AS (SELECT rule_id, count(*) % 40 AS k FROM f WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1)",
 )
 def review_queue(spark, d):
     before, _ = _halves(spark, d)
-    return fi.review_queue(src.findings(spark, d), before, 60).select("seq", "id", "rule_id", "idx")
+    seen = before.groupBy("rule_id").agg((F.count("*") % 40).alias("n"))
+    pool = fi.suppress(src.findings(spark, d), SUPPRESSIONS, "2024-02-01")
+    return fi.review_queue(pool, before, 60, seen).select("seq", "id", "rule_id", "tier", "idx")
 
 
 # --- statistics ----------------------------------------------------------------------------------
@@ -421,8 +422,9 @@ def discrimination(spark, d):
     "SELECT lang, source, count(*) AS docs, sum(n_chars) AS chars FROM documents GROUP BY GROUPING SETS ((lang), (source), (lang, source))",
 )
 def corpus_summary(spark, d):
-    src.table(spark, d, "documents").createOrReplaceTempView("corvid_documents")
-    return spark.sql("SELECT lang, source, count(*) AS docs, sum(n_chars) AS chars FROM corvid_documents GROUP BY GROUPING SETS ((lang), (source), (lang, source))")
+    docs = src.table(spark, d, "documents")
+    sets = [[F.col("lang")], [F.col("source")], [F.col("lang"), F.col("source")]]
+    return docs.groupingSets(sets, F.col("lang"), F.col("source")).agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"))
 
 
 @_query(
@@ -458,10 +460,11 @@ def component_rollup(spark, d):
     return _modules(spark, d).select("component", "modules", "orders", "segments")
 
 
-@_query("SELECT component, round_even(100 * (0.30 * least(1.0, log2(1.0 + modules % 9) / log2(9.0)) + 0.25 * (segments / 5) + 0.25 * (orders % 3) / 2 + 0.20 * 0.5), 1) AS score FROM m", _MODULES)
+@_query("SELECT component, CASE WHEN component % 5 = 0 THEN 0 ELSE CAST(round_even(100 * (0.30 * least(1.0, log2(1.0 + modules % 9) / log2(9.0)) + 0.25 * least(1.0, segments / 3) + 0.25 * (orders % 2) + 0.20 / (1 + (modules % 7) / 5)), 0) AS INTEGER) END AS score FROM m", _MODULES)
 def reuse_score(spark, d):
     m = _modules(spark, d)
-    return m.select("component", st.reuse_score(F.col("modules") % 9, F.col("segments") / 5, (F.col("orders") % 3) / 2, F.lit(0.5)).alias("score"))
+    category = F.when(F.col("component") % 5 == 0, "top-level").otherwise("shared")
+    return m.select("component", st.reuse_score(F.col("modules") % 9, F.col("segments"), F.col("orders") % 2, F.col("modules") % 7, category).alias("score"))
 
 
 _MAINT = """
@@ -516,8 +519,7 @@ def house_content(spark, d):
 
 @_query("SELECT doc_id, [x for x in list_distinct(a)] AS emails FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]+[A-Za-z0-9]') AS a FROM documents) WHERE len(a) > 0".replace("[x for x in list_distinct(a)] AS emails", "array_to_string(list_sort(list_distinct(a)), ',') AS emails"))
 def mail_addresses(spark, d):
-    found = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+[A-Za-z0-9]"), 0)
-    return src.table(spark, d, "documents").select("doc_id", found.alias("a")).filter("size(a) > 0").select("doc_id", F.array_join(F.array_sort(F.array_distinct("a")), ",").alias("emails"))
+    return tx.found_values(src.table(spark, d, "documents"), r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+[A-Za-z0-9]").select("doc_id", F.array_join("values", ",").alias("emails"))
 
 
 @_query(
@@ -604,21 +606,19 @@ def unique_suffix(spark, d):
 @_query("SELECT p_brand AS name, count(DISTINCT p_size) AS \"values\", count(DISTINCT l_suppkey) AS suppliers FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 HAVING count(DISTINCT p_size) > 1")
 def constant_disagreement(spark, d):
     items = src.table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct().join(src.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size"), "l_partkey")
-    return items.groupBy(F.col("p_brand").alias("name")).agg(F.countDistinct("p_size").alias("values"), F.countDistinct("l_suppkey").alias("suppliers")).filter("values > 1")
+    return se.disagreeing_values(items, F.col("p_brand"), F.col("p_size"), F.col("l_suppkey")).withColumnRenamed("holders", "suppliers")
 
 
-@_query("SELECT rule_id, CASE WHEN bool_or(seq % 50 = 1) THEN 'a' ELSE 'b' END AS side FROM f WHERE seq % 50 IN (1, 2) GROUP BY 1 HAVING count(DISTINCT seq % 50) = 1", _FINDINGS)
+@_query("SELECT rule_id, path, CASE WHEN bool_or(ts < TIMESTAMP '2024-01-15') THEN 'a' ELSE 'b' END AS side FROM f GROUP BY ALL HAVING count(DISTINCT ts < TIMESTAMP '2024-01-15') = 1", _FINDINGS)
 def symmetric_difference(spark, d):
-    f = src.findings(spark, d)
-    a, b = (f.filter(f"seq % 50 = {k}").select("rule_id").distinct() for k in (1, 2))
-    return a.join(b, "rule_id", "left_anti").withColumn("side", F.lit("a")).unionByName(b.join(a, "rule_id", "left_anti").withColumn("side", F.lit("b")))
+    f = src.findings(spark, d).withColumn("early", F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz"))
+    return se.symmetric_difference(f.filter("early"), f.filter("NOT early"), ["rule_id", "path"])
 
 
 @_query("SELECT title, CASE WHEN bool_or(repo_id IN ('repo0', 'repo1')) THEN 'a' ELSE 'b' END AS side FROM f GROUP BY 1 HAVING count(DISTINCT repo_id IN ('repo0', 'repo1')) = 1", _FINDINGS)
 def symmetric_difference_all(spark, d):
     f = src.findings(spark, d).select("title", F.col("repo_id").isin("repo0", "repo1").alias("first"))
-    a, b = (f.filter(F.col("first") == k).select("title").distinct() for k in (True, False))
-    return a.join(b, "title", "left_anti").withColumn("side", F.lit("a")).unionByName(b.join(a, "title", "left_anti").withColumn("side", F.lit("b")))
+    return se.symmetric_difference(f.filter("first"), f.filter("NOT first"), ["title"])
 
 
 @_query(
@@ -643,15 +643,20 @@ def first_definition(spark, d):
     return g.first_per_key(c, ["c_mktsegment"], "c_custkey").select("c_mktsegment", "c_name", "c_custkey")
 
 
-@_query("SELECT text_id, array_to_string(ids, ',') AS ids FROM (VALUES (1, ['CWE-79', 'CWE-89']), (2, ['CWE-22']), (3, ['CWE-7']), (4, CAST([] AS VARCHAR[]))) v(text_id, ids)")
+@_query("SELECT text_id, array_to_string(ids, ',') AS ids FROM (VALUES (1, ['CWE-79', 'CWE-89']), (2, ['CWE-22']), (3, ['CWE-007']), (4, CAST([] AS VARCHAR[]))) v(text_id, ids)")
 def cwe_normalise(spark, d):
     rows = [(1, "cwe_79, CWE-89 and CWE 79"), (2, "22"), (3, "CWE-007"), (4, "none")]
     return spark.createDataFrame(rows, "text_id int, t string").select("text_id", F.array_join(cwe_ids(F.col("t")), ",").alias("ids"))
 
 
-@_query("SELECT seq, 'CWE-' || CAST(regexp_extract(title, '([0-9]+)$', 1) AS BIGINT) AS ids FROM f", _FINDINGS)
+@_query(
+    "SELECT seq, CASE k % 3 WHEN 0 THEN 'CWE-' || k WHEN 1 THEN 'CWE-' || k ELSE CASE WHEN k = 79 THEN 'CWE-79' ELSE 'CWE-79,CWE-' || k END END AS ids FROM (SELECT seq, start_line AS k FROM f)",
+    _FINDINGS,
+)
 def cwe_normalise_all(spark, d):
-    return src.findings(spark, d).select("seq", F.array_join(cwe_ids(F.col("title")), ",").alias("ids"))
+    k = F.col("start_line").cast("string")
+    text = F.when(F.col("start_line") % 3 == 0, F.concat(F.lit(" 0"), k)).when(F.col("start_line") % 3 == 1, F.concat(F.lit("see line 12, fixed in 2024: cwe_"), k)).otherwise(F.concat(F.lit("CWE 79 and CWE-"), k))
+    return src.findings(spark, d).select("seq", F.array_join(cwe_ids(text), ",").alias("ids"))
 
 
 @_query("SELECT path FROM f WHERE regexp_matches(path, '^d[0-3]/f[^/]*\\.py$') GROUP BY 1", _FINDINGS)
@@ -683,3 +688,6 @@ def rate_limit(spark, d):
 def audit_counts(spark, d):
     events = src.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("event"))
     return sv.audit_counts(events).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+
+
+from corvid.plans import changes, project  # noqa: E402, F401  # these register more queries

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.functions.scalars import file_glob
+from corvid.functions.scalars import directories, file_glob, lookup, snake_case
 
 # Layers of edge types; other types are code.
 EDGE_LAYER = {
@@ -30,7 +31,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise a walk's state in the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corvid-checkpoint-"))
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="corvid-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -65,11 +69,35 @@ def count_by(df: DataFrame, key: str) -> DataFrame:
 
 
 def resolve(nodes: DataFrame, text: str) -> DataFrame:
-    """[P2] Nodes of the first tier that matches: id, exact name, part of a name, part of an external's name."""
-    low, name = text.lower(), F.lower("name")
-    tier = F.when(F.col("id") == text, 0).when((F.col("name") == text) & (F.col("kind") != "external"), 1).when(F.contains(name, F.lit(low)) & (F.col("kind") != "external"), 2).when(F.contains(name, F.lit(low)), 3)
+    """[P2] Nodes of the first tier that matches: id, exact qualified name, part of a name, part of an external's name.
+
+    Nodes without a column ``qualified_name`` have their name for it.
+    """
+    full = "qualified_name" if "qualified_name" in nodes.columns else "name"
+    low, inner = text.lower(), F.col("kind") != "external"
+    part = F.contains(F.lower("name"), F.lit(low))
+    tier = F.when(F.col("id") == text, 0).when((F.col(full) == text) & inner, 1).when((part | F.contains(F.lower(full), F.lit(low))) & inner, 2).when(part, 3)
     hits = nodes.withColumn("tier", tier).filter("tier IS NOT NULL")
-    return hits.join(F.broadcast(hits.agg(F.min("tier").alias("tier"))), "tier")
+    return hits.join(F.broadcast(hits.agg(F.min("tier").alias("tier"))), "tier")  # one row
+
+
+# Kinds from the outermost on; of several nodes of one name the first kind's is meant.
+KIND_RANK = ["requirement", "failure", "finding", "cwe", "finding_rule", "rule", "suite", "changelog", "commit", "file", "playbook", "checklist", "rulepack", "module", "table", "class", "interface", "function", "method"]
+
+
+def resolve_one(nodes: DataFrame, text: str) -> DataFrame:
+    """[P3] The one node that a text names, or no row.
+
+    Of several matches those of exactly this name count, and of these the one of the first kind in
+    ``KIND_RANK``, if there is just one of that kind.
+    """
+    hits = resolve(nodes, text)
+    row = F.struct(*[F.col(f"`{c}`") for c in nodes.columns])
+    one = hits.agg(F.count("*").alias("n"), F.first(row).alias("r")).filter("n = 1").select("r.*")
+    rank = F.array_position(F.array(*[F.lit(k) for k in KIND_RANK]), F.col("kind"))
+    kinds = hits.filter((F.col("name") == text) & (rank > 0)).groupBy(rank.alias("rank")).agg(F.count("*").alias("n"), F.first(row).alias("r"))
+    best = kinds.agg(F.min_by(F.struct("n", "r"), "rank").alias("b"), F.count("*").alias("k")).filter("k > 0 AND b.n = 1").select("b.r.*")
+    return one.unionByName(best).limit(1)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -78,7 +106,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def ego(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """[G8, G5] id and least number of hops from any seed, edges taken either way."""
-    links = both_ways(edges)
+    links = both_ways(edges).repartition("a").persist(StorageLevel.DISK_ONLY)  # dealt by its end once for all hops
     seen = cut(seeds.select("id").distinct().withColumn("hops", F.lit(0)))
     front = seen
     for d in range(1, depth + 1):
@@ -87,12 +115,13 @@ def ego(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+    links.unpersist()
     return seen
 
 
 def reach(edges: DataFrame, origins: DataFrame, depth: int) -> DataFrame:
     """[G7] (origin, id, hops) for every origin at once, edges taken either way."""
-    links = both_ways(edges)
+    links = both_ways(edges).repartition("a").persist(StorageLevel.DISK_ONLY)
     seen = cut(origins.select(F.col("id").alias("origin"), "id").distinct().withColumn("hops", F.lit(0)))
     front = seen
     for d in range(1, depth + 1):
@@ -101,6 +130,7 @@ def reach(edges: DataFrame, origins: DataFrame, depth: int) -> DataFrame:
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+    links.unpersist()
     return seen
 
 
@@ -129,11 +159,45 @@ def closure(edges: DataFrame, depth: int = 8) -> DataFrame:
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """[G11] (component, members) of the groups of more than one node that reach each other, from the closure."""
-    pairs = closure(edges)
-    mutual = pairs.join(pairs.select(F.col("target").alias("source"), F.col("source").alias("target")), ["source", "target"]).filter("source <> target")
-    least = mutual.groupBy(F.col("source").alias("id")).agg(F.least(F.min("target"), F.first("source")).alias("component"))
-    return least.groupBy("component").agg(F.count("*").alias("size"), F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), ",").alias("members"))
+    """[G11] (id, component) of the nodes in groups of more than one that reach each other; the component is the least id of the group.
+
+    Colours run forward from the greatest ids until nothing changes; what reaches a colour's root
+    backwards inside the colour is that root's component.  These nodes leave, and the rest goes on.  A
+    node without a way in or out is in no group and leaves first.
+    """
+    rest = cut(edges.filter("source <> target").select("source", "target").distinct())
+    found: DataFrame | None = None
+    while True:
+        rows = rest.count()
+        while rows:
+            ways_in, ways_out = rest.select(F.col("target").alias("source")).distinct(), rest.select(F.col("source").alias("target")).distinct()
+            rest = cut(rest.join(ways_in, "source", "left_semi").join(ways_out, "target", "left_semi").select("source", "target"))
+            before, rows = rows, rest.count()
+            if rows == before:
+                break
+        if not rows:
+            break
+        colours = cut(rest.select(F.col("source").alias("id")).union(rest.select("target")).distinct().withColumn("colour", F.col("id")))
+        moved = colours
+        while not moved.isEmpty():
+            sent = rest.join(moved.select(F.col("id").alias("source"), "colour"), "source").groupBy(F.col("target").alias("id")).agg(F.max("colour").alias("best"))
+            both = cut(colours.join(sent, "id", "left"))
+            moved = both.filter("best > colour").select("id", F.col("best").alias("colour"))
+            colours = both.select("id", F.greatest("colour", "best").alias("colour"))
+        of = lambda name: colours.select(F.col("id").alias(name), F.col("colour").alias(f"c_{name}"))
+        inside = cut(rest.join(of("source"), "source").join(of("target"), "target").filter("c_source = c_target").select("source", "target", F.col("c_source").alias("colour")))
+        front = group = cut(colours.filter("id = colour"))
+        while not front.isEmpty():
+            back = inside.join(front.select(F.col("id").alias("target"), "colour"), ["target", "colour"]).select(F.col("source").alias("id"), "colour").distinct()
+            front = cut(back.join(group, ["id", "colour"], "left_anti"))
+            group = cut(group.unionByName(front))
+        found = group if found is None else cut(found.unionByName(group))
+        done = group.select("id")
+        rest = cut(rest.join(done.withColumnRenamed("id", "source"), "source", "left_anti").join(done.withColumnRenamed("id", "target"), "target", "left_anti").select("source", "target"))
+    if found is None:
+        return rest.select(F.col("source").alias("id"), F.col("target").alias("component"))
+    per = found.groupBy("colour").agg(F.min("id").alias("component"), F.count("*").alias("size")).filter("size > 1")
+    return found.join(per, "colour").select("id", "component")
 
 
 def trace(nodes: DataFrame, edges: DataFrame, start: str, end: str) -> DataFrame:
@@ -166,28 +230,122 @@ def trace(nodes: DataFrame, edges: DataFrame, start: str, end: str) -> DataFrame
 
 
 def flow_edges(edges: DataFrame, code: bool = False) -> DataFrame:
-    """[X1] (up, down): each edge turned so that the second end is downstream."""
+    """[X1] (up, down, type): each edge turned so that the second end is downstream."""
     up = UP + (CODE_UP if code else [])
     kept = edges.filter(F.col("type").isin(DOWN + up))
     turned = F.col("type").isin(up)
-    return kept.select(F.when(turned, F.col("target")).otherwise(F.col("source")).alias("up"), F.when(turned, F.col("source")).otherwise(F.col("target")).alias("down"))
+    return kept.select(F.when(turned, F.col("target")).otherwise(F.col("source")).alias("up"), F.when(turned, F.col("source")).otherwise(F.col("target")).alias("down"), "type")
 
 
 def lineage(nodes: DataFrame, edges: DataFrame, origin: str, direction: str = "down", depth: int = 6, limit: int | None = 400, code: bool = False) -> DataFrame:
-    """[G3] Directed walk from one node: id, hops, parent; siblings in order of name and then id; the first ``limit`` (None: all) stay."""
-    flow = flow_edges(edges, code)
+    """[G3, X1] Directed walk from one node: id, name, kind, hops, via, parent, listed.
+
+    A level is visited in the order of its parents, then of names; externals are skipped.  ``follows``
+    and ``recurs`` count from the origin only and are not walked on.  Downwards, what a node defines or
+    contains is listed only while the walk has done nothing else.  The first ``limit`` nodes are
+    listed (None: all); those seen after them have ``listed`` false and are not walked on.
+    """
+    single = edges.filter(F.col("type").isin("follows", "recurs")).select(F.col("target").alias("up"), F.col("source").alias("down"), "type")
     a, b = ("up", "down") if direction == "down" else ("down", "up")
-    links = flow.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct().join(nodes.select(F.col("id").alias("b"), "name", "kind"), "b").filter("kind <> 'external'")
-    seen = cut(nodes.filter(F.col("id") == origin).select("id", "name", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("hops")))
+    turn = lambda df: df.select(F.col(a).alias("parent"), F.col(b).alias("id"), "type").distinct()
+    named = nodes.filter("kind <> 'external'").select("id", "name", "kind")
+    links, once = turn(flow_edges(edges, code)), turn(single)
+    seen = cut(nodes.filter(F.col("id") == origin).select("id", "name", "kind", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("parent"), F.lit(True).alias("listed"), F.array("id").alias("key"), F.lit(True).alias("inside"), F.lit(True).alias("walked")))
+    front, have = seen, 0
+    for d in range(1, depth + 1):
+        steps = links.withColumn("once", F.lit(False)).unionByName(once.withColumn("once", F.lit(True))) if d == 1 else links.withColumn("once", F.lit(False))
+        hit = front.filter("walked").select(F.col("id").alias("parent"), "key", "inside").join(steps, "parent").join(named, "id")
+        structural = F.col("type").isin("defines", "contains")
+        if direction == "down":
+            hit = hit.filter(~structural | F.col("inside"))
+        hit = hit.join(seen.select("id"), "id", "left_anti")
+        best = F.min_by(F.struct("name", "kind", "parent", F.col("type").alias("via"), F.concat("key", F.array("name", "type", "id")).alias("key"), (F.col("inside") & structural).alias("inside"), (~F.col("once")).alias("walked")), F.struct("key", "type", "parent"))
+        new = hit.groupBy("id").agg(best.alias("r")).select("id", "r.*", F.lit(d).alias("hops"))
+        if limit is not None:  # a level's first ones are listed as far as there is room
+            new = cut(new)
+            room = max(0, limit - have)
+            kept = new.orderBy("key").limit(room).select("id", F.lit(True).alias("listed"))
+            new = new.join(F.broadcast(kept) if room <= 10_000 else kept, "id", "left").withColumn("listed", F.coalesce("listed", F.lit(False))).withColumn("walked", F.col("walked") & F.col("listed"))
+        else:
+            new = new.withColumn("listed", F.lit(True))
+        front = cut(new.select(*seen.columns))
+        size = front.count()
+        if not size:
+            break
+        have += min(size, max(0, (limit or 0) - have))
+        seen = seen.unionByName(front)
+    return seen.filter("hops > 0").select("id", "name", "kind", "hops", "via", "parent", "listed", "key")
+
+
+def lineage_edges(edges: DataFrame, listed: DataFrame, origin: str, code: bool = False) -> DataFrame:
+    """[G3] Edges of the walk's types with both ends among the origin and the listed nodes; single-hop ones only at the origin."""
+    members = listed.select("id").union(listed.sparkSession.createDataFrame([(origin,)], "id string")).distinct()
+    once = F.col("type").isin("follows", "recurs") & ((F.col("source") == origin) | (F.col("target") == origin))
+    some = edges.filter(F.col("type").isin(DOWN + UP + (CODE_UP if code else [])) | once)
+    return some.join(members.withColumnRenamed("id", "source"), "source", "left_semi").join(members.withColumnRenamed("id", "target"), "target", "left_semi").select(*edges.columns)
+
+
+# Edges that an impact walk follows, every layer but code, without the chain of commits.
+IMPACT_TYPES = [t for t in EDGE_LAYER if t != "follows"]
+HUB_KINDS, CLASS_EDGES = ["cwe", "finding_rule"], ["violates", "classified_as"]
+NO_SEED = ["requirement", "changelog", "commit", "failure", "suite", "external", "cwe", "finding_rule", "finding"]
+BUCKET = {"requirement": "requirements", "changelog": "changelog", "failure": "failures", "suite": "suites", "rule": "rules", "commit": "commits", "finding": "findings"}
+
+
+def impact_seeds(nodes: DataFrame, changed: DataFrame) -> DataFrame:
+    """[G5, X2] (path, id): where a changed path enters the graph.
+
+    A path that names a CWE, a rule or a finding is that node; any other is its file's node, the symbols
+    in it and the directories above it.
+    """
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim("path"), r"\\", "/"), r"^\./", ""), "/+$", "")
+    paths = changed.select(text.alias("path")).filter("path <> ''").distinct()
+    hubs = nodes.filter(F.col("kind").isin([*HUB_KINDS, "finding"]))
+    cwe = F.when(F.col("path").rlike(r"(?i)^cwe[-_ ]?[0-9]+$"), F.concat(F.lit("CWE-"), F.regexp_extract("path", "([0-9]+)$", 1)))
+    by_id = paths.join(hubs.select(F.col("id").alias("path"), "id"), "path")
+    names = hubs.select(F.col("name").alias("key"), "id")
+    by_name = paths.withColumn("key", F.explode(F.array_compact(F.array("path", cwe)))).join(names, "key").select("path", "id")
+    direct = by_id.unionByName(by_name).groupBy("path").agg(F.min("id").alias("id"))
+    rest = paths.join(direct.select("path"), "path", "left_anti")
+    inner = nodes.filter(~F.col("kind").isin(NO_SEED))
+    own = rest.join(inner.select(F.col("file").alias("path"), "id"), "path")
+    file = rest.join(inner.select("id"), F.concat(F.lit("file:"), "path") == F.col("id")).select("path", "id")
+    over = rest.withColumn("file", F.explode(directories(F.col("path")))).join(inner.filter("kind = 'file' AND directory").select("file", "id"), "file").select("path", "id")
+    return direct.unionByName(own).unionByName(file).unionByName(over).distinct()
+
+
+def impact(nodes: DataFrame, edges: DataFrame, changed: DataFrame, depth: int = 2) -> DataFrame:
+    """[G5, X2] What changed(path) reaches: bucket, id, kind, name, via, hops, parent.
+
+    Edges of every layer but code count both ways.  CWEs and rules are hubs: a walk goes from them to
+    their findings, not from a finding over them to others of the class.  A level is visited in the
+    order of its parents, names and types.  A test symbol is listed as its module; seeds are not listed.
+    ``nodes`` has id, kind, name, file, directory, test (booleans).
+    """
+    kinds = nodes.select("id", "name", "kind")
+    both = edges.filter(F.col("type").isin(IMPACT_TYPES)).select(F.explode(F.array(F.struct(F.col("source").alias("parent"), F.col("target").alias("id")), F.struct(F.col("target").alias("parent"), F.col("source").alias("id")))).alias("e"), "type").select("e.*", "type").distinct()
+    none = F.lit(None).cast("string")
+    seen = cut(impact_seeds(nodes, changed).select("id").distinct().join(kinds, "id").select("id", "kind", "name", F.lit(0).alias("hops"), none.alias("via"), none.alias("parent"), F.array("id").alias("key")))
     front = seen
     for d in range(1, depth + 1):
-        new = front.select(F.col("id").alias("a"), F.col("name").alias("an")).join(links, "a").groupBy(F.col("b").alias("id"), "name").agg(F.min_by("a", F.struct("an", "a")).alias("parent"))
-        front = cut(new.join(seen, "id", "left_anti").select("id", "name", "parent", F.lit(d).alias("hops")))
+        hit = front.select(F.col("id").alias("parent"), "key", F.col("kind").isin(HUB_KINDS).alias("hub")).join(both, "parent").filter(~F.col("type").isin(CLASS_EDGES) | F.col("hub")).join(kinds, "id")
+        best = F.min_by(F.struct("kind", "name", F.col("type").alias("via"), "parent", F.concat("key", F.array("name", "type", "id")).alias("key")), F.struct("key", "type"))
+        new = hit.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(best.alias("r")).select("id", "r.*", F.lit(d).alias("hops"))
+        front = cut(new.select(*seen.columns))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-    listed = seen.orderBy("hops", "name", "id")
-    return listed.limit(limit + 1) if limit else listed
+    rows = seen.filter("hops > 0").join(nodes.select("id", "file", "directory", "test"), "id")
+    bucket = lookup(F.col("kind"), BUCKET)
+    bucket = F.coalesce(bucket, F.when(F.col("test"), "tests").when((F.col("via") == "flags") & F.col("kind").isin("module", "file") & ~F.coalesce("directory", F.lit(False)), "files"))
+    rows = rows.withColumn("bucket", bucket).filter("bucket IS NOT NULL")
+    # A test symbol stands for its module, else its file.
+    symbol = (F.col("bucket") == "tests") & ~F.col("kind").isin("module", "file") & (F.coalesce("file", F.lit("")) != "")
+    holder = nodes.filter("kind IN ('module', 'file') AND coalesce(file, '') <> '' AND NOT coalesce(directory, false)").groupBy("file").agg(F.min_by(F.struct("id", "kind", "name"), F.struct((F.col("kind") != "module").alias("k"), "id")).alias("h"))
+    folded = rows.filter(symbol).join(holder, "file", "left").select("bucket", F.coalesce("h.id", "id").alias("id"), F.coalesce("h.kind", "kind").alias("kind"), F.coalesce("h.name", "name").alias("name"), "via", "hops", "parent", "key", F.col("name").alias("first"))
+    plain = rows.filter(~symbol).select("bucket", "id", "kind", "name", "via", "hops", "parent", "key", F.col("name").alias("first"))
+    once = plain.unionByName(folded).groupBy("id").agg(F.min_by(F.struct("bucket", "kind", "name", "via", "hops", "parent"), F.struct("hops", "first", "key")).alias("r")).select("id", "r.*")
+    return once.join(seen.filter("hops = 0").select("id"), "id", "left_anti").select("bucket", "id", "kind", "name", "via", "hops", "parent")
 
 
 def timeline(events: DataFrame, order: list[str]) -> DataFrame:
@@ -196,11 +354,108 @@ def timeline(events: DataFrame, order: list[str]) -> DataFrame:
     return events.filter("date IS NOT NULL").orderBy("date", rank, "name")
 
 
+def without_edge(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
+    """[G4] Ids of the nodes that no edge of a type leaves."""
+    return nodes.join(edges.filter(F.col("type") == kind).select(F.col("source").alias("id")), "id", "left_anti").select("id")
+
+
+def heaviest_pairs(pairs: DataFrame, unit_a: str, unit_b: str, top: int) -> tuple[DataFrame, DataFrame]:
+    """[A14] The ``top`` heaviest of pairs(unit_a, unit_b, n) of different units, and the number that was left out."""
+    some = pairs.filter(F.col(unit_a) != F.col(unit_b)).select(unit_a, unit_b, "n")
+    return some.orderBy(F.desc("n"), unit_a, unit_b).limit(top), some.agg(F.greatest(F.count("*") - top, F.lit(0)).alias("dropped"))
+
+
 def weighted_pairs(links: DataFrame, unit_a: str, unit_b: str, top: int) -> tuple[DataFrame, DataFrame]:
-    """[A14] The ``top`` heaviest pairs of different units, and the number that was left out."""
-    pairs = links.filter(F.col(unit_a) != F.col(unit_b)).groupBy(unit_a, unit_b).agg(F.count("*").alias("n"))
-    best = pairs.orderBy(F.desc("n"), unit_a, unit_b).limit(top)
-    return best, pairs.agg(F.greatest(F.count("*") - top, F.lit(0)).alias("dropped"))
+    """[A14] The same from single links."""
+    return heaviest_pairs(links.groupBy(unit_a, unit_b).agg(F.count("*").alias("n")), unit_a, unit_b, top)
+
+
+def top_degree(nodes: DataFrame, edges: DataFrame, most: int, anchors: list[str] | None = None) -> DataFrame:
+    """[W2] The ``most`` nodes of the largest degree, and all of the ``anchors`` kinds."""
+    ranked = nodes.join(degrees(edges), "id", "left").fillna(0, ["out_degree", "in_degree"])
+    best = ranked.orderBy(F.desc(F.col("out_degree") + F.col("in_degree")), "id").limit(most)
+    extra = ranked.filter(F.col("kind").isin(anchors or [])).join(best.select("id"), "id", "left_anti")
+    return best.unionByName(extra.select(*best.columns))
+
+
+def component_trace(links: DataFrame, start: str, up: bool = False, depth: int | None = None) -> DataFrame:
+    """[G9] (level, component, n) of what a component depends on, level by level, or (``up``) of what depends on it.
+
+    ``links`` has user, used and n, the number of links; a component's n is that of its first user, which is the
+    least of the level before.
+    """
+    a, b = ("used", "user") if up else ("user", "used")
+    steps = cut(links.select(F.col(a).alias("a"), F.col(b).alias("component"), "n"))
+    seen = cut(links.sparkSession.createDataFrame([(0, start, None)], "level int, component string, n long"))
+    front, level = seen, 0
+    while depth is None or level < depth:
+        level += 1
+        new = front.select(F.col("component").alias("a")).join(steps, "a").join(seen.select("component"), "component", "left_anti").groupBy("component").agg(F.min_by("n", "a").cast("long").alias("n"))
+        front = cut(new.select(F.lit(level).alias("level"), "component", "n"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen.filter("level > 0")
+
+
+def inherited(bases: DataFrame, methods: DataFrame, wanted: DataFrame) -> DataFrame:
+    """[J9] (class, name, owner): where a class of wanted(class, name) has a method from, itself or its bases, depth first in the order of declaration.
+
+    bases(class, base, place), methods(class, name).  A walk keeps the places it went through, so that the
+    least path is the one a depth-first search meets first.
+    """
+    front = cut(wanted.select("class", "name", F.col("class").alias("at"), F.array().cast("array<int>").alias("path"), F.array("class").alias("met")))
+    found: DataFrame | None = None
+    while not front.isEmpty():
+        hit = front.join(methods.select(F.col("class").alias("at"), "name"), ["at", "name"]).select("class", "name", F.col("at").alias("owner"), "path")
+        found = hit if found is None else found.unionByName(hit)
+        miss = front.join(methods.select(F.col("class").alias("at"), "name"), ["at", "name"], "left_anti")
+        step = miss.join(bases.select(F.col("class").alias("at"), "base", "place"), "at").filter(~F.array_contains("met", F.col("base")))
+        front = cut(step.select("class", "name", F.col("base").alias("at"), F.concat("path", F.array("place")).alias("path"), F.concat("met", F.array("base")).alias("met")))
+    if found is None:
+        return wanted.select("class", "name", F.col("class").alias("owner")).limit(0)
+    return found.groupBy("class", "name").agg(F.min_by("owner", "path").alias("owner"))
+
+
+def entity_tables(entities: DataFrame, tables: DataFrame) -> DataFrame:
+    """[J11] (id, table): the table that an entity(id, name, explicit) maps to: its explicit name, else its snake-case name, that with s, that with es."""
+    plain = F.lower(F.coalesce("explicit", snake_case(F.col("name"))))
+    tried = F.when(F.col("explicit").isNotNull(), F.array(plain)).otherwise(F.array(plain, F.concat(plain, F.lit("s")), F.concat(plain, F.lit("es"))))
+    named = entities.select("id", F.posexplode(tried).alias("place", "table"))
+    return named.join(tables.select(F.col("name").alias("table")).distinct(), "table").groupBy("id").agg(F.min_by("table", "place").alias("table"))
+
+
+def derived_verifies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """[G13] (source, target, n, tests): edges from a test module to the code that symbols in it call, import, extend or use.
+
+    ``nodes`` has id, kind, name, file, test; ``tests`` are the first four different names of test functions.
+    """
+    code = ["calls", "imports", "inherits", "implements", "uses"]
+    at = nodes.filter("kind = 'module' AND coalesce(file, '') <> ''").groupBy("file").agg(F.max("id").alias("module"))
+    by = nodes.filter("test").join(at, "file").select(F.col("id").alias("source"), F.col("kind").alias("by"), "name", "module")
+    to = nodes.filter("NOT test AND kind <> 'external'").select(F.col("id").alias("target"))
+    used = edges.filter(F.col("type").isin(code)).join(by, "source").join(to, "target", "left_semi")
+    total = used.groupBy("module", "target").agg(F.count("*").alias("n"))
+    names = used.filter("by NOT IN ('module', 'class')").select("module", "target", "name").distinct().withColumn("k", F.row_number().over(Window.partitionBy("module", "target").orderBy("name"))).filter("k <= 4")
+    listed = names.groupBy("module", "target").agg(F.array_sort(F.collect_list("name")).alias("tests"))
+    return total.join(listed, ["module", "target"], "left").select(F.col("module").alias("source"), "target", "n", F.coalesce("tests", F.array().cast("array<string>")).alias("tests"))
+
+
+def directory_edges(nodes: DataFrame) -> DataFrame:
+    """[G14] (source, target) of directories and the modules, files and directories right below them."""
+    file = F.regexp_replace("file", "/+$", "")
+    folders = nodes.filter("kind = 'file' AND directory").select(F.col("id").alias("source"), F.col("file").alias("folder"))
+    inner = nodes.filter(F.col("kind").isin("module", "file") & F.contains(file, F.lit("/"))).select(F.col("id").alias("target"), F.regexp_replace(file, "/[^/]*$", "").alias("folder"))
+    return inner.join(folders, "folder").filter("source <> target").select("source", "target").distinct()
+
+
+def prune_externals(nodes: DataFrame, edges: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """[G15] Nodes and edges without the placeholder edges(source, target, type) that were resolved, and without externals that nothing refers to."""
+    gone = resolved.select("source", "target", "type", F.lit("EXTRACTED").alias("provenance"))
+    kept = edges.join(gone, ["source", "target", "type", "provenance"], "left_anti")
+    used = kept.select(F.col("source").alias("id")).union(kept.select("target")).distinct()
+    orphans = nodes.filter("kind = 'external'").join(used, "id", "left_anti").select("id")
+    return nodes.join(orphans, "id", "left_anti"), kept
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -224,9 +479,19 @@ def prefix_scopes(paths: DataFrame, scopes: DataFrame) -> DataFrame:
     return up.join(scopes.select("scope").distinct(), "scope").select("path", "scope")
 
 
-def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """[J4] For points(file, line) the smallest span(file, start, end, name) around each; ties to the first start."""
-    hit = points.join(spans, "file").filter(F.col("line").between(F.col("start"), F.col("end")))
+def innermost(points: DataFrame, spans: DataFrame, width: int = 64) -> DataFrame:
+    """[J4] For points(file, line) the smallest span(file, start, end, name) around each; ties to the first start.
+
+    A span's level is the power of two of its length, and at its level it lies in three bins at most;
+    a point is in one bin of each level.  They meet by equality on file, level and bin, so that no task
+    holds all spans of a file.
+    """
+    level = F.greatest(F.lit(0), F.ceil(F.log2((F.col("end") - F.col("start") + 1) / width)).cast("int"))
+    bin_of = lambda x: F.floor(x / (width * F.pow(F.lit(2.0), F.col("level")))).cast("long")
+    placed = spans.filter(F.col("start") <= F.col("end")).withColumn("level", level).withColumn("bin", F.explode(F.sequence(bin_of(F.col("start")), bin_of(F.col("end")))))
+    highest = placed.agg(F.max("level")).first()[0]
+    some = points.select("file", "line").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(highest or 0)))).withColumn("bin", bin_of(F.col("line")))
+    hit = some.join(placed, ["file", "level", "bin"]).filter(F.col("line").between(F.col("start"), F.col("end")))
     best = hit.groupBy("file", "line").agg(F.min_by("name", F.struct(F.col("end") - F.col("start"), "start", "name")).alias("name"))
     return points.join(best, ["file", "line"], "left")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.functions.scalars import wilson_lower
@@ -44,20 +44,28 @@ def discrimination(hits: DataFrame, sizes: DataFrame, rule: str, language: str,
     return out.withColumn("ratio", ratio).select(rule, "hits_good", "hits_bad", F.round("ratio", 6).alias("ratio"), few.alias("thin"), (~few & F.col("ratio").isNotNull() & (F.col("ratio") < least)).alias("unsupported"))
 
 
-def percentiles(df: DataFrame, value: str, keys: list[str], shares: tuple[float, ...] = (0.90, 0.95, 0.99)) -> DataFrame:
-    """[W7] The sorted value at index min(n - 1, int(p n)), and the median.
+def percentiles(df: DataFrame, value: str, keys: list[str], shares: tuple[float, ...] = (0.90, 0.95, 0.99), bins: int = 4096) -> DataFrame:
+    """[W7] The sorted value at index min(n - 1, int(p n)), and the median, exactly.
 
-    Ranks come from counts of distinct values, so that equal values never meet row by row.
+    Values are counted in ``bins`` equal ranges of each key first; only the ranges that hold a wanted
+    index are ranked value by value, so that no task sorts all rows of a key.
     """
-    per = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys)
-    run = per.withColumn("upto", F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
-    at = lambda index: F.min(F.when(F.col("upto") > index, F.col("v")))
-    picks = [at(F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n")))).alias(f"p{round(p * 100)}") for p in shares]
-    middle = (at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2
-    return run.groupBy(*keys).agg(F.max("n").alias("n"), *picks, middle.alias("median"))
+    some = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
+    edges = some.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    n = F.col("n")
+    wanted = {f"p{round(p * 100)}": F.least(n - 1, F.floor(F.lit(p) * n)) for p in shares} | {"_m1": F.floor((n - 1) / 2), "_m2": F.floor(n / 2)}
+    place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
+    binned = some.join(edges, keys) if keys else some.crossJoin(F.broadcast(edges))
+    counts = binned.withColumn("bin", place).groupBy(*keys, "bin", "lo", "hi", "n").agg(F.count("*").alias("c"))
+    ahead = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most ``bins`` rows a key
+    ranged = counts.withColumn("before", F.coalesce(F.sum("c").over(ahead), F.lit(0)))
+    indexes = F.array_distinct(F.array(*[w.cast("long") for w in wanted.values()]))
+    held = ranged.withColumn("held", F.filter(indexes, lambda i: (i >= F.col("before")) & (i < F.col("before") + F.col("c")))).filter("size(held) > 0").select(*keys, "bin", "before", "held")
+    inside = binned.withColumn("bin", place).join(held, [*keys, "bin"]).groupBy(*keys, "bin", "v", "before").agg(F.count("*").alias("c"), F.first("held").alias("held"), F.first("n").alias("n"))
+    run = inside.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "bin").orderBy("v")))
+    at = lambda i: F.min(F.when((i >= F.col("upto") - F.col("c")) & (i < F.col("upto")), F.col("v")))
+    out = run.groupBy(*keys).agg(F.max("n").alias("n"), *[at(w).alias(name) for name, w in wanted.items()])
+    return out.select(*keys, "n", *[f"p{round(p * 100)}" for p in shares], ((F.col("_m1") + F.col("_m2")) / 2).alias("median"))
 
 
 def history(findings: DataFrame, day: Column) -> DataFrame:
@@ -73,10 +81,85 @@ def recent(df: DataFrame, date: str, days: int) -> DataFrame:
     return df.crossJoin(F.broadcast(last)).filter(F.col(date) >= F.date_sub("last", days)).drop("last")  # one row
 
 
-def reuse_score(users: Column, reach: Column, portable: Column, lean: Column) -> Column:
-    """[L12] 0..100 from breadth (log of users), reach, portability and leanness."""
+def reuse_score(users: Column, components: Column, applications: Column, fan_out: Column, category: Column) -> Column:
+    """[L12] 0 to 100: breadth of use, reach over other components, use by other applications, few dependencies; 0 at the top of the tree."""
     breadth = F.least(F.lit(1.0), F.log2(1.0 + users) / F.log2(F.lit(9.0)))
-    return F.bround(100 * (0.30 * breadth + 0.25 * reach + 0.25 * portable + 0.20 * lean), 1)
+    reach = F.least(F.lit(1.0), components / 3)
+    portable = F.when(applications > 0, 1.0).otherwise(0.0)
+    score = F.bround(100 * (0.30 * breadth + 0.25 * reach + 0.25 * portable + 0.20 / (1 + fan_out / 5)), 0).cast("int")
+    return F.when(category.isin("entry-point", "framework-wired", "top-level"), 0).otherwise(score)
+
+
+def reuse_category(applications: Column, components: Column, shared: Column, users: Column, entry: Column, wired: Column, tests: Column) -> Column:
+    """[L12, X8] A module's category: the first that fits."""
+    return (
+        F.when(applications > 0, "cross-app").when((components >= 2) | (shared & (users > 0)), "shared").when(users >= 2, "reused").when(users == 1, "single-use")
+        .when(entry, "entry-point").when(wired, "framework-wired").when(shared, "shared").when(tests > 0, "test-only").otherwise("unreferenced")
+    )
+
+
+def calibrated_severity(hits: DataFrame, sizes: DataFrame, least: int = 5, repos: int = 2) -> DataFrame:
+    """[L7] Severity of an external check from how much more often it fires in vulnerable code than in clean code.
+
+    ``hits`` has rule, language, repo and population; ``sizes`` lines by language and population.  Lines
+    are those of the languages that a rule fires on, else all.  Ten times: medium, three: low, else
+    info; seen in fewer than ``repos`` repositories at most low; under ``least`` hits no severity.
+    """
+    pops = ("clean", "vulnerable")
+    counted = hits.groupBy("rule").agg(*[F.count_if(F.col("population") == p).alias(p) for p in pops], F.countDistinct("repo").alias("repos")).filter("clean + vulnerable > 0")
+    total = sizes.groupBy("language", "population").agg(F.sum("lines").alias("lines"))
+    spoken = hits.select("rule", "language").distinct().join(total, "language").groupBy("rule").agg(*[F.sum(F.when(F.col("population") == p, F.col("lines"))).alias(f"lines_{p}") for p in pops])
+    whole = total.agg(*[F.sum(F.when(F.col("population") == p, F.col("lines"))).alias(f"all_{p}") for p in pops])
+    rows = counted.join(spoken, "rule", "left").crossJoin(F.broadcast(whole))  # one row
+    lines = {p: F.coalesce(F.nullif(F.col(f"lines_{p}"), F.lit(0)), F.col(f"all_{p}"), F.lit(0)) for p in pops}
+    rate = {p: F.when(lines[p] > 0, F.col(p) * 1000 / lines[p]).otherwise(0.0) for p in pops}
+    ratio = F.when(rate["vulnerable"] == 0, None).when(rate["clean"] == 0, float("inf")).otherwise(rate["vulnerable"] / rate["clean"])
+    few = F.col("repos") < repos
+    band = F.when(F.col("ratio").isNull() | (F.col("clean") + F.col("vulnerable") < least), None).when(F.col("ratio") >= 10, F.when(few, "low").otherwise("medium")).when(F.col("ratio") >= 3, "low").otherwise("info")
+    return rows.withColumn("ratio", ratio).select("rule", "clean", "vulnerable", "repos", F.round("ratio", 2).alias("ratio"), band.alias("severity"))
+
+
+def apply_knowledge(findings: DataFrame, severities: DataFrame, stats: DataFrame) -> DataFrame:
+    """[L5] Findings with measured severity and confidence, and what was changed in ``tags``.
+
+    ``severities`` (rule_id, measured) replace the tool's own; ``stats`` (rule_id, tp, fp) give the
+    precision, and for rules with ``PROVEN_AT`` observations the confidence, by its Wilson bound.
+    """
+    from corvid.operators.findings import PROVEN_AT
+
+    n = F.col("tp") + F.col("fp")
+    rows = findings.join(severities.select("rule_id", "measured"), "rule_id", "left").join(stats.select("rule_id", "tp", "fp").filter("tp + fp > 0"), "rule_id", "left")
+    graded = F.coalesce(F.col("measured") != F.col("severity"), F.lit(False))
+    sure = recalibrated(F.col("confidence"), wilson_lower(F.col("tp"), n), n >= PROVEN_AT)
+    moved = F.coalesce(sure != F.col("confidence"), F.lit(False))
+    rows = rows.withColumns({"_graded": graded, "_sure": sure, "_moved": moved})
+    said = [
+        F.when(F.col("_graded"), F.concat(F.lit("severity-was:"), "severity")), F.when(F.col("_graded"), F.lit("severity:measured")),
+        F.when(n > 0, F.format_string("precision:%.2f", F.col("tp") / n)), F.when(n > 0, F.concat(F.lit("n="), n.cast("string"))),
+        F.when(F.col("_moved"), F.concat(F.lit("confidence-was:"), "confidence")),
+    ]
+    tags = F.concat(F.coalesce("tags", F.array().cast("array<string>")), F.array_compact(F.array(*said)))
+    changed = {"tags": tags, "severity": F.when(F.col("_graded"), F.col("measured")).otherwise(F.col("severity")), "confidence": F.when(F.col("_moved"), F.col("_sure")).otherwise(F.col("confidence"))}
+    return rows.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in findings.columns])
+
+
+def synthetic_stats(trials: DataFrame) -> DataFrame:
+    """[L3, L8] Per rule of trials(rule_id, planted boolean, fired boolean): recall and specificity with their Wilson bounds."""
+    n = lambda planted, fired: F.count_if((F.col("planted") == planted) & (F.col("fired") == fired))
+    per = trials.groupBy("rule_id").agg(n(True, True).alias("detected"), n(True, False).alias("missed"), n(False, False).alias("clean_pass"), n(False, True).alias("false_alarm"))
+    out = ["rule_id", "detected", "missed", "clean_pass", "false_alarm"]
+    for name, good, bad in (("recall", "detected", "missed"), ("specificity", "clean_pass", "false_alarm")):
+        total = F.col(good) + F.col(bad)
+        out += [F.when(total > 0, F.round(F.col(good) / total, 6)).alias(name), F.when(total > 0, F.round(wilson_lower(F.col(good), total), 6)).alias(f"{name}_bound")]
+    return per.select(*out)
+
+
+def newly_proven(before: DataFrame, after: DataFrame) -> DataFrame:
+    """[L18] Rules(rule_id, n) that reached ``PROVEN_AT`` observations between two states."""
+    from corvid.operators.findings import PROVEN_AT
+
+    was = before.filter(F.col("n") >= PROVEN_AT).select("rule_id")
+    return after.filter(F.col("n") >= PROVEN_AT).join(was, "rule_id", "left_anti").select("rule_id").orderBy("rule_id")
 
 
 def grade(score: Column) -> Column:
@@ -84,17 +167,28 @@ def grade(score: Column) -> Column:
     return F.when(score >= 85, "A").when(score >= 70, "B").when(score >= 55, "C").when(score >= 40, "D").otherwise("E")
 
 
-def maintainability(df: DataFrame) -> DataFrame:
-    """[L13, X9] Score and reasons from columns largest, lines, tested_share, recent, files, failures, fan_out, in_cycle, duplicates."""
-    churn = F.col("recent") / F.greatest(F.col("files"), F.lit(1))
+def maintainability(df: DataFrame, unit: str = "component") -> DataFrame:
+    """[L13, X9] Score, grade and reasons of modules or components.
+
+    Columns: largest, lines, tested (boolean), tested_share (null: judged by ``tested``), commits,
+    recent, files, failures, fan_out, in_cycle, duplicates, schema (boolean; test and churn don't count).
+    """
+    module = unit == "module"
+    c, flag = F.col, lambda name: F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(False)
+    commits = c("commits") if "commits" in df.columns else F.lit(0)
+    churn = c("recent") / F.greatest(c("files"), F.lit(1))
+    high = (c("recent") >= 8) | (commits >= 30) if module else (c("recent") >= 12) & (churn >= 1.0)
+    often = (c("recent") >= 4) | (commits >= 15) if module else (c("recent") >= 6) & (churn >= 0.5)
+    untested = F.when(c("tested_share").isNull(), F.when(flag("tested"), 0).otherwise(20)).when(c("tested_share") == 0, 20).when(c("tested_share") < 0.5, 10).otherwise(0)
+    limit = 12 if module else 8
     parts = {
-        "size": F.when(F.col("largest") > 800, 25).when(F.col("largest") > 400, 12).otherwise(0) + F.when(F.col("lines") > 4000, 8).otherwise(0),
-        "tests": F.when(F.col("tested_share") == 0, 20).when(F.col("tested_share") < 0.5, 10).otherwise(0),
-        "churn": F.when((F.col("recent") >= 12) & (churn >= 1.0), 12).when((F.col("recent") >= 6) & (churn >= 0.5), 6).otherwise(0),
-        "failures": F.least(F.lit(20), 10 * F.col("failures")),
-        "fan_out": F.when(F.col("fan_out") > 16, 12).when(F.col("fan_out") > 8, 6).otherwise(0),
-        "cycle": F.when(F.col("in_cycle"), 10).otherwise(0),
-        "duplication": F.when(F.col("duplicates") > 0, 8).otherwise(0),
+        "size": F.when(c("largest") > 800, 25).when(c("largest") > 400, 12).otherwise(0) + (F.lit(0) if module else F.when(c("lines") > 4000, 8).otherwise(0)),
+        "tests": F.when(flag("schema"), 0).otherwise(untested),
+        "churn": F.when(flag("schema"), 0).when(high, 12).when(often, 6).otherwise(0),
+        "failures": F.least(F.lit(20), 10 * c("failures")),
+        "fan_out": F.when(c("fan_out") > 2 * limit, 12).when(c("fan_out") > limit, 6).otherwise(0),
+        "cycle": F.when(flag("in_cycle"), 10).otherwise(0),
+        "duplication": F.when(c("duplicates") > 0, 8).otherwise(0),
     }
     total = sum(parts.values(), F.lit(0))
     score = F.greatest(F.lit(0), F.lit(100) - total)
