@@ -8,7 +8,9 @@ piece may be shorter.  The pieces' lengths (not their texts) are then packed:
 * dual-feasible functions of the lengths give a lower bound on each partition's bin count, which
   certifies it when the bound is met;
 * the bins of a partition that are not certified full enough (its gap) are dissolved: their pieces
-  are exchanged with those of the other partitions and best-fit decreasing runs again.
+  are exchanged with those of the other partitions and best-fit decreasing runs again, ``rounds``
+  times at most; the last round's partitions may keep gaps, and ``certificate`` says how far the whole
+  packing is from the bound.
 
 Defined cases: a null or empty text is the single end id; null ids stay null; repeated rows are
 packed one by one; an empty table gives an empty result; other columns are ignored.
@@ -169,8 +171,12 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
 
 
 def dual_feasible_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The best lower bound on the bins for ``lengths``: volume, and two families of dual-feasible functions."""
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    """A lower bound on the bins for ``lengths``."""
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """The best lower bound for ``count[n]`` pieces of each length n: volume, and two families of dual-feasible functions."""
     size = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((count * size).sum()) // capacity)
     have = np.flatnonzero(count)
@@ -259,6 +265,17 @@ def pack(pieces_df: DataFrame, capacity: int = CAPACITY, group_rows: int = 20_00
     return out
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row (sequences, bound): the sequences of a packing, and a lower bound on those of any packing of its pieces.
+
+    The driver gets the number of pieces of each length, ``capacity`` rows at most.
+    """
+    count = np.zeros(capacity + 1, np.int64)
+    for r in packed.groupBy("length").agg(F.count("*").alias("n")).collect():
+        count[r["length"]] = r["n"]
+    return packed.agg(F.countDistinct("sequence_id").alias("sequences")).withColumn("bound", F.lit(bound_of_counts(count, capacity)).cast("long"))
+
+
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, group_rows: int = 20_000) -> DataFrame:
     return pack(cut(token_pieces(docs, capacity, path)), capacity, group_rows)
 

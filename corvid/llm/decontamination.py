@@ -33,8 +33,10 @@ THRESHOLD = 0.5
 SHINGLE, QUESTION, ANSWER = 3, 0.5, 0.5
 BLOCK = 8
 STRIDE = 64
-#: Items indexed at once: an index is sent to every executor, so larger benchmarks go in shards of this size.
-SHARD_ITEMS = 20_000
+#: Items and characters indexed at once: an index is sent to every executor, so larger benchmarks go in shards of this size.
+SHARD_ITEMS, SHARD_CHARS = 20_000, 16 << 20
+#: Passages are twice as long as the longest item of a shard; items over so many characters have shards of their own.
+LONG_CHARS = 8192
 PAIRS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 _WORD_SEP = np.ones(256, bool)
@@ -207,10 +209,13 @@ def indexes(benchmark: DataFrame, threshold: float = THRESHOLD) -> Iterator[Inde
     """Indexes of the benchmark's shards.  ``benchmark`` has item_id and text, or question and answer."""
     whole = "question" not in benchmark.columns
     items = benchmark.select(F.col("item_id").cast("long"), *([F.col("text"), F.lit(None).cast("string")] if whole else [F.col("question"), F.col("answer")])).toDF("item_id", "q", "a")
-    shards = max(1, -(-items.count() // SHARD_ITEMS))
-    for k in range(shards):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "q"), F.lit(shards)) == k).orderBy("item_id", "q").collect()
-        yield build_index([(r["item_id"], *(split_item(r["q"] or "") if r["a"] is None else (r["q"] or "", r["a"]))) for r in rows], threshold)
+    size = F.length(F.coalesce("q", F.lit(""))) + F.length(F.coalesce("a", F.lit("")))
+    items = items.withColumn("long", size > LONG_CHARS)
+    for r in items.groupBy("long").agg(F.count("*").alias("n"), F.sum(size).alias("chars")).orderBy("long").collect() or [None]:
+        shards = max(-(-r["n"] // SHARD_ITEMS), -(-r["chars"] // SHARD_CHARS), 1) if r else 1
+        for k in range(shards):
+            rows = items.filter(F.col("long") == r["long"]).filter(F.pmod(F.xxhash64("item_id", "q"), F.lit(shards)) == k).orderBy("item_id", "q").collect() if r else []
+            yield build_index([(x["item_id"], *(split_item(x["q"] or "") if x["a"] is None else (x["q"] or "", x["a"]))) for x in rows], threshold)
 
 
 def _pairs(index: Index, texts: pa.Array, threshold: float) -> dict[tuple[int, int], tuple[float, float, float]]:

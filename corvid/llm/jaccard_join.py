@@ -53,9 +53,10 @@ WORDS = 4
 #: Two sets link when SAME * union <= 100 * intersection.
 SAME = 85
 EPS = 0.15
-#: Counters of the frequency sketch; bits of the filters of candidate points and of shared regions.
+#: Counters of the frequency sketch; bits of the filters of documents and of shared regions (eight a region, in these bounds).
 SKETCH_BITS = 20
-FILTER_BITS, CELL_BITS = 24, 25
+FILTER_BITS = 24
+LEAST_CELL_BITS, MOST_CELL_BITS = 20, 27
 #: Bits of a point's parity bitmap (256 bytes).
 PARITY_BITS = 2048
 #: Regions of at most this many points are joined pair by pair, and those of at most this many block by block; larger ones get pivots.
@@ -170,20 +171,20 @@ def _cells(docs: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
     return docs.mapInArrow(run, "cell long, point long, holds boolean")
 
 
-def _members(docs: DataFrame, levels: np.ndarray, seed: int, wanted: np.ndarray) -> DataFrame:
+def _members(docs: DataFrame, levels: np.ndarray, seed: int, wanted: np.ndarray, wanted_bits: int) -> DataFrame:
     """Rows (cell, point, n, pos) of the regions whose bit is set, and a row (point, n, bits) of every document in one.
 
     ``bits`` is a parity bitmap of the document's shingles: two sets differ in at least as many shingles
     as their bitmaps in bits.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((levels, wanted))  # 1 MB and 4 MB
+    shared = docs.sparkSession.sparkContext.broadcast((levels, wanted))  # 1 MB and 16 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["cell", "point", "n", "pos", "bits"]
         for _, n, a, _, h, first in _batches(batches, seed):
             levels, wanted = shared.value
             cell, r, pos = _first_shingles(n, h, first, levels, seed)
-            keep = np.flatnonzero(test_bits(wanted, mix(cell.copy()), CELL_BITS))
+            keep = np.flatnonzero(test_bits(wanted, mix(cell.copy()), wanted_bits))
             r = r[keep]
             yield pa.RecordBatch.from_arrays([pa.array(cell[keep].view(np.int64)), pa.array(a[r]), pa.array(n[r].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), pa.nulls(len(r), pa.binary())], names=names)
             pick = np.unique(r)
@@ -412,7 +413,8 @@ def link_points(docs: DataFrame, points: DataFrame, levels: np.ndarray, seed: in
     """(node, label) of the points(doc_id, point) that have a link."""
     held = _cells(docs, levels, seed).groupBy("cell").agg(F.min("point").alias("lo"), F.max("point").alias("hi"), F.max("holds").alias("any"))
     shared = cut(held.filter("lo <> hi AND any").select("cell"))
-    members = written(_members(docs, levels, seed, bits_of(shared, "cell", CELL_BITS)))
+    cell_bits = min(MOST_CELL_BITS, max(LEAST_CELL_BITS, (8 * shared.count()).bit_length()))
+    members = written(_members(docs, levels, seed, bits_of(shared, "cell", cell_bits), cell_bits))
     regions = cut(_regions(members, shared))
     bitmaps = cut(members.filter("bits IS NOT NULL").select("point", F.col("n").cast("long").alias("n"), "bits").dropDuplicates(["point"]))
     links = _Links(docs, points, bitmaps, seed)

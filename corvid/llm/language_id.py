@@ -2,15 +2,14 @@
 
 The posterior of a document's language combines four kinds of evidence:
 
-* the text: hashed byte-trigram likelihoods of every language that any row declares, fitted on a bounded
-  sample of each (its share of ``FIT_ROWS`` rows, at least ``FIT_LEAST``; ``FIT_CHARS`` characters of
-  each row), tempered to ``EFFECTIVE`` trigrams;
+* the text: hashed byte-trigram likelihoods of every language that any row declares, counted over all
+  rows and whole texts, tempered to ``EFFECTIVE`` trigrams;
 * the declared language (markup attribute or column), whose reliability is counted over all rows;
 * the address suffix (what follows the last dot of the host), counted over all rows;
 * the host: its counts over all rows, smoothed towards its suffix, and that towards the whole corpus.
 
-The counts come from grouped aggregation over every document; only the trigram tables are fitted on
-a sample.
+All counts are sums over every row, made in the tasks and added up; a language is any that a row
+declares, however rare.
 
 Defined cases: a null or empty text has no text evidence and is rejected, as is a text without
 letters; a null host, suffix or declaration is a value of its own; repeated rows count each time; an
@@ -23,14 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvid.llm.bits import SHARE, merge_shares, share_rows
 from corvid.llm.common import cut, lower_ascii, pieces, table, text_bytes
+from corvid.llm.html_extraction import extract
 
-FIT_ROWS, FIT_LEAST, FIT_CHARS = 1500, 100, 2000
 BUCKETS = 1 << 15
+#: What every trigram has been seen beforehand, for languages with few rows.
+PRIOR = 0.05
 EFFECTIVE = 60.0
 #: Weights of the layers of the host prior, in documents.
 HOST_WEIGHT, SUFFIX_WEIGHT = 20.0, 50.0
@@ -45,15 +47,28 @@ def _trigrams(data: np.ndarray) -> np.ndarray:
     return ((x[:-2] * 7919 + x[1:-1] * 104729 + x[2:] * 611953) & 0x7FFFFFFF) % BUCKETS
 
 
-def fit(samples: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
-    """Languages, and log P(trigram | language) per hash bucket, from (language, text) rows."""
-    langs = sorted({a for a, _ in samples})
-    counts = np.full((len(langs), BUCKETS), 0.05)
-    for lang, text in samples:
-        data = np.frombuffer(text.encode("utf-8"), np.uint8)
-        if len(data) >= 3:
-            counts[langs.index(lang)] += np.bincount(_trigrams(data), minlength=BUCKETS)
-    return langs, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+def fit(docs: DataFrame, langs: list[str]) -> np.ndarray:
+    """log P(trigram | language) per language and hash bucket, from all rows of docs(d, t): declared language and text.
+
+    A task keeps one table of counts, and sends it on in compressed blocks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, counts = {x: k for k, x in enumerate(langs)}, np.zeros(len(langs) * BUCKETS, np.int64)
+        for batch in pieces(batches, "t", 2 << 20):
+            data, off = text_bytes(batch.column("t"))
+            if len(data) < 3:
+                continue
+            key = _trigrams(data)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(off))[: len(key)]
+            inside = np.arange(len(key)) + 2 < off[1:][row]  # trigrams don't cross rows
+            lang = np.array([place[x] for x in batch.column("d").to_pylist()], np.int64)
+            np.add.at(counts, lang[row[inside]] * BUCKETS + key[inside], 1)
+        yield pa.RecordBatch.from_arrays(list(share_rows(counts)), names=["block", "part"])
+
+    counts = merge_shares(docs.select("d", "t").mapInArrow(run, SHARE), np.int64, lambda x: np.sum(x, axis=0))
+    counts = (counts if len(counts) else np.zeros(len(langs) * BUCKETS)).reshape(len(langs), BUCKETS) + PRIOR
+    return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def text_likelihoods(data: np.ndarray, off: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,22 +100,14 @@ class LanguageFusion:
     def __init__(self, docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source") -> None:
         self.text, self.declared, self.host = text, declared, host
         self.docs = docs
-        sample = self._sample() if declared else []
-        self.langs, self.tables = fit([(r["d"], r["t"]) for r in sample]) if sample else ([], np.zeros((0, BUCKETS), np.float32))
+        rows = self._declared_rows() if declared else None
+        self.langs = [r["d"] for r in rows.select("d").distinct().orderBy("d").collect()] if declared else []  # one row a language
+        self.tables = fit(rows, self.langs) if self.langs else np.zeros((0, BUCKETS), np.float32)
         self.evidence = self._evidence() if self.langs else None
 
-    def _sample(self) -> list:
-        """Distinct rows (d, t) of least hash for every declared language.  The hash's range is narrowed first, so that all tasks together send about twice the sample on."""
-        rows = self.docs.select(F.col(f"`{self.declared}`").cast("string").alias("d"), F.substring(F.col(f"`{self.text}`"), 1, FIT_CHARS).alias("t"))
-        rows = rows.filter("length(trim(d)) > 0 AND length(t) > 2").withColumn("h", F.xxhash64("d", "t"))
-        texts = {r["d"]: r["n"] for r in rows.groupBy("d").agg(F.approx_count_distinct("h").alias("n")).collect()}
-        if not texts:
-            return []
-        total = sum(texts.values())
-        quota = {d: max(FIT_LEAST, round(FIT_ROWS * n / total)) for d, n in texts.items()}
-        limits = [(d, q, int(2 * q / texts[d] * 2.0**64) - 2**63 if texts[d] > 2 * q else 2**63 - 1) for d, q in quota.items()]
-        some = rows.join(F.broadcast(self.docs.sparkSession.createDataFrame(limits, "d string, quota long, below long")), "d").filter("h <= below").select("d", "t", "h", "quota").distinct()
-        return some.withColumn("k", F.row_number().over(Window.partitionBy("d").orderBy("h", "t"))).filter("k <= quota").select("d", "t").collect()
+    def _declared_rows(self) -> DataFrame:
+        rows = self.docs.select(F.col(f"`{self.declared}`").cast("string").alias("d"), F.col(f"`{self.text}`").cast("string").alias("t"))
+        return rows.filter("length(trim(d)) > 0 AND length(t) > 2")
 
     def _with_keys(self, df: DataFrame) -> DataFrame:
         col = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if c else F.lit("")
@@ -183,3 +190,18 @@ def keep_known(docs: DataFrame, declared: str | None = "lang", host: str | None
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return LanguageFusion(docs).score(docs, ["doc_id", "lang"])
+
+
+def page_texts(pages: DataFrame) -> DataFrame:
+    """page_id, text, lang, host of pages(page_id, url, html): the main text, the language that the markup declares, and the address's host."""
+    declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-z]+)", 1))
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#:]*)", 1))
+    texts = extract(pages).select("page_id", F.col("url").alias("_url"), "text")
+    marks = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("_url"), F.nullif(declared, F.lit("")).alias("lang"), host.alias("host")).distinct()
+    return texts.join(marks, (texts["page_id"].eqNullSafe(marks["page_id"])) & (texts["_url"].eqNullSafe(marks["_url"])), "left").select(texts["page_id"], "text", "lang", "host")
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' languages from text, markup, address suffix and host."""
+    rows = cut(page_texts(table(spark, sf_dir, "pages")))
+    return LanguageFusion(rows, "text", "lang", "host").score(rows, ["page_id", "lang", "host"])

@@ -32,7 +32,6 @@ KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 # The contract's patterns.  Possessive digits and the look-behind keep long runs linear.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*$")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
@@ -307,7 +306,8 @@ def _windows(w: Weights, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # --- windows of documents -----------------------------------------------------------------------
 
-_GATE = re.compile(r"[0-9@]|[(\[{] ?at ?[)\]}]", re.IGNORECASE)
+#: What every plausible span holds: the windows without any of it can't give one, and are not decoded.
+_GATE = re.compile(r"[0-9@]|[(\[{]\s*at\s*[)\]}]", re.IGNORECASE)
 _AT, _DOT = re.compile(r"\s*[(\[{]\s*at\s*[)\]}]\s*|\s*@\s*", re.IGNORECASE), re.compile(r"\s*[(\[{]\s*(?:dot|\.)\s*[)\]}]\s*", re.IGNORECASE)
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|" + _DOT.pattern + r")[A-Za-z0-9-]+)*", re.IGNORECASE)
 _EMAIL_WHOLE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -523,7 +523,7 @@ def mask(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-COLUMNS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+COLUMNS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 
 def find_pii(docs: DataFrame, weights: Weights | None = None) -> DataFrame:
@@ -535,7 +535,7 @@ def find_pii(docs: DataFrame, weights: Weights | None = None) -> DataFrame:
             got = all_spans([t or "" for t in batch.column("text").to_pylist()], w)
             counts = [pa.array([sum(k == kind for k, _, _ in b) for b, _ in got], pa.int64()) for kind in KINDS]
             digest = pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b, _ in got], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, digest, pa.array([_joined(s) for _, s in got], pa.string())], names=[c.split()[0] for c in COLUMNS.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, digest, pa.array([_joined(s) for _, s in got], pa.string()), pa.array([len(s) for _, s in got], pa.int64())], names=[c.split()[0] for c in COLUMNS.split(", ")])
 
     return only(docs, {"doc_id": "long", "text": "string"}).mapInArrow(run, COLUMNS)
 

@@ -37,8 +37,8 @@ WINDOW, GRAM = 200, 50
 SPAN = WINDOW - GRAM + 1
 #: Bytes of one text handled at once; window positions must fit in 24 bits.
 SLICE = 8 << 20
-#: Bits of the filter of anchors, a constant 4 MB.
-FILTER_BITS = 25
+#: Bits of the filters of anchors and stretches: eight a key, in these bounds (16 MB at most).
+LEAST_BITS, MOST_BITS = 20, 27
 #: Stretches of one anchor that go through one suffix array.
 GROUP = 8192
 
@@ -96,7 +96,11 @@ def stretches(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start, end = bounds[:-1], bounds[1:]
     good = ok[start]
     start, end = start[good], end[good]
-    return start, end - start, least[start] >> np.uint64(24), span_hashes(data, start, end + WINDOW - 1)
+    return start, end - start, h[(least[start] & np.uint64(0xFFFFFF)).astype(np.int64)], span_hashes(data, start, end + WINDOW - 1)
+
+
+def filter_bits(keys: DataFrame) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (8 * keys.count()).bit_length()))
 
 
 def _text_id(raw: bytes) -> tuple[int, int]:
@@ -121,13 +125,13 @@ def _anchors(docs: DataFrame) -> DataFrame:
     return rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).filter("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
 
 
-def _occurrences(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+def _occurrences(docs: DataFrame, wanted: np.ndarray, bits: int) -> DataFrame:
     """(anchor, content, t1, t2, start, m) of the stretches whose anchor may stand more than once."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, off, s, m, a, c in _batches(batches):
-            pick = np.flatnonzero(test_bits(shared.value, mix(a.copy()), FILTER_BITS))
+            pick = np.flatnonzero(test_bits(shared.value, mix(a.copy()), bits))
             row = np.searchsorted(off, s[pick], side="right") - 1
             ids = {int(r): _text_id(data[off[r] : off[r + 1]].tobytes()) for r in np.unique(row)}
             t = np.array([ids[r] for r in row.tolist()], np.int64).reshape(-1, 2)
@@ -140,7 +144,7 @@ def _stretch_key(content: np.ndarray, t1: np.ndarray) -> np.ndarray:
     return mix(content.view(np.uint64) * np.uint64(3) + t1.view(np.uint64))
 
 
-def _stretch_bytes(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+def _stretch_bytes(docs: DataFrame, wanted: np.ndarray, bits: int) -> DataFrame:
     """(anchor, content, raw): the bytes of the stretches that were chosen to stand for their content."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
@@ -148,7 +152,7 @@ def _stretch_bytes(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
         for _, data, off, s, m, a, c in _batches(batches):
             row = np.searchsorted(off, s, side="right") - 1
             t1 = np.array([_text_id(data[off[r] : off[r + 1]].tobytes())[0] if off[r + 1] - off[r] >= WINDOW else 0 for r in range(len(off) - 1)], np.int64)
-            pick = np.flatnonzero(test_bits(shared.value, _stretch_key(c, t1[row]), FILTER_BITS))
+            pick = np.flatnonzero(test_bits(shared.value, _stretch_key(c, t1[row]), bits))
             _, first = np.unique(c[pick], return_index=True)
             pick = pick[first]
             raw = [data[x : x + k + WINDOW - 1].tobytes() for x, k in zip(s[pick].tolist(), m[pick].tolist(), strict=True)]
@@ -291,10 +295,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Per row of docs(doc_id, text): bytes, removed bytes and spans, digest (and, if asked, text) of what is left."""
     docs = only(docs, {"doc_id": "long", "text": "string"})
     anchors = cut(_anchors(docs))
-    found = cut(_occurrences(docs, bits_of(anchors, "anchor", FILTER_BITS)).join(anchors, "anchor"))
+    bits = filter_bits(anchors)
+    found = cut(_occurrences(docs, bits_of(anchors, "anchor", bits), bits).join(anchors, "anchor"))
     contents = cut(found.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min("t1").alias("t1"), F.max("mixed").alias("mixed")))
     mixed = contents.filter("mixed").select("anchor", "content", "t1")
-    chosen = _stretch_bytes(docs, bits_of(mixed, ["content", "t1"], FILTER_BITS, _stretch_key))
+    bits = filter_bits(mixed)
+    chosen = _stretch_bytes(docs, bits_of(mixed, ["content", "t1"], bits, _stretch_key), bits)
     of_anchor = mixed.groupBy("anchor").agg(F.count("*").alias("many"))
     raws = cut(chosen.dropDuplicates(["anchor", "content"]).join(of_anchor, "anchor"))
     partial = _by_suffix_array(raws.filter(F.col("many") <= GROUP).drop("many")).union(_by_counts(raws.filter(F.col("many") > GROUP).drop("many")))

@@ -82,11 +82,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", key:
     rule = F.concat("rule_host", "rule_path")
     rank = F.struct(F.length(rule), F.length("rule_host"), (F.col("verdict") == "block"), rule)
     best = met.groupBy("url").agg(F.max_by(F.struct(rule.alias("rule"), F.col("verdict").alias("by_rule")), rank).alias("best"))
-    return (
-        with_host_and_path(pages)
-        .join(best, "url", "left")
-        .select(key, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.by_rule", F.lit(default)).alias("verdict"))
-    )
+    rows = with_host_and_path(pages)
+    # Rows without a host fit no rule; they don't take part in the join.
+    judged = rows.filter("host <> ''").join(best, "url", "left").select(key, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.by_rule", F.lit(default)).alias("verdict"))
+    return judged.unionByName(rows.filter("host = ''").select(key, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

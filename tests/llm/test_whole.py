@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from test_operators import prose
 
@@ -307,3 +308,118 @@ def test_links_against_brute_force(spark):
                 assert (r["order_turn"], r["order_level"]) == (placed[key][0], 2 * placed[key][1])
         assert r["status"] == want
     assert 0 < len(placed) < len(calls)
+
+
+def test_posterior_against_brute_force(spark):
+    from corvid.llm import language_id as li
+
+    rng = np.random.default_rng(2)
+    words = {"en": "the and of to in that is".split(), "fr": "le la et les des que est".split(), "xx": "zq qz zz qq zqz qzq zzq".split()}
+    rows = []
+    for k in range(120):
+        lang = ["en", "fr", "xx"][int(rng.integers(0, 3))]
+        text = " ".join(rng.choice(words[lang], int(rng.integers(1, 30))))
+        rows.append((k, text, lang if k % 7 else ("fr" if k % 2 else None), ["a.fr", "b.fr", "c.com", "d", None][int(rng.integers(0, 5))]))
+    rows += [(200, "", "en", "d"), (201, None, None, None), (202, "12 34", "en", "d"), (203, rows[0][1], rows[0][2], rows[0][3]), (204, "le la the and " * 20_000, "xx", "a.fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, host string")
+    fusion = li.LanguageFusion(docs, "text", "lang", "host")
+    got = {r["doc_id"]: r for r in fusion.score(docs, ["doc_id"]).collect()}
+    langs = ["en", "fr", "xx"]
+    assert fusion.langs == langs
+    counts = np.full((3, li.BUCKETS), li.PRIOR)
+    grams = lambda t: li._trigrams(np.frombuffer((t or "").encode(), np.uint8)) if len(t or "") > 2 else np.zeros(0, int)
+    for _, t, d, _ in rows:
+        if d and len(t or "") > 2:
+            np.add.at(counts[langs.index(d)], grams(t), 1)
+    tables = np.log(counts / counts.sum(1, keepdims=True))
+    ll, letters, keys = [], [], []
+    for _, t, d, h in rows:
+        g = grams(t)
+        ll.append(tables[:, g].mean(1) * min(len(g), li.EFFECTIVE) if len(g) else np.zeros(3))
+        letters.append(any(c.isalpha() for c in t or ""))
+        host = h or ""
+        keys.append((d or "", host, host.rsplit(".", 1)[1] if "." in host else ""))
+    soft = [np.exp(x - x.max()) / np.exp(x - x.max()).sum() for x in ll]
+    total = lambda part, value: sum((s for s, ok, key in zip(soft, letters, keys) if ok and (part is None or key[part] == value)), np.zeros(3))
+    for (doc, *_), x, ok, key in zip(rows, ll, letters, keys, strict=True):
+        whole = total(None, None)
+        p = (whole + 1) / (whole.sum() + 3)
+        for part, weight in ((2, li.SUFFIX_WEIGHT), (1, li.HOST_WEIGHT)):
+            c = total(part, key[part])
+            p = (c + weight * p) / (c.sum() + weight)
+        post = x + (np.log(p) + (np.log((total(0, key[0]) + 1) / (whole + 3)) if key[0] else 0) if ok else 0)
+        if ok:
+            q = np.exp(post - post.max()) / np.exp(post - post.max()).sum()
+            assert got[doc]["language"] == langs[int(q.argmax())] and abs(got[doc]["posterior"] - q.max()) < 1e-4
+            assert got[doc]["kept"] == (q.max() >= li.LEAST)
+        else:
+            assert not got[doc]["kept"]
+
+
+def test_languages_of_pages(spark):
+    from corvid.llm import language_id as li
+
+    words = {"en": "the and of to in that is", "fr": "le la et les des que est"}
+    pages = [(k, f"http://{h}.{lang}/p", f'<!DOCTYPE html><html class="a" lang="{lang.upper()}-XX"><body><article><p>{(words[lang] + " ") * 9}</p></article></body></html>') for k, (lang, h) in enumerate((a, b) for a in words for b in "ab" for _ in range(3))]
+    pages += [(50, "http://a.fr/", f"<article><p>{words['fr']}</p></article>"), (51, None, None)]
+    rows = li.page_texts(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    got = {r["page_id"]: (r["lang"], r["host"], r["text"]) for r in rows.collect()}
+    assert got[0][:2] == ("en", "a.en") and got[50] == (None, "a.fr", words["fr"]) and got[51] == (None, "", "")
+    out = {r["page_id"]: r["language"] for r in li.LanguageFusion(rows, "text", "lang", "host").score(rows, ["page_id"]).collect()}
+    assert out[0] == "en" and out[50] == "fr"
+
+
+def test_disguised_personal_data_is_found():
+    from corvid.llm import pii
+
+    rng = np.random.default_rng(99)
+    num = lambda k: "".join(str(x) for x in rng.integers(0, 10, k))
+    w, texts, want = pii.tagger(), [], []
+    for k in range(240):
+        kind = pii.KINDS[k % 4]
+        if kind == "email":
+            span = f"{prose(k, 1).strip('.')}.{num(2)}{[' (at) ', ' [at] ', '(at)'][k % 3]}mail{num(1)}{[' (dot) ', '[dot]', ' [dot] '][k % 3]}example{['.', ' (dot) '][k % 2]}org".encode("ascii", "ignore").decode()
+        elif kind == "ip":
+            span = ["[.]", " . "][k % 2].join(str(x) for x in rng.integers(0, 256, 4))
+        elif kind == "card":
+            d = num(15)
+            d += next(str(c) for c in range(10) if pii.luhn(d + str(c)))
+            span = [".", "/"][k % 2].join(d[i : i + 4] for i in range(0, 16, 4))
+        else:
+            span = [f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}"][k % 3]
+        before, after = prose(1000 + k, 30 + k % 9), prose(2000 + k, 20)
+        texts.append(f"{before} {span} {after}")
+        want.append((kind, len(before) + 1, len(before) + 1 + len(span)))
+    found = pii.all_spans(texts, w)
+    for kind in pii.KINDS:
+        hits = [x in spans for x, (_, spans) in zip(want, found, strict=True) if x[0] == kind]
+        print(kind, np.mean(hits))
+        assert np.mean(hits) >= 0.9, kind
+    clean = pii.all_spans([prose(3000 + k, 200) + f" in 20{num(2)}-0{k % 9 + 1}-1{k % 9}, {num(2)}:{num(2)}, {num(3)} of {num(5)}." for k in range(100)], w)
+    assert sum(len(s) for _, s in clean) <= 2
+
+
+def test_packing_is_certified(spark):
+    from corvid.llm.best_fit_packing import bound_of_counts, certificate, dual_feasible_bound, pack
+
+    rng = np.random.default_rng(8)
+    rows = [(k, 0, 0, int(n), 0) for k, n in enumerate(rng.integers(1, 101, 600))]
+    lengths = np.array([r[3] for r in rows])
+    assert bound_of_counts(np.bincount(lengths, minlength=101), 100) == dual_feasible_bound(lengths, 100)
+    pieces_df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").checkpoint()
+    packed = pack(pieces_df, 100, group_rows=100)
+    c = certificate(packed, 100).first()
+    assert packed.count() == 600 and c["bound"] <= c["sequences"] <= 1.05 * c["bound"]
+
+
+def test_long_items_are_indexed_apart(spark):
+    from corvid.llm import decontamination as d
+
+    long, short = prose(60, 2600), prose(61, 25) + " " + prose(62, 6)
+    bench = spark.createDataFrame([(1, short), (2, long), (3, None)], "item_id long, text string")
+    sizes = [(i.n, i.stride) for i in d.indexes(bench)]
+    assert len(sizes) == 2 and sizes[0] == (1, 64) and sizes[1][0] == 1 and sizes[1][1] > 2000
+    docs = spark.createDataFrame([(7, prose(63, 90) + " " + short), (8, long + " " + prose(64, 9)), (9, prose(65, 300)), (None, None), (10, "")], "doc_id long, text string").withColumns({"item_id": F.lit(1), "score": F.lit("x")})
+    assert sorted((r["doc_id"], r["item_id"]) for r in d.leaked_pairs(docs, bench).collect()) == [(7, 1), (8, 2)]
+    kept = d.drop_leaking(docs, bench)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["10", "9", "None"]
