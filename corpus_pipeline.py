@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``.  ``run`` writes every stage's rows as Parquet in the shared checkpoint folder and reads
 them again for the next one.
+
+Defined cases: a null or empty text has no language and goes at the first stage, as does one without
+letters; rows with a null id or a null source take part like any other; of rows with one id and equal
+texts one stays, of rows with one id and different texts each is judged by itself; texts of any length
+are read whole; ties between copies go to the least id; an empty table gives no rows; further columns
+stay until the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -58,10 +64,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of ``documents``.  A stage's Parquet is deleted once the next one is written; the last one's stays."""
     ensure_checkpoint_dir(spark)
     home = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{name}")
         docs = spark.read.parquet(f"{home}/{name}")
+        if before:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        before = f"{home}/{name}"
     return docs
