@@ -81,7 +81,7 @@ TAGS = 1 + 2 * len(KINDS)
 WIDTH, STEP = 64, 32
 HIDDEN = 16
 #: Labelled windows that the tagger is fitted on, and its passes over them.
-FIT_WINDOWS, PASSES, BATCH = 1536, 6, 48
+FIT_WINDOWS, PASSES, BATCH = 3072, 6, 80
 _CLASSES = "abcdefghijklmnopqrstuvwxyz@.,-_+%()[]{}/:;\"'=|! \n"
 OTHER, DIGIT, PAD = len(_CLASSES), len(_CLASSES) + 1, len(_CLASSES) + 2
 VOCAB = PAD + 1
