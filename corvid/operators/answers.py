@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvid.operators.graphs import resolve_one
+from corvid.operators.graphs import cut, resolve_one
 
 # Fields that a description shows, of every kind and of some kinds only.
 COMMON_FIELDS = ["status", "date", "severity", "framework"]
@@ -80,7 +80,8 @@ def why(nodes: DataFrame, edges: DataFrame, text: str) -> DataFrame:
     if node is None:
         return spark.createDataFrame([], "section string, id string, kind string, name string, via string")
     me, kind = node["id"], node["kind"]
-    out, into = edges.filter(F.col("source") == me), edges.filter(F.col("target") == me)
+    mine = cut(edges.filter((F.col("source") == me) | (F.col("target") == me)))
+    out, into = mine.filter(F.col("source") == me), mine.filter(F.col("target") == me)
     of = lambda ends, side: edges.join(ends.select(F.col("id").alias(side)).distinct(), side, "left_semi")
     parts: list[DataFrame] = []
     if kind in SECTIONS_OUT or kind in SECTIONS_IN:
@@ -121,7 +122,11 @@ def _code_sections(nodes: DataFrame, edges: DataFrame, node, of) -> list[DataFra
         anchors.append(parent)
     above = ["/".join(path.split("/")[:k]) for k in range(1, path.count("/") + 1)]
     folders = {r["id"]: r["file"] for r in nodes.filter((F.col("kind") == "file") & F.col("directory") & F.col("file").isin(above)).select("id", "file").collect()} if above else {}
-    around = edges.filter(F.col("target").isin([*anchors, *folders]))
+    # All edges into the file's symbols, its containers and directories; then those around what stands at their other end.
+    here = nodes.filter(F.col("file") == path).select("id") if node["kind"] in ("module", "file") and path else nodes.limit(0).select("id")
+    scan = here.union(nodes.filter(F.col("id").isin([*anchors, *folders])).select("id"))
+    seen = cut(of(scan, "target"))
+    around = seen.filter(F.col("target").isin([*anchors, *folders]))
     folder = F.lit(None).cast("string")
     for i, f in folders.items():
         folder = F.when(F.col("target") == i, f).otherwise(folder)
@@ -129,17 +134,15 @@ def _code_sections(nodes: DataFrame, edges: DataFrame, node, of) -> list[DataFra
     rank = F.when(F.col("provenance") == "INFERRED", 0).when(folder.isNotNull(), 3).when(F.col("target") == me, 1).otherwise(2)
     words = F.when(rank == 0, "changed in git history").when(rank == 3, F.concat(F.lit("directory scope "), folder)).when(rank == 1, "declared scope").otherwise("declared scope (containing file)")
     needs = _rows(touches, "requirements", "source", words, rank)
-    close = needs.groupBy("id").agg(F.min("rank").alias("rank")).filter("rank <= 2")
+    close = needs.groupBy("id").agg(F.min("rank").alias("rank")).filter("rank <= 2").select("id")
     mentions = around.filter("type = 'mentions'").join(nodes.select(F.col("id").alias("source"), F.col("kind").alias("by")), "source")
-    parts = [needs, _rows(mentions, F.when(F.col("by") == "changelog", "changelog").otherwise("docs"), "source", "names this file")]
+    tests, failures = _rows(seen.filter("type = 'verifies'"), "tests", "source"), _rows(seen.filter("type = 'affects'"), "failures", "source")
+    parts = [needs, _rows(mentions, F.when(F.col("by") == "changelog", "changelog").otherwise("docs"), "source", "names this file"), tests, failures]
     parts += _sections(around, CODE_IN, "source")
-    parts.append(_rows(of(close, "target").filter("type = 'records'"), "changelog", "source"))
-    here = nodes.filter(F.col("file") == path).select("id") if node["kind"] in ("module", "file") and path else nodes.limit(0).select("id")
-    scan = here.union(nodes.filter(F.col("id").isin([*anchors, *folders])).select("id"))
-    seen = of(scan, "target")
-    tests = _rows(seen.filter("type = 'verifies'"), "tests", "source")
-    failures = _rows(seen.filter("type = 'affects'"), "failures", "source")
-    parts += [tests, failures, _rows(of(tests, "target").filter("type = 'contains'"), "test suites", "source")]
-    parts.append(_rows(of(failures, "source").filter("type = 'prevented_by'"), "rules and playbooks from those failures", "target"))
-    parts.append(_rows(of(failures, "target").filter("type = 'guards'"), "tests", "source", "regression test"))
+    ends = F.explode(F.array(F.struct(F.lit("target").alias("way"), F.col("target").alias("id"), F.col("source").alias("other")), F.struct(F.lit("source").alias("way"), F.col("source").alias("id"), F.col("target").alias("other"))))
+    groups = tests.select("id", F.lit("test").alias("role")).unionByName(failures.select("id", F.lit("failure").alias("role"))).unionByName(close.select("id", F.lit("need").alias("role"))).distinct()
+    wanted = [("need", "target", "records", "changelog", ""), ("test", "target", "contains", "test suites", ""), ("failure", "source", "prevented_by", "rules and playbooks from those failures", ""), ("failure", "target", "guards", "tests", "regression test")]
+    further = cut(edges.filter(F.col("type").isin([w[2] for w in wanted])).select("type", ends.alias("e")).select("type", "e.*").join(groups, "id"))
+    for role, way, kind, section, via in wanted:
+        parts.append(_rows(further.filter((F.col("role") == role) & (F.col("way") == way) & (F.col("type") == kind)), section, "other", via))
     return parts

@@ -113,3 +113,13 @@ def test_records_from_files(spark, tmp_path):
     assert set(inv) == {"a.py", "b.bin", "u.txt", "k.yaml", "docs/r.md"} and inv["a.py"]["text"] == "x\ny" and inv["a.py"]["lines"] == 2 and inv["b.bin"]["binary"] and inv["u.txt"]["text"].strip("﻿") == "hi\n" and inv["docs/r.md"]["text"] == "# t\n"
     assert {p: x["role"] for p, x in inv.items()} == {"a.py": "source", "b.bin": "data", "u.txt": "data", "k.yaml": "config", "docs/r.md": "docs"}
     assert rc.stacks(rc.inventory(spark, str(src)).withColumn("repo", F.lit("r")), "repo").first()["stacks"] == ["kubernetes", "python"]
+
+
+def test_why_follows_tests_and_failures(spark):
+    nodes = spark.createDataFrame([("m", "module", "m", "a/m.py", False, False), ("f", "function", "f", "a/m.py", False, False), ("a", "file", "a", "a", True, False), ("t", "module", "t", "t.py", False, True), ("s", "suite", "s", "", False, False), ("x", "failure", "x", "", False, False), ("r", "rule", "r", "", False, False), ("q", "requirement", "q", "", False, False), ("w", "requirement", "w", "", False, False), ("l", "changelog", "l", "", False, False), ("l2", "changelog", "l2", "", False, False)], NODE)
+    edges = spark.createDataFrame([("m", "f", "defines", "E"), ("q", "m", "touches", "E"), ("w", "a", "touches", "E"), ("l", "q", "records", "E"), ("l2", "w", "records", "E"), ("t", "f", "verifies", "E"), ("s", "t", "contains", "E"), ("x", "f", "affects", "E"), ("x", "r", "prevented_by", "E"), ("t", "x", "guards", "E"), ("l2", "m", "mentions", "E")], EDGE)
+    got = lambda name: {(r["section"], r["id"], r["via"]) for r in an.why(nodes, edges, name).collect()}
+    scope = {("requirements", "w", "directory scope a"), ("tests", "t", ""), ("test suites", "s", ""), ("failures", "x", ""), ("rules and playbooks from those failures", "r", ""), ("changelog", "l2", "names this file"), ("changelog", "l", "")}
+    assert got("m") == scope | {("requirements", "q", "declared scope")}
+    assert got("f") == scope | {("requirements", "q", "declared scope (containing file)")}
+    assert got("x") == {("affected code", "f", ""), ("prevented by", "r", ""), ("regression tests", "t", "")}
