@@ -37,7 +37,7 @@ PACKED = PIECES + ", sequence_id long, offset long"
 #: The tokenizer's special token.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", np.array([50256], "<u4")
 #: Words that a worker remembers before it starts afresh.
-MEMO = 1_000_000
+MEMO = 200_000
 _TWO_SPACES = re.compile(r"\s\s")
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), *range(28, 33)]] = True
@@ -151,7 +151,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path or tokenizer_path())
-        for batch in pieces(batches, "text", 2 << 20):
+        for batch in pieces(batches, "text", 1 << 20):
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
                 ids += END

@@ -31,6 +31,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="corvid-checkpoint-"))
 
 
+#: Bytes of an Arrow batch that goes to Python.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of whole texts are bounded by bytes in this session, so that a task's memory doesn't follow the texts' lengths; a bound of the user's own stays."""
+    if spark.conf.get(_BATCH_KEY, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, f"{BATCH_BYTES}b")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that a lost executor loses nothing."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -47,6 +58,7 @@ def written(df: DataFrame) -> DataFrame:
 
 def only(df: DataFrame, spec: dict[str, str]) -> DataFrame:
     """The named columns, cast to the given types; all others (clashing names included) are left out."""
+    bound_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in spec.items()])
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm.common import only, pieces, span_hashes, table, text_bytes, window_hashes, words_of
+from corvid.llm.common import bound_batches, only, pieces, span_hashes, table, text_bytes, window_hashes, words_of
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -246,6 +246,7 @@ def leaked_pairs(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that leak no item, in one pass without a shuffle for each shard of the benchmark."""
+    bound_batches(docs.sparkSession)
     for index in indexes(benchmark, threshold):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 

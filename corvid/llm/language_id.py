@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvid.llm.bits import SHARE, merge_shares, share_rows
-from corvid.llm.common import cut, lower_ascii, pieces, table, text_bytes
+from corvid.llm.common import bound_batches, cut, lower_ascii, pieces, table, text_bytes
 from corvid.llm.html_extraction import extract
 
 BUCKETS = 1 << 15
@@ -98,6 +98,7 @@ class LanguageFusion:
     """Fit once on a table, then score or filter it.  Columns: text, and optionally declared and host columns."""
 
     def __init__(self, docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source") -> None:
+        bound_batches(docs.sparkSession)
         self.text, self.declared, self.host = text, declared, host
         self.docs = docs
         rows = self._declared_rows() if declared else None

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from corvid.llm.common import only, pieces, table
+from corvid.llm.common import bound_batches, only, pieces, table
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -542,6 +542,7 @@ def find_pii(docs: DataFrame, weights: Weights | None = None) -> DataFrame:
 
 def mask_pii(docs: DataFrame, weights: Weights | None = None) -> DataFrame:
     """The rows of ``docs`` with masked texts; n_chars, where there is one, follows the new text; a null text stays null."""
+    bound_batches(docs.sparkSession)
     w, names = weights or tagger(), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
