@@ -96,7 +96,7 @@ def stretches(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start, end = bounds[:-1], bounds[1:]
     good = ok[start]
     start, end = start[good], end[good]
-    return start, end - start, h[(least[start] & np.uint64(0xFFFFFF)).astype(np.int64)], span_hashes(data, start, end + WINDOW - 1)
+    return start, end - start, h[(least[start] & np.uint64(0xFFFFFF)).astype(np.int64)] >> np.uint64(16), span_hashes(data, start, end + WINDOW - 1)
 
 
 def filter_bits(keys: DataFrame) -> int:
