@@ -159,3 +159,10 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
         out *= np.uint64(0x9E3779B97F4A7C15)
         out += h[k : k + len(out)]
     return mix(out)
+
+
+def delete(spark: SparkSession, path: str | None) -> None:
+    """Delete a folder of ours in the shared checkpoint folder; nothing if ``path`` is None."""
+    if path:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
