@@ -37,7 +37,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,19 +67,19 @@ SENT_IDS = 200_000
 PIVOTS, BLOCK_BYTES = 16, 1 << 20
 
 
-def shingles(data: np.ndarray, off: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, off: np.ndarray, seed: int = 0, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles and their rows, in order of rows."""
     data = lower_ascii(data)
     s, e, row = words_of(data, off)
     h = span_hashes(data, s, e) + np.uint64(seed) * np.uint64(0x632BE59BD9B4E019)
     hs, rows = [], []
-    if len(h) >= WORDS:
-        inside = np.flatnonzero(row[WORDS - 1 :] == row[: len(row) - WORDS + 1])
-        hs.append(window_hashes(h, WORDS)[inside])
+    if len(h) >= words:
+        inside = np.flatnonzero(row[words - 1 :] == row[: len(row) - words + 1])
+        hs.append(window_hashes(h, words)[inside])
         rows.append(row[inside])
     n = np.bincount(row, minlength=len(off) - 1)
     first = np.concatenate([[0], np.cumsum(n)])
-    for k in range(1, WORDS):
+    for k in range(1, words):
         which = np.flatnonzero(n == k)
         if len(which):
             hs.append(window_hashes(h, k)[first[which]] + np.uint64(k))
@@ -105,11 +105,11 @@ def _point_ids(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a.view(np.int64), b.view(np.int64)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], seed: int):
+def _batches(batches: Iterator[pa.RecordBatch], seed: int, words: int = WORDS):
     """doc_id, n, point digests, shingles and the rows' borders of each piece of the batches."""
     for batch in pieces(batches, "text", 1 << 20):
         data, off = text_bytes(batch.column("text"))
-        h, row = shingles(data, off, seed)
+        h, row = shingles(data, off, seed, words)
         first = np.searchsorted(row, np.arange(len(off)))
         yield batch.column("doc_id"), np.diff(first), *_point_ids(h, first), h, first
 
@@ -195,7 +195,7 @@ def _members(docs: DataFrame, levels: np.ndarray, seed: int, wanted: np.ndarray,
     return docs.mapInArrow(run, "cell long, point long, n int, pos int, bits binary")
 
 
-def _sets(docs: DataFrame, ids: np.ndarray | None, seed: int) -> DataFrame:
+def _sets(docs: DataFrame, ids: np.ndarray | None, seed: int, words: int = WORDS) -> DataFrame:
     """(point, items): the sorted shingles of the documents, of those only whose id's bit is set, or that have no id, if ``ids`` are given."""
     shared = docs.sparkSession.sparkContext.broadcast(ids)
 
@@ -209,7 +209,7 @@ def _sets(docs: DataFrame, ids: np.ndarray | None, seed: int) -> DataFrame:
             yield batch.filter(pa.array(test_bits(shared.value, mix(keys.view(np.uint64)), FILTER_BITS) | np.asarray(col.is_null())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, n, a, _, h, first in _batches(some(batches), seed):
+        for _, n, a, _, h, first in _batches(some(batches), seed, words):
             pick = np.flatnonzero(n > 0)
             items = [np.sort(h[first[k] : first[k + 1]]).tobytes() for k in pick.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(a[pick]), pa.array(items, pa.binary())], names=["point", "items"])
@@ -315,8 +315,14 @@ def _distances(part: pa.Table) -> pa.Table:
     return pa.table({"cell": cell, "point": np.tile(points, len(pivots)), "pivot": np.repeat(pivots, len(points)), "d": (1 - same / either).ravel(), "linked": (100 * same >= SAME * either).ravel()})
 
 
-def _new_links(part: pa.Table) -> pa.Table:
-    """Links (a, b) of one meeting that join components which were not joined before them."""
+def _near_by_bits(one: np.ndarray, many: np.ndarray, n: int, size: np.ndarray) -> np.ndarray:
+    """Which of many sets can be within EPS of one, by their parity bitmaps."""
+    differ = np.bitwise_count(many ^ one).sum(axis=1, dtype=np.int64) if len(many) else size
+    return (100 + SAME) * differ <= (100 - SAME) * (size + n)
+
+
+def _new_links(part: pa.Table, may: Callable[..., np.ndarray] = _near_by_bits) -> pa.Table:
+    """Links (a, b) of one meeting that join components which were not joined before them; ``may`` tells which sets can be near by what is kept of them."""
     xs, x_labels, x_bits, x_sets = _side(part, True)
     ys, y_labels, y_bits, y_sets = _side(part, False)
     names, roots = np.unique(np.concatenate([x_labels, y_labels]), return_inverse=True)
@@ -325,8 +331,7 @@ def _new_links(part: pa.Table) -> pa.Table:
     size, out = np.array([len(v) for v in y_sets], np.int64), []
     for i, one in enumerate(x_sets):
         n = len(one)
-        differ = np.bitwise_count(y_bits ^ x_bits[i]).sum(axis=1, dtype=np.int64) if len(ys) else size
-        near = ((100 + SAME) * differ <= (100 - SAME) * (size + n)) & (100 * np.minimum(size, n) >= SAME * np.maximum(size, n))
+        near = may(x_bits[i], y_bits, n, size) & (100 * np.minimum(size, n) >= SAME * np.maximum(size, n))
         todo = np.flatnonzero(near & (up[y_root] != up[x_root[i]]))
         while len(todo):  # a few at a time: once components are joined, the rest of their pairs is settled
             some = todo[:32]
@@ -344,19 +349,26 @@ def _new_links(part: pa.Table) -> pa.Table:
 class _Links:
     """Measures pairs of points and keeps the components of the links found."""
 
-    def __init__(self, docs: DataFrame, points: DataFrame, bitmaps: DataFrame, seed: int) -> None:
-        self.docs, self.points, self.bitmaps, self.seed = docs, points.select("point", "doc_id"), bitmaps, seed
+    #: What the bits kept of two sets say about them.
+    may = staticmethod(_near_by_bits)
+
+    def __init__(self, docs: DataFrame, points: DataFrame, bitmaps: DataFrame, seed: int, words: int = WORDS) -> None:
+        self.docs, self.points, self.bitmaps, self.seed, self.words = docs, points.select("point", "doc_id"), bitmaps, seed, words
         self.labels: DataFrame | None = None
 
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that can still be within EPS."""
+        return _bounds(pairs, self.bitmaps).filter("near").select("a", "b")
+
     def sets_of(self, wanted: DataFrame) -> DataFrame:
         """(point, items) of the points of ``wanted``; only one document of each is read for it."""
         ids = cut(wanted.select("point").distinct().join(self.points, "point").groupBy("point").agg(F.min("doc_id").alias("doc_id")))
         rows = ids.count()
         if rows <= SENT_IDS:  # 16 bytes each
             some = self.docs.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi").unionByName(self.docs.filter("doc_id IS NULL"))
-            return _sets(some, None, self.seed).join(F.broadcast(ids.select("point")), "point", "left_semi").dropDuplicates(["point"])
+            return _sets(some, None, self.seed, self.words).join(F.broadcast(ids.select("point")), "point", "left_semi").dropDuplicates(["point"])
         bits = bits_of(ids.filter("doc_id IS NOT NULL"), "doc_id", FILTER_BITS)
-        return _sets(self.docs, bits, self.seed).join(ids.select("point"), "point", "left_semi").dropDuplicates(["point"])
+        return _sets(self.docs, bits, self.seed, self.words).join(ids.select("point"), "point", "left_semi").dropDuplicates(["point"])
 
     def add(self, links: DataFrame) -> None:
         links = cut(links)
@@ -370,10 +382,11 @@ class _Links:
         """Links of the points outside a region's largest component with all others."""
         if not rows.isEmpty():
             lead = rows.select("cell", "point", "label", (F.col("label") != F.col("top")).alias("lead"))
-            self.add(self.meetings(lead).applyInArrow(lambda x: _new_links(x), "a long, b long"))
+            may = self.may
+            self.add(self.meetings(lead).applyInArrow(lambda x: _new_links(x, may), "a long, b long"))
 
     def try_pairs(self, pairs: DataFrame) -> None:
-        near = cut(_bounds(pairs.distinct(), self.bitmaps).filter("near").select("a", "b"))
+        near = cut(self.near(pairs.distinct()))
         if self.labels is not None and near.isEmpty():
             return
         self.add(_linked(_overlaps(near, self.sets_of(near.select(F.explode(F.array("a", "b")).alias("point"))))))
@@ -417,7 +430,11 @@ def link_points(docs: DataFrame, points: DataFrame, levels: np.ndarray, seed: in
     members = written(_members(docs, levels, seed, bits_of(shared, "cell", cell_bits), cell_bits))
     regions = cut(_regions(members, shared))
     bitmaps = cut(members.filter("bits IS NOT NULL").select("point", F.col("n").cast("long").alias("n"), "bits").dropDuplicates(["point"]))
-    links = _Links(docs, points, bitmaps, seed)
+    return join_regions(regions, _Links(docs, points, bitmaps, seed))
+
+
+def join_regions(regions: DataFrame, links: _Links) -> DataFrame | None:
+    """(node, label) of the points that have a link, from regions (cell, point, n, pos, holds, q) in which all linked points meet: steps 2 to 4."""
     star = regions.filter(F.col("point") != F.col("q.point")).filter(_may_link("", "q."))
     links.try_pairs(star.select(F.greatest("point", "q.point").alias("a"), F.least("point", "q.point").alias("b")))
     region, level = regions.withColumn("home", F.lit(True)), 0
