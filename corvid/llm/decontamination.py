@@ -3,8 +3,11 @@
 Words are runs of letters, digits and bytes beyond ASCII, lower-cased in ASCII and Latin-1.  Every
 benchmark item is indexed with its BM25 impacts, divided by the item's score against itself, so that
 one threshold serves all items; items lie in blocks, and each term keeps its largest impact in a
-block.  Every passage of every document (two runs of ``stride`` words, each run shared by two
-passages) is a query.  Frequent terms of an item are set aside as in MaxScore while their sum stays
+block.  Number and mean length of the items and the items that hold a term are counted once over the
+whole benchmark, by a grouped aggregation, so an item's scores are the same however the benchmark is cut
+into indexes.  Every passage of every document (two runs of ``stride`` words, each run shared by two
+passages) is a query; the stride is the item's own, 64 words or the next power of two that its length
+needs, and an index holds items of one stride.  Frequent terms of an item are set aside as in MaxScore while their sum stays
 below the threshold (the rest of its terms lead to it, so an item of frequent terms only is found
 too), with their block totals as bound; blocks whose bound stays below the threshold are skipped, the
 others are scored exactly, and what reaches the threshold is verified: the item's question and its answer (its last sentence unless
@@ -19,24 +22,24 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm.common import bound_batches, only, pieces, span_hashes, table, text_bytes, window_hashes, words_of
+from corvid.llm.common import bound_batches, cut, only, pieces, span_hashes, table, text_bytes, window_hashes, words_of
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 #: Shingle length of the verification, and the least share of question and of answer shingles found.
 SHINGLE, QUESTION, ANSWER = 3, 0.5, 0.5
 BLOCK = 8
+#: Words of a run, for items of up to so many words; longer ones take the next power of two.
 STRIDE = 64
 #: Items and characters indexed at once: an index is sent to every executor, so larger benchmarks go in shards of this size.
 SHARD_ITEMS, SHARD_CHARS = 20_000, 16 << 20
-#: Passages are twice as long as the longest item of a shard; items over so many characters have shards of their own.
-LONG_CHARS = 8192
 PAIRS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 _WORD_SEP = np.ones(256, bool)
@@ -75,18 +78,41 @@ def split_item(text: str) -> tuple[str, str]:
     return (text.strip()[:at], text.strip()[at:]) if at else (text, text)
 
 
+def _words_of_item(q: str, a: str) -> np.ndarray:
+    return _hashes(f"{q}\n{a}" if a is not q else q)
+
+
+def stride_of(words: int) -> int:
+    return max(STRIDE, 1 << (words - 1).bit_length()) if words else STRIDE
+
+
+class Statistics(NamedTuple):
+    """Of the whole benchmark: its items and their mean length; of each of the terms (sorted), the items that hold it."""
+
+    items: int
+    mean_length: float
+    terms: np.ndarray
+    held_by: np.ndarray
+
+
+def statistics_of(items: list[tuple[int, str, str]]) -> Statistics:
+    """Those of a benchmark that is a list."""
+    rows = [x for x in (_words_of_item(q, a) for _, q, a in items) if len(x)]
+    terms, df = np.unique(np.concatenate([*(np.unique(x) for x in rows), np.zeros(0, np.uint64)]), return_counts=True)
+    return Statistics(len(rows), sum(map(len, rows)) / max(1, len(rows)), terms, df)
+
+
 class Index:
-    """Postings of a shard of the benchmark, as flat arrays."""
+    """Postings of a shard of the benchmark, all of one stride, as flat arrays."""
 
-    def __init__(self, items: list[tuple[int, str, str]], threshold: float = THRESHOLD) -> None:
-        self.threshold = threshold
-        rows = [(i, _hashes(f"{q}\n{a}" if a is not q else q), _shingles(_hashes(q)), _shingles(_hashes(a))) for i, q, a in items]
+    def __init__(self, items: list[tuple[int, str, str]], whole: Statistics, stride: int, threshold: float = THRESHOLD) -> None:
+        self.threshold, self.stride = threshold, stride
+        rows = [(i, _words_of_item(q, a), _shingles(_hashes(q)), _shingles(_hashes(a))) for i, q, a in items]
         rows = [r for r in rows if len(r[1])]
         self.ids = [r[0] for r in rows]
         self.question, self.answer = [r[2] for r in rows], [r[3] for r in rows]
         n = len(rows)
         self.n, self.blocks = n, -(-n // BLOCK)
-        self.stride = max([STRIDE, *(len(r[1]) for r in rows)])
         if not n:
             return
         item = np.repeat(np.arange(n), [len(r[1]) for r in rows])
@@ -94,9 +120,9 @@ class Index:
         (key, tf) = np.unique(term * n + item, return_counts=True)
         term, item = key // n, key % n
         length = np.array([len(r[1]) for r in rows])
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / length.mean()))
+        df = whole.held_by[np.searchsorted(whole.terms, self.terms)]
+        idf = np.log1p((whole.items - df + 0.5) / (df + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / whole.mean_length))
         impact /= np.bincount(item, weights=impact, minlength=n)[item]
         self.post_at = np.searchsorted(term, np.arange(len(self.terms) + 1))
         self.post_item, self.post_impact = item, impact
@@ -107,7 +133,7 @@ class Index:
         # The most frequent terms of an item stay out of the candidate search while their sum is below the threshold:
         # what reaches it holds another of its terms.  A term seeds a block if it seeds any of its items; the total of
         # the others in any item of the block bounds what they add.
-        frequent = df[term] > max(2, n // 20)
+        frequent = df[term] > max(2, whole.items // 20)
         order = np.lexsort((term, -df[term], item))
         aside = np.cumsum(np.where(frequent, impact, 0.0)[order])
         first = np.searchsorted(item[order], np.arange(n))
@@ -198,24 +224,51 @@ def _size(part: np.ndarray, index: Index, item: int, which: int) -> int:
     return index.width[item][which]
 
 
-def build_index(items: list[tuple[int, str, str]], threshold: float = THRESHOLD) -> Index:
-    index = Index(items, threshold)
-    kept = [(q, a) for _, q, a in items if len(_hashes(f"{q}\n{a}"))]
+def build_index(items: list[tuple[int, str, str]], threshold: float = THRESHOLD, whole: Statistics | None = None, stride: int | None = None) -> Index:
+    """An index of the items; on its own it takes them for the whole benchmark, and the stride that the longest needs."""
+    stride = stride or max([stride_of(len(_words_of_item(q, a))) for _, q, a in items], default=STRIDE)
+    index = Index(items, whole or statistics_of(items), stride, threshold)
+    kept = [(q, a) for _, q, a in items if len(_words_of_item(q, a))]
     index.width = [(min(SHINGLE, max(1, len(_hashes(q)))), min(SHINGLE, max(1, len(_hashes(a))))) for q, a in kept]
     return index
 
 
+def _parts(q: str | None, a: str | None) -> tuple[str, str]:
+    return split_item(q or "") if a is None else (q or "", a)
+
+
+def _with_words(items: DataFrame) -> DataFrame:
+    """item_id, q, a of the items that have a word, with their number of words, stride and distinct terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "q", 1 << 20):
+            words = [_words_of_item(*_parts(q, a)) for q, a in zip(batch.column("q").to_pylist(), batch.column("a").to_pylist(), strict=True)]
+            sizes = [len(x) for x in words]
+            terms = pa.array([np.unique(x).view(np.int64) for x in words], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array([stride_of(n) for n in sizes], pa.int64()), terms], names=[*batch.schema.names, "words", "stride", "terms"]).filter(pa.array([n > 0 for n in sizes], pa.bool_()))
+
+    return items.mapInArrow(run, "item_id long, q string, a string, words long, stride long, terms array<long>")
+
+
 def indexes(benchmark: DataFrame, threshold: float = THRESHOLD) -> Iterator[Index]:
     """Indexes of the benchmark's shards.  ``benchmark`` has item_id and text, or question and answer."""
+    bound_batches(benchmark.sparkSession)
     whole = "question" not in benchmark.columns
-    items = benchmark.select(F.col("item_id").cast("long"), *([F.col("text"), F.lit(None).cast("string")] if whole else [F.col("question"), F.col("answer")])).toDF("item_id", "q", "a")
-    size = F.length(F.coalesce("q", F.lit(""))) + F.length(F.coalesce("a", F.lit("")))
-    items = items.withColumn("long", size > LONG_CHARS)
-    for r in items.groupBy("long").agg(F.count("*").alias("n"), F.sum(size).alias("chars")).orderBy("long").collect() or [None]:
-        shards = max(-(-r["n"] // SHARD_ITEMS), -(-r["chars"] // SHARD_CHARS), 1) if r else 1
+    items = benchmark.select(F.col("`item_id`").cast("long"), *([F.col("`text`").cast("string"), F.lit(None).cast("string")] if whole else [F.col("`question`").cast("string"), F.col("`answer`").cast("string")])).toDF("item_id", "q", "a")
+    items = cut(_with_words(items))
+    held = cut(items.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")))
+    chars = F.length(F.coalesce("q", F.lit(""))) + F.length(F.coalesce("a", F.lit("")))
+    sizes = items.groupBy("stride").agg(F.count("*").alias("n"), F.sum(chars).alias("chars"), F.sum("words").alias("words")).orderBy("stride").collect()  # a row for each power of two
+    total = sum(r["n"] for r in sizes)
+    for r in sizes:
+        shards = max(-(-r["n"] // SHARD_ITEMS), -(-r["chars"] // SHARD_CHARS))
         for k in range(shards):
-            rows = items.filter(F.col("long") == r["long"]).filter(F.pmod(F.xxhash64("item_id", "q"), F.lit(shards)) == k).orderBy("item_id", "q").collect() if r else []
-            yield build_index([(x["item_id"], *(split_item(x["q"] or "") if x["a"] is None else (x["q"] or "", x["a"]))) for x in rows], threshold)
+            mine = items.filter((F.col("stride") == r["stride"]) & (F.pmod(F.xxhash64("item_id", "q", "a"), F.lit(shards)) == k))
+            rows = mine.select("item_id", "q", "a").orderBy("item_id", "q", "a").collect()
+            terms = mine.select(F.explode("terms").alias("term")).distinct().join(held, "term").toArrow()
+            term, df = np.asarray(terms.column("term")).view(np.uint64), np.asarray(terms.column("n"))
+            order = np.argsort(term)
+            yield build_index([(x["item_id"], *_parts(x["q"], x["a"])) for x in rows], threshold, Statistics(total, sum(x["words"] for x in sizes) / total, term[order], df[order]), r["stride"])
 
 
 def _pairs(index: Index, texts: pa.Array, threshold: float) -> dict[tuple[int, int], tuple[float, float, float]]:
@@ -238,8 +291,8 @@ def leaked_pairs(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in PAIRS.split(", ")])
 
         parts.append(only(docs, {"doc_id": "long", "text": "string"}).mapInArrow(run, PAIRS))
-    out = parts[0]
-    for x in parts[1:]:
+    out = docs.sparkSession.createDataFrame([], PAIRS)
+    for x in parts:
         out = out.unionByName(x)
     return out
 

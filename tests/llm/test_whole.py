@@ -423,3 +423,20 @@ def test_long_items_are_indexed_apart(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in d.leaked_pairs(docs, bench).collect()) == [(7, 1), (8, 2)]
     kept = d.drop_leaking(docs, bench)
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["10", "9", "None"]
+
+
+def test_leaks_do_not_depend_on_the_shards(spark, monkeypatch):
+    from corvid.llm import decontamination as d
+
+    names, places = "anna bert cleo dora emil fred".split(), "rome oslo kiev bern riga".split()
+    items = [(k, f"How many kilometres did {a} travel to {b} by train last summer? The right answer is {a} to {b}.") for k, (a, b) in enumerate((a, b) for a in names for b in places)]
+    items += [(100 + k, prose(900 + k, n)) for k, n in enumerate((20, 70, 90, 400, 12))] + [(200, ""), (201, None), (100, prose(900, 20))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [prose(950 + k, 80) + " " + items[k][1] + " " + prose(970 + k, 30) for k in (0, 1, 2, 17, 30, 31, 32, 33, 34)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = []
+    for most in (1, 3, 20_000):
+        monkeypatch.setattr(d, "SHARD_ITEMS", most)
+        found.append(sorted((r["doc_id"], r["item_id"], round(r["score"], 9), r["question_overlap"], r["answer_overlap"]) for r in d.leaked_pairs(docs, bench).collect()))
+    assert found[0] == found[1] == found[2]
+    assert {(k, items[i][0]) for k, i in enumerate((0, 1, 2, 17, 30, 31, 32, 33, 34))} <= {r[:2] for r in found[0]}
