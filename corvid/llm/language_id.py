@@ -8,12 +8,15 @@ The posterior of a document's language combines four kinds of evidence:
 * the address suffix (what follows the last dot of the host), counted over all rows;
 * the host: its counts over all rows, smoothed towards its suffix, and that towards the whole corpus.
 
-All counts are sums over every row, made in the tasks and added up; a language is any that a row
-declares, however rare.
+All counts are sums over every row, made in the tasks and added up.  A declaration is read as its primary
+subtag: ``EN``, ``en `` and ``en-US`` are ``en``.  What has not two or three letters then, or stands in less than
+``LEAST_SHARE`` of the rows that declare one (counted exactly), declares nothing; so there are at most
+1 / LEAST_SHARE languages, with a table of 256 KB each.
 
 Defined cases: a null or empty text has no text evidence and is rejected, as is a text without
-letters; a null host, suffix or declaration is a value of its own; repeated rows count each time; an
-empty table gives no rows; other columns pass through ``keep_known`` unchanged.
+letters; a null host, suffix or declaration is a value of its own; repeated rows count each time; of
+languages that tie the first in alphabetical order is taken; an empty table gives no rows; other columns
+pass through ``keep_known`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ EFFECTIVE = 60.0
 HOST_WEIGHT, SUFFIX_WEIGHT = 20.0, 50.0
 #: Documents whose best posterior is below this are rejected.
 LEAST = 0.5
+#: Declared languages in fewer of the declaring rows than this count as undeclared.
+LEAST_SHARE = 1e-4
 #: Lookup rows (about 100 bytes each) up to this many are sent to every executor.
 BROADCAST_ROWS = 50_000
 
@@ -94,47 +99,59 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def primary_subtag(declared: Column) -> Column:
+    """The language of a declaration in lower case; null where it has not the form of one."""
+    tag = F.regexp_extract(F.lower(F.trim(declared)), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
+    return F.when(tag != "", tag)
+
+
 class LanguageFusion:
     """Fit once on a table, then score or filter it.  Columns: text, and optionally declared and host columns."""
 
     def __init__(self, docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source") -> None:
         bound_batches(docs.sparkSession)
         self.text, self.declared, self.host = text, declared, host
-        self.docs = docs
-        rows = self._declared_rows() if declared else None
-        self.langs = [r["d"] for r in rows.select("d").distinct().orderBy("d").collect()] if declared else []  # one row a language
-        self.tables = fit(rows, self.langs) if self.langs else np.zeros((0, BUCKETS), np.float32)
-        self.evidence = self._evidence() if self.langs else None
-
-    def _declared_rows(self) -> DataFrame:
-        rows = self.docs.select(F.col(f"`{self.declared}`").cast("string").alias("d"), F.col(f"`{self.text}`").cast("string").alias("t"))
-        return rows.filter("length(trim(d)) > 0 AND length(t) > 2")
-
-    def _with_keys(self, df: DataFrame) -> DataFrame:
-        col = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if c else F.lit("")
-        host = col(self.host)
-        return df.withColumns({"_declared": col(self.declared), "_host": host, "_suffix": F.when(F.instr(host, ".") > 0, F.substring_index(host, ".", -1)).otherwise(F.lit(""))})
-
-    def _text_scores(self, df: DataFrame, columns: list[str]) -> DataFrame:
-        """``columns`` of ``df``, with _ll (log-likelihoods, tempered) and _letters."""
-        tables, text, k = self.tables, self.text, len(self.langs)
-        schema = df.select(columns).schema.add("_ll", T.ArrayType(T.DoubleType())).add("_letters", T.BooleanType())
+        self.langs = self._languages(docs) if declared else []
+        rows = self._inner(docs, [])
+        self.tables = fit(rows.filter("_declared <> '' AND length(_text) > 2").select(F.col("_declared").alias("d"), F.col("_text").alias("t")), self.langs) if self.langs else np.zeros((0, BUCKETS), np.float32)
+        self.evidence = self._evidence(rows) if self.langs else None
+
+    def _column(self, name: str | None) -> Column:
+        return F.col(f"`{name}`").cast("string") if name else F.lit(None).cast("string")
+
+    def _languages(self, docs: DataFrame) -> list[str]:
+        per = docs.filter(F.length(self._column(self.text)) > 2).select(primary_subtag(self._column(self.declared)).alias("d")).filter("d IS NOT NULL").groupBy("d").agg(F.count("*").alias("n"))
+        total = per.agg(F.sum("n").alias("total"))
+        return [r["d"] for r in per.crossJoin(F.broadcast(total)).filter(F.col("n") >= LEAST_SHARE * F.col("total")).orderBy("d").collect()]  # one row of totals; at most 1 / LEAST_SHARE languages
+
+    def _inner(self, df: DataFrame, columns: list[str]) -> DataFrame:
+        """The columns asked for as one struct ``row``, so that no name of theirs meets one of ours, and the text and the keys of its evidence."""
+        declared, host = primary_subtag(self._column(self.declared)), F.coalesce(self._column(self.host), F.lit(""))
+        row = [F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")] if columns else []
+        known = F.when(declared.isin(self.langs), declared).otherwise("") if self.langs else F.lit("")
+        return df.select(*row, self._column(self.text).alias("_text"), known.alias("_declared"), host.alias("_host"), F.when(F.instr(host, ".") > 0, F.substring_index(host, ".", -1)).otherwise(F.lit("")).alias("_suffix"))
+
+    def _text_scores(self, rows: DataFrame) -> DataFrame:
+        """``rows`` without the text, with _ll (log-likelihoods, tempered) and _letters."""
+        tables, k = self.tables, len(self.langs)
+        columns = [c for c in rows.columns if c != "_text"]
+        schema = rows.select(columns).schema.add("_ll", T.ArrayType(T.DoubleType())).add("_letters", T.BooleanType())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches, text, 2 << 20):
-                data, off = text_bytes(batch.column(batch.schema.get_field_index(text)))
+            for batch in pieces(batches, "_text", 2 << 20):
+                data, off = text_bytes(batch.column(batch.schema.get_field_index("_text")))
                 ll, letters = text_likelihoods(data, off, tables)
                 ll = ll * np.minimum(np.maximum(np.diff(off) - 2, 0), EFFECTIVE)[:, None]
                 arr = pa.ListArray.from_arrays(pa.array(np.arange(0, k * len(ll) + 1, k), pa.int32()), pa.array(ll.ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), arr, pa.array(letters)], names=[*columns, "_ll", "_letters"])
 
-        return df.select(*dict.fromkeys([*columns, text])).mapInArrow(run, schema)
+        return rows.mapInArrow(run, schema)
 
-    def _evidence(self) -> DataFrame:
+    def _evidence(self, rows: DataFrame) -> DataFrame:
         """(_declared, _host, _suffix) -> _extra: log prior and log-likelihood of the declaration per language."""
         k = len(self.langs)
         keys = ["_declared", "_host", "_suffix"]
-        scored = self._text_scores(self._with_keys(self.docs), [*keys, self.text]).drop(self.text).filter("_letters")
+        scored = self._text_scores(rows).filter("_letters")
         top = F.array_max("_ll")
         soft = F.transform("_ll", lambda x: F.exp(x - top))
         total = F.aggregate(soft, F.lit(0.0), lambda a, x: a + x)
@@ -160,16 +177,12 @@ class LanguageFusion:
         both = F.zip_with("_ph", "_pd", lambda p, q: F.log(p) + F.log(q))
         return cut(combos.select(*keys, F.when(F.col("_declared") == "", none).otherwise(both).alias("_extra")))
 
-    def score(self, df: DataFrame, columns: list[str]) -> DataFrame:
-        """``columns`` of ``df`` with language, posterior, text_language, kept."""
-        out = [*(F.col(f"`{c}`") for c in columns)]
+    def _scored(self, df: DataFrame, columns: list[str]) -> DataFrame:
+        """The columns as ``row``, with language, posterior, text_language, kept."""
+        rows = self._inner(df, columns)
         if self.evidence is None:
             null = F.lit(None)
-            return df.select(*out, null.cast("string").alias("language"), null.cast("double").alias("posterior"), null.cast("string").alias("text_language"), F.lit(False).alias("kept"))
-        keys = ["_declared", "_host", "_suffix"]
-        scored = self._text_scores(self._with_keys(df), [*dict.fromkeys([*columns, self.text]), *keys])
-        if self.text not in columns:
-            scored = scored.drop(self.text)
+            return rows.select("row", null.cast("string").alias("language"), null.cast("double").alias("posterior"), null.cast("string").alias("text_language"), F.lit(False).alias("kept"))
         evidence = self.evidence
         if evidence.count() <= BROADCAST_ROWS:
             evidence = F.broadcast(evidence)
@@ -177,15 +190,23 @@ class LanguageFusion:
         langs = F.array(*[F.lit(x) for x in self.langs])
         best = lambda a: F.element_at(langs, F.array_position(a, F.array_max(a)).cast("int"))
         post = F.zip_with("_ll", F.coalesce("_extra", flat), lambda a, b: a + b)
-        joined = scored.join(evidence, keys, "left").withColumn("_post", post)
+        joined = self._text_scores(rows).join(evidence, ["_declared", "_host", "_suffix"], "left").withColumn("_post", post)
         total = F.aggregate(F.transform("_post", lambda x: F.exp(x - F.array_max("_post"))), F.lit(0.0), lambda a, x: a + x)
         kept: Column = F.col("_letters") & (F.lit(1.0) / total >= LEAST)
-        return joined.select(*out, best(F.col("_post")).alias("language"), (F.lit(1.0) / total).alias("posterior"), F.when(F.col("_letters"), best(F.col("_ll"))).alias("text_language"), kept.alias("kept"))
+        return joined.select("row", best(F.col("_post")).alias("language"), (F.lit(1.0) / total).alias("posterior"), F.when(F.col("_letters"), best(F.col("_ll"))).alias("text_language"), kept.alias("kept"))
+
+    def score(self, df: DataFrame, columns: list[str]) -> DataFrame:
+        """``columns`` of ``df`` with language, posterior, text_language, kept."""
+        return self._scored(df, columns).select("row.*", "language", "posterior", "text_language", "kept")
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The rows of ``df`` that are not rejected, as they are."""
+        return self._scored(df, df.columns).filter("kept").select("row.*")
 
 
 def keep_known(docs: DataFrame, declared: str | None = "lang", host: str | None = "source") -> DataFrame:
     """The documents that are not rejected, with their own columns."""
-    return LanguageFusion(docs, "text", declared, host).score(docs, docs.columns).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return LanguageFusion(docs, "text", declared, host).keep(docs)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

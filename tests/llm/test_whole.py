@@ -440,3 +440,19 @@ def test_leaks_do_not_depend_on_the_shards(spark, monkeypatch):
         found.append(sorted((r["doc_id"], r["item_id"], round(r["score"], 9), r["question_overlap"], r["answer_overlap"]) for r in d.leaked_pairs(docs, bench).collect()))
     assert found[0] == found[1] == found[2]
     assert {(k, items[i][0]) for k, i in enumerate((0, 1, 2, 17, 30, 31, 32, 33, 34))} <= {r[:2] for r in found[0]}
+
+
+def test_languages_are_read_as_subtags_and_names_of_columns_do_not_clash(spark):
+    from corvid.llm.language_id import LanguageFusion, keep_known
+
+    say = {"en": "the house and the garden are on the hill ", "de": "der garten und das haus liegen auf dem berg "}
+    forms = {"en": ["en", "EN", " en ", "en-US", "en_GB"], "de": ["de", "De-at"]}
+    rows = [(10 * k + j, say[x] * 3, f, "a.org", "b", True, 1, "r", 2) for k, x in enumerate(say) for j, f in enumerate(forms[x])]
+    rows += [(100 + k, say["de"] * 3, junk, None, None, None, None, None, None) for k, junk in enumerate(["xx1", "german", "", None, "d", "--", "日本"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _host string, _letters boolean, _ll int, row string, kept int")
+    fusion = LanguageFusion(docs)
+    assert fusion.langs == ["de", "en"]
+    got = {r["doc_id"]: r["language"] for r in fusion.score(docs, ["doc_id"]).collect()}
+    assert got == {r[0]: "en" if r[1].startswith("the") else "de" for r in rows}
+    kept = keep_known(docs)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
