@@ -21,6 +21,7 @@ import bisect
 import hashlib
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -306,8 +307,8 @@ def _windows(w: Weights, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # --- windows of documents -----------------------------------------------------------------------
 
-#: What every plausible span holds: the windows without any of it can't give one, and are not decoded.
-_GATE = re.compile(r"[0-9@]|[(\[{]\s*at\s*[)\]}]", re.IGNORECASE)
+#: What every plausible span holds: the windows without any of it can't give one, and are not decoded.  More than 19 digits in a row are no card's and no part of an address or number.
+_GATE = re.compile(r"(?<![0-9])[0-9]{1,19}(?![0-9])|@|[(\[{]\s*at\s*[)\]}]", re.IGNORECASE)
 _AT, _DOT = re.compile(r"\s*[(\[{]\s*at\s*[)\]}]\s*|\s*@\s*", re.IGNORECASE), re.compile(r"\s*[(\[{]\s*(?:dot|\.)\s*[)\]}]\s*", re.IGNORECASE)
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|" + _DOT.pattern + r")[A-Za-z0-9-]+)*", re.IGNORECASE)
 _EMAIL_WHOLE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -316,11 +317,10 @@ _DATE = re.compile(r"[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]
 
 
 def window_starts(text: str) -> list[int]:
-    """Starts, on a grid of STEP, of the windows that hold a character of ``_GATE``."""
+    """Starts, on a grid of STEP, of the windows that hold a part of a match of ``_GATE``."""
     out: list[int] = []
     for m in _GATE.finditer(text):
-        k = m.start() // STEP
-        for s in (k - 1, k):
+        for s in range(m.start() // STEP - 1, (m.end() - 1) // STEP + 1):
             if s >= 0 and (not out or s > out[-1]):
                 out.append(s)
     return [s * STEP for s in out]
@@ -404,6 +404,8 @@ def reconcile(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
 _SHARE = np.minimum(np.arange(1, WIDTH + 1), np.arange(WIDTH, 0, -1)).astype(np.float32)
 #: Windows whose runs are decoded together.
 RUN_WINDOWS = 4096
+#: Runs of more windows than this are decoded in chunks of as many, which share ``SHARED_WINDOWS`` with the next one.
+CHUNK, SHARED_WINDOWS = 64, 16
 
 
 def _runs(starts: list[int]) -> list[tuple[int, int]]:
@@ -418,8 +420,18 @@ def _runs(starts: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _decode_runs(texts: list[str], runs: list[tuple[int, int, int]], w: Weights, batch: int, found: dict, own: bool) -> list[tuple[int, int, int]]:
-    """Adds the spans of runs (text, first window, number) to ``found``, those of their windows too if ``own``; returns the runs that end inside a span, grown."""
+class _Paths(NamedTuple):
+    """Decoded runs laid end to end: their tags and margins, where each begins, and the spans that single windows give."""
+
+    runs: list[tuple[int, int, int]]
+    place: np.ndarray
+    tags: np.ndarray
+    margin: np.ndarray
+    single: dict[int, list]
+
+
+def _paths(texts: list[str], runs: list[tuple[int, int, int]], w: Weights, batch: int, own: bool) -> _Paths:
+    """Decodes runs (text, first window, number), the longest first."""
     runs = sorted(runs, key=lambda r: (-r[2], r[0], r[1]))
     place = np.concatenate([[0], np.cumsum([(m + 1) * STEP for _, _, m in runs])])
     where = [(r, d, k + j, j) for r, (d, k, m) in enumerate(runs) for j in range(m)]
@@ -450,24 +462,71 @@ def _decode_runs(texts: list[str], runs: list[tuple[int, int, int]], w: Weights,
     flat = np.empty_like(total)
     flat[to] = total
     tags, margin = (v[to] for v in _viterbi(w, flat, active))
-    more = []
-    for r, (d, k, m) in enumerate(runs):
-        a, b = int(place[r]), min(int(place[r + 1]), int(place[r]) + len(texts[d]) - k * STEP)
-        spans = _candidates(texts[d], k * STEP, tags[a:b], margin[a:b]) if tags[a:b].any() else []
-        # A window's span inside a longer one of its run is a part of that.
-        begins, parts = [z[0] for z in spans], []
-        for c in single.get(r, []):
-            z = spans[j - 1] if (j := bisect.bisect_right(begins, c[0])) else None
-            if not (z and z[2] == c[2] and c[1] <= z[1] and c[:2] != z[:2]):
-                parts.append(c)
-        spans += parts
-        if spans:
-            found.setdefault(d, []).extend(spans)
-        left, right = k > 0 and tags[a] > 0, b - a == length[r] and k * STEP + b - a < len(texts[d]) and tags[b - 1] > 0
-        if left or right:
-            first = max(0, k - m) if left else k
-            more.append((d, first, min(k + m + (m if right else 0), max(1, -(-len(texts[d]) // STEP) - 1)) - first))
-    return more
+    return _Paths(runs, place, tags, margin, single)
+
+
+def _run_spans(text: str, run: tuple[int, int, int], tags: np.ndarray, margin: np.ndarray, single: list, found: dict) -> tuple[int, int, int] | None:
+    """Adds a decoded run's spans and those of its windows to ``found``; returns the run grown, if it ends inside a span."""
+    d, k, m = run
+    n = min(len(tags), len(text) - k * STEP)
+    tags, margin = tags[:n], margin[:n]
+    spans = _candidates(text, k * STEP, tags, margin) if tags.any() else []
+    # A window's span inside a longer one of its run is a part of that.
+    begins, parts = [z[0] for z in spans], []
+    for c in single:
+        z = spans[j - 1] if (j := bisect.bisect_right(begins, c[0])) else None
+        if not (z and z[2] == c[2] and c[1] <= z[1] and c[:2] != z[:2]):
+            parts.append(c)
+    spans += parts
+    if spans:
+        found.setdefault(d, []).extend(spans)
+    left, right = k > 0 and tags[0] > 0, n == (m + 1) * STEP and k * STEP + n < len(text) and tags[-1] > 0
+    if not (left or right):
+        return None
+    more = min(m, CHUNK)
+    first = max(0, k - more) if left else k
+    return d, first, min(k + m + (more if right else 0), max(1, -(-len(text) // STEP) - 1)) - first
+
+
+def _decode_runs(texts: list[str], runs: list[tuple[int, int, int]], w: Weights, batch: int, found: dict, own: bool) -> list[tuple[int, int, int]]:
+    """Adds the spans of runs to ``found``, those of their windows too if ``own``; returns the runs that end inside a span, grown."""
+    out = _paths(texts, runs, w, batch, own)
+    grown = (_run_spans(texts[r[0]], r, out.tags[a:b], out.margin[a:b], out.single.get(i, []), found) for i, (r, a, b) in enumerate(zip(out.runs, out.place[:-1].tolist(), out.place[1:].tolist(), strict=True)))
+    return [g for g in grown if g]
+
+
+def _agreed(before: np.ndarray, after: np.ndarray) -> int | None:
+    """The place nearest to the middle at which two paths over the same characters agree, away from the ends."""
+    same = np.flatnonzero(before[STEP:-STEP] == after[STEP:-STEP])
+    return STEP + int(same[np.abs(same + STEP - len(before) // 2).argmin()]) if len(same) else None
+
+
+def _decode_long(texts: list[str], run: tuple[int, int, int], w: Weights, batch: int, found: dict, own: bool) -> tuple[int, int, int] | None:
+    """A long run in chunks that share windows with the next one: each path goes on with the next chunk's where both agree.
+
+    Away from its ends a chunk has the scores of the whole run.  Two chunks that agree nowhere are decoded as one.
+    """
+    d, k, m = run
+    tags, margin, single = np.zeros((m + 1) * STEP, np.int8), np.zeros((m + 1) * STEP, np.float32), []
+    step = CHUNK - SHARED_WINDOWS
+    chunks = [(d, k + at, min(CHUNK, m - at)) for at in range(0, max(1, m - SHARED_WINDOWS), step)]
+    end = begin = 0  # of what is decoded so far, and of its last chunk
+    for at in range(0, len(chunks), RUN_WINDOWS // CHUNK):
+        out = _paths(texts, chunks[at : at + RUN_WINDOWS // CHUNK], w, batch, own)
+        for i in sorted(range(len(out.runs)), key=lambda i: out.runs[i][1]):
+            single += out.single.get(i, [])
+            a, b = int(out.place[i]), int(out.place[i + 1])
+            new_tags, new_margin, start = out.tags[a:b], out.margin[a:b], (out.runs[i][1] - k) * STEP
+            cut_at = _agreed(tags[start:end], new_tags[: end - start]) if end else 0
+            if cut_at is None:
+                both = _paths(texts, [(d, k + begin // STEP, (start - begin) // STEP + out.runs[i][2])], w, batch, False)
+                new_tags, new_margin, start = both.tags, both.margin, begin
+                # What came before the earlier chunk was joined to it in their common part.
+                cut_at = STEP * SHARED_WINDOWS // 2 if begin else 0
+            tags[start + cut_at : start + len(new_tags)] = new_tags[cut_at:]
+            margin[start + cut_at : start + len(new_tags)] = new_margin[cut_at:]
+            begin, end = start, start + len(new_tags)
+    return _run_spans(texts[d], run, tags, margin, single, found)
 
 
 def _tagged(texts: list[str], w: Weights, batch: int) -> dict[int, list[tuple[int, int, int, float]]]:
@@ -476,11 +535,12 @@ def _tagged(texts: list[str], w: Weights, batch: int) -> dict[int, list[tuple[in
     todo = [(d, k, m) for d, t in enumerate(texts) for k, m in _runs(window_starts(t))]
     own = True
     while todo:
-        grown, part, size = [], [], 0
-        for i, run in enumerate(todo):
+        grown = [g for run in todo if run[2] > CHUNK and (g := _decode_long(texts, run, w, batch, found, own))]
+        short, part, size = [run for run in todo if run[2] <= CHUNK], [], 0
+        for i, run in enumerate(short):
             part.append(run)
             size += run[2]
-            if size >= RUN_WINDOWS or i + 1 == len(todo):
+            if size >= RUN_WINDOWS or i + 1 == len(short):
                 grown += _decode_runs(texts, part, w, batch, found, own)
                 part, size = [], 0
         todo, own = list(dict.fromkeys(grown)), False

@@ -456,3 +456,22 @@ def test_languages_are_read_as_subtags_and_names_of_columns_do_not_clash(spark):
     assert got == {r[0]: "en" if r[1].startswith("the") else "de" for r in rows}
     kept = keep_known(docs)
     assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_long_runs_are_decoded_in_chunks(monkeypatch):
+    from corvid.llm import pii
+
+    w = pii.tagger()
+    rng = np.random.default_rng(4)
+    parts = []
+    for k in range(700):
+        parts.append(str(rng.integers(0, 10 ** int(rng.integers(1, 9)))))
+        if k % 60 == 7:
+            parts.append(("call (017) 555-7713 now", "mail anna.lee (at) mail.example (dot) org today", "card 4111.1111.1111.1111 paid")[k % 3])
+    text = " ".join(parts)
+    assert max(m for _, m in pii._runs(pii.window_starts(text))) > 2 * pii.CHUNK
+    got = pii.all_spans([text], w)
+    monkeypatch.setattr(pii, "CHUNK", 1 << 30)
+    assert got == pii.all_spans([text], w) and len(got[0][1]) >= 8
+    assert pii.window_starts("7" * 5000) == []
+    assert pii._agreed(np.zeros(512), np.ones(512)) is None
