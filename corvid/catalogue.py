@@ -302,7 +302,7 @@ def scorecard(spark, d):
 
 
 @_query(
-    "SELECT round(sum(run) / sum(applicable), 3) AS coverage, CASE WHEN sum(run) / sum(applicable) >= 0.6 THEN round(sum(score * w) / sum(w), 1) END AS overall, sum(run) / sum(applicable) < 0.6 AS withheld FROM (SELECT *, (CASE dimension WHEN 'security' THEN 0.3 WHEN 'compliance' THEN 0.2 WHEN 'quality' THEN 0.2 ELSE 0.1 END)::DOUBLE AS w FROM card)",
+    "SELECT round(sum(run) / sum(applicable), 3) AS coverage, CASE WHEN sum(run) / sum(applicable) >= 0.6 THEN round(sum(score * w) / sum(w), 1) END AS overall, sum(run) / sum(applicable) < 0.6 AS withheld FROM (SELECT *, (CASE dimension WHEN 'security' THEN 0.3 WHEN 'quality' THEN 0.2 WHEN 'supply_chain' THEN 0.15 WHEN 'interface' THEN 0.15 WHEN 'assurance' THEN 0.0 ELSE 0.1 END)::DOUBLE AS w FROM card)",
     _FINDINGS,
     _PROBES,
     _CARD,
@@ -469,7 +469,7 @@ def reuse_score(spark, d):
 
 _MAINT = """
 q AS (SELECT component, orders % 1000 AS largest, orders AS lines, (modules % 3) / 2 AS tested_share, orders % 15 AS recent, modules % 12 AS files, modules % 3 AS failures, orders % 20 AS fan_out, modules % 2 = 1 AS in_cycle, orders % 2 AS duplicates FROM m),
-p AS (SELECT component,
+p AS (SELECT component, largest, lines, tested_share, recent, failures AS n_failures, q.fan_out AS n_fan,
   CASE WHEN largest > 800 THEN 25 WHEN largest > 400 THEN 12 ELSE 0 END + CASE WHEN lines > 4000 THEN 8 ELSE 0 END AS size, CASE WHEN tested_share = 0 THEN 20 WHEN tested_share < 0.5 THEN 10 ELSE 0 END AS tests,
   CASE WHEN recent >= 12 AND recent / greatest(files, 1) >= 1.0 THEN 12 WHEN recent >= 6 AND recent / greatest(files, 1) >= 0.5 THEN 6 ELSE 0 END AS churn, least(20, 10 * failures) AS failures,
   CASE WHEN fan_out > 16 THEN 12 WHEN fan_out > 8 THEN 6 ELSE 0 END AS fan_out, CASE WHEN in_cycle THEN 10 ELSE 0 END AS cyc, CASE WHEN duplicates > 0 THEN 8 ELSE 0 END AS duplication FROM q),
@@ -477,14 +477,14 @@ r AS (SELECT *, greatest(0, 100 - (size + tests + churn + failures + fan_out + c
 
 
 @_query(
-    "SELECT component, CAST(score AS INTEGER) AS score, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 55 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'E' END AS grade, concat_ws(',', CASE WHEN size > 0 THEN 'size' END, CASE WHEN tests > 0 THEN 'tests' END, CASE WHEN churn > 0 THEN 'churn' END, CASE WHEN failures > 0 THEN 'failures' END, CASE WHEN fan_out > 0 THEN 'fan_out' END, CASE WHEN cyc > 0 THEN 'cycle' END, CASE WHEN duplication > 0 THEN 'duplication' END) AS reasons FROM r",
+    "SELECT component, CAST(score AS INTEGER) AS score, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 55 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'E' END AS grade, concat_ws('; ', CASE WHEN largest > 400 THEN 'largest file is ' || largest || ' lines' END, CASE WHEN lines > 4000 THEN lines || ' lines in total' END, CASE WHEN tests = 20 THEN 'no test exercises any of its files' WHEN tests > 0 THEN 'tests reach only ' || CAST(round_even(tested_share * 100, 0) AS BIGINT) || '% of its files' END, CASE churn WHEN 12 THEN 'high churn (0 commits, ' || recent || ' in the last 90 days)' WHEN 6 THEN 'frequent changes (0 commits, ' || recent || ' in the last 90 days)' END, CASE WHEN n_failures > 0 THEN n_failures || ' recorded failure(s)' END, CASE WHEN fan_out > 0 THEN 'depends on ' || n_fan || ' components' END, CASE WHEN cyc > 0 THEN 'in a dependency cycle' END, CASE WHEN duplication > 0 THEN 'has a duplication suspect' END) AS reasons FROM r",
     _MODULES,
     _MAINT,
 )
 def maintainability(spark, d):
     o, m = F.col("orders"), F.col("modules")
     q = _modules(spark, d).select("component", (o % 1000).alias("largest"), o.alias("lines"), ((m % 3) / 2).alias("tested_share"), (o % 15).alias("recent"), (m % 12).alias("files"), (m % 3).alias("failures"), (o % 20).alias("fan_out"), (m % 2 == 1).alias("in_cycle"), (o % 2).alias("duplicates"))
-    return st.maintainability(q).select("component", "score", "grade", "reasons")
+    return st.maintainability(q).select("component", "score", "grade", F.array_join("reasons", "; ").alias("reasons"))
 
 
 # --- texts and joins -----------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvid.functions.scalars import SEVERITIES, at_least, file_glob, severity_rank, weight
 
 # Dimension weights of the overall score; others weigh 0.1.
-DIMENSION_WEIGHT = {"security": 0.3, "compliance": 0.2, "quality": 0.2, "drift": 0.1, "interface": 0.1, "supply_chain": 0.1, "assurance": 0.0}
+DIMENSION_WEIGHT = {"security": 0.3, "compliance": 0.1, "supply_chain": 0.15, "quality": 0.2, "drift": 0.1, "interface": 0.15, "assurance": 0.0}
 
 
 def dedupe_ids(findings: DataFrame) -> DataFrame:
@@ -47,7 +47,8 @@ def baseline_status(findings: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def baseline_ids(findings: DataFrame) -> DataFrame:
     """[K5] Sorted distinct ids of what is not suppressed."""
-    return findings.select("id").distinct().orderBy("id")
+    active = findings.filter("suppressed_by IS NULL") if "suppressed_by" in findings.columns else findings
+    return active.select("id").distinct().orderBy("id")
 
 
 def diff_reports(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -181,16 +181,24 @@ def maintainability(df: DataFrame, unit: str = "component") -> DataFrame:
     often = (c("recent") >= 4) | (commits >= 15) if module else (c("recent") >= 6) & (churn >= 0.5)
     untested = F.when(c("tested_share").isNull(), F.when(flag("tested"), 0).otherwise(20)).when(c("tested_share") == 0, 20).when(c("tested_share") < 0.5, 10).otherwise(0)
     limit = 12 if module else 8
-    parts = {
-        "size": F.when(c("largest") > 800, 25).when(c("largest") > 400, 12).otherwise(0) + (F.lit(0) if module else F.when(c("lines") > 4000, 8).otherwise(0)),
-        "tests": F.when(flag("schema"), 0).otherwise(untested),
-        "churn": F.when(flag("schema"), 0).when(high, 12).when(often, 6).otherwise(0),
-        "failures": F.least(F.lit(20), 10 * c("failures")),
-        "fan_out": F.when(c("fan_out") > 2 * limit, 12).when(c("fan_out") > limit, 6).otherwise(0),
-        "cycle": F.when(flag("in_cycle"), 10).otherwise(0),
-        "duplication": F.when(c("duplicates") > 0, 8).otherwise(0),
-    }
-    total = sum(parts.values(), F.lit(0))
-    score = F.greatest(F.lit(0), F.lit(100) - total)
-    reasons = F.array_join(F.array_compact(F.array(*[F.when(p > 0, name) for name, p in parts.items()])), ",")
-    return df.withColumn("score", score.cast("int")).withColumn("grade", grade(score)).withColumn("reasons", reasons)
+    number = lambda name: c(name).cast("long").cast("string")
+    said = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    largest = said("very large file (", number("largest"), " lines)"), said("large file (", number("largest"), " lines)")
+    if not module:
+        largest = (said("largest file is ", number("largest"), " lines"),) * 2
+    changes = said(" (", commits.cast("long").cast("string"), " commits, ", number("recent"), " in the last 90 days)")
+    fan = said("depends on ", number("fan_out"), " modules" if module else " components")
+    alone = c("tested_share").isNull()
+    parts = [
+        F.when(c("largest") > 800, F.struct(F.lit(25), largest[0])).when(c("largest") > 400, F.struct(F.lit(12), largest[1])),
+        F.when(F.lit(not module) & (c("lines") > 4000), F.struct(F.lit(8), said(number("lines"), " lines in total"))),
+        F.when(flag("schema") | (untested == 0), None).when(alone, F.struct(untested, F.lit("no test exercises it"))).when(untested == 20, F.struct(untested, F.lit("no test exercises any of its files"))).otherwise(F.struct(untested, said("tests reach only ", F.bround(c("tested_share") * 100).cast("long").cast("string"), "% of its files"))),
+        F.when(flag("schema"), None).when(high, F.struct(F.lit(12), said("high churn", changes))).when(often, F.struct(F.lit(6), said("frequent changes", changes))),
+        F.when(c("failures") > 0, F.struct(F.least(F.lit(20), 10 * c("failures")).cast("int"), said(number("failures"), " recorded failure(s)"))),
+        F.when(c("fan_out") > 2 * limit, F.struct(F.lit(12), fan)).when(c("fan_out") > limit, F.struct(F.lit(6), fan)),
+        F.when(flag("in_cycle"), F.struct(F.lit(10), F.lit("in a dependency cycle"))),
+        F.when(c("duplicates") > 0, F.struct(F.lit(8), F.lit("has a duplication suspect"))),
+    ]
+    found = F.array_compact(F.array(*[p.cast("struct<cost:int,reason:string>") for p in parts]))
+    rows = df.withColumn("found", found).withColumn("score", F.greatest(F.lit(0), F.aggregate("found", F.lit(100), lambda left, x: left - x["cost"])))
+    return rows.withColumn("grade", grade(F.col("score"))).withColumn("reasons", F.col("found.reason")).drop("found")

@@ -174,7 +174,7 @@ def registry_problems(spark, d):
     return ch.registry_problems(items.select(F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("id"), "parts"), [("part", known, "parts")]).distinct()
 
 
-_ROLES = ["src/main.py", "docs/a.html", ".github/workflows/ci.yml", "infra/main.tf", "dist/app.js", "tests/x_test.go", "web/app.spec.ts", "conf/a.toml", "README.md", "data/blob", "src/test/Foo.java", "package-lock.json"]
+_ROLES = ["src/main.py", "docs/a.html", ".github/workflows/ci.yml", "infra/main.tf", "dist/app.js", "tests/x_test.go", "web/app.spec.ts", "conf/a.toml", "README.md", "data/blob", "src/test/Foo.java", "package-lock.json", "ui/View.tsx", "c/x.h", "n/P.cs", "k/Main.kt", "css/a.scss", "conf/x.cfg", "bin/run.bash", "e2e/flow.py"]
 
 
 def _paths(spark, d):
@@ -187,8 +187,8 @@ def _paths(spark, d):
 
 _ROLED = f"""
 p AS (SELECT p_brand AS repo, p_size AS lines, 'pkg' || (p_partkey % 7) || '/' || {_ROLES!r}[p_partkey % {len(_ROLES)} + 1] AS path FROM part),
-l AS (SELECT *, CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.yml' THEN 'yaml' WHEN path LIKE '%.tf' THEN 'terraform' WHEN path LIKE '%.js' THEN 'javascript' WHEN path LIKE '%.go' THEN 'go' WHEN path LIKE '%.ts' THEN 'typescript' WHEN path LIKE '%.toml' THEN 'toml' WHEN path LIKE '%.md' THEN 'markdown' WHEN path LIKE '%.java' THEN 'java' WHEN path LIKE '%.json' THEN 'json' ELSE 'unknown' END AS language FROM p),
-r AS (SELECT *, CASE WHEN path LIKE '%.tf' THEN 'iac' WHEN path LIKE '%/dist/%' OR path LIKE '%lock.json' THEN 'generated' WHEN path LIKE '%/.github/workflows/%' THEN 'ci' WHEN path LIKE '%/tests/%' OR path LIKE '%/test/%' OR path LIKE '%.spec.ts' THEN 'test' WHEN path LIKE '%/docs/%' OR path LIKE '%.md' THEN 'docs' WHEN language IN ('yaml', 'json', 'toml') THEN 'config' WHEN language = 'unknown' THEN 'data' ELSE 'source' END AS role FROM l)"""
+l AS (SELECT *, CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.yml' THEN 'yaml' WHEN path LIKE '%.tf' THEN 'terraform' WHEN path LIKE '%.js' THEN 'javascript' WHEN path LIKE '%.go' THEN 'go' WHEN path LIKE '%.ts' THEN 'typescript' WHEN path LIKE '%.toml' THEN 'toml' WHEN path LIKE '%.md' THEN 'markdown' WHEN path LIKE '%.java' THEN 'java' WHEN path LIKE '%.json' THEN 'json' WHEN path LIKE '%.html' THEN 'html' WHEN path LIKE '%.tsx' THEN 'typescript' WHEN path LIKE '%.h' THEN 'c' WHEN path LIKE '%.cs' THEN 'csharp' WHEN path LIKE '%.kt' THEN 'kotlin' WHEN path LIKE '%.scss' THEN 'css' WHEN path LIKE '%.cfg' THEN 'ini' WHEN path LIKE '%.bash' THEN 'shell' ELSE 'unknown' END AS language FROM p),
+r AS (SELECT *, CASE WHEN path LIKE '%.tf' THEN 'iac' WHEN path LIKE '%/dist/%' OR path LIKE '%lock.json' THEN 'generated' WHEN path LIKE '%/.github/workflows/%' THEN 'ci' WHEN path LIKE '%/tests/%' OR path LIKE '%/test/%' OR path LIKE '%.spec.ts' THEN 'test' WHEN path LIKE '%/docs/%' OR path LIKE '%.md' THEN 'docs' WHEN language IN ('yaml', 'json', 'toml', 'ini') THEN 'config' WHEN language = 'unknown' THEN 'data' ELSE 'source' END AS role FROM l)"""
 
 
 @query("SELECT language, role, count(*) AS files, sum(lines) AS lines FROM r WHERE role <> 'generated' GROUP BY ALL", _ROLED)
@@ -204,7 +204,7 @@ def repository_stacks(spark, d):
     return rc.stacks(_paths(spark, d), "repo").select("repo", F.array_join("stacks", ",").alias("stacks"))
 
 
-@query("SELECT DISTINCT path FROM r WHERE path LIKE '%/tests/%' OR path LIKE '%/test/%' OR path LIKE '%.spec.ts'", _ROLED)
+@query("SELECT DISTINCT path FROM r WHERE path LIKE '%/tests/%' OR path LIKE '%/test/%' OR path LIKE '%/e2e/%' OR path LIKE '%.spec.ts'", _ROLED)
 def test_paths(spark, d):
     return _paths(spark, d).select("path").distinct().filter(rc.is_test(F.col("path")))
 
