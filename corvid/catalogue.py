@@ -690,4 +690,4 @@ def audit_counts(spark, d):
     return sv.audit_counts(events).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
 
 
-from corvid.plans import changes, layout, project, resources  # noqa: E402, F401  # these register more queries
+from corvid.plans import changes, layers, layout, project, resources  # noqa: E402, F401  # these register more queries
