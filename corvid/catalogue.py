@@ -540,15 +540,6 @@ s AS (SELECT doc_id, lang, n_chars, list_distinct(list_transform(range(1, len(w)
 k AS (SELECT lang, n_chars FROM documents GROUP BY ALL HAVING count(*) BETWEEN 2 AND 8)"""
 
 
-@_query(
-    "SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS jaccard FROM k JOIN s a USING (lang, n_chars) JOIN s b USING (lang, n_chars) WHERE a.doc_id < b.doc_id AND len(a.s) > 0 AND len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.5",
-    _GRAMS,
-)
-def block_duplicates(spark, d):
-    docs = src.table(spark, d, "documents").select("doc_id", "lang", "n_chars", "text")
-    return tx.duplicates_in_blocks(docs, "doc_id", ["lang", "n_chars"]).withColumn("jaccard", F.round("jaccard", 6))
-
-
 _SETS = """
 w AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, lang, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')))) AS s FROM w),
@@ -643,12 +634,6 @@ def first_definition(spark, d):
     return g.first_per_key(c, ["c_mktsegment"], "c_custkey").select("c_mktsegment", "c_name", "c_custkey")
 
 
-@_query("SELECT text_id, array_to_string(ids, ',') AS ids FROM (VALUES (1, ['CWE-79', 'CWE-89']), (2, ['CWE-22']), (3, ['CWE-007']), (4, CAST([] AS VARCHAR[]))) v(text_id, ids)")
-def cwe_normalise(spark, d):
-    rows = [(1, "cwe_79, CWE-89 and CWE 79"), (2, "22"), (3, "CWE-007"), (4, "none")]
-    return spark.createDataFrame(rows, "text_id int, t string").select("text_id", F.array_join(cwe_ids(F.col("t")), ",").alias("ids"))
-
-
 @_query(
     "SELECT seq, CASE k % 3 WHEN 0 THEN 'CWE-' || k WHEN 1 THEN 'CWE-' || k ELSE CASE WHEN k = 79 THEN 'CWE-79' ELSE 'CWE-79,CWE-' || k END END AS ids FROM (SELECT seq, start_line AS k FROM f)",
     _FINDINGS,
@@ -690,4 +675,4 @@ def audit_counts(spark, d):
     return sv.audit_counts(events).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
 
 
-from corvid.plans import changes, layers, layout, project, resources  # noqa: E402, F401  # these register more queries
+from corvid.plans import changes, layers, layout, project, resources, upkeep  # noqa: E402, F401  # these register more queries

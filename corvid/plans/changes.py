@@ -18,7 +18,7 @@ from corvid.sources import tables as src
 _PATH = "'d' || (o_custkey % 7) || '/f' || o_custkey || '.py'"
 _COMMITS = f"""
 commits AS (SELECT o_orderkey AS hash, {_PATH} AS path, strftime(o_orderdate, '%Y-%m-%d') AS date, 'Fix REQ-' || (o_orderkey % 40) || ' and OLD-' || (o_orderkey % 5) || CASE WHEN o_orderkey % 3 = 0 THEN ' see ABC-1' ELSE '' END AS message FROM orders),
-recent AS (SELECT * FROM commits WHERE date >= '2000-06-01' AND hash % 2 = 0),
+recent AS (SELECT * FROM commits WHERE date >= '2000-09-01'),
 cites AS (SELECT DISTINCT hash, CASE WHEN old LIKE 'OLD-%' THEN 'REQ-' || (50 + CAST(substr(old, 5) AS INTEGER)) ELSE old END AS id FROM (SELECT hash, unnest(regexp_extract_all(message, '\\b([A-Z][A-Z0-9]*-[0-9]+)\\b', 1)) AS old FROM recent) WHERE old NOT LIKE 'ABC-%'),
 changed AS (SELECT DISTINCT path FROM commits WHERE date >= '2000-06-01'),
 own AS (SELECT path, list_sort(list_distinct(list(id))) AS ids FROM recent JOIN cites USING (hash) GROUP BY 1),
@@ -41,7 +41,7 @@ def _aliases(spark):
 
 def _recent(spark, d):
     commits = _commits(spark, d).filter("date >= '2000-06-01'")
-    return commits, commits.filter("hash % 2 = 0")  # the other commits are uncommitted work
+    return commits, commits.filter("date >= '2000-09-01'")  # the range of commits; what changed before them is open work
 
 
 def _tagged(spark, d):

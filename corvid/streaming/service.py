@@ -52,19 +52,29 @@ def rate_limit(calls: DataFrame, id: str, requests: int = REQUESTS, window_s: in
     return calls.repartition("key_id").sortWithinPartitions("key_id", "at", id).mapInArrow(run, schema)
 
 
-def rate_limit_stream(calls: DataFrame, id: str, requests: int = REQUESTS, window_s: int = WINDOW_S) -> DataFrame:
-    """[I10] The same over a stream: a key's state is its accepted times.  Calls of one micro-batch are taken in order of time."""
+def rate_limit_stream(calls: DataFrame, id: str, requests: int = REQUESTS, window_s: int = WINDOW_S, late_s: int = 60) -> DataFrame:
+    """[I10, Z3] The same over a stream: a key's state is its accepted times.  Calls of one micro-batch are taken in order of time.
+
+    A key leaves the state when its window has passed for the watermark, which follows the latest call by ``late_s``
+    seconds; calls at or behind the watermark are left out.
+    """
     window = window_s * 1_000_000
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = deque(int(x) for x in state.get[0]) if state.exists else deque()
         part = pd.concat(list(parts)).sort_values(["at", id])
         said = [_judge(kept, int(at), requests, window) for at in part["at"]]
         state.update((list(kept),))
+        # Whole milliseconds after the last accepted call has left the window; never before the watermark.
+        state.setTimeoutTimestamp(max(-(-(kept[-1] + window) // 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({id: part[id].to_numpy(), "key_id": key[0], "accepted": [a for a, _ in said], "wait_s": pd.array([w for _, w in said], "Int64")})
 
     types = dict(calls.dtypes)
-    return calls.filter("at IS NOT NULL").groupBy("key_id").applyInPandasWithState(run, f"`{id}` {types[id]}, key_id {types['key_id']}, accepted boolean, wait_s long", "kept array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    timed = calls.filter("at IS NOT NULL").withColumn("ts", F.timestamp_micros("at")).withWatermark("ts", f"{late_s} seconds")
+    return timed.groupBy("key_id").applyInPandasWithState(run, f"`{id}` {types[id]}, key_id {types['key_id']}, accepted boolean, wait_s long", "kept array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def audit_counts(events: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
