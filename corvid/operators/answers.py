@@ -80,6 +80,7 @@ def why(nodes: DataFrame, edges: DataFrame, text: str) -> DataFrame:
     if node is None:
         return spark.createDataFrame([], "section string, id string, kind string, name string, via string")
     me, kind = node["id"], node["kind"]
+    edges = cut(edges.select("source", "target", "type", "provenance"))  # made once for all sections
     mine = cut(edges.filter((F.col("source") == me) | (F.col("target") == me)))
     out, into = mine.filter(F.col("source") == me), mine.filter(F.col("target") == me)
     of = lambda ends, side: edges.join(ends.select(F.col("id").alias(side)).distinct(), side, "left_semi")

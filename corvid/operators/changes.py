@@ -45,10 +45,12 @@ def impacted_suites(suites: DataFrame, impacted: DataFrame) -> DataFrame:
     below = plain.select("suite", F.explode(directories(F.col("entry"))).alias("path"))
     fixed = F.regexp_extract("entry", r"^([^*?\[]*)/[^/]*[*?\[]", 1)
     regex = F.regexp_replace(F.regexp_replace(F.regexp_replace("entry", r"([.+^$(){}|\\])", r"\\$1"), r"\*", ".*"), r"\?", ".")
-    wide = globs.select("suite", fixed.alias("folder"), F.concat(F.lit("(?s)^"), regex, F.lit("$")).alias("regex"))
-    places = paths.select("path", F.explode(F.concat(F.array(F.lit("")), directories(F.col("path")))).alias("folder"))
+    # Globs that begin with a wildcard meet all paths, which are dealt out so that no task has them all.
+    salts = F.when(F.col("folder") == "", F.sequence(F.lit(0), F.lit(31))).otherwise(F.array(F.lit(0)))
+    wide = globs.select("suite", fixed.alias("folder"), F.concat(F.lit("(?s)^"), regex, F.lit("$")).alias("regex")).withColumn("salt", F.explode(salts))
+    places = paths.select("path", F.explode(F.concat(F.array(F.lit("")), directories(F.col("path")))).alias("folder")).withColumn("salt", F.when(F.col("folder") == "", F.pmod(F.xxhash64("path"), F.lit(32)).cast("int")).otherwise(0))
     hits = plain.join(over, "entry", "left_semi").select("suite").unionByName(below.join(paths, "path", "left_semi").select("suite"))
-    return hits.unionByName(wide.join(places, "folder").filter(F.expr("path RLIKE regex")).select("suite")).distinct()
+    return hits.unionByName(wide.join(places, ["folder", "salt"]).filter(F.expr("path RLIKE regex")).select("suite")).distinct()
 
 
 def cited_ids(texts: DataFrame, key: str, aliases: DataFrame, prefix: str = "REQ") -> DataFrame:

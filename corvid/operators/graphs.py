@@ -104,9 +104,14 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b")))
 
 
+def dealt(links: DataFrame, end: str) -> DataFrame:
+    """Links kept on disk by one end, in its order, so that no level of a walk makes, deals out or sorts them again."""
+    return links.repartition(end).sortWithinPartitions(end).persist(StorageLevel.DISK_ONLY)
+
+
 def ego(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """[G8, G5] id and least number of hops from any seed, edges taken either way."""
-    links = both_ways(edges).repartition("a").persist(StorageLevel.DISK_ONLY)  # dealt by its end once for all hops
+    links = dealt(both_ways(edges), "a")
     seen = cut(seeds.select("id").distinct().withColumn("hops", F.lit(0)))
     front = seen
     for d in range(1, depth + 1):
@@ -121,7 +126,7 @@ def ego(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 def reach(edges: DataFrame, origins: DataFrame, depth: int) -> DataFrame:
     """[G7] (origin, id, hops) for every origin at once, edges taken either way."""
-    links = both_ways(edges).repartition("a").persist(StorageLevel.DISK_ONLY)
+    links = dealt(both_ways(edges), "a")
     seen = cut(origins.select(F.col("id").alias("origin"), "id").distinct().withColumn("hops", F.lit(0)))
     front = seen
     for d in range(1, depth + 1):
@@ -206,7 +211,7 @@ def trace(nodes: DataFrame, edges: DataFrame, start: str, end: str) -> DataFrame
     A node's parent is the least neighbour of the level before, so that the path is the same in every
     run.  The walk ends when the end is met or nothing is left to visit; parents are then read back from the end, one row a level.
     """
-    links = both_ways(edges)
+    links = dealt(both_ways(edges).distinct(), "a")
     seen = cut(nodes.filter(F.col("id") == start).select("id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("hops")))
     front, met, d = seen, start == end, 0
     while not (met or front.isEmpty()):
@@ -217,6 +222,7 @@ def trace(nodes: DataFrame, edges: DataFrame, start: str, end: str) -> DataFrame
         if d % COMPACT == 0:
             seen = cut(seen)
         met = not front.filter(F.col("id") == end).isEmpty()
+    links.unpersist()
     seen = cut(seen)
     path = step = seen.filter(F.col("id") == end)
     if not met:
@@ -249,12 +255,13 @@ def lineage(nodes: DataFrame, edges: DataFrame, origin: str, direction: str = "d
     a, b = ("up", "down") if direction == "down" else ("down", "up")
     turn = lambda df: df.select(F.col(a).alias("parent"), F.col(b).alias("id"), "type").distinct()
     named = nodes.filter("kind <> 'external'").select("id", "name", "kind")
-    links, once = turn(flow_edges(edges, code)), turn(single)
+    # Edges with what stands at their other end are made and dealt out once for all levels.
+    links, once = dealt(turn(flow_edges(edges, code)).join(named, "id"), "parent"), turn(single.filter(F.col("up" if direction == "down" else "down") == origin)).join(named, "id")
     seen = cut(nodes.filter(F.col("id") == origin).select("id", "name", "kind", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("parent"), F.lit(True).alias("listed"), F.array("id").alias("key"), F.lit(True).alias("inside"), F.lit(True).alias("walked")))
     front, have = seen, 0
     for d in range(1, depth + 1):
         steps = links.withColumn("once", F.lit(False)).unionByName(once.withColumn("once", F.lit(True))) if d == 1 else links.withColumn("once", F.lit(False))
-        hit = front.filter("walked").select(F.col("id").alias("parent"), "key", "inside").join(steps, "parent").join(named, "id")
+        hit = front.filter("walked").select(F.col("id").alias("parent"), "key", "inside").join(steps, "parent")
         structural = F.col("type").isin("defines", "contains")
         if direction == "down":
             hit = hit.filter(~structural | F.col("inside"))
@@ -274,6 +281,7 @@ def lineage(nodes: DataFrame, edges: DataFrame, origin: str, direction: str = "d
             break
         have += min(size, max(0, (limit or 0) - have))
         seen = seen.unionByName(front)
+    links.unpersist()
     return seen.filter("hops > 0").select("id", "name", "kind", "hops", "via", "parent", "listed", "key")
 
 
@@ -324,17 +332,19 @@ def impact(nodes: DataFrame, edges: DataFrame, changed: DataFrame, depth: int =
     """
     kinds = nodes.select("id", "name", "kind")
     both = edges.filter(F.col("type").isin(IMPACT_TYPES)).select(F.explode(F.array(F.struct(F.col("source").alias("parent"), F.col("target").alias("id")), F.struct(F.col("target").alias("parent"), F.col("source").alias("id")))).alias("e"), "type").select("e.*", "type").distinct()
+    links = dealt(both.join(kinds, "id"), "parent")
     none = F.lit(None).cast("string")
     seen = cut(impact_seeds(nodes, changed).select("id").distinct().join(kinds, "id").select("id", "kind", "name", F.lit(0).alias("hops"), none.alias("via"), none.alias("parent"), F.array("id").alias("key")))
     front = seen
     for d in range(1, depth + 1):
-        hit = front.select(F.col("id").alias("parent"), "key", F.col("kind").isin(HUB_KINDS).alias("hub")).join(both, "parent").filter(~F.col("type").isin(CLASS_EDGES) | F.col("hub")).join(kinds, "id")
+        hit = front.select(F.col("id").alias("parent"), "key", F.col("kind").isin(HUB_KINDS).alias("hub")).join(links, "parent").filter(~F.col("type").isin(CLASS_EDGES) | F.col("hub"))
         best = F.min_by(F.struct("kind", "name", F.col("type").alias("via"), "parent", F.concat("key", F.array("name", "type", "id")).alias("key")), F.struct("key", "type"))
         new = hit.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(best.alias("r")).select("id", "r.*", F.lit(d).alias("hops"))
         front = cut(new.select(*seen.columns))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+    links.unpersist()
     rows = seen.filter("hops > 0").join(nodes.select("id", "file", "directory", "test"), "id")
     bucket = lookup(F.col("kind"), BUCKET)
     bucket = F.coalesce(bucket, F.when(F.col("test"), "tests").when((F.col("via") == "flags") & F.col("kind").isin("module", "file") & ~F.coalesce("directory", F.lit(False)), "files"))
@@ -411,7 +421,9 @@ def inherited(bases: DataFrame, methods: DataFrame, wanted: DataFrame) -> DataFr
         found = hit if found is None else found.unionByName(hit)
         miss = front.join(methods.select(F.col("class").alias("at"), "name"), ["at", "name"], "left_anti")
         step = miss.join(bases.select(F.col("class").alias("at"), "base", "place"), "at").filter(~F.array_contains("met", F.col("base")))
-        front = cut(step.select("class", "name", F.col("base").alias("at"), F.concat("path", F.array("place")).alias("path"), F.concat("met", F.array("base")).alias("met")))
+        step = step.select("class", "name", F.col("base").alias("at"), F.concat("path", F.array("place")).alias("path"), F.concat("met", F.array("base")).alias("met"))
+        # Of the ways that meet in a class at one level the least goes on: whatever is found above it is found by that one first.
+        front = cut(step.groupBy("class", "name", "at").agg(F.min_by(F.struct("path", "met"), "path").alias("s")).select("class", "name", "at", "s.*"))
     if found is None:
         return wanted.select("class", "name", F.col("class").alias("owner")).limit(0)
     return found.groupBy("class", "name").agg(F.min_by("owner", "path").alias("owner"))

@@ -102,7 +102,10 @@ def ground_truth(expected: DataFrame, findings: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
     ends = rows.withColumn("want", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/")))))
     fits = F.forall("needles", lambda x: F.contains(F.col("hay"), x)) & ((F.col("dim") == "") | (F.col("dim") == F.col("dimension")))
-    open_ = cut(ends.join(items, "want").filter(fits).select("item", "seq").distinct())
+    # Items without a path meet all findings, which are dealt out so that no task has them all.
+    dealt = ends.withColumn("salt", F.when(F.col("want") == "", F.pmod("seq", F.lit(32)).cast("int")).otherwise(0))
+    sent = items.withColumn("salt", F.explode(F.when(F.col("want") == "", F.sequence(F.lit(0), F.lit(31))).otherwise(F.array(F.lit(0)))))
+    open_ = cut(dealt.join(sent, ["want", "salt"]).filter(fits).select("item", "seq").distinct())
     held = cut(open_.limit(0))
     while True:
         asks = open_.join(held.select("item"), "item", "left_anti").groupBy("item").agg(F.min("seq").alias("seq"))

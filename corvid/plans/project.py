@@ -25,7 +25,7 @@ n AS (
 _PEDGES = """
 i AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_suppkey AS s FROM lineitem),
 big AS (SELECT p_partkey AS p FROM part WHERE p_size >= 45),
-e AS (
+e AS MATERIALIZED (
   SELECT 'commit:' || o_orderkey AS source, 'req:' || o_custkey AS target, 'delivers' AS type, 'EXTRACTED' AS provenance FROM orders
   UNION ALL SELECT DISTINCT 'commit:' || o, 'part:' || p, 'modifies', 'EXTRACTED' FROM i
   UNION ALL SELECT 'commit:' || o_orderkey, 'commit:' || before, 'follows', 'EXTRACTED' FROM (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders) WHERE before IS NOT NULL

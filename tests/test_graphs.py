@@ -123,3 +123,15 @@ def test_why_follows_tests_and_failures(spark):
     assert got("m") == scope | {("requirements", "q", "declared scope")}
     assert got("f") == scope | {("requirements", "q", "declared scope (containing file)")}
     assert got("x") == {("affected code", "f", ""), ("prevented by", "r", ""), ("regression tests", "t", "")}
+
+
+def test_stacked_diamonds_stay_small(spark):
+    from corvid.operators import graphs as g
+
+    # Each class has two bases that share one: 2 ** 14 ways lead to the top, on each level one goes on.
+    bases = []
+    for k in range(14):
+        bases += [(f"c{k}", f"l{k}", 0), (f"c{k}", f"r{k}", 1), (f"l{k}", f"c{k + 1}", 0), (f"r{k}", f"c{k + 1}", 0)]
+    methods = [("c14", "top"), ("r3", "side"), ("c9", "side")]
+    out = g.inherited(spark.createDataFrame(bases, "class string, base string, place int"), spark.createDataFrame(methods, "class string, name string"), spark.createDataFrame([("c0", "top"), ("c0", "side"), ("c0", "none")], "class string, name string"))
+    assert {(r["name"], r["owner"]) for r in out.collect()} == {("top", "c14"), ("side", "c9")}
