@@ -14,8 +14,9 @@ order_level, turn, item`` order a conversation.
 Defined cases: null texts are empty contents; a null role is the role "user"; null ids never link;
 texts that are not such JSON (NaN, infinities and numbers that overflow are not JSON) are messages; a result without a call, a call without a result, a second
 call with a used identifier and a cycle of references are each named in ``status``; of calls with one
-identifier the first by turn is linked, results may repeat; an empty table gives no rows; other
-columns are ignored.
+identifier the first by turn, place in the turn and JSON is linked, and of rows alike in all of these one
+is the call and the others are duplicates; results may repeat; rows whose turns tie keep their places; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -160,8 +161,10 @@ def format_chats(conversations: DataFrame, schemas: dict[str, Schema] | None = N
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in ITEMS.split(", ")])
 
     items = only(conversations, {"conv_id": "long", "turn": "long", "role": "string", "text": "string"}).mapInArrow(run, ITEMS)
-    linked = items.filter("kind <> 'message'")
-    calls = linked.filter("kind = 'call'").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "item")).alias("first"), F.count("*").alias("n_calls"), F.min_by("refs", F.struct("turn", "item")).alias("refs"))
+    # Rows that are alike in everything are told apart by a number; the first of all that share an identifier is the call.
+    linked = cut(items.filter("kind <> 'message'").withColumn("row", F.monotonically_increasing_id()))
+    place = F.struct("turn", "item", "json", "row")
+    calls = linked.filter("kind = 'call'").groupBy("conv_id", "call_id").agg(F.min(place).alias("first"), F.count("*").alias("n_calls"), F.min_by("refs", place).alias("refs"))
     results = linked.filter("kind = 'result'").groupBy("conv_id", "call_id").agg(F.min("turn").alias("result_turn"), F.count("*").alias("n_results"))
     links = cut(calls.join(results, ["conv_id", "call_id"], "left"))
 
@@ -185,7 +188,7 @@ def format_chats(conversations: DataFrame, schemas: dict[str, Schema] | None = N
         rest = cut(rest.join(more.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"))
     state = links.select("conv_id", "call_id", "first", "n_calls", F.coalesce("n_results", F.lit(0)).alias("n_results")).join(placed, ["conv_id", "call_id"], "left")
 
-    first_here = (F.col("first.turn") == F.col("turn")) & (F.col("first.item") == F.col("item"))
+    first_here = F.col("first.row") == F.col("row")
     status = (
         F.when(F.col("kind") == "message", "message")
         .when((F.col("kind") == "result") & F.col("first").isNull(), "orphan_result")

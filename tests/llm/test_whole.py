@@ -475,3 +475,16 @@ def test_long_runs_are_decoded_in_chunks(monkeypatch):
     assert got == pii.all_spans([text], w) and len(got[0][1]) >= 8
     assert pii.window_starts("7" * 5000) == []
     assert pii._agreed(np.zeros(512), np.ones(512)) is None
+
+
+def test_repeated_calls_are_duplicates(spark):
+    from corvid.llm.chat_formatting import format_chats
+
+    call = lambda i, x: f'{{"tool_calls":[{{"id":"{i}","name":"f","arguments":{{"x":{x}}}}}]}}'
+    rows = [(1, 3, "assistant", call("a", 1))] * 3 + [(1, 3, "assistant", call("b", 2)), (1, 3, "assistant", call("b", 1)), (1, 4, "tool", '{"tool_call_id":"a","content":0}')] + [(2, 1, "user", "hi")] * 2 + [(None, None, "assistant", call("a", 1))] * 2
+    out = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))
+    got = sorted((r["conv_id"] or 0, r["call_id"] or "", r["status"], r["json"][:20] if r["call_id"] == "b" else "") for r in out.collect())
+    b = [(r["status"], '"x":1' in r["json"]) for r in out.filter("call_id = 'b'").orderBy("status").collect()]
+    assert b == [("duplicate_call", False), ("unanswered_call", True)]
+    assert [g[2] for g in got if g[0] == 1 and g[1] == "a"] == ["call", "duplicate_call", "duplicate_call", "result"]
+    assert sum(g[2] == "message" for g in got) == 2
