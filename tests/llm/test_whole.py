@@ -64,34 +64,10 @@ def test_every_declared_language_has_a_table(spark):
     assert got == {6000 + k: x for k, x in enumerate(rare)}
 
 
-def test_near_duplicates_in_blocks_of_any_size(spark):
-    from corvid.operators.texts import near_duplicates
-
-    words = prose(600, 120).split(" ")
-    text = " ".join(words)
-    longer = text + " one"  # another length
-    changed = " ".join([*words[:60], "changed", *words[61:]])  # 111 of 121 shingles
-    far = " ".join([*words[:40], *["x"] * 40, *words[80:]])
-    rows = [(k, text, "en") for k in range(20)] + [(20, longer, "en"), (21, changed, "en"), (22, far, "en"), (23, text, "fr"), (24, "short", "en"), (25, None, "en")]
-    got = {(r["a"], r["b"]): round(r["jaccard"], 6) for r in near_duplicates(spark.createDataFrame(rows, "k long, text string, lang string"), "k", ["lang"]).collect()}
-    sets = {k: {tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in ((0, text), (20, longer), (21, changed))}
-    want = {(0, k): 1.0 for k in range(1, 20)} | {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a, b in ((0, 20), (0, 21), (20, 21))}
-    assert got == want and min(want.values()) >= 0.8
-
-
 def test_long_chains(spark):
     from corvid.llm.chat_formatting import format_chats
-    from corvid.operators import graphs as g
 
     n = 70
-    chain = spark.createDataFrame([(f"n{k:03}", f"n{k + 1:03}") for k in range(n)], "source string, target string")
-    ring = chain.union(spark.createDataFrame([(f"n{n:03}", "n000")], "source string, target string"))
-    assert g.closure(chain).count() == n * (n + 1) // 2
-    assert {(r["id"], r["component"]) for r in g.strong_components(ring).collect()} == {(f"n{k:03}", "n000") for k in range(n + 1)}
-    nodes = spark.createDataFrame([(f"n{k:03}",) for k in range(n + 1)], "id string")
-    path = g.trace(nodes, chain, "n000", "n036").orderBy("hops").collect()
-    assert [(r["id"], r["hops"]) for r in path] == [(f"n{k:03}", k) for k in range(37)]
-    assert g.trace(nodes, chain.limit(2), "n000", "n036").count() == 0
     call = lambda k, after: f'{{"id":"c{k}","name":"f","arguments":{{"x":{{"$ref":"c{after}"}}}}}}' if after is not None else f'{{"id":"c{k}","name":"f","arguments":{{}}}}'
     text = '{"tool_calls":[' + ",".join([call(k, k - 1 if k else None) for k in range(n)] + [call(900, 901), call(901, 900)]) + "]}"
     out = {r["call_id"]: (r["status"], r["order_level"]) for r in format_chats(spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")).collect()}
@@ -109,15 +85,6 @@ def test_one_row_of_each_component_with_repeated_ids(spark):
     assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
 
 
-def test_comparisons_cover_every_row(spark):
-    from corvid import catalogue
-    from corvid.sources import tables as src
-
-    d = "/root/testdata/sf0.001"
-    got = catalogue.QUERIES["ab_compare_all"](spark, d).selectExpr("sum(2 * matched + only_a + only_b)").first()[0]
-    assert got == src.findings(spark, d).count() == catalogue.QUERIES["cwe_normalise_all"](spark, d).count()
-
-
 def test_regions_are_divided_until_none_is_left(spark, monkeypatch):
     from corvid.llm import jaccard_join as j
 
