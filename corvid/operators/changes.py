@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -235,6 +237,42 @@ def scan_statistics(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("files"), n(f("read")).alias("files_read"), n(f("changed")).alias("changed"), n(f("read") & ~f("changed")).alias("context"), total.alias("lines"), read.alias("lines_read"), F.round(F.when(total > 0, read / total).otherwise(0.0), 4).alias("share"))
 
 
+# Files that are read whether or not they changed, as others are judged by them.
+CONTEXT_ROLES = ["ci"]
+CONTEXT_NAMES = [
+    "package.json", "package-lock.json", "yarn.lock", "pnpm-lock.yaml",
+    "pnpm-workspace.yaml", "lerna.json", "nx.json", "turbo.json",
+    "requirements.txt", "requirements-dev.txt", "pyproject.toml", "setup.py",
+    "setup.cfg", "Pipfile", "Pipfile.lock", "poetry.lock", "uv.lock",
+    "go.mod", "go.sum", "go.work", "Gemfile", "Gemfile.lock",
+    "composer.json", "composer.lock", "Cargo.toml", "Cargo.lock",
+    "pom.xml", "build.gradle", "build.gradle.kts", "gradle.lockfile",
+    "Dockerfile", "Containerfile", "docker-compose.yml", "docker-compose.yaml",
+    "Makefile", "Jenkinsfile", "cdk.json",
+]
+CONTEXT_ENDINGS = [".tf", ".tfvars", ".hcl"]
+
+
+def changed_paths(outputs: list[DataFrame]) -> DataFrame:
+    """[I1] (repo_id, path): the paths that any of several lists(repo_id, text), a path a line, names: commits since the reference, work in the tree and in the index, new files."""
+    every = reduce(DataFrame.unionByName, [x.select("repo_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("path")) for x in outputs])
+    return every.select("repo_id", F.regexp_replace("path", r"^\s+|\s+$", "").alias("path")).filter("path <> ''").distinct()
+
+
+def is_context(path: Column, role: Column, binary: Column) -> Column:
+    """[I6] Whether others are judged by a file: CI, manifests and lock files, declared infrastructure."""
+    name = F.substring_index(path, "/", -1)
+    ending = reduce(lambda a, b: a | b, [F.endswith(F.lower(path), F.lit(e)) for e in CONTEXT_ENDINGS])
+    return ~binary & (role.isin(CONTEXT_ROLES) | name.isin(CONTEXT_NAMES) | F.startswith(name, F.lit("Dockerfile")) | ending)
+
+
+def narrowed(files: DataFrame, changed: DataFrame) -> DataFrame:
+    """[I6] ``files`` (repo_id, path, role, binary, lines, ...) with ``changed`` and ``read``: a partial scan reads what changed, and what others are judged by.  ``scan_statistics`` sums it up."""
+    hit = changed.select("repo_id", "path").distinct().withColumn("changed", F.lit(True))
+    rows = files.join(hit, ["repo_id", "path"], "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
+    return rows.withColumn("read", F.col("changed") | is_context(F.col("path"), F.col("role"), F.col("binary")))
+
+
 def combined_digest(files: DataFrame, keys: list[str]) -> DataFrame:
     """[I16] One digest for each key over files(path, digest), whatever their order in the table.
 

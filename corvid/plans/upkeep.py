@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvid.operators import assurance as asr
+from corvid.operators import changes as ch
 from corvid.operators import registry as rg
 from corvid.operators import rules as ru
 from corvid.plans.registry import query
+from corvid.sources import records as rc
 from corvid.sources.tables import table
 from corvid.streaming import cache as ca
 
@@ -155,3 +157,26 @@ def quality_findings(spark, d):
     role = F.when(size % 8 == 3, "test").when(size % 4 == 3, "docs").when(size % 4 == 2, "iac").otherwise("source")
     files = p.select(F.col("p_brand").alias("repo_id"), F.concat(F.lit("d"), F.col("p_partkey").cast("string")).alias("path"), role.alias("role"), F.when(size % 4 == 2, "terraform").otherwise("go").alias("language"), (size * 20).alias("lines"), F.repeat(F.lit("TODO x\n"), size % 7).alias("text"))
     return ru.quality_findings(files).select("rule", "repo_id", "path", "evidence")
+
+
+@query("SELECT p_brand AS repo_id, p_partkey AS line, sha1('p' || (p_partkey // 3)) AS hash FROM part WHERE p_partkey % 7 <> 0")
+def blamed_lines(spark, d):
+    """[S12] Porcelain blame of a file for each brand: a line for each part, three of one commit, each seventh not committed."""
+    k = F.col("p_partkey")
+    sha = F.when(k % 7 == 0, rc.UNCOMMITTED).otherwise(F.sha1(F.concat(F.lit("p"), F.floor(k / 3).cast("string"))))
+    record = F.concat(sha, F.lit(" "), (k + 5).cast("string"), F.lit(" "), k.cast("string"), F.lit(" 1\nauthor x\nsummary y\n\tcode"))
+    texts = table(spark, d, "part").groupBy(F.col("p_brand").alias("path")).agg(F.array_join(F.collect_list(record), "\n").alias("text"))
+    return rc.git_blame(texts).select(F.col("path").alias("repo_id"), F.col("line").cast("long").alias("line"), "hash")
+
+
+@query(
+    """SELECT count(*) AS files, count(*) FILTER (c OR x) AS files_read, count(*) FILTER (c) AS changed, count(*) FILTER (x AND NOT c) AS context, sum(lines) AS lines, sum(CASE WHEN c OR x THEN lines ELSE 0 END) AS lines_read, round(sum(CASE WHEN c OR x THEN lines ELSE 0 END) / sum(lines), 4) AS share
+FROM (SELECT 3 AS lines, p_size % 8 = 2 OR p_size % 8 = 6 AS x, p_partkey % 5 = 0 OR p_partkey % 5 = 1 AND p_brand = 'Brand#3' AS c FROM part)"""
+)
+def narrowed_scan(spark, d):
+    """[I1, I6] What a partial scan reads of the files made of the parts: every fifth is committed, others of a brand are new."""
+    files = _sources(spark, d).withColumn("binary", F.lit(False))
+    k = F.regexp_extract("path", "^d([0-9]+)/", 1).cast("long")
+    lists = lambda test: files.filter(test).groupBy("repo_id").agg(F.array_join(F.collect_list(F.concat(F.lit("  "), "path")), "\n").alias("text"))
+    changed = ch.changed_paths([lists(k % 5 == 0), lists((k % 5 == 1) & (F.col("repo_id") == "Brand#3")), lists(k % 10 == 0)])
+    return ch.scan_statistics(ch.narrowed(files, changed))

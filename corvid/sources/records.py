@@ -240,6 +240,25 @@ def git_records(records: DataFrame) -> DataFrame:
     return rows.select(clean(0).alias("hash"), words(p[1], r"\s+").alias("parents"), clean(2).alias("date"), clean(3).alias("subject"), clean(4).alias("body"), words(p[5], "\n").alias("files"))
 
 
+#: What git writes for a line that no commit holds yet.
+UNCOMMITTED = "0" * 40
+
+
+def git_blame(outputs: DataFrame) -> DataFrame:
+    """[S12] (path, line, hash) of porcelain blame outputs(path, text): the commit of each line; lines that are not committed are left out."""
+    heads = F.regexp_extract_all("text", F.lit(r"(?m)^([0-9a-f]{40} [0-9]+ [0-9]+)(?: [0-9]+)?$"), F.lit(1))
+    parts = F.split("head", " ")
+    rows = outputs.select("path", F.explode(heads).alias("head")).select("path", parts[2].cast("int").alias("line"), parts[0].alias("hash"))
+    return rows.filter(F.col("hash") != UNCOMMITTED).distinct()
+
+
+def added_headings(diffs: DataFrame) -> DataFrame:
+    """[S27] (hash, heading) of the Markdown headings that unified diffs(hash, text) add, in their order."""
+    lines = diffs.select("hash", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("n", "line"))
+    some = lines.filter(F.col("line").rlike(r"^\+#{1,4}\s+\S") & ~F.startswith("line", F.lit("+++")))
+    return some.select("hash", "n", F.regexp_extract("line", r"^\+#{1,4}\s+(.*?)\s*#*\s*$", 1).alias("heading"))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(path, n, line, fence, open): the lines of docs(path, text), whether one is a fence, and whether it stands in fenced code."""
     rows = docs.select("path", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("n", "line")).withColumn("n", F.col("n") + 1).withColumn("fence", F.ltrim("line").rlike("^(```|~~~)"))

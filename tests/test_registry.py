@@ -97,3 +97,28 @@ def test_part_of_the_hits_is_verified(spark):
     assert step.counts == {"hits": 5, "misses": 5, "verified": 2, "divergent": 0, "evicted": 3}
     assert {r["key"] for r in step.cache.collect()} == {f"k{k}" for k in range(3, 25)}
     assert {r["key"]: r["result"] for r in step.answers.collect()} == {f"k{k}": f"r:k{k}" for k in range(15, 25)} and step.answers.filter("hit").count() == 3
+
+
+def test_blame_and_added_headings(spark):
+    from corvid.sources import records as rc
+
+    a, b = "a" * 40, "b" * 40
+    text = f"{a} 3 1 2\nauthor x\nsummary {b} 9 9\n\tcode {b} 1 7\n{a} 4 2\n\tmore\n{'0' * 40} 1 3 1\n\tnew\n{b} 1 4\r\n{b} 8 5 1\n"
+    got = rc.git_blame(spark.createDataFrame([("f.py", text), ("e.py", None)], "path string, text string")).collect()
+    assert {tuple(r) for r in got} == {("f.py", 1, a), ("f.py", 2, a), ("f.py", 4, b), ("f.py", 5, b)}
+    diff = "--- a/CHANGELOG.md\n+++ b/CHANGELOG.md\n@@ -1 +1,3 @@\n # Log\n+## 2024-01-02 New ##\n+text\n-## Gone\n+### Part\n+##no\n"
+    rows = rc.added_headings(spark.createDataFrame([("h", diff)], "hash string, text string")).orderBy("n").collect()
+    assert [(r["hash"], r["heading"]) for r in rows] == [("h", "2024-01-02 New"), ("h", "Part")]
+
+
+def test_partial_scans_read_what_changed_and_its_context(spark):
+    from corvid.operators import changes as ch
+
+    rows = [("r", "src/a.py", "source", False, 10), ("r", "b.py", "source", False, 20), ("q", "src/a.py", "source", False, 5), ("r", "x/Dockerfile.dev", "config", False, 1), ("r", "go.mod", "config", True, 1), ("r", "m.TF", "iac", False, 2), ("r", ".ci.yml", "ci", False, 3)]
+    files = spark.createDataFrame(rows, "repo_id string, path string, role string, binary boolean, lines int")
+    lists = [spark.createDataFrame([(r, t)], "repo_id string, text string") for r, t in (("r", "src/a.py\n\ngone.py\r\n"), ("r", " src/a.py "), ("q", None))]
+    out = ch.narrowed(files, ch.changed_paths(lists))
+    assert {(r["repo_id"], r["path"]) for r in out.filter("read").collect()} == {("r", "src/a.py"), ("r", "x/Dockerfile.dev"), ("r", "m.TF"), ("r", ".ci.yml")}
+    assert out.filter("changed").count() == 1
+    stats = ch.scan_statistics(out).first()
+    assert (stats["files"], stats["files_read"], stats["changed"], stats["context"], stats["lines_read"]) == (7, 4, 1, 3, 16)
