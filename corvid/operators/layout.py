@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -221,3 +223,54 @@ def component_edges(grouped: DataFrame, links: DataFrame) -> DataFrame:
     per = across.filter("source_c <> target_c").groupBy("source_a", "source_c", "target_a", "target_c").agg(F.count("*").alias("n"))
     depends = lambda kind, c: per.filter(f"source_{c} <> target_{c}").groupBy(F.concat(F.lit(f"{kind}:"), f"source_{c}").alias("source"), F.concat(F.lit(f"{kind}:"), f"target_{c}").alias("target")).agg(F.sum("n").alias("n")).select("source", "target", F.lit("depends_on").alias("type"), "n")
     return composes.unionByName(groups).unionByName(depends("component", "c")).unionByName(depends("application", "a"))
+
+
+# --- what the graph says about modules -------------------------------------------------------------------
+
+
+def module_imports(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """[G18] (importer, imported): files of modules of which one imports the other; and (file, name): the outer packages that a module imports.
+
+    nodes(id, kind, file), edges(source, target, type); outer ones are targets like ``external:name.part``.
+    """
+    modules = nodes.filter("kind = 'module'").select("id", "file")
+    imports = edges.filter("type = 'imports'").select("source", "target").distinct().join(modules.select(F.col("id").alias("source"), F.col("file").alias("importer")), "source")
+    inner = imports.join(modules.select(F.col("id").alias("target"), F.col("file").alias("imported")), "target").filter("importer <> imported").select("importer", "imported").distinct()
+    outer = imports.filter("startswith(target, 'external:')").select(F.col("importer").alias("file"), F.substring_index(F.substring("target", F.lit(10), F.length("target")), ".", 1).alias("name")).distinct()
+    return inner, outer
+
+
+def class_relations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """[G17] (source, target, relation): classes that inherit from each other, from outer bases, and those whose methods create others; test code doesn't count.
+
+    nodes(id, kind, file, test); a method's id is its class's and ``::name``.
+    """
+    classes = nodes.filter("kind = 'class' AND NOT coalesce(test, false)").select("id")
+    end = lambda name: classes.select(F.col("id").alias(name))
+    bases = edges.filter("type = 'inherits'").select("source", "target").join(end("source"), "source", "left_semi")
+    inner = bases.join(end("target"), "target", "left_semi").select("source", "target", F.lit("inherits").alias("relation"))
+    outer = bases.filter("startswith(target, 'external:')").select("source", F.substring("target", F.lit(10), F.length("target")).alias("target"), F.lit("external").alias("relation"))
+    calls = edges.filter("type = 'calls'").join(nodes.filter("kind = 'method'").select(F.col("id").alias("source")), "source", "left_semi").join(end("target"), "target", "left_semi")
+    creates = calls.select(F.regexp_replace("source", "::[^:]*$", "").alias("source"), "target").filter("source <> target").join(end("source"), "source", "left_semi").select("source", "target", F.lit("creates").alias("relation"))
+    return inner.unionByName(outer).unionByName(creates).distinct()
+
+
+def find_member(components: DataFrame, modules: DataFrame, text: str) -> DataFrame:
+    """[P18] (kind, id) of the component or module of tables (id, name) that a text means, one row at most.
+
+    An id; else the only component with the text in its id or name; else the only module of that name or
+    whose id ends so; else the only component that ends so.  Nothing where several fit.
+    """
+    q = text.strip().rstrip("/")
+    low = q.lower()
+    lower = lambda c: F.lower(F.col(c))
+    part = F.contains(lower("id"), F.lit(low)) | F.contains(lower("name"), F.lit(low))
+    tiers = [
+        (components, "component", F.col("id") == q),
+        (modules, "module", F.col("id") == q),
+        (components, "component", part),
+        (modules, "module", (lower("name") == low) | F.endswith(lower("id"), F.lit(low))),
+        (components, "component", part & (F.endswith(lower("id"), F.lit(low)) | F.endswith(lower("name"), F.lit(low)))),
+    ]
+    rows = [df.filter(test).agg(F.countDistinct("id").alias("n"), F.min("id").alias("id")).filter("n = 1").select(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), "id") for rank, (df, kind, test) in enumerate(tiers)]
+    return reduce(DataFrame.unionByName, rows).orderBy("rank").limit(1).select("kind", "id")

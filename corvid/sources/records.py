@@ -306,3 +306,37 @@ def bullets(docs: DataFrame) -> DataFrame:
     first = rows.filter("start").select("path", "block", F.col("n").alias("begin"))
     kept = rows.filter("NOT head").join(first, ["path", "block"])
     return kept.groupBy("path", F.col("begin").alias("start")).agg(F.max("n").alias("end"), F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l")).select("path", "start", "end", F.array_join(F.col("l.line"), "\n").alias("text"))
+
+
+# --- graphs --------------------------------------------------------------------------------------
+
+NODE = "id string, kind string, name string, qualified_name string, file string, start_line int, end_line int, language string, summary string, layer string, attrs variant"
+LINK = "source string, target string, type string, provenance string, resolver string, detail string, layer string"
+
+
+def graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """[K1, S1] Nodes and edges of graph files, each a JSON document with ``nodes`` and ``edges``; the layer is ``code`` where none is written.
+
+    Of nodes with one id the first in a file counts, of equal edges one stays.
+    """
+    docs = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("d"))
+    each = lambda name, schema: docs.select(F.posexplode(F.try_variant_get("d", f"$.{name}", "array<variant>")).alias("pos", "v")).select("pos", *[F.try_variant_get("v", f"$.{c}", t).alias(c) for c, t in (x.split() for x in schema.split(", "))])
+    layered = lambda df: df.withColumn("layer", F.coalesce("layer", F.lit("code")))
+    nodes = layered(each("nodes", NODE).filter("id IS NOT NULL"))
+    rest = [c for c in nodes.columns if c not in ("pos", "id")]
+    once = nodes.groupBy("id").agg(F.min_by(F.struct(*rest), "pos").alias("r")).select("id", "r.*")
+    return once, layered(each("edges", LINK).filter("source IS NOT NULL AND target IS NOT NULL")).drop("pos").distinct()
+
+
+def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """[K1] A graph as two folders of JSON lines, ``nodes`` and ``edges``, that any number of tasks write."""
+    nodes.write.mode("overwrite").json(f"{path}/nodes")
+    edges.write.mode("overwrite").json(f"{path}/edges")
+
+
+def review_marks(texts: DataFrame) -> DataFrame:
+    """[S30] (id, verdict) of review files(text): lines like ``[y] f:id``; y is a true positive, n a false one, others are skipped.  Of several marks of an id in a file the last counts."""
+    lines = texts.select(F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    pattern = r"^\s*\[([ yYnNsS?])\]\s*(f:[0-9a-f]{6,})\b"
+    marks = lines.select("n", F.lower(F.regexp_extract("line", pattern, 1)).alias("mark"), F.regexp_extract("line", pattern, 2).alias("id")).filter("mark IN ('y', 'n')")
+    return marks.groupBy("id").agg(F.max_by(F.when(F.col("mark") == "y", "true_positive").otherwise("false_positive"), "n").alias("verdict"))

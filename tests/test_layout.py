@@ -180,3 +180,40 @@ def test_tool_outputs(spark):
     lines = frame(spark, [("t", '{"x":1}\n\nbad\n  {"x":"2"} ')], "tool string, text string")
     got = rp.tool_findings(rp.tool_rows(lines, lines=True), {"x": ["y", "x"], "severity": ["sev"]}, {"high": "critical"}).select("x", "severity").collect()
     assert sorted(map(tuple, got)) == [("1", "medium"), ("2", "medium")]
+
+
+def test_graph_files(spark, tmp_path):
+    from corvid.sources import records as rc
+
+    nodes = [{"id": "a", "kind": "module", "name": "a", "file": "a.py", "attrs": {"x": [1]}}, {"id": "r", "kind": "requirement", "layer": "governance", "start_line": 3}, {"id": "a", "kind": "other"}, {"kind": "lost"}]
+    edges = [{"source": "r", "target": "a", "type": "touches", "provenance": "EXTRACTED", "layer": "governance"}] * 2 + [{"source": "a", "target": None, "type": "calls"}]
+    (tmp_path / "g.json").write_text(json.dumps({"version": 3, "nodes": nodes, "edges": edges}, indent=2))
+    (tmp_path / "broken.json").write_text("{")
+    n, e = rc.graph_json(spark, str(tmp_path))
+    assert {(r["id"], r["kind"], r["layer"], r["start_line"], r["a"]) for r in n.withColumn("a", F.to_json("attrs")).collect()} == {("a", "module", "code", None, '{"x":[1]}'), ("r", "requirement", "governance", 3, None)}
+    assert [tuple(r) for r in e.select("source", "target", "type", "layer").collect()] == [("r", "a", "touches", "governance")]
+    rc.write_graph_json(n.drop("attrs"), e, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out" / "nodes")).count() == 2
+
+
+def test_review_marks(spark):
+    from corvid.sources import records as rc
+
+    text = "# review\n[y] f:abc123 title\n  [N] f:def456\n[?] f:111\n[ ] f:222\ny f:333\n[n] f:abc123 again\n"
+    assert {tuple(r) for r in rc.review_marks(frame(spark, [(text,), (None,)], "text string")).collect()} == {("f:abc123", "false_positive"), ("f:def456", "false_positive")}
+
+
+def test_module_imports_and_class_relations(spark):
+    nodes = frame(spark, [("m:a", "module", "a.py", False), ("m:b", "module", "b.py", False), ("m:b2", "module", "b.py", False), ("c:A", "class", "a.py", False), ("c:B", "class", "b.py", False), ("c:T", "class", "t.py", True), ("c:A::run", "method", "a.py", False), ("f", "function", "a.py", None)], "id string, kind string, file string, test boolean")
+    edges = frame(spark, [("m:a", "m:b", "imports"), ("m:a", "m:b2", "imports"), ("m:b", "m:b2", "imports"), ("m:a", "external:numpy.linalg", "imports"), ("c:A", "external:x.y", "imports"), ("c:A", "c:B", "inherits"), ("c:A", "external:abc.ABC", "inherits"), ("c:A", "c:T", "inherits"), ("c:T", "c:B", "inherits"), ("c:A::run", "c:B", "calls"), ("c:A::run", "c:A", "calls"), ("f", "c:B", "calls")], "source string, target string, type string")
+    inner, outer = lo.module_imports(nodes, edges)
+    assert [tuple(r) for r in inner.collect()] == [("a.py", "b.py")] and [tuple(r) for r in outer.collect()] == [("a.py", "numpy")]
+    assert {tuple(r) for r in lo.class_relations(nodes, edges).collect()} == {("c:A", "c:B", "inherits"), ("c:A", "abc.ABC", "external"), ("c:A", "c:B", "creates")}
+
+
+@pytest.mark.parametrize(("text", "found"), [("web/api", ("component", "web/api")), ("mod:x/", ("module", "mod:x")), ("STORE", ("component", "db/store")), ("client", ("module", "mod:client")), ("api", ("component", "web/api")), ("b", None), ("nothing", None)])
+def test_members_by_name(spark, text, found):
+    components = frame(spark, [("web/api", "api"), ("web/apis", "apis"), ("db/store", "store")], "id string, name string")
+    modules = frame(spark, [("mod:x", "x"), ("mod:client", "Client"), ("mod:z/b", "z"), ("mod:y/b", "y")], "id string, name string")
+    got = lo.find_member(components, modules, text).first()
+    assert (tuple(got) if got else None) == found
