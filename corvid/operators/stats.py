@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,9 +83,13 @@ def recent(df: DataFrame, date: str, days: int) -> DataFrame:
     return df.crossJoin(F.broadcast(last)).filter(F.col(date) >= F.date_sub("last", days)).drop("last")  # one row
 
 
+#: How broad the use by 0 to 8 users is; Spark's quotient of logarithms is off by a last digit, which decides where a score is rounded from a half.
+BREADTH = [math.log2(1 + users) / math.log2(9) for users in range(9)]
+
+
 def reuse_score(users: Column, components: Column, applications: Column, fan_out: Column, category: Column) -> Column:
     """[L12] 0 to 100: breadth of use, reach over other components, use by other applications, few dependencies; 0 at the top of the tree."""
-    breadth = F.least(F.lit(1.0), F.log2(1.0 + users) / F.log2(F.lit(9.0)))
+    breadth = F.get(F.array(*map(F.lit, BREADTH)), F.least(users.cast("int"), F.lit(8)))
     reach = F.least(F.lit(1.0), components / 3)
     portable = F.when(applications > 0, 1.0).otherwise(0.0)
     score = F.bround(100 * (0.30 * breadth + 0.25 * reach + 0.25 * portable + 0.20 / (1 + fan_out / 5)), 0).cast("int")
